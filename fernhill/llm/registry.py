@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fernhill.llm import language_id, line_dedup, packing, quality, token_output, toxicity
+from fernhill.llm import language_id, line_dedup, packing, quality, substring_dedup, token_output, toxicity
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_packing": packing.op1_packing,
         "op2_token_output": token_output.op2_token_output,
         "op4_language_id": language_id.op4_language_id,
+        "op5_substring_dedup": substring_dedup.op5_substring_dedup,
         "op6_toxicity": toxicity.op6_toxicity,
         "op8_quality_rules": quality.op8_quality_rules,
         "op10_line_dedup": line_dedup.op10_line_dedup,
