@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fernhill.llm import language_id, line_dedup, packing, quality, substring_dedup, token_output, toxicity
+from fernhill.llm import language_id, line_dedup, near_duplicates, packing, quality, substring_dedup, token_output, toxicity
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op4_language_id": language_id.op4_language_id,
         "op5_substring_dedup": substring_dedup.op5_substring_dedup,
         "op6_toxicity": toxicity.op6_toxicity,
+        "op7_jaccard_join": near_duplicates.op7_jaccard_join,
         "op8_quality_rules": quality.op8_quality_rules,
         "op10_line_dedup": line_dedup.op10_line_dedup,
     }
