@@ -1,8 +1,62 @@
-"""A corpus-cleaning pipeline over ``documents``."""
+"""A corpus-cleaning pipeline over ``documents``: each stage's table is written and read by the next."""
 
-STAGES = []
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import functions as F
+
+from fernhill.llm import decontamination, line_dedup, near_duplicates, packing, toxicity
+from fernhill.llm._shared import documents, shared_dir
+
+
+def reject_toxic(spark, docs, sf_dir):
+    """Documents with a toxicity score under 0.5; the model learns from the labels of these documents."""
+    weights = toxicity.train(docs, documents(spark, sf_dir, "labels"))
+    return toxicity.score_toxicity(docs, weights).where("toxicity < 0.5").select(*docs.columns)
+
+
+def dedup_lines(spark, docs, sf_dir):
+    """All documents, without lines that three or more of them hold but in the last; n_chars follows."""
+    kept = line_dedup.drop_repeated_lines(docs)
+    return kept.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+
+
+def dedup_near(spark, docs, sf_dir):
+    """One document, that of the smallest id, of each group linked by Jaccard of 0.8 on five words."""
+    groups = near_duplicates.near_duplicates(docs).where("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(groups, "doc_id", "left_anti").select(*docs.columns)
+
+
+def drop_leaks(spark, docs, sf_dir):
+    """Documents in which no benchmark item was found."""
+    leaks = decontamination.find_leaks(docs, documents(spark, sf_dir, "benchmark")).select("doc_id", "text_key").distinct()
+    keyed = docs.withColumn("__key", F.xxhash64("text"))
+    same = keyed["doc_id"].eqNullSafe(leaks["doc_id"]) & (keyed["__key"] == leaks["text_key"])
+    return keyed.join(leaks, same, "left_anti").select(*docs.columns)
+
+
+def pack(spark, docs, sf_dir):
+    """Sequences of at most 2048 ids: a row per piece, with its ids."""
+    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("toxicity", reject_toxic),
+    ("line_dedup", dedup_lines),
+    ("jaccard_join", dedup_near),
+    ("decontamination", drop_leaks),
+    ("packing", pack),
+]
+
+#: The models and the joins by hash have no SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
-    raise NotImplementedError
+    """Apply the stages to ``documents``; each result is written to the shared folder and read again."""
+    docs = documents(spark, sf_dir)
+    for name, stage in STAGES[:-1]:
+        path = shared_dir(spark, f"stage-{name}")
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fernhill.llm import language_id, line_dedup, near_duplicates, packing, quality, substring_dedup, token_output, toxicity
+from fernhill.llm import decontamination, language_id, line_dedup, near_duplicates, packing, quality, substring_dedup, token_output, toxicity
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op6_toxicity": toxicity.op6_toxicity,
         "op7_jaccard_join": near_duplicates.op7_jaccard_join,
         "op8_quality_rules": quality.op8_quality_rules,
+        "op9_decontamination": decontamination.op9_decontamination,
         "op10_line_dedup": line_dedup.op10_line_dedup,
     }
 
