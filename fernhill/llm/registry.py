@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from fernhill.llm import decontamination, language_id, line_dedup, near_duplicates, packing, quality, substring_dedup, token_output, toxicity
+from fernhill.llm import decontamination, language_id, line_dedup, near_duplicates, packing, quality, substring_dedup, suffix_dedup, token_output, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_packing": packing.op1_packing,
         "op2_token_output": token_output.op2_token_output,
+        "op3_suffix_dedup": suffix_dedup.op3_suffix_dedup,
         "op4_language_id": language_id.op4_language_id,
         "op5_substring_dedup": substring_dedup.op5_substring_dedup,
         "op6_toxicity": toxicity.op6_toxicity,
