@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 from fernhill.llm._shared import documents, shared_dir
 from fernhill.llm._tokens import encoder, text_groups
 
+#: Up to so many shards their offsets (16 bytes each) are broadcast; beyond, they are joined by shuffle.
+BROADCAST_SHARDS = 1_000_000
 #: Bits between two stored counts of ones.
 BLOCK = 512
 
@@ -171,7 +173,10 @@ def read_documents(shards: DataFrame) -> DataFrame:
                     )
 
     found = shards.select("shard", "doc_ids", "doc_tokens", "wavelet").mapInArrow(run, "shard int, doc_id long, local long, n_tokens long, ids binary")
-    return found.join(shard_offsets(shards), "shard").select("doc_id", (F.col("before") + F.col("local")).alias("start"), "n_tokens", "ids")
+    offsets = shard_offsets(shards)
+    if shards.count() <= BROADCAST_SHARDS:  # read from the files' footers
+        offsets = F.broadcast(offsets)
+    return found.join(offsets, "shard").select("doc_id", (F.col("before") + F.col("local")).alias("start"), "n_tokens", "ids")
 
 
 def count_token(shards: DataFrame, token: int) -> DataFrame:
