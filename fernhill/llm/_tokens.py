@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Callable, Iterable, Iterator
@@ -11,21 +12,50 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Chunks of text whose ids a worker keeps; later ones are encoded each time they come.
-REMEMBERED = 400_000
+REMEMBERED = 600_000
 
 # A piece may end before a space that follows a non-space, and between a letter or digit and one of
 # ". , \n": both public pre-tokenizers always cut there, so ids of the pieces are ids of the text.
 _ODD = re.compile(r"[\W_][.,]|\s\s")
 _CUT = re.compile(r"(?<=\S)(?= )|(?<=[^\W_])(?=[.,\n])")
+# White space that tokenizers and str.split() may see differently, or letters that lower() and they may.
+_OTHER = re.compile(r"[\x1c-\x1f\x85\xa0]")
+# A piece that stays as it is between line ends.
+_PLAIN = re.compile(r"[ \n]?\S+")
 _encoders: dict[str, Callable[[list[str]], list[bytes]]] = {}
 
 
 def _pieces(text: str) -> list[str]:
+    if "\u0130" in text:  # its small form ends with a mark, which is no letter
+        return [text]
     if "\0" in text or _ODD.search(text):
         return _CUT.split(text)
     return text.replace(" ", "\0 ").replace("\n", "\0\n").replace(",", "\0,").replace(".", "\0.").split("\0")
 
 
+def _folded(text: str) -> list[str]:
+    """Pieces for tokenizers that lower text and drop white space."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return _pieces(text)
+    if _ODD.search(text) or _OTHER.search(text):
+        return _pieces(text)
+    return text.lower().replace(",", " ,").replace(".", " .").split()
+
+
+def _encode_plain(tokenizer, pieces: list[str], dtype: str) -> list[bytes]:
+    """Ids of plain pieces, as one text with line ends between them; offsets tell them apart."""
+    found = tokenizer.encode("\n" + "\n".join(pieces), add_special_tokens=False)
+    ids = np.array(found.ids, dtype)
+    at = np.array([a for a, _ in found.offsets], np.int64)
+    ends = np.cumsum([len(p) + 1 for p in pieces])  # of each piece, before the next line end
+    inside = ~np.isin(at, np.concatenate(([0], ends[:-1])))
+    ids, at = ids[inside], at[inside]
+    cuts = np.searchsorted(at, ends).tolist()
+    return [ids[a:b].tobytes() for a, b in zip([0, *cuts], cuts)]
+
+
 def encoder(path: str, dtype: str = "<u2") -> Callable[[list[str]], list[bytes]]:
     """A function from texts to their ids as little-endian bytes; one per worker and file."""
     if (key := f"{path} {dtype}") in _encoders:
@@ -37,16 +67,21 @@ def encoder(path: str, dtype: str = "<u2") -> Callable[[list[str]], list[bytes]]
     tokenizer.encode_special_tokens = True
     if tokenizer.get_vocab_size() > np.iinfo(dtype).max + 1:
         raise ValueError(f"{path} has more ids than {dtype} holds")
+    cutter = _folded if (json.loads(tokenizer.to_str()).get("normalizer") or {}).get("type") else _pieces
     known: dict[str, bytes] = {"": b""}
 
     def encode(texts: list[str]) -> list[bytes]:
-        cut = [_pieces(t) for t in texts]
+        cut = [cutter(t) for t in texts]
         missing = list({p for pieces in cut for p in pieces if p not in known})
         extra: dict[str, bytes] = {}
-        for i in range(0, len(missing), 4096):
-            part = missing[i : i + 4096]
-            for p, e in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                (known if len(known) < REMEMBERED and len(p) < 64 else extra)[p] = np.array(e.ids, dtype).tobytes()
+        plain = [p for p in missing if len(p) < 64 and _PLAIN.fullmatch(p)]
+        for i in range(0, len(plain), 4096):
+            part = plain[i : i + 4096]
+            for p, ids in zip(part, _encode_plain(tokenizer, part, dtype)):
+                (known if len(known) < REMEMBERED else extra)[p] = ids
+        for p in missing:
+            if p not in known and p not in extra:
+                extra[p] = np.array(tokenizer.encode(p, add_special_tokens=False).ids, dtype).tobytes()
         if not extra:
             return [b"".join([known[p] for p in pieces]) for pieces in cut]
         return [b"".join([known[p] if p in known else extra[p] for p in pieces]) for pieces in cut]
