@@ -1,4 +1,6 @@
-"""Registered catalog queries and their SQL counterparts."""
+"""All registered catalog queries and their SQL counterparts."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from fernhill.plans import catalog_tables, retrieval_queries  # noqa: F401
+from fernhill.plans._book import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
