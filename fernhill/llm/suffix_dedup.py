@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from fernhill.llm import _exchange as ex
 from fernhill.llm._induced import suffix_order
-from fernhill.llm._shared import documents, materialise
+from fernhill.llm._shared import documents
 from fernhill.llm._words import _BYTES, U, mix, powers, prefix, ranges
 
 #: Bytes of the substrings whose least hash names the shard of a window.
@@ -140,70 +140,69 @@ def drop_earlier_strings(docs: DataFrame, window: int = 50, id_col: str = "doc_i
 
     shared = ex.answered(chunks, ex.found_elsewhere(ex.send(chunks, asked, n_asked, False), False))
 
-    def cut(batches):
+    def cut(texts, ids, answers):
+        """Shared runs by shard, and in it by text: shard, start, count, owner, and whether a text is new."""
+        runs = _Runs(texts, window)
+        some = ex.bits_of(ex.Distinct(runs.key, n_asked), answers)
+        start, count, owner = runs.start[some], runs.count[some], ids[runs.doc[some]]
+        shard = ((runs.key[some] >> U(20)) % U(shards)).astype(np.int64)
+        text = ranges(runs.sums, start, start + count + window - 1, "byte")
+        order = np.lexsort((owner, text, shard))
+        shard, start, count, owner, text = (x[order] for x in (shard, start, count, owner, text))
+        fresh = np.ones(len(text), bool)
+        fresh[1:] = (text[1:] != text[:-1]) | (shard[1:] != shard[:-1])
+        return runs.data, shard, start, count, owner, fresh
+
+    def send_strings(batches):
         for batch in batches:
             for chunk, data, answers in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 ids, texts = ex.open_chunk(data)
-                runs = _Runs(texts, window)
-                some = ex.bits_of(ex.Distinct(runs.key, n_asked), answers)
-                start, count, key, owner = runs.start[some], runs.count[some], runs.key[some], ids[runs.doc[some]]
-                shard = ((key >> U(20)) % U(shards)).astype(np.int64)
-                text = ranges(runs.sums, start, start + count + window - 1, "byte")
-                order = np.lexsort((owner, text, shard))
-                start, count, text, owner, shard = (x[order] for x in (start, count, text, owner, shard))
-                fresh = np.concatenate(([True], (text[1:] != text[:-1]) | (shard[1:] != shard[:-1]))) if len(text) else np.zeros(0, bool)
-                which = np.cumsum(fresh) - 1
-                rows = []
-                edges = np.append(np.flatnonzero(np.concatenate(([True], shard[1:] != shard[:-1]))), len(shard)) if len(shard) else np.zeros(1, np.int64)
-                for a, z in zip(edges[:-1].tolist(), edges[1:].tolist()):
-                    heads = a + np.flatnonzero(fresh[a:z])
-                    body = b"".join([runs.data[x:y] for x, y in zip(start[heads].tolist(), (start[heads] + count[heads] + window - 1).tolist())])
-                    lengths = (count[heads] + window - 1).astype("<i4")
-                    rows.append({
-                        "shard": int(shard[a]), "chunk": chunk, "strings": _pack(np.frombuffer(body, np.uint8), lengths, owner[heads]),
-                        "places": _pack(start[a:z].astype("<i4"), (which[a:z] - which[a]).astype("<i4"), owner[a:z], lengths, owner[heads]),
-                    })
-                yield pa.RecordBatch.from_pylist(rows, pa.schema([("shard", pa.int32()), ("chunk", pa.int64()), ("strings", pa.binary()), ("places", pa.binary())]))
-
-    found = materialise(shared.mapInArrow(cut, "shard int, chunk long, strings binary, places binary"), "runs")
+                body, shard, start, count, owner, fresh = cut(texts, ids, answers)
+                heads = np.flatnonzero(fresh)
+                shard, start, owner, length = shard[heads], start[heads], owner[heads], count[heads] + window - 1
+                found, at = np.unique(shard, return_index=True)
+                out = []
+                for a, z in zip(at.tolist(), [*at[1:].tolist(), len(shard)]):
+                    joined = b"".join([body[x : x + n] for x, n in zip(start[a:z].tolist(), length[a:z].tolist())])
+                    out.append(_pack(np.frombuffer(joined, np.uint8), length[a:z].astype("<i4"), owner[a:z]))
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array([chunk] * len(out), pa.int64()), pa.array(out, pa.binary())], ["shard", "chunk", "strings"])
 
     def resolve(table: pa.Table) -> pa.Table:
         parts = [_unpack(x.as_py(), "u1", "<i4", "<i8") for x in table.column("strings")]
         bits = _earlier_in_shard(*([p[k] for p in parts] for k in range(3)), window)
         return pa.table({"shard": table.column("shard"), "chunk": table.column("chunk"), "bits": pa.array([_pack(np.packbits(b)) for b in bits], pa.binary())})
 
-    answers = found.select("shard", "chunk", "strings").groupBy("shard").applyInArrow(resolve, "shard int, chunk long, bits binary")
-
-    def windows_gone(batches):
-        """Starts and lengths of runs of removed windows."""
-        for batch in batches:
-            out = []
-            for places, bits in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                start, which, owner, lengths, least = _unpack(places, "<i4", "<i4", "<i8", "<i4", "<i8")
-                counts = lengths.astype(np.int64) - window + 1
-                bits = np.unpackbits(_unpack(bits, "u1")[0], count=int(counts.sum())).astype(bool)
-                n, from_ = counts[which], (np.cumsum(counts) - counts)[which]
-                inner = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-                gone = bits[np.repeat(from_, n) + inner] | np.repeat(owner > least[which], n)
-                out.append(_pack((np.repeat(start.astype(np.int64), n) + inner)[gone].astype("<i4")))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["chunk", "gone"])
-
-    gone = found.select("shard", "chunk", "places").join(answers, ["shard", "chunk"]).select("chunk", "places", "bits").mapInArrow(windows_gone, "chunk long, gone binary")
-    gone = gone.groupBy("chunk").agg(F.collect_list("gone").alias("gone"))
+    sent = shared.select("chunk", "data", "answers").mapInArrow(send_strings, "shard int, chunk long, strings binary")
+    earlier = sent.groupBy("shard").applyInArrow(resolve, "shard int, chunk long, bits binary").groupBy("chunk").agg(F.collect_list(F.struct("shard", "bits")).alias("earlier"))
+
+    def removed_bytes(texts, ids, answers, earlier):
+        """A mark for each byte of the chunk."""
+        body, shard, start, count, owner, fresh = cut(texts, ids, answers)
+        cover = np.zeros(len(body) + 2, np.int32)
+        if len(start):
+            which = np.cumsum(fresh) - 1
+            heads = np.flatnonzero(fresh)
+            windows = count[heads]
+            offset = np.cumsum(windows) - windows
+            bits = np.zeros(int(windows.sum()), bool)
+            for x in earlier or []:
+                a, z = np.searchsorted(shard[heads], [x["shard"], x["shard"] + 1])
+                n = int(windows[a:z].sum())
+                bits[offset[a] : offset[a] + n] = np.unpackbits(_unpack(x["bits"], "u1")[0], count=n)
+            inner = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+            gone = bits[np.repeat(offset[which], count) + inner] | np.repeat(owner > owner[heads][which], count)
+            at = (np.repeat(start, count) + inner)[gone]
+            np.add.at(cover, at, 1)
+            np.add.at(cover, at + window, -1)
+        return (np.cumsum(cover) > 0).view(np.int8)
 
     def kept(batches):
         for batch in batches:
-            for data, parts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for data, answers, earlier in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 ids, texts = ex.open_chunk(data)
                 sizes = np.fromiter(map(len, texts), np.int64, len(texts))
                 first = np.cumsum(sizes + 1) - sizes - 1
-                cover = np.zeros(int((sizes + 1).sum()) + 1, np.int32)
-                for part in parts or []:
-                    at = _unpack(part, "<i4")[0]
-                    np.add.at(cover, at, 1)
-                    np.add.at(cover, at + window, -1)
-                removed = (np.cumsum(cover) > 0).view(np.int8)
-                edges = np.flatnonzero(np.diff(removed, prepend=0, append=0))
+                edges = np.flatnonzero(np.diff(removed_bytes(texts, ids, answers, earlier), prepend=0, append=0))
                 cuts = np.searchsorted(edges, first), np.searchsorted(edges, first + sizes, "right")
                 n_removed, spans, left = [], [], []
                 for i, text in enumerate(texts):
@@ -217,7 +216,8 @@ def drop_earlier_strings(docs: DataFrame, window: int = 50, id_col: str = "doc_i
                     ["doc_id", "n_bytes", "n_removed", "spans", "kept"],
                 )
 
-    return chunks.join(gone, "chunk", "left").select("data", "gone").mapInArrow(kept, "doc_id long, n_bytes long, n_removed long, spans array<long>, kept binary")
+    # the chunks are dealt by number already, so that only the answers move here
+    return shared.join(earlier, "chunk", "left").select("data", "answers", "earlier").mapInArrow(kept, "doc_id long, n_bytes long, n_removed long, spans array<long>, kept binary")
 
 
 def op3_suffix_dedup(spark, sf_dir):
