@@ -155,7 +155,7 @@ def clamp_measure(c: Column, low: float, high: float) -> Column:
 
 def norm_bullet(c: Column) -> Column:
     """Punctuation as spaces, plurals folded, a doubled word once."""
-    t = F.regexp_replace(norm_alnum(c), r"([a-z]{3,}[^s\s])s\b", "$1")
+    t = F.regexp_replace(norm_alnum(c), r"([a-z]{2,}[^s\s])s\b", "$1")
     return norm_ws(F.regexp_replace(t, r"\b(\w+) \1\b", "$1"))
 
 
