@@ -46,7 +46,8 @@ def hash_embed(docs: DataFrame, tokens: str = "tokens", key: str = "id", dims: i
     entries = docs.select(key, F.explode(tokens).alias("token")).withColumn("h", F.sha1("token"))
     byte = lambda k: F.conv(F.substring("h", 2 * k + 1, 2), 16, 10).cast("int")
     four = F.array(*(F.struct(((byte(3 * k) * 256 + byte(3 * k + 1)) % dims).alias("dim"), (F.when(byte(3 * k + 2) % 2 == 0, 1.0).otherwise(-1.0) * (1 + byte(3 * k + 2) / 255.0)).alias("x")) for k in range(4)))
-    summed = entries.select(key, F.explode(four).alias("e")).groupBy(key, F.col("e.dim").alias("dim")).agg(F.sum("e.x").alias("x"))
-    dense = summed.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("dim", "x"))).alias("m"))
-    vector = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda d: F.coalesce(F.element_at("m", d), F.lit(0.0)))
-    return dense.select(key, F.transform(unit_vector(vector), lambda x: F.round(x, 6)).alias("vector"))
+    filled = docs.select(key, F.explode(F.sequence(F.lit(0), F.lit(dims - 1))).alias("dim"), F.lit(0.0).alias("x"))
+    summed = entries.select(key, F.explode(four).alias("e")).select(key, "e.dim", "e.x").unionByName(filled).groupBy(key, "dim").agg(F.sum("x").alias("x"))
+    dense = summed.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "x"))), lambda e: e["x"]).alias("v"), F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("size"))
+    scaled = F.when(F.col("size") > 0, F.transform("v", lambda x: F.round(x / F.col("size"), 6))).otherwise(F.array().cast("array<double>"))
+    return dense.select(key, scaled.alias("vector"))

@@ -28,6 +28,43 @@ def vector_topk(images: DataFrame, queries: DataFrame, k: int, id_col: str = "im
     return functools.reduce(DataFrame.unionByName, found).withColumn("rank", F.row_number().over(best).cast("long")).where(F.col("rank") <= k)
 
 
+def product_similarity(images: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, product_id, similarity): the best similarity of a product's other images to each query.
+
+    Query vectors meet each batch of images in blocks, as in ``vector_topk``; a task keeps one number
+    per query and product of its batch.
+    """
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    found = [_block_products(images, queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)) for b in range(blocks)]
+    return functools.reduce(DataFrame.unionByName, found).groupBy("query_id", "product_id").agg(F.max("similarity").alias("similarity"))
+
+
+def _unit_rows(rows: list) -> np.ndarray:
+    v = np.array(rows, float).reshape(len(rows), -1)
+    return v / np.where((size := np.linalg.norm(v, axis=1)) > 0, size, 1)[:, None]
+
+
+def _block_products(images: DataFrame, queries: DataFrame) -> DataFrame:
+    rows = queries.select("query_id", F.col("embedding").cast("array<double>").alias("v")).orderBy("query_id").collect()
+    ids, q = np.array([r.query_id for r in rows]), _unit_rows([r.v for r in rows])
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows or not len(ids):
+                continue
+            near = np.round(q @ _unit_rows(batch.column(2).to_pylist()).T, 6) + 0.0
+            near[ids[:, None] == batch.column(0).to_numpy()[None, :]] = -np.inf
+            names, which = np.unique(batch.column(1).to_numpy(zero_copy_only=False), return_inverse=True)
+            best = np.full((len(ids), len(names)), -np.inf)
+            np.maximum.at(best, (slice(None), which), near)
+            i, j = np.nonzero(best > -np.inf)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(names[j]), pa.array(best[i, j])], ["query_id", "product_id", "similarity"])
+
+    kind = lambda df, c: df.schema[c].dataType.simpleString()
+    some = images.where("embedding IS NOT NULL").select("image_id", "product_id", F.col("embedding").cast("array<double>"))
+    return some.mapInArrow(run, f"query_id {kind(queries, 'query_id')}, product_id {kind(images, 'product_id')}, similarity double")
+
+
 def _block_topk(images: DataFrame, queries: DataFrame, k: int, id_col: str, vec_col: str) -> DataFrame:
     rows = queries.select("query_id", F.col("embedding").cast("array<double>").alias("v")).orderBy("query_id").collect()
     ids = np.array([r.query_id for r in rows])
@@ -105,7 +142,7 @@ def trait_boost(traits: DataFrame, bullets: DataFrame, groups: DataFrame, mandat
     last = W.partitionBy("query_id", "field").orderBy(F.desc("level"), F.desc("ord"))
     wanted = wanted.withColumn("n", F.row_number().over(last)).where("n = 1").drop("n")
     stored = traits.where(~norm_alnum(F.col("value")).isin("", "unknown")).select("image_id", "field", F.col("value").alias("stored"))
-    pairs = F.broadcast(wanted).join(stored, "field")
+    pairs = stored.join(wanted, "field")
     near = groups.select("field", F.col("value").alias("stored"), F.col("grp").alias("g1")).join(groups.select("field", "value", F.col("grp").alias("g2")), "field").where("g1 = g2").select("field", "stored", "value", F.lit(True).alias("near"))
     pairs = pairs.join(F.broadcast(near.distinct()), ["field", "stored", "value"], "left")
     hit = norm_alnum(F.col("stored")) == norm_alnum(F.col("value"))

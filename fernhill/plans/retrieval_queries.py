@@ -236,10 +236,9 @@ WITH n AS (
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, product_id) AS rank FROM n)
 SELECT count(*) AS queries, round(avg((rank = 1)::INT), 6) AS at_1, round(avg((rank <= 3)::INT), 6) AS at_3, round(avg(rank), 6) AS mean_rank FROM r WHERE label = product_id""", "embeddings")
 def self_retrieval(emb):
-    q = emb.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").cast("array<double>").alias("qv"), "label")
-    i = emb.select("vec_id", F.col("embedding").cast("array<double>").alias("iv"), F.col("label").alias("product_id"))
-    near = F.broadcast(q).join(i, F.col("vec_id") != F.col("query_id")).groupBy("query_id", "label", "product_id").agg(F.max(F.round(V.cosine(F.col("qv"), F.col("iv")), 6)).alias("s"))
-    ranked = near.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("s"), "product_id"))).where("label = product_id")
+    q = emb.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding", "label")
+    near = R.product_similarity(emb.select(F.col("vec_id").alias("image_id"), F.col("label").alias("product_id"), "embedding"), q)
+    ranked = near.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("similarity"), "product_id"))).join(q.select("query_id", "label"), "query_id").where("label = product_id")
     share = lambda c: F.round(F.avg(c.cast("int")), 6)
     return ranked.agg(F.count("*").alias("queries"), share(F.col("rank") == 1).alias("at_1"), share(F.col("rank") <= 3).alias("at_3"), F.round(F.avg("rank"), 6).alias("mean_rank"))
 
