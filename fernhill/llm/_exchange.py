@@ -27,8 +27,8 @@ BUCKET_KEYS = 3_000_000
 NO_ID = -(2**63)
 
 
-def chunk_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(chunk, data): all documents in compressed chunks, written once to the shared folder."""
+def chunk_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size_of: int = CHUNK) -> DataFrame:
+    """(chunk, data): all documents in compressed chunks of about ``size_of`` bytes, written once to the shared folder."""
 
     def run(batches):
         k, held, size = 0, ([], []), 0
@@ -40,9 +40,9 @@ def chunk_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             chunk = (TaskContext.get().partitionId() << 32) + k
             return pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([zstandard.compress(data, 3)], pa.binary())], ["chunk", "data"])
 
-        for part, texts in blocks(batches, max_bytes=CHUNK // 4):
+        for part, texts in blocks(batches, max_bytes=size_of // 4):
             new = sum(map(len, texts))
-            if size and size + new > CHUNK:
+            if size and size + new > size_of:
                 yield row()
                 k, held, size = k + 1, ([], []), 0
             held[0].extend(NO_ID if x is None else x for x in part.column(0).to_pylist())

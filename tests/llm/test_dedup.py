@@ -168,5 +168,5 @@ def test_segment_keys_lose_no_link():
         cut = int(rng.integers(0, edits + 1))
         b = np.concatenate((a[cut:], rng.integers(0, 2**63, edits - cut, dtype=np.uint64)))
         if len(b) and den * (len(a) - cut) >= num * (len(a) + edits - cut):
-            doc, keys = nd.segment_keys(np.repeat([0, 1], [len(a), len(b)]), np.concatenate((a, b)), np.array([len(a), len(b)]), num, den)
+            doc, keys, _, _ = nd.segment_keys(np.repeat([0, 1], [len(a), len(b)]), np.concatenate((a, b)), np.array([len(a), len(b)]), num, den)
             assert set(keys[doc == 0].tolist()) & set(keys[doc == 1].tolist())
