@@ -21,4 +21,8 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op10_line_dedup": line_dedup.ORACLE_SQL}
+    return {
+        "op5_substring_dedup": substring_dedup.ORACLE_SQL,
+        "op7_jaccard_join": near_duplicates.ORACLE_SQL,
+        "op10_line_dedup": line_dedup.ORACLE_SQL,
+    }

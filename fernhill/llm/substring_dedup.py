@@ -121,3 +121,16 @@ def drop_repeated_windows(docs: DataFrame, window: int = 35, id_col: str = "doc_
 def op5_substring_dedup(spark, sf_dir):
     out = drop_repeated_windows(documents(spark, sf_dir).select("doc_id", "text"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+ORACLE_SQL = r"""
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+p AS (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS pos FROM w),
+k AS (SELECT doc_id, pos, ws[pos] AS word, CASE WHEN pos + 34 <= len(ws) THEN md5(array_to_string(ws[pos : pos + 34], ' ')) END AS win FROM p),
+c AS (SELECT win FROM k WHERE win IS NOT NULL GROUP BY win HAVING count(*) >= 2),
+f AS (SELECT k.doc_id, k.pos, k.word, c.win IS NOT NULL AS hit FROM k LEFT JOIN c ON k.win = c.win),
+g AS (SELECT *, max(hit) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) AS gone FROM f),
+r AS (SELECT doc_id, count(*) FILTER (WHERE gone) AS n_removed, string_agg(word, ' ' ORDER BY pos) FILTER (WHERE NOT gone) AS kept FROM g GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN r USING (doc_id)
+"""
