@@ -58,13 +58,14 @@ def set_prints(docs: DataFrame, size: int) -> DataFrame:
 def _flat_keys(place: np.ndarray, owner: np.ndarray, names: np.ndarray, spare: np.ndarray, shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(owner, key) of each segment, and how many keys a set shares with any that it is linked with.
 
-    Empty segments have keys only for sets with more of them than ``spare``.
+    Empty segments have keys only for sets with more of them than ``spare``; such a set may share a
+    single key with a set that has none for them.
     """
     total = _add_up(place, mix(shingles + U(77)), len(owner))
     full = np.bincount(place, minlength=len(owner)) > 0
     empty = np.bincount(owner[~full], minlength=len(spare))
     keep = full | (empty > spare)[owner]
-    return owner[keep], mix(total + names)[keep], 1 + spare - np.where(empty > spare, 0, empty)
+    return owner[keep], mix(total + names)[keep], np.maximum(1 + spare - empty, 1)
 
 
 def _paired_keys(place: np.ndarray, owner: np.ndarray, names: np.ndarray, spare: np.ndarray, shingles: np.ndarray, least: int = 3) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -80,14 +81,15 @@ def _paired_keys(place: np.ndarray, owner: np.ndarray, names: np.ndarray, spare:
     poor = np.bincount(owner[(size < least).any(1)], minlength=len(spare))
     keys = np.stack([mix(total[:, i] + mix(total[:, j] + names + U(7 * i + j))) for i, j in pairs], 1)
     keep = (size >= least) | (poor > spare)[owner][:, None]
-    return np.repeat(owner, len(pairs))[keep.ravel()], keys[keep], 1 + spare - np.where(poor > spare, 0, poor)
+    return np.repeat(owner, len(pairs))[keep.ravel()], keys[keep], np.maximum(1 + spare - poor, 1)
 
 
 def segment_keys(doc: np.ndarray, shingles: np.ndarray, n: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(doc, key, side) and needs[doc, side]: two sets with Jaccard at least num/den share a key.
 
     They share as many keys of one side as either needs there, so that a set with fewer keys that
-    occur elsewhere than it needs on either side has no link.
+    occur elsewhere than it needs on either side has no link. A key's side is the parity of its pair
+    of bands, the same for both sets, and is its lowest bit.
 
     Sizes fall into bands, so that linked sets are in the same or adjacent bands. Each pair of
     adjacent bands divides the hash space into segments; linked sets differ in at most D shingles,
@@ -100,8 +102,9 @@ def segment_keys(doc: np.ndarray, shingles: np.ndarray, n: np.ndarray, num: int,
     step = 1.01 * np.log(den / num)
     band = np.floor(np.log(np.maximum(n, 1)) / step).astype(np.int64)
     docs, keys, sides, needs = [], [], [], np.ones((len(n), 2), np.int64)
-    for side in (0, 1):
-        family = band - side
+    for below in (0, 1):
+        family = band - below
+        side = family & 1
         largest = np.floor(np.exp((family + 2) * step)).astype(np.int64)
         differ = (den - num) * 2 * largest // (den + num)
         salt = mix(family.astype(np.uint64) + U(1 << 32))
@@ -118,9 +121,10 @@ def segment_keys(doc: np.ndarray, shingles: np.ndarray, n: np.ndarray, num: int,
             found = (_paired_keys if paired else _flat_keys)(place, owner, names, spare, s)
             docs.append(found[0])
             keys.append(found[1])
-            sides.append(np.full(len(found[0]), side))
-            needs[some, side] = found[2][some]
-    return np.concatenate(docs), np.concatenate(keys), np.concatenate(sides), needs
+            sides.append(side[found[0]])
+            needs[some, side[some]] = found[2][some]
+    doc, key, side = map(np.concatenate, (docs, keys, sides))
+    return doc, key & ~U(1) | side.astype(np.uint64), side, needs
 
 
 class _Forest:
@@ -254,7 +258,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5,
         doc, shingles = shingle_sets(texts, size)
         n = np.bincount(doc, minlength=len(texts))
         owner, keys, side, needs = segment_keys(doc, shingles, n, num, den)
-        return doc, shingles, n, owner, keys & ~U(1) | side.astype(np.uint64), side, needs
+        return doc, shingles, n, owner, keys, side, needs
 
     def asked(ids, texts):
         *_, owner, keys, _, _ = keys_of(texts)

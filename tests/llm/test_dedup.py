@@ -170,3 +170,32 @@ def test_segment_keys_lose_no_link():
         if len(b) and den * (len(a) - cut) >= num * (len(a) + edits - cut):
             doc, keys, _, _ = nd.segment_keys(np.repeat([0, 1], [len(a), len(b)]), np.concatenate((a, b)), np.array([len(a), len(b)]), num, den)
             assert set(keys[doc == 0].tolist()) & set(keys[doc == 1].tolist())
+
+
+def test_near_across_bands(docs):
+    """Pairs of a text and the same text with words added, whose sizes lie in adjacent bands."""
+    for num, den in ((85, 100), (4, 5)):
+        step = 1.01 * np.log(den / num)
+        rows = []
+        for n in range(4, 130):
+            more = min(n * (den - num) // num, 1 + n % 9)
+            if more and int(np.log(n) / step) != int(np.log(n + more) / step):
+                words = [f"d{n}w{k}" for k in range(n + more + 3)]
+                rows += [(2 * n, " ".join(words[: n + 3])), (2 * n + 1, " ".join(words))]
+        assert len(rows) > 40
+        got = nd.near_duplicates(docs(rows), size=4, num=num, den=den).collect()
+        want = near_brute(rows, 4, num, den)
+        assert all(i - i % 2 == least for i, (_, least) in want.items())
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
+
+
+def test_linked_sets_share_the_keys_they_need():
+    rng = np.random.default_rng(1)
+    for trial in range(6000):
+        num, den = [(85, 100), (4, 5)][trial % 2]
+        a = rng.integers(0, 2**63, int(np.exp(rng.uniform(0, 5))), dtype=np.uint64)
+        b = a[: len(a) - int(rng.integers(0, len(a) * (den - num) // den + 1))]
+        doc, keys, side, needs = nd.segment_keys(np.repeat([0, 1], [len(a), len(b)]), np.concatenate((a, b)), np.array([len(a), len(b)]), num, den)
+        assert (side == (keys & np.uint64(1)).astype(int)).all()
+        both = [len(set(keys[(doc == 0) & (side == s)].tolist()) & set(keys[(doc == 1) & (side == s)].tolist())) for s in (0, 1)]
+        assert any(both[s] >= needs[:, s].max() for s in (0, 1)), (len(a), len(b), both, needs)
