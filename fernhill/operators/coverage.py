@@ -14,25 +14,27 @@ def trait_pairs(traits: DataFrame) -> DataFrame:
     return traits.where(~F.lower("value").isin(*MISSING)).select("product_id", "image_id", "position", "visual_type", "field", "value").distinct()
 
 
-def coverage_trajectory(traits: DataFrame, least: int = 8, most: int = 12) -> DataFrame:
+def coverage_trajectory(traits: DataFrame, least: int = 8, most: int | None = 12) -> DataFrame:
     """Per product and position: new pairs, fields and values, and the covered share of the final set.
 
-    Products with at least ``least`` images count; pairs first seen within ``most`` positions.
+    Products with at least ``least`` images count. The final set is that of all images; rows are those
+    of the first ``most`` positions, or all.
     """
     images = traits.select("product_id", "visual_type", "position").distinct()
     big = images.groupBy("product_id").agg(F.count("*").alias("n_images")).where(F.col("n_images") >= least)
-    pairs = trait_pairs(traits).where(F.col("position") <= most)
+    pairs = trait_pairs(traits)
     first_pair = pairs.groupBy("product_id", "field", "value").agg(F.min("position").alias("position")).groupBy("product_id", "position").agg(F.count("*").alias("new_pairs"))
     first_field = pairs.groupBy("product_id", "field").agg(F.min("position").alias("position")).groupBy("product_id", "position").agg(F.count("*").alias("new_fields"))
-    grid = images.where(F.col("position") <= most).join(big.select("product_id"), "product_id")
+    grid = images.join(big.select("product_id"), "product_id")
     rows = grid.join(first_pair, ["product_id", "position"], "left").join(first_field, ["product_id", "position"], "left").fillna(0, ["new_pairs", "new_fields"])
     w = W.partitionBy("product_id")
     run = w.orderBy("position").rowsBetween(W.unboundedPreceding, 0)
     total = F.sum("new_pairs").over(w)
-    return rows.select(
+    path = rows.select(
         "product_id", "visual_type", "position", "new_pairs", "new_fields", (F.col("new_pairs") - F.col("new_fields")).alias("new_values"), F.sum("new_pairs").over(run).alias("cumulative"),
         F.when(total > 0, F.round(F.sum("new_pairs").over(run) / total, 6)).otherwise(0.0).alias("coverage"),
     )
+    return path if most is None else path.where(F.col("position") <= most)
 
 
 def marginal_curve(trajectory: DataFrame) -> DataFrame:
@@ -60,7 +62,10 @@ def threshold_crossing(trajectory: DataFrame, share: float = 0.9) -> DataFrame:
 
 
 def cap_scorecard(trajectory: DataFrame, caps: Sequence[int] = (4, 6, 8, 10, 12), image_cost: float = 0.009532) -> DataFrame:
-    """Per cap: mean coverage at the cap, shares of products at 0.9 and 0.95, cost and savings."""
+    """Per cap: mean coverage at the cap, shares of products at 0.9 and 0.95, cost and savings.
+
+    Savings are against all images, so that the trajectory must have all positions.
+    """
     caps_df = trajectory.sparkSession.createDataFrame([(c,) for c in caps], "cap long")
     per = trajectory.crossJoin(F.broadcast(caps_df)).groupBy("cap", "product_id").agg(F.max(F.when(F.col("position") <= F.col("cap"), F.col("coverage"))).alias("c"), F.count("*").alias("n"))
     kept = F.least(F.col("n"), F.col("cap"))
@@ -99,22 +104,24 @@ def resolution_gate(images: DataFrame, least: int = 591, most: int = 5) -> DataF
 
 
 def oracle_order(traits: DataFrame, most: int = 12) -> DataFrame:
-    """Greedy order per product by most new pairs (ties: earliest); groups hold one product's images.
+    """The first ``most`` images in greedy order per product, by most new pairs (ties: earliest) among all images.
 
-    The choice depends on all before it, so that a product is one group of a grouped map.
+    The choice depends on all before it, so that a product is one group of a grouped map. Images
+    without pairs come last.
     """
     import pandas as pd
 
     def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-        left = {int(p): set(zip(g.field, g.value)) for p, g in pdf.groupby("position")}
+        left = {int(p): {x for x in zip(g.field, g.value) if pd.notna(x[1])} for p, g in pdf.groupby("position")}
         seen: set = set()
         out = []
-        while left:
+        while left and len(out) < most:
             best = min(left, key=lambda p: (-len(left[p] - seen), p))
             new = left.pop(best) - seen
             seen |= new
             out.append((int(pdf.product_id.iloc[0]), best, len(out) + 1, len(new), len(seen)))
         return pd.DataFrame(out, columns=["product_id", "position", "step", "new_pairs", "cumulative"])
 
-    pairs = trait_pairs(traits).where(F.col("position") <= most).select("product_id", "position", "field", "value")
+    valid = ~F.lower("value").isin(*MISSING)
+    pairs = traits.select("product_id", "position", F.when(valid, F.col("field")).alias("field"), F.when(valid, F.col("value")).alias("value")).distinct()
     return pairs.groupBy("product_id").applyInPandas(greedy, "product_id long, position long, step long, new_pairs long, cumulative long")

@@ -150,7 +150,7 @@ def crossing(traits):
 SELECT cap, round(avg(c), 6) AS mean_coverage, round(avg((c >= 0.9)::INT), 6) AS share_90, round(avg((c >= 0.95)::INT), 6) AS share_95,
   round((sum(least(n, cap)) * 0.009532::DOUBLE)::DOUBLE, 4) AS cost, round((sum(n - least(n, cap)) * 0.009532::DOUBLE)::DOUBLE, 4) AS savings FROM p GROUP BY 1""", "fx_traits")
 def scorecard(traits):
-    return K.cap_scorecard(K.coverage_trajectory(traits))
+    return K.cap_scorecard(K.coverage_trajectory(traits, most=None))
 
 
 _POLICY = [("flat_8", t, 8) for t in ("stool", "bench", "guest_chair")] + [("tight", "stool", 4), ("tight", "bench", 5)]

@@ -91,6 +91,18 @@ def test_greedy_order_is_never_behind(spark):
     assert [(r.position, r.new_pairs) for r in K.oracle_order(rows).orderBy("step").collect()] == [(3, 3), (1, 2), (2, 0)]
 
 
+def test_coverage_counts_all_images_and_shows_twelve(spark):
+    more = [(1, p, p, "t", f"f{p}", "x") for p in range(1, 16)] + [(1, 16, 16, "t", f"g{k}", "x") for k in range(5)] + [(1, 17, 17, "t", "h", "unknown")]
+    rows = spark.createDataFrame(more, "product_id long, image_id long, position long, visual_type string, field string, value string")
+    path = K.coverage_trajectory(rows)
+    assert [(r.position, r.cumulative, r.coverage) for r in path.orderBy("position").collect()] == [(p, p, round(p / 20, 6)) for p in range(1, 13)]
+    assert [(r.products, r.median_at, r.never) for r in K.threshold_crossing(path).collect()] == [(1, None, 1.0)]
+    card = K.cap_scorecard(K.coverage_trajectory(rows, most=None), image_cost=1.0).collect()
+    assert {r.cap: (r.mean_coverage, r.savings) for r in card} == {c: (round(c / 20, 6), 17 - c) for c in (4, 6, 8, 10, 12)}
+    assert [(r.position, r.step, r.new_pairs) for r in K.oracle_order(rows).orderBy("step").collect()] == [(16, 1, 5), *((p, p + 1, 1) for p in range(1, 12))]
+    assert [r.position for r in K.oracle_order(rows, 99).orderBy("step").collect()][-1] == 17
+
+
 def test_replace_and_rerun(spark):
     old = spark.createDataFrame([(1, 10), (2, 20)], "product_id long, image_id long")
     new = spark.createDataFrame([(1, 11)], "product_id long, image_id long")
