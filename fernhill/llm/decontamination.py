@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -10,19 +13,29 @@ from fernhill.llm._shared import documents, materialise
 from fernhill.llm._words import Block, U, blocks, mix, powers
 from fernhill.llm.toxicity import _BREAKS, _LOWER
 
-#: Words at 0 are ignored, so that a seed matches across substitutions there.
-MASKS = ("11011011011", "11100110111", "1111111")
+#: Words at 0 are ignored, so that a seed matches across substitutions there. Every stretch
+#: of 13 words or more of which a fifth at most are substituted has a seed that none of them touches.
+MASKS = ("111101011", "11001100111", "1100000110111", "110110000111", "1101010001011", "11111001001", "111100101001")
+#: Items of fewer words match as a whole; they have masks of their own length.
+LONG = 13
 #: Bits of the map that keeps most training windows from being shuffled: 2 MB, whatever the benchmark.
 MAP_BITS = 24
 #: Up to so many documents with hits are broadcast (ids and short lists); beyond, they are joined by shuffle.
 BROADCAST_DOCS = 100_000
 
 
-def seeds(b: Block) -> tuple[np.ndarray, np.ndarray]:
-    """First words and hashes of all seeds: under each mask in turn."""
+def short_masks(n: int) -> list[str]:
+    """Masks of ``n`` < LONG words, one of which no fifth of the words touches."""
+    lost = n // 5
+    part = [i * (lost + 2) // n for i in range(n)] if lost else [0] * n
+    return ["".join("01"[p not in gone] for p in part) for gone in combinations(range(lost + 2), lost)]
+
+
+def seeds(b: Block, lengths: Iterable[int] = ()) -> tuple[np.ndarray, np.ndarray]:
+    """First words and hashes of all seeds: under each mask in turn, then under those of short items' lengths."""
     words = b.words()
     firsts, keys = [], []
-    for k, mask in enumerate(MASKS):
+    for k, mask in [*enumerate(MASKS), *((100 * n + j, mask) for n in lengths for j, mask in enumerate(short_masks(n)))]:
         span = len(mask)
         if len(words) < span:
             continue
@@ -41,16 +54,19 @@ def _slots(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def benchmark_seeds(items: DataFrame) -> DataFrame:
-    """(key, item_id, item_at) of all seeds of the items."""
+    """(key, item_id, item_at, short) of all seeds of the items; short: words of an item under LONG, else 0."""
 
     def run(batches):
         for part, texts in blocks(batches):
-            b = Block(texts, _LOWER, _BREAKS)
-            first, keys = seeds(b)
-            ids = np.array(part.column(0).to_pylist(), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(ids[b.doc[first]]), pa.array(first - b.first_word()[b.doc[first]])], ["key", "item_id", "item_at"])
+            n = np.diff(Block(texts, _LOWER, _BREAKS).first_word())
+            for short in np.unique(np.where(n < LONG, n, 0)[n > 0]).tolist():
+                some = np.flatnonzero(n == short if short else n >= LONG)
+                b = Block([texts[i] for i in some], _LOWER, _BREAKS)
+                first, keys = seeds(b, [short] if short else [])
+                ids = np.array(part.column(0).to_pylist(), np.int64)[some]
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(ids[b.doc[first]]), pa.array(first - b.first_word()[b.doc[first]]), pa.array(np.full(len(first), short))], ["key", "item_id", "item_at", "short"])
 
-    return items.mapInArrow(run, "key long, item_id long, item_at long")
+    return items.mapInArrow(run, "key long, item_id long, item_at long, short long")
 
 
 def seed_map(found: DataFrame) -> np.ndarray:
@@ -72,20 +88,22 @@ def seed_map(found: DataFrame) -> np.ndarray:
     return np.frombuffer(rows[0].bits, np.uint8) if rows else np.zeros(2**MAP_BITS // 8, np.uint8)
 
 
-def best_overlap(doc: np.ndarray, item: np.ndarray, shift: int, share: float) -> tuple[int, int, int]:
+def best_overlap(doc: np.ndarray, item: np.ndarray, shift: int, share: float, least: int) -> tuple[int, int, int]:
     """(words, matched, first doc word) of the best stretch of an item laid on a text at ``shift``.
 
-    The best stretch has the largest sum of matches weighed against mismatches, so that it holds at
-    least ``share`` matches.
+    The best of the stretches of ``least`` words or more has the largest sum of matches weighed against
+    mismatches; it is none if that is negative, so that it holds at least ``share`` matches.
     """
     a, z = max(0, -shift), min(len(item), len(doc) - shift)
-    if z <= a:
+    if z - a < least:
         return 0, 0, 0
     same = item[a:z] == doc[a + shift : z + shift]
     total = np.concatenate(([0.0], np.cumsum(np.where(same, 1 - share, -share) + 1e-9)))
-    low = np.minimum.accumulate(total)
-    end = int((total - low).argmax())
-    start = int(total[: end + 1].argmin())
+    gain = total[least:] - np.minimum.accumulate(total[: len(total) - least])
+    if gain.max() < 0:
+        return 0, 0, 0
+    end = int(gain.argmax()) + least
+    start = int(total[: end - least + 1].argmin())
     return end - start, int(same[start:end].sum()), a + shift + start
 
 
@@ -94,20 +112,21 @@ def find_leaks(docs: DataFrame, items: DataFrame, min_words: int = 13, share: fl
 
     Words are runs of letters and digits with A-Z lowered. Every window of every whole text is hashed
     under each mask and joined with the items' hashes; around a hit the item is laid on the text,
-    and it counts as a leak if the best stretch has ``min_words`` words or more (the whole item, if it
-    is shorter) of which at least ``share`` are equal. Items with fewer words than the shortest mask
-    (7) have no seeds and are not searched. Rows repeat for repeated documents (``text_key`` is
+    and it counts as a leak if a stretch has ``min_words`` words or more (the whole item, if it is
+    shorter) of which at least ``share`` are equal. The masks hit all of these for 13 words or more
+    and a share of 0.8 or more. Items without words are not searched. Rows repeat for repeated documents (``text_key`` is
     xxhash64 of the text); null texts, null ids of items and empty tables give none.
     """
     items = items.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), "text")
     wanted = materialise(benchmark_seeds(items), "seeds")
     bits = seed_map(wanted)
+    lengths = sorted(r.short for r in wanted.where("short > 0").select("short").distinct().collect())
 
     def probes(batches):
         there = np.unpackbits(bits).view(bool)
         for part, texts in blocks(batches):
             b = Block(texts, _LOWER, _BREAKS)
-            first, keys = seeds(b)
+            first, keys = seeds(b, lengths)
             one, two = _slots(keys)
             some = there[one] & there[two]
             first, keys, doc = first[some], keys[some], b.doc[first[some]]
@@ -129,8 +148,9 @@ def find_leaks(docs: DataFrame, items: DataFrame, min_words: int = 13, share: fl
             out = []
             for i, shifts in enumerate(part.column(5).to_pylist()):
                 text, item = words[at[i] : at[i + 1]], item_words[item_at[i] : item_at[i + 1]]
-                n, matched, first = max((best_overlap(text, item, s, share) for s in sorted(shifts)), key=lambda x: x[:2])
-                if n >= min(min_words, len(item)) and matched >= share * n:
+                least = max(1, min(min_words, len(item)))
+                n, matched, first = max((best_overlap(text, item, s, share, least) for s in sorted(shifts)), key=lambda x: x[:2])
+                if n:
                     out.append((i, n, matched, first))
             take = pa.array([x[0] for x in out], pa.int64())
             yield pa.RecordBatch.from_arrays([*(part.column(k).take(take) for k in range(3)), *(pa.array([x[k] for x in out], pa.int64()) for k in (1, 2, 3))], ["doc_id", "text_key", "item_id", "overlap_words", "matched_words", "first_word"])

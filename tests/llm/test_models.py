@@ -2,6 +2,7 @@
 
 import re
 from collections import Counter
+from itertools import combinations
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -82,6 +83,32 @@ def test_decontamination(docs):
     assert dc.find_leaks(docs([]), items).count() == 0 and dc.find_leaks(docs(rows), items.limit(0)).count() == 0
 
 
+def test_masks_miss_no_fifth():
+    spans = lambda mask: {k for k, x in enumerate(mask) if x == "1"}
+    for n in (13, 15, 20, 25):  # any longer stretch holds one of these with as few substitutions
+        places = [frozenset(k + o for k in spans(mask)) for mask in dc.MASKS for o in range(n - len(mask) + 1)]
+        assert all(any(p.isdisjoint(gone) for p in places) for gone in combinations(range(n), n // 5))
+    for n in range(1, dc.LONG):
+        assert all(any(spans(mask) and spans(mask).isdisjoint(gone) for mask in dc.short_masks(n)) for gone in combinations(range(n), n // 5))
+
+
+def test_decontamination_with_a_fifth_substituted(docs):
+    rows, items, want = [], [], {}
+    for n in (*range(1, 14), 15, 20, 40):
+        item = [f"n{n}w{k}" for k in range(n)]
+        items.append((n, " ".join(item)))
+        some = list(combinations(range(n), n // 5))[: 100 if n < 14 else 40]
+        for gone in [*some, tuple(range(4, n, 5))]:
+            rows.append((len(rows), " ".join(["a", "b", *("x" if k in gone else w for k, w in enumerate(item)), "c"])))
+            want[rows[-1][0]] = n
+        if n > 4:
+            rows.append((len(rows), " ".join("x" if k <= n // 5 else w for k, w in enumerate(item[:13]))))  # one too many
+    got = dc.find_leaks(docs(rows), docs(items, "item_id long, text string")).collect()
+    assert {r.doc_id: r.item_id for r in got if r.doc_id in want} == want
+    assert all(r.matched_words >= 0.8 * r.overlap_words and r.overlap_words >= min(13, r.item_id) for r in got)
+    assert not {r.doc_id for r in got if r.item_id < 14} - set(want)
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline as cp
 
