@@ -89,7 +89,7 @@ def _block_topk(images: DataFrame, queries: DataFrame, k: int, id_col: str, vec_
     return rows.mapInArrow(run, f"query_id {queries.schema['query_id'].dataType.simpleString()}, {id_col} {images.schema[id_col].dataType.simpleString()}, similarity double")
 
 
-def ann_topk(images: DataFrame, queries: DataFrame, k: int, tables: int = 12, bits: int = 6, dims: int = 64, seed: int = 5) -> DataFrame:
+def ann_topk(images: DataFrame, queries: DataFrame, k: int, tables: int = 20, bits: int = 4, dims: int = 64, seed: int = 5) -> DataFrame:
     """Approximate top-k: random-hyperplane buckets give candidates, which are rescored exactly."""
     rng = np.random.default_rng(seed)
     planes = rng.normal(size=(tables, bits, dims)).round(6).tolist()

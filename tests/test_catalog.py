@@ -78,6 +78,14 @@ def test_top_k_does_not_depend_on_blocks_or_partitions(spark, monkeypatch):
     assert found.count() > 0
 
 
+def test_approximate_top_k_finds_nine_of_ten(spark):
+    for sf in ("sf0.001", "sf0.01"):
+        emb = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet")
+        images, queries = emb.select(F.col("vec_id").alias("image_id"), "embedding"), emb.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+        want = R.vector_topk(images, queries, 10).select("query_id", "image_id")
+        assert want.join(R.ann_topk(images, queries, 10), ["query_id", "image_id"]).count() >= 0.9 * want.count()
+
+
 def test_ambiguous_names_are_rejected(spark):
     rows = lambda *r: spark.createDataFrame(r, "source_product_id string, product_name string, brand string")
     matches, rejects = E.match_products(rows(("product_x", "Chair", "B"), ("product_y", "Desk", "B"), ("product_1", "Sofa", "B")), rows(("other_a", "chair ", "b"), ("other_b", "Chair", "B"), ("other_c", "desk", "b"), ("product_dp_1", "Z", "Z"), ("old_1", "Z", "Z")))
