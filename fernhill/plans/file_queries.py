@@ -59,11 +59,12 @@ def read_id_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def read_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "snapshot")
-    p = view(spark, sf_dir, "fx_products").where("product_id <= 200")
+    p = view(spark, sf_dir, "fx_products")
     ids = F.when(F.col("product_id") % 2 == 0, F.concat(F.lit("product_dp_"), F.col("product_id"))).otherwise(F.concat(F.lit("product_0123456789ab_"), F.col("product_id") - F.col("product_id") % 4))
-    doc = p.select(ids.alias("product_id"), "product_name").agg(F.collect_list(F.struct("product_id", "product_name")).alias("products"), F.collect_list(F.struct(F.col("product_id").alias("image_id"), "product_id")).alias("images"))
-    doc.coalesce(1).write.json(path)
-    return S.read_index_snapshot(spark, path)[0].select("product_id", "product_name")
+    group = F.floor(F.col("product_id") / 500).alias("grp")
+    doc = p.select(group, ids.alias("product_id"), "product_name").groupBy("grp").agg(F.collect_list(F.struct("product_id", "product_name")).alias("products"), F.collect_list(F.struct(F.col("product_id").alias("image_id"), "product_id")).alias("images"))
+    doc.drop("grp").write.json(path)
+    return S.read_index_snapshot(spark, path, lines=True)[0].select("product_id", "product_name")
 
 
 def write_report(spark: SparkSession, sf_dir: str) -> DataFrame:

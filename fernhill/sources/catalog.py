@@ -149,12 +149,12 @@ def audit_run(runs: DataFrame, job: str, rows: int, at) -> DataFrame:
     return runs.unionByName(runs.sparkSession.createDataFrame([(job, rows, at)], "job string, n_rows long, run_at timestamp"))
 
 
-def read_index_snapshot(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Staging products and images of a JSON snapshot.
+def read_index_snapshot(spark: SparkSession, path: str, lines: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Staging products and images of a JSON snapshot: one object a file, or with ``lines`` one a line.
 
     A product summary with a hashed id is left out when a product_dp_ row has the same trailing digits.
     """
-    doc = spark.read.json(path, multiLine=True)
+    doc = spark.read.json(path, multiLine=not lines)
     products = doc.select(F.explode_outer("products").alias("p")).select("p.*").where("product_id IS NOT NULL")
     images = doc.select(F.explode_outer("images").alias("i")).select("i.*").where("image_id IS NOT NULL")
     tail = lambda c: F.nullif(F.regexp_extract(c, r"(\d+)$", 1), F.lit(""))

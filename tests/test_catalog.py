@@ -6,7 +6,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from fernhill.fixtures import TABLES
+from fernhill.fixtures import TABLES, view
 from fernhill.functions import text as T, vectors as V
 from fernhill.operators import coverage as K, resolution as E, retrieval as R
 from fernhill.plans.catalog_queries import ORACLES, QUERIES
@@ -86,6 +86,15 @@ def test_approximate_top_k_finds_nine_of_ten(spark):
         assert want.join(R.ann_topk(images, queries, 10), ["query_id", "image_id"]).count() >= 0.9 * want.count()
 
 
+def test_snapshot_has_all_products(spark):
+    sf = "/root/testdata/sf0.01"
+    ids = [r.product_id for r in view(spark, sf, "fx_products").select("product_id").collect()]
+    assert max(ids) > 200
+    dp = {str(i) for i in ids if i % 2 == 0}
+    want = [f"product_dp_{i}" if i % 2 == 0 else f"product_0123456789ab_{i - i % 4}" for i in ids if i % 2 == 0 or str(i - i % 4) not in dp]
+    assert sorted(r.product_id for r in QUERIES["s11_stage_index_snapshot"](spark, sf).collect()) == sorted(want)
+
+
 def test_ambiguous_names_are_rejected(spark):
     rows = lambda *r: spark.createDataFrame(r, "source_product_id string, product_name string, brand string")
     matches, rejects = E.match_products(rows(("product_x", "Chair", "B"), ("product_y", "Desk", "B"), ("product_1", "Sofa", "B")), rows(("other_a", "chair ", "b"), ("other_b", "Chair", "B"), ("other_c", "desk", "b"), ("product_dp_1", "Z", "Z"), ("old_1", "Z", "Z")))
