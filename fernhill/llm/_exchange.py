@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from fernhill.llm._shared import materialise
-from fernhill.llm._words import U, blocks
+from fernhill.llm._words import U, blocks, heads, order_of
 
 #: Bytes of text in a chunk; a longer document is a chunk of its own.
 CHUNK = 4_000_000
@@ -68,49 +68,59 @@ def buckets_for(chunks: DataFrame, keys_per_chunk: int) -> int:
 
 
 class Distinct:
-    """Distinct keys of a chunk by bucket: ``keys`` in bucket order, ``place`` of each given key."""
+    """Distinct keys of a chunk in order, which is also the order of their buckets; keys must be spread evenly."""
 
     def __init__(self, keys: np.ndarray, n_buckets: int):
-        order = np.argsort(keys, kind="stable")
-        ordered = keys[order]
-        self.order, self.starts = order, np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1]))) if len(keys) else np.zeros(0, np.int64)
-        found = ordered[self.starts]
-        bucket = ((found >> U(40)) % U(n_buckets)).astype(np.int64)
-        self.by_bucket = np.argsort(bucket, kind="stable")
-        self.keys = found[self.by_bucket]
-        self.cuts = np.searchsorted(bucket[self.by_bucket], np.arange(n_buckets + 1))
-        back = np.empty(len(found), np.int64)
-        back[self.by_bucket] = np.arange(len(found))
-        self.place = np.empty(len(keys), np.int64)
-        self.place[order] = np.repeat(back, np.diff(np.append(self.starts, len(keys))))
+        self.order = order_of(keys)
+        ordered = keys[self.order]
+        self.starts = heads(ordered)
+        self.keys = ordered[self.starts]
+        self.sizes = np.diff(np.append(self.starts, len(keys)))
+        bucket = (self.keys >> U(32)) * U(n_buckets) >> U(32)
+        self.cuts = np.searchsorted(bucket, np.arange(n_buckets + 1, dtype=np.uint64))
 
     def reduce(self, ufunc: np.ufunc, values: np.ndarray) -> np.ndarray:
         """The ufunc over the values of each distinct key."""
-        return ufunc.reduceat(values[self.order], self.starts)[self.by_bucket] if len(self.starts) else values[:0]
+        return ufunc.reduceat(values[self.order], self.starts) if len(self.starts) else values[:0]
+
+    def spread(self, values: np.ndarray) -> np.ndarray:
+        """The distinct keys' values for each key that was given."""
+        out = np.empty(len(self.order), values.dtype)
+        out[self.order] = np.repeat(values, self.sizes)
+        return out
 
 
 def send(chunks: DataFrame, keys_of: Callable, n_buckets: int, wide: bool) -> DataFrame:
     """(bucket, chunk, keys, twice, mark): what ``keys_of(ids, texts)`` finds in each chunk.
 
-    It returns keys, the owner of each (two owners make a key repeated within the chunk) and a mark
-    of each. Keys go as 32 bits unless ``wide``: a false match then only costs a later exact look.
+    It returns keys, the owner of each (two owners make a key repeated within the chunk; None: each
+    key has its own) and a mark of each (None: all). Keys go as 32 bits unless ``wide``: a false match
+    then only costs a later exact look.
     """
 
     def run(batches):
         for batch in batches:
             for chunk, data in zip(batch.column(0).to_pylist(), batch.column(1)):
                 keys, owner, mark = keys_of(*open_chunk(data.as_py()))
-                d = Distinct(keys, n_buckets)
-                twice = d.reduce(np.maximum, owner) != d.reduce(np.minimum, owner)
-                marked = d.reduce(np.logical_or, mark)
-                full = [b for b in range(n_buckets) if d.cuts[b] < d.cuts[b + 1]]
-                part = lambda x: [x[d.cuts[b] : d.cuts[b + 1]] for b in full]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(full, pa.int32()), pa.array([chunk] * len(full), pa.int64()), pa.array([k.astype("<u8" if wide else "<u4").tobytes() for k in part(d.keys)], pa.binary()), *(pa.array([np.packbits(x).tobytes() for x in part(y)], pa.binary()) for y in (twice, marked))],
-                    ["bucket", "chunk", "keys", "twice", "mark"],
-                )
+                yield sent_rows(chunk, keys, owner, mark, n_buckets, wide)
+
+    return chunks.mapInArrow(run, SENT)
+
+
+SENT = "bucket int, chunk long, keys binary, twice binary, mark binary"
+
 
-    return chunks.mapInArrow(run, "bucket int, chunk long, keys binary, twice binary, mark binary")
+def sent_rows(chunk: int, keys: np.ndarray, owner: np.ndarray | None, mark: np.ndarray | None, n_buckets: int, wide: bool) -> pa.RecordBatch:
+    """The distinct keys of a chunk, a row for each bucket."""
+    d = Distinct(keys, n_buckets)
+    twice = d.sizes > 1 if owner is None else d.reduce(np.maximum, owner) != d.reduce(np.minimum, owner)
+    marked = np.ones(len(d.keys), bool) if mark is None else d.reduce(np.logical_or, mark)
+    full = np.flatnonzero(np.diff(d.cuts)).tolist()
+    part = lambda x: [x[d.cuts[b] : d.cuts[b + 1]] for b in full]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(full, pa.int32()), pa.array([chunk] * len(full), pa.int64()), pa.array([k.astype("<u8" if wide else "<u4").tobytes() for k in part(d.keys)], pa.binary()), *(pa.array([np.packbits(x).tobytes() for x in part(y)], pa.binary()) for y in (twice, marked))],
+        ["bucket", "chunk", "keys", "twice", "mark"],
+    )
 
 
 def found_elsewhere(sent: DataFrame, wide: bool) -> DataFrame:
@@ -122,9 +132,14 @@ def found_elsewhere(sent: DataFrame, wide: bool) -> DataFrame:
         sizes = [len(x) for x in rows]
         bits = [np.concatenate([np.unpackbits(np.frombuffer(x.as_py(), np.uint8), count=n) for x, n in zip(table.column(c), sizes)]).astype(bool) for c in ("twice", "mark")]
         keys = np.concatenate(rows)
-        order = np.argsort(keys, kind="stable")
-        ordered = keys[order]
-        starts = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
+        if wide:
+            order = order_of(keys)
+            ordered = keys[order]
+        else:
+            packed = keys.astype(np.uint64) << U(32) | np.arange(len(keys), dtype=np.uint64)
+            packed.sort()
+            ordered, order = packed >> U(32), (packed & U(2**32 - 1)).astype(np.int64)
+        starts = heads(ordered)
         count = np.diff(np.append(starts, len(keys)))
         hit = ((count > 1) | np.logical_or.reduceat(bits[0][order], starts)) & np.logical_or.reduceat(bits[1][order], starts)
         out = np.empty(len(keys), bool)
@@ -147,4 +162,4 @@ def bits_of(d: Distinct, answers: list[dict] | None) -> np.ndarray:
     for x in answers or []:
         a, b = d.cuts[x["bucket"]], d.cuts[x["bucket"] + 1]
         out[a:b] = np.unpackbits(np.frombuffer(x["bits"], np.uint8), count=b - a)
-    return out[d.place]
+    return d.spread(out)

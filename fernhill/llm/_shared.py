@@ -11,6 +11,16 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 WORD_SPACE = " \t\n\x0b\x0c\r"
 
 
+#: Bytes of rows in one Arrow batch: what a task holds at once on both sides of a Python function.
+BATCH = "8m"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Let Arrow batches be of ``BATCH`` bytes in this session, unless it sets their size itself."""
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) in (None, "64m", "64MB", str(64 << 20), f"{64 << 20}b"):
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh path below the folder that the cluster shares.
 
@@ -34,6 +44,7 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
 
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from fernhill.llm._shared import documents, materialise
-from fernhill.llm._words import Block, U, blocks, mix, powers
+from fernhill.llm._words import Block, U, blocks, mix
 from fernhill.llm.toxicity import _BREAKS, _LOWER
 
 #: Words at 0 are ignored, so that a seed matches across substitutions there. Every stretch
@@ -24,6 +24,10 @@ MAP_BITS = 24
 BROADCAST_DOCS = 100_000
 
 
+#: A random odd factor for each place of a mask.
+_ODD = np.random.default_rng(9).integers(1, 2**63, 32, np.uint64) * U(2) + U(1)
+
+
 def short_masks(n: int) -> list[str]:
     """Masks of ``n`` < LONG words, one of which no fifth of the words touches."""
     lost = n // 5
@@ -43,7 +47,7 @@ def seeds(b: Block, lengths: Iterable[int] = ()) -> tuple[np.ndarray, np.ndarray
         total = np.zeros(len(first), np.uint64)
         for place, x in enumerate(mask):
             if x == "1":
-                total += words[first + place] * powers("word", span)[place]
+                total += words[first + place] * _ODD[place]
         firsts.append(first)
         keys.append(mix(total + U(k)))
     return (np.concatenate(firsts), np.concatenate(keys)) if firsts else (np.zeros(0, np.int64), np.zeros(0, np.uint64))

@@ -4,17 +4,17 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from fernhill.llm import _exchange as ex
 from fernhill.llm._components import components
 from fernhill.llm._shared import documents, materialise
-from fernhill.llm._words import Block, U, blocks, mix, prefix, ranges, windows, with_doc
+from fernhill.llm._words import Block, U, blocks, heads, join, mix, order_of, windows, with_doc
 
 #: Bits of a set's signature, and children of a tree node.
 SIGNATURE, FAN = 4096, 8
-#: Sets that one task joins with each other.
-MEMBERS = 2048
+#: Sets of a block, and bytes of their shingles, about; a task joins one block or two.
+MEMBERS, MEMBER_BYTES = 128, 8_000_000
 #: Bytes of text in a chunk; its keys take some fifty times as much memory.
 CHUNK = 1_500_000
 
@@ -27,11 +27,17 @@ def shingle_sets(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]
     words, bounds = b.words(), b.first_word()
     first, keys = windows(words, b.doc, size)
     doc = b.doc[first]
-    short = np.flatnonzero((np.diff(bounds) > 0) & (np.diff(bounds) < size))
+    count = np.diff(bounds)
+    short = np.flatnonzero((count > 0) & (count < size))
     if len(short):
-        whole = ranges(prefix(words, "word"), bounds[short], bounds[short + 1], "word")
-        doc, keys = np.concatenate((doc, short)), np.concatenate((keys, whole))
-    _, keep = np.unique(with_doc(keys, doc), return_index=True)
+        whole = words[bounds[short]]
+        for k in range(1, size - 1):
+            more = np.flatnonzero(count[short] > k)
+            whole[more] = join(whole[more], words[bounds[short[more]] + k])
+        doc, keys = np.concatenate((doc, short)), np.concatenate((keys, mix(whole + count[short].astype(np.uint64))))
+    own = with_doc(keys, doc)
+    order = order_of(own)
+    keep = np.sort(order[heads(own[order])])
     keep = keep[np.argsort(doc[keep], kind="stable")]
     return doc[keep], keys[keep]
 
@@ -84,6 +90,15 @@ def _paired_keys(place: np.ndarray, owner: np.ndarray, names: np.ndarray, spare:
     return np.repeat(owner, len(pairs))[keep.ravel()], keys[keep], np.maximum(1 + spare - poor, 1)
 
 
+def band_step(num: int, den: int) -> float:
+    return float(1.01 * np.log(den / num))
+
+
+def bands(n: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Size bands so wide that linked sets are in the same or adjacent ones."""
+    return np.floor(np.log(np.maximum(n, 1)) / band_step(num, den)).astype(np.int64)
+
+
 def segment_keys(doc: np.ndarray, shingles: np.ndarray, n: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(doc, key, side) and needs[doc, side]: two sets with Jaccard at least num/den share a key.
 
@@ -99,8 +114,7 @@ def segment_keys(doc: np.ndarray, shingles: np.ndarray, n: np.ndarray, num: int,
     are equal, and a key for each two parts finds them. There are more such segments than a set has
     with keys of fewer than three shingles, so that these need no keys (or it has them too).
     """
-    step = 1.01 * np.log(den / num)
-    band = np.floor(np.log(np.maximum(n, 1)) / step).astype(np.int64)
+    step, band = band_step(num, den), bands(n, num, den)
     docs, keys, sides, needs = [], [], [], np.ones((len(n), 2), np.int64)
     for below in (0, 1):
         family = band - below
@@ -238,11 +252,16 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5,
 
     Words are split at ASCII white space with A-Z lowered; a text of fewer words than ``size`` is one
     shingle, one without words links with nothing. Documents with the same set are represented by the
-    smallest id. Representatives meet through ``segment_keys``, which lose no link; documents that
-    share a key form candidate groups, and each group is joined by ``signature_join`` in blocks of
-    about ``MEMBERS`` sets. A group of several blocks is first joined within them and by its components'
-    smallest members; after that, keys that still join two components across blocks send a document
-    to the pairs of blocks where it meets as many of its keys as a link needs.
+    smallest id. Representatives meet through ``segment_keys``, which lose no link. Linked sets share
+    as many keys as each needs, so that they also share one of each one's rarest: a set keeps all its
+    keys but the ``need - 1`` most frequent. Documents that share such a key form candidate groups.
+
+    Each group is joined by ``signature_join`` in blocks of about ``MEMBERS`` sets and ``MEMBER_BYTES``
+    bytes; a group of several blocks has blocks of one size band each. It is joined first within blocks
+    and by its components' smallest members, again until these no longer become fewer. After that,
+    keys that still join two components across blocks send documents to the pairs of blocks where they
+    meet; a key's largest component only goes where another is.
+
     Rows that repeat an id are one document if their sets are equal; a null id is its own component.
     Memory is bounded by block, and no step writes all pairs of a group.
     """
@@ -257,19 +276,18 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5,
     def keys_of(texts):
         doc, shingles = shingle_sets(texts, size)
         n = np.bincount(doc, minlength=len(texts))
-        owner, keys, side, needs = segment_keys(doc, shingles, n, num, den)
-        return doc, shingles, n, owner, keys, side, needs
+        return doc, shingles, n, *segment_keys(doc, shingles, n, num, den)
 
     def asked(ids, texts):
         *_, owner, keys, _, _ = keys_of(texts)
-        return keys, owner, np.ones(len(keys), bool)
+        return keys, owner, None
 
     def candidates(batches):
         for batch in batches:
-            for data, answers in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids, texts = ex.open_chunk(data)
+            for data, answers in zip(batch.column(0), batch.column(1)):
+                ids, texts = ex.open_chunk(data.as_py())
                 doc, shingles, n, owner, keys, side, needs = keys_of(texts)
-                shared = ex.bits_of(ex.Distinct(keys, n_buckets), answers)
+                shared = ex.bits_of(ex.Distinct(keys, n_buckets), answers.as_py())
                 count = np.bincount(owner[shared] * 2 + side[shared], minlength=2 * len(n)).reshape(-1, 2)
                 shared &= (count >= needs)[owner, side]
                 owner, keys = owner[shared], keys[shared]
@@ -277,44 +295,60 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5,
                 owner, keys, cuts = owner[order], keys[order], np.concatenate(([0], np.cumsum(n)))
                 found, at = np.unique(owner, return_index=True)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[found], pa.int64()), pa.array(needs[found].tolist(), pa.list_(pa.int64())), pa.array([k.view(np.int64) for k in np.split(keys, at[1:])] if len(found) else [], pa.list_(pa.int64())), pa.array([np.sort(shingles[cuts[i] : cuts[i + 1]]).tobytes() for i in found], pa.binary())],
-                    ["doc_id", "needs", "keys", "shingles"],
-                )
+                    [
+                        pa.array(ids[found], pa.int64()), pa.array(needs[found].tolist(), pa.list_(pa.int64())), pa.array([k.view(np.int64) for k in np.split(keys, at[1:])] if len(found) else [], pa.list_(pa.int64())),
+                        pa.array(bands(n[found], num, den), pa.int64()), pa.array(8 * n[found], pa.int64()), pa.array([np.sort(shingles[cuts[i] : cuts[i + 1]]).tobytes() for i in found], pa.binary()),
+                    ],
+                    ["doc_id", "needs", "keys", "band", "size", "shingles"],
+                )
 
     answered = ex.answered(chunks, ex.found_elsewhere(ex.send(chunks, asked, n_buckets, False), False))
-    near = materialise(answered.select("data", "answers").mapInArrow(candidates, "doc_id long, needs array<long>, keys array<long>, shingles binary"), "near")
+    near = materialise(answered.select("data", "answers").mapInArrow(candidates, "doc_id long, needs array<long>, keys array<long>, band long, size long, shingles binary"), "near")
     exploded = near.select("doc_id", "needs", F.explode(F.array_distinct("keys")).alias("key"))
     keyed = exploded.select("doc_id", "key", F.pmod("key", F.lit(2)).alias("side"), F.get("needs", F.pmod("key", F.lit(2)).cast("int")).alias("need"))
-    # a document with fewer keys that others hold than it needs on a side is not linked by that side
-    held = keyed.join(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "key")
-    strong = held.groupBy("doc_id", "side", "need").agg(F.count("*").alias("n")).where("n >= need").select("doc_id", "side")
-    keyed = materialise(held.join(strong, ["doc_id", "side"]).select("doc_id", "key", "side", "need"), "keys")
+    held = keyed.join(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key")
+    own_keys = Window.partitionBy("doc_id", "side")
+    rank, total = F.row_number().over(own_keys.orderBy("n", "key")), F.count("*").over(own_keys)
+    rare = held.withColumns({"rank": rank, "total": total}).where("rank <= total - need + 1")
+    keyed = materialise(rare.select("doc_id", "key"), "keys")
     hubs = keyed.groupBy("key").agg(F.min("doc_id").alias("hub"), F.count("*").alias("n")).where("n > 1")
-    groups = components(keyed.join(hubs.select("key", "hub"), "key").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).where("a <> b").distinct())
+    groups = components(keyed.join(hubs.select("key", "hub"), "key").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).where("a <> b"))
     groups = groups.select(F.col("label").alias("grp"), F.col("node").alias("doc_id"))
-    blocks_of = groups.groupBy("grp").agg(F.ceil(F.count("*") / MEMBERS).alias("n_blocks"))
-    members = materialise(near.select("doc_id", "shingles").join(groups.join(blocks_of, "grp"), "doc_id"), "members")
 
-    def in_blocks(found: DataFrame) -> DataFrame:
-        block = F.pmod(F.xxhash64("doc_id"), F.col("n_blocks"))
-        return _join_blocks(found.select(F.concat_ws(":", "grp", block).alias("task"), F.lit(0).alias("side"), "doc_id", "label", "shingles"), num, den)
+    def blocked(found: DataFrame) -> DataFrame:
+        """With ``own``: the block of each member of (grp, doc_id, band, size), and whether its group has more."""
+        blocks_in = lambda: F.ceil(F.greatest(F.count("*") / MEMBERS, F.sum("size") / MEMBER_BYTES))
+        whole = found.groupBy("grp").agg((blocks_in() > 1).alias("several"))
+        banded = found.join(whole, "grp").withColumn("part", F.when(F.col("several"), F.col("band")).otherwise(0))
+        counts = banded.groupBy("grp", "part").agg(blocks_in().alias("n_blocks"))
+        own = F.shiftleft("part", 32) + F.pmod(F.xxhash64("doc_id"), F.col("n_blocks"))
+        return banded.join(counts, ["grp", "part"]).select("grp", "doc_id", "several", own.alias("own"))
 
-    def linked(links: DataFrame) -> DataFrame:
-        found = components(links).withColumnsRenamed({"node": "doc_id"})
-        return members.join(found, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
+    placed = materialise(blocked(groups.join(near.select("doc_id", "band", "size"), "doc_id")), "blocks")
+    members = near.select("doc_id", "band", "size", "shingles").join(placed, "doc_id")
+
+    def in_blocks(found: DataFrame) -> DataFrame:
+        return _join_blocks(found.select(F.concat_ws(":", "grp", "own").alias("task"), F.lit(0).alias("side"), "doc_id", "label", "shingles"), num, den)
 
     links = materialise(in_blocks(members.withColumn("label", F.col("doc_id"))), "links")
-    large = linked(links).where("n_blocks > 1")
-    heads = large.where("doc_id = label").drop("n_blocks")
-    heads = heads.join(heads.groupBy("grp").agg(F.ceil(F.count("*") / MEMBERS).alias("n_blocks")), "grp")
-    links = materialise(links.union(in_blocks(heads)), "links")
-    state = linked(links)
-    block = F.pmod(F.xxhash64("doc_id"), F.col("n_blocks"))
-    placed = keyed.join(state.select("doc_id", "grp", "label", block.alias("own")), "doc_id")
-    open_keys = placed.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.collect_set("own").alias("blocks"))
-    open_keys = open_keys.where((F.col("x") != F.col("y")) & (F.size("blocks") > 1)).select("key", F.col("blocks").alias("others"))
-    met = placed.join(open_keys, "key").select("doc_id", "grp", "own", "side", "need", F.explode("others").alias("other")).where("own <> other")
-    reach = met.groupBy("doc_id", "grp", "own", "side", "need", "other").agg(F.count("*").alias("n")).where("n >= need").select("doc_id", "grp", "own", "other").distinct()
+    several = materialise(members.where("several"), "several")
+    count = several.count()
+    while True:
+        labels = components(links).withColumnsRenamed({"node": "doc_id"})
+        state = several.join(labels, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
+        least = state.where("doc_id = label").drop("own", "several")
+        before, count = count, least.count()
+        if 2 * count >= before:
+            break
+        links = materialise(links.union(in_blocks(least.join(blocked(least.drop("shingles", "label")), ["grp", "doc_id"]))), "links")
+
+    held = keyed.join(state.select("doc_id", "grp", "label", "own"), "doc_id")
+    sides = held.groupBy("key", "label").agg(F.count("*").alias("n"), F.collect_set("own").alias("blocks"))
+    keys = sides.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("most"), F.count("*").alias("n"), F.collect_list(F.struct("label", "blocks")).alias("all"))
+    places = lambda sets: F.array_distinct(F.flatten(F.transform(sets, lambda x: x["blocks"])))
+    keys = keys.where("n > 1").select("key", "most", places("all").alias("every"), places(F.filter("all", lambda x: x["label"] != F.col("most"))).alias("other_sets"))
+    goes = F.explode(F.when(F.col("label") == F.col("most"), F.col("other_sets")).otherwise(F.col("every")))
+    reach = held.join(keys, "key").select("doc_id", "grp", "own", goes.alias("other")).where("own <> other").distinct()
     task = F.concat_ws(":", "grp", F.least("own", "other"), F.greatest("own", "other"))
     pairs = reach.select("doc_id", task.alias("task"), (F.col("own") > F.col("other")).cast("int").alias("side")).join(state.select("doc_id", "label", "shingles"), "doc_id")
     links = materialise(links.union(_join_blocks(pairs, num, den)), "links")

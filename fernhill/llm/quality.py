@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from fernhill.llm._shared import documents, materialise
-from fernhill.llm._words import Block, blocks, ranges, seen_twice, windows, with_doc
+from fernhill.llm._words import Block, blocks, heads, order_of, seen_twice, windows, with_doc
 
 #: The characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
@@ -37,17 +37,10 @@ def statistics(texts: list[bytes]) -> dict[str, np.ndarray]:
     n_words = np.bincount(b.doc, minlength=n)
     wide = b.data & 0xC0 == 0x80
     word_chars = b.per_doc(b.inside & ~wide)
-    # lines with a word, by document
-    cut = b.data == 10
-    starts = np.sort(np.concatenate((b.start, np.flatnonzero(cut) + 1)))
-    doc = np.searchsorted(b.start, starts, "right") - 1
-    ends = np.minimum(np.append(starts[1:] - 1, b.end[-1:]), b.end[doc]) if n else starts
-    filled = np.searchsorted(b.word_start, starts) < np.searchsorted(b.word_start, ends)
-    starts, ends, doc = starts[filled], ends[filled], doc[filled]
-    lines = with_doc(ranges(b.sums, starts, ends, "byte"), doc)
-    _, first = np.unique(lines, return_index=True)
-    n_lines = np.bincount(doc, minlength=n)
-    n_dup = n_lines - np.bincount(doc[first], minlength=n)
+    # lines with a word, by document; compared as they are
+    lines = [[x for x in t.split(b"\n") if not x.isspace() and x] for t in texts]
+    n_lines = np.fromiter(map(len, lines), np.int64, n)
+    n_dup = n_lines - np.fromiter((len(set(x)) for x in lines), np.int64, n)
     # words in 3-word windows found twice or more
     at, triples = windows(words, b.doc, 3)
     at = at[seen_twice(with_doc(triples, b.doc[at]))]
@@ -55,8 +48,9 @@ def statistics(texts: list[bytes]) -> dict[str, np.ndarray]:
     for k in range(3):
         again[at + k] = True
     n_repeat = np.bincount(b.doc[again[: len(words)]], minlength=n)
-    _, first = np.unique(with_doc(words, b.doc), return_index=True)
-    distinct = np.bincount(b.doc[first], minlength=n)
+    keys = with_doc(words, b.doc)
+    order = order_of(keys)
+    distinct = np.bincount(b.doc[order[heads(keys[order])]], minlength=n)
     longest = np.zeros(n, np.int64)
     np.maximum.at(longest, b.doc, b.word_end - b.word_start)
     size, some = np.maximum(b.end - b.start, 1), np.maximum(n_words, 1)

@@ -28,21 +28,16 @@ def drop_repeated_windows(docs: DataFrame, window: int = 35, id_col: str = "doc_
     chunks = ex.chunk_table(docs, id_col, text_col)
     n_probe = ex.buckets_for(chunks, ex.CHUNK // 6)
 
-    def probes(b: Block, words):
-        first, keys = windows(words, b.doc, block)
-        aligned = (first - b.first_word()[b.doc[first]]) % block == 0
-        return first, keys, aligned
-
     def probe_keys(ids, texts):
         b = Block(texts)
-        first, keys, aligned = probes(b, b.words())
-        return keys, first, aligned
+        first, keys = windows(b.words(), b.doc, block)
+        return keys, None, (first - b.first_word()[b.doc[first]]) % block == 0
 
     hits = ex.answered(chunks, ex.found_elsewhere(ex.send(chunks, probe_keys, n_probe, False), False))
 
     def extended(b: Block, words, answers):
         """First words and keys of the windows that hold a hit."""
-        first, keys, _ = probes(b, words)
+        first, keys = windows(words, b.doc, block)
         near = np.zeros(len(words) + 1, np.int64)
         near[first[ex.bits_of(ex.Distinct(keys, n_probe), answers)]] = 1
         total = np.concatenate(([0], np.cumsum(near)))
@@ -63,18 +58,10 @@ def drop_repeated_windows(docs: DataFrame, window: int = 35, id_col: str = "doc_
 
     def exact(batches):
         for batch in batches:
-            for chunk, first, keys in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                keys, first = np.frombuffer(keys, np.uint64), np.frombuffer(first, "<i4")
-                d = ex.Distinct(keys, n_exact)
-                twice = d.reduce(np.maximum, first) != d.reduce(np.minimum, first)
-                full = [k for k in range(n_exact) if d.cuts[k] < d.cuts[k + 1]]
-                part = lambda x: [x[d.cuts[k] : d.cuts[k + 1]] for k in full]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(full, pa.int32()), pa.array([chunk] * len(full), pa.int64()), pa.array([k.tobytes() for k in part(d.keys)], pa.binary()), *(pa.array([np.packbits(x).tobytes() for x in part(y)], pa.binary()) for y in (twice, np.ones(len(twice), bool)))],
-                    ["bucket", "chunk", "keys", "twice", "mark"],
-                )
+            for chunk, keys in zip(*(batch.column(i).to_pylist() for i in range(2))):
+                yield ex.sent_rows(chunk, np.frombuffer(keys, np.uint64), None, None, n_exact, True)
 
-    repeated = ex.found_elsewhere(found.mapInArrow(exact, "bucket int, chunk long, keys binary, twice binary, mark binary"), True)
+    repeated = ex.found_elsewhere(found.select("chunk", "keys").mapInArrow(exact, ex.SENT), True)
 
     def removal(batches):
         for batch in batches:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 from fernhill.llm import _exchange as ex
 from fernhill.llm._induced import suffix_order
 from fernhill.llm._shared import documents
-from fernhill.llm._words import _BYTES, U, mix, powers, prefix, ranges
+from fernhill.llm._words import U, join, lanes, mix
 
 #: Bytes of the substrings whose least hash names the shard of a window.
 ANCHOR = 16
@@ -37,16 +37,15 @@ class _Runs:
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
         self.first = np.cumsum(sizes + 1) - sizes - 1
         self.last = self.first + sizes
-        raw = np.frombuffer(self.data, np.uint8)
-        if len(raw) < window:
+        raw = np.frombuffer(self.data + bytes(8), np.uint8)
+        if len(self.data) < window:
             self.start = self.count = self.doc = np.zeros(0, np.int64)
-            self.key, self.sums = np.zeros(0, np.uint64), np.zeros(1, np.uint64)
+            self.key = np.zeros(0, np.uint64)
             return
-        self.sums = prefix(_BYTES[raw], "byte")
-        at = len(raw) - ANCHOR + 1
-        anchors = mix((self.sums[ANCHOR:] - self.sums[:at]) * powers("byte", at, True))
-        least = _sliding_least(anchors, window - ANCHOR + 1)
-        inside = np.zeros(len(raw) + 1, np.int8)  # +1 and -1 around the window starts of each document
+        eight = lanes(raw)
+        self.anchors = join(mix(eight[: len(self.data) - ANCHOR + 1]), eight[8 : len(self.data) - ANCHOR + 9])
+        least = _sliding_least(self.anchors, window - ANCHOR + 1)
+        inside = np.zeros(len(self.data) + 1, np.int8)  # +1 and -1 around the window starts of each document
         long = np.flatnonzero(sizes >= window)
         np.add.at(inside, self.first[long], 1)
         np.add.at(inside, self.last[long] - window + 1, -1)
@@ -56,7 +55,7 @@ class _Runs:
         start = edges[:-1]
         keep = valid[start]
         self.start, self.count = start[keep], np.diff(edges)[keep]
-        self.key = least[self.start]
+        self.key = mix(least[self.start])  # evenly spread, as least hashes are not
         self.doc = np.searchsorted(self.first, self.start, "right") - 1
 
 
@@ -83,8 +82,10 @@ def _earlier_in_shard(strings: list[np.ndarray], lengths: list[np.ndarray], owne
     owner, length = np.concatenate(owners), np.concatenate(lengths).astype(np.int64)
     data = np.concatenate(strings)
     ends = np.cumsum(length)
-    digest = ranges(prefix(_BYTES[data], "byte"), ends - length, ends, "byte")
-    _, first, which = np.unique(digest, return_index=True, return_inverse=True)
+    known: dict[bytes, int] = {}
+    body, cuts = data.tobytes(), [0, *ends.tolist()]
+    which = np.array([known.setdefault(body[x:z], len(known)) for x, z in zip(cuts[:-1], cuts[1:])], np.int64)
+    first = np.unique(which, return_index=True)[1]
     least = np.full(len(first), np.iinfo(np.int64).max)
     np.minimum.at(least, which, owner)
     size = length[first]
@@ -127,8 +128,8 @@ def drop_earlier_strings(docs: DataFrame, window: int = 50, id_col: str = "doc_i
 
     Returns (doc_id, n_bytes, n_removed, spans, kept): spans are [first, end) bytes of maximal removed
     runs, kept the other bytes (which need not be whole characters). Null text is empty; a null id is
-    before all others; rows of one id never cut each other; an empty table gives none. Distinct runs
-    of one shard are told apart by 64 bits of hash, their windows by their bytes.
+    before all others; rows of one id never cut each other; an empty table gives none. Runs and windows
+    are compared by their bytes.
     """
     chunks = ex.chunk_table(docs, id_col, text_col)
     n_asked = ex.buckets_for(chunks, ex.CHUNK // 16)
@@ -146,11 +147,12 @@ def drop_earlier_strings(docs: DataFrame, window: int = 50, id_col: str = "doc_i
         some = ex.bits_of(ex.Distinct(runs.key, n_asked), answers)
         start, count, owner = runs.start[some], runs.count[some], ids[runs.doc[some]]
         shard = ((runs.key[some] >> U(20)) % U(shards)).astype(np.int64)
-        text = ranges(runs.sums, start, start + count + window - 1, "byte")
+        known: dict[bytes, int] = {}
+        text = np.array([known.setdefault(runs.data[x : x + n], len(known)) for x, n in zip(start.tolist(), (count + window - 1).tolist())], np.int64)
         order = np.lexsort((owner, text, shard))
         shard, start, count, owner, text = (x[order] for x in (shard, start, count, owner, text))
         fresh = np.ones(len(text), bool)
-        fresh[1:] = (text[1:] != text[:-1]) | (shard[1:] != shard[:-1])
+        fresh[1:] = text[1:] != text[:-1]
         return runs.data, shard, start, count, owner, fresh
 
     def send_strings(batches):

@@ -141,7 +141,7 @@ def near_brute(rows, size, num, den):
     return {i: (len(sets[k]), least[find(k)]) for k, (i, _) in enumerate(rows)}
 
 
-@pytest.mark.parametrize("members", [1024, 3])
+@pytest.mark.parametrize("members", [128, 3])
 def test_near(docs, monkeypatch, members):
     monkeypatch.setattr(nd, "MEMBERS", members)
     rows = corpus(6, 64)
