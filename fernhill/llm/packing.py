@@ -8,7 +8,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from fernhill.llm._shared import documents
-from fernhill.llm._tokens import encoder, text_groups
+from fernhill.llm._tokens import binaries, encoder, text_groups, with_end
 
 
 def first_fit_decreasing(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -46,12 +46,11 @@ def tokenise(docs: DataFrame, tokenizer: str, end_id: int, groups: int, id_col:
 
     Null text counts as empty; the group is drawn by a hash of id and text.
     """
-    end = np.array([end_id], "<u2").tobytes()
 
     def run(batches):
-        encode = encoder(tokenizer)
         for part, texts in text_groups(batches, "text"):
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([x + end for x in encode(texts)], pa.binary())], ["group", "doc_id", "ids"])
+            ids, counts = encoder(tokenizer).encode(texts)
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), binaries(with_end(ids, counts, end_id), counts + 1)], ["group", "doc_id", "ids"])
 
     group = F.pmod(F.xxhash64(F.lit(11), F.col(id_col), F.substring(text_col, 1, 64)), F.lit(groups))
     return docs.select(group.alias("group"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "group long, doc_id long, ids binary")

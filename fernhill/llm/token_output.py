@@ -8,7 +8,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from fernhill.llm._shared import documents, shared_dir
-from fernhill.llm._tokens import encoder, text_groups
+from fernhill.llm._tokens import binaries, encoder, text_groups, with_end
 
 #: Up to so many shards their offsets (16 bytes each) are broadcast; beyond, they are joined by shuffle.
 BROADCAST_SHARDS = 1_000_000
@@ -130,16 +130,14 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, do
     shards = max(1, docs.count() // docs_per_shard)
 
     def run(batches):
-        encode = encoder(tokenizer)
-        end = np.array([end_id], "<u2").tobytes()
         doc_ids, lengths, parts = [], [], []
         for part, texts in text_groups(batches, "text"):
+            found, counts = encoder(tokenizer).encode(texts)
             doc_ids += part.column(0).to_pylist()
-            for x in encode(texts):
-                parts += (x, end)
-                lengths.append(len(x) // 2 + 1)
+            lengths += (counts + 1).tolist()
+            parts.append(with_end(found, counts, end_id))
         if doc_ids:
-            ids = np.frombuffer(b"".join(parts), "<u2")
+            ids = np.concatenate(parts)
             data = WaveletMatrix.build(ids, max(1, int(ids.max()).bit_length())).to_bytes()
             yield pa.RecordBatch.from_pylist(
                 [{"shard": TaskContext.get().partitionId(), "n_tokens": len(ids), "first_doc": doc_ids[0], "doc_ids": doc_ids, "doc_tokens": lengths, "wavelet": data}],
@@ -168,7 +166,7 @@ def read_documents(shards: DataFrame) -> DataFrame:
                 for i in range(0, len(ends), 256):
                     stops, counts = ends[i : i + 256], np.array(row["doc_tokens"][i : i + 256])
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([row["shard"]] * len(stops), pa.int32()), pa.array(row["doc_ids"][i : i + 256], pa.int64()), pa.array(stops - counts, pa.int64()), pa.array(counts, pa.int64()), pa.array([ids[b - n : b].astype("<u4").tobytes() for b, n in zip(stops, counts)], pa.binary())],
+                        [pa.array([row["shard"]] * len(stops), pa.int32()), pa.array(row["doc_ids"][i : i + 256], pa.int64()), pa.array(stops - counts, pa.int64()), pa.array(counts, pa.int64()), binaries(ids[stops[0] - counts[0] : stops[-1]].astype("<u4"), counts)],
                         ["shard", "doc_id", "local", "n_tokens", "ids"],
                     )
 
