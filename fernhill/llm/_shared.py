@@ -38,6 +38,7 @@ def shared_dir(spark: SparkSession, name: str) -> str:
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back, which ends its lineage there."""
+    small_batches(df.sparkSession)
     path = shared_dir(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -51,3 +52,24 @@ def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> Dat
 def id_crc(column: str = "doc_id") -> Column:
     """crc32 of an id written as text; the contracts split training and held-out rows by it."""
     return F.crc32(F.col(column).cast("string").cast("binary"))
+
+
+def bounded_sample(rows: DataFrame, key: str, most: int) -> DataFrame:
+    """At most ``most`` rows, those with the smallest hashes of ``key``.
+
+    A bound on the hash, from the number of rows, first leaves little more than that, so that no task
+    sends many more rows than its share.
+    """
+    n = rows.count()
+    code = F.xxhash64(key)
+    if n > most:
+        rows = rows.where(code <= min(2**63 - 1, int((1.05 * most + 500) / n * 2**64) - 2**63))
+    return rows.orderBy(code, key).limit(most)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name += "_"
+    return name

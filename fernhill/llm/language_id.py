@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from fernhill.llm._shared import documents, id_crc
+from fernhill.llm._shared import bounded_sample, documents, id_crc
 
 DIM = 512
 #: Letters below this code point have a vector each; others share the slots above it by a hash.
@@ -89,7 +89,7 @@ def prototypes(docs: DataFrame, max_train_rows: int = 20_000) -> dict[str, np.nd
     language comes to the driver.
     """
     some = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    chosen = some.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train_rows)
+    chosen = bounded_sample(some.select("doc_id").distinct(), "doc_id", max_train_rows)
 
     def run(batches):
         sums: dict[str, np.ndarray] = {}
@@ -114,7 +114,8 @@ def identify(docs: DataFrame, known: dict[str, np.ndarray], id_col: str = "doc_i
     """(doc_id, lang_pred, score): the language whose prototype has the largest cosine with the text.
 
     The score is (1 + cosine) / 2. Text that is null or has no letter, or any text when no language
-    was learned, is ``und`` with score 0. Ties go to the language first in the alphabet.
+    was learned, is ``und`` with score 0. Ties go to the language first in the alphabet. Rows that repeat
+    come back as often; an empty table gives none.
     """
     names = [*known]
     matrix = np.array([known[k] for k in names], np.float32).reshape(-1, DIM)

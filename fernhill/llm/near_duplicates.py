@@ -49,16 +49,16 @@ def _add_up(index: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
 
 
 def set_prints(docs: DataFrame, size: int) -> DataFrame:
-    """(doc_id, n_shingles, p1, p2): equal sets have equal prints of 128 bits."""
+    """(doc_id, text_key, n_shingles, p1, p2): equal sets have equal prints of 128 bits."""
 
     def run(batches):
         for part, texts in blocks(batches):
             doc, keys = shingle_sets(texts, size)
             n = np.bincount(doc, minlength=len(texts))
             prints = [_add_up(doc, mix(keys + U(k)), len(texts)).view(np.int64) for k in (1, 2)]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), *map(pa.array, prints)], ["doc_id", "n_shingles", "p1", "p2"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n, pa.int64()), *map(pa.array, prints)], ["doc_id", "text_key", "n_shingles", "p1", "p2"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, p1 long, p2 long")
+    return docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(run, "doc_id long, text_key long, n_shingles long, p1 long, p2 long")
 
 
 def _flat_keys(place: np.ndarray, owner: np.ndarray, names: np.ndarray, spare: np.ndarray, shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -248,7 +248,7 @@ def _join_blocks(rows: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id): documents linked when Jaccard >= num / den, and all they reach.
+    """(doc_id, text_key, n_shingles, component_id): documents linked when Jaccard >= num / den, and all they reach.
 
     Words are split at ASCII white space with A-Z lowered; a text of fewer words than ``size`` is one
     shingle, one without words links with nothing. Documents with the same set are represented by the
@@ -262,7 +262,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5,
     keys that still join two components across blocks send documents to the pairs of blocks where they
     meet; a key's largest component only goes where another is.
 
-    Rows that repeat an id are one document if their sets are equal; a null id is its own component.
+    Rows that repeat an id are one document if their sets are equal (``text_key``, xxhash64 of the text,
+    tells them apart); a null id is its own component; an empty table gives none.
     Memory is bounded by block, and no step writes all pairs of a group.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -355,11 +356,11 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5,
     joined = components(links).select(F.col("node").alias("rep"), "label")
     kinds = kinds.join(joined, "rep", "left").select("p1", "p2", "n_shingles", F.coalesce("label", "rep").alias("component_id"))
     found = prints.join(kinds, ["p1", "p2", "n_shingles"], "left")
-    return found.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("component_id", "doc_id")).alias("component_id"))
+    return found.select("doc_id", "text_key", "n_shingles", F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
 def op7_jaccard_join(spark, sf_dir):
-    return near_duplicates(documents(spark, sf_dir).select("doc_id", "text"), size=4, num=85, den=100)
+    return near_duplicates(documents(spark, sf_dir).select("doc_id", "text"), size=4, num=85, den=100).drop("text_key")
 
 
 ORACLE_SQL = r"""

@@ -7,7 +7,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from fernhill.llm._shared import documents
+from fernhill.llm._shared import documents, small_batches
 from fernhill.llm._tokens import binaries, encoder, text_groups, with_end
 
 
@@ -94,6 +94,7 @@ def pack(tokens: DataFrame, capacity: int = 2048) -> DataFrame:
 
 def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = 2048, docs_per_group: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``tokenise`` and ``pack``; the number of groups follows the number of rows."""
+    small_batches(docs.sparkSession)
     groups = max(1, docs.count() // docs_per_group)
     return pack(tokenise(docs, tokenizer, end_id, groups, id_col, text_col), capacity)
 

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from fernhill.llm._shared import documents, materialise
+from fernhill.llm._shared import bounded_sample, documents, materialise
 from fernhill.llm._words import Block, blocks, heads, order_of, seen_twice, windows, with_doc
 
 #: The characters that count as symbols.
@@ -64,7 +64,11 @@ def statistics(texts: list[bytes]) -> dict[str, np.ndarray]:
 
 
 def document_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, counts, features) of every whole text. Null text has no words; a null id stays null."""
+    """(doc_id, counts, features) of every whole text.
+
+    Null text has no words; a null id stays null; rows that repeat come back as often; an empty table
+    gives none.
+    """
     schema = pa.schema([("doc_id", pa.int64()), *((c, pa.int64()) for c in COUNTS), *((c, pa.float64()) for c in FEATURES)])
 
     def run(batches):
@@ -154,12 +158,15 @@ def score_quality(docs: DataFrame, labels: DataFrame, max_train_rows: int = 20_0
 
     Statistics of all documents are written once; the trees learn on the driver from the statistics
     of at most ``max_train_rows`` labelled documents (the smallest hashes of their ids), and are
-    applied to all rows in batches. Without labels of both kinds the verdict is the base rules'.
+    applied to all rows in batches. Without labels of both kinds the verdict is the base rules'. A
+    labelled id that repeats counts once, with its least features; rows that repeat come back as often;
+    an empty table gives none.
     """
     stats = materialise(document_statistics(docs), "quality")
     marks = labels.where(F.col("quality").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    chosen = stats.select("doc_id", *FEATURES).join(marks, "doc_id").orderBy(F.xxhash64("doc_id"), *FEATURES).limit(max_train_rows)
-    rows = np.array([tuple(r) for r in chosen.select(*FEATURES, "quality").collect()], float).reshape(-1, len(FEATURES) + 1)
+    chosen = bounded_sample(marks, "doc_id", max_train_rows)
+    sample = stats.select("doc_id", F.struct(*FEATURES).alias("x")).join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("x").alias("x"), F.max("quality").alias("quality"))
+    rows = np.array([(*r.x, r.quality) for r in sample.orderBy("doc_id").collect()], float).reshape(-1, len(FEATURES) + 1)
     x, y = rows[:, :-1], rows[:, -1]
     trees = fit_trees(x, y, [FEATURES.index(f) for f in FALLING]) if len(set(y)) == 2 else None
 

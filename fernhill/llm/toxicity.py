@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from fernhill.llm._shared import documents, id_crc
+from fernhill.llm._shared import bounded_sample, documents, id_crc
 from fernhill.llm._words import Block, U, blocks, mix
 
 BITS = 18
@@ -31,10 +31,19 @@ def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(docs), (np.concatenate(found) >> U(64 - BITS)).astype(np.int64)
 
 
-def fit_ftrl(rows: list[np.ndarray], labels: list[int], epochs: int = 4, alpha: float = 0.5, beta: float = 1.0, l1: float = 4.0, l2: float = 1.0) -> np.ndarray:
+def _pack(row: np.ndarray) -> bytes:
+    """Distinct features of a text in ascending order, as compressed steps."""
+    return zstandard.compress(np.diff(row, prepend=0).astype("<u4").tobytes(), 3)
+
+
+def _unpack(data: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(zstandard.decompress(data), "<u4"), dtype=np.int64)
+
+
+def fit_ftrl(rows: list[bytes], labels: list[int], epochs: int = 4, alpha: float = 0.5, beta: float = 1.0, l1: float = 4.0, l2: float = 1.0) -> np.ndarray:
     """Weights (the last is the intercept) after some passes of FTRL-proximal.
 
-    Each row is an array of distinct features. Rates are per coordinate; a weight is nonzero only
+    Each row has distinct features, as ``_pack`` made them. Rates are per coordinate; a weight is nonzero only
     where its sum of gradients exceeds ``l1``. The intercept is not penalised.
     """
     z, n = np.zeros(2**BITS + 1), np.zeros(2**BITS + 1)
@@ -47,7 +56,7 @@ def fit_ftrl(rows: list[np.ndarray], labels: list[int], epochs: int = 4, alpha:
 
     for _ in range(epochs):
         for row, label in zip(rows, labels):
-            i = np.append(row, 2**BITS)
+            i = np.append(_unpack(row), 2**BITS)
             w = weights(i)
             g = 1 / (1 + np.exp(-np.clip(w.sum(), -35, 35))) - label
             z[i] += g - (np.sqrt(n[i] + g * g) - np.sqrt(n[i])) / alpha * w
@@ -58,58 +67,60 @@ def fit_ftrl(rows: list[np.ndarray], labels: list[int], epochs: int = 4, alpha:
 def train(docs: DataFrame, labels: DataFrame, max_train_rows: int = 20_000) -> np.ndarray:
     """Learn from at most ``max_train_rows`` labelled documents, those with the smallest id hashes.
 
-    FTRL goes through examples one by one, so that one task fits the bounded sample, in an order by
-    another hash of the ids. Labels or texts that are null are left out; without both labels the
+    Tasks extract the features; FTRL goes through examples one by one, so that one task fits the
+    bounded sample, in an order by another hash of the ids. Rows that repeat an id all count. Labels or texts that are null are left out; without both labels the
     weights are all zero but for the intercept.
     """
     marks = labels.where(F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    chosen = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train_rows)
-    rows = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id")
+    chosen = bounded_sample(marks, "doc_id", max_train_rows)
+    rows = docs.select("doc_id", "text").where(F.col("text").isNotNull())
+    rows = rows.join(F.broadcast(chosen), "doc_id").select(F.xxhash64(F.lit(5), "doc_id").alias("order"), "toxic", "text")
 
-    def fit(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("order", "ascending"), ("text", "ascending")])
-        texts = [t.encode() for t in table.column("text").to_pylist()]
-        arrays = []
-        for i in range(0, len(texts), 256):
-            doc, found = features(texts[i : i + 256])
+    def extract(batches):
+        for part, texts in blocks(batches):
+            doc, found = features(texts)
             keys = np.unique(doc * 2**BITS + found)
-            arrays += np.split((keys % 2**BITS).astype(np.int32), np.searchsorted(keys, np.arange(1, len(texts[i : i + 256])) * 2**BITS))
-        w = fit_ftrl(arrays, table.column("toxic").to_pylist())
+            packed = [_pack(x) for x in np.split(keys % 2**BITS, np.searchsorted(keys, np.arange(1, len(texts)) * 2**BITS))]
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(texts), np.int32)), part.column(0), part.column(1), pa.array(packed, pa.binary())], ["part", "order", "toxic", "features"])
+
+    def fit(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("order", "ascending"), ("features", "ascending")])
+        w = fit_ftrl(table.column("features").to_pylist(), table.column("toxic").to_pylist())
         some = np.flatnonzero(w)
         return pa.table({"feature": some, "weight": w[some]})
 
-    sample = rows.select(F.lit(0).alias("part"), F.xxhash64(F.lit(5), "doc_id").alias("order"), "text", "toxic")
-    found = sample.groupBy("part").applyInArrow(fit, "feature long, weight double")
+    found = rows.mapInArrow(extract, "part int, order long, toxic int, features binary").groupBy("part").applyInArrow(fit, "feature long, weight double")
     out = np.zeros(2**BITS + 1)
     for r in found.collect():  # a row per feature slot at most
         out[r.feature] = r.weight
     return out
 
 
-def score_toxicity(docs: DataFrame, weights: np.ndarray, text_col: str = "text") -> DataFrame:
-    """The input with a column ``toxicity``: the model's chance of the toxic label for the whole text.
+def score_toxicity(docs: DataFrame, weights: np.ndarray, text_col: str = "text", out_col: str = "toxicity") -> DataFrame:
+    """The input with a column ``out_col``: the model's chance of the toxic label for the whole text.
 
     The weights go to the tasks as index and value arrays, at most 2^18 of them. Null or empty text
-    gets the intercept's score; an input column of that name is replaced; an empty table gives none.
+    gets the intercept's score; an input column of that name is replaced, repeated rows stay; an empty
+    table gives none.
     """
     index = np.flatnonzero(weights[:-1])
     sparse, bias = (index, weights[index]), float(weights[-1])
 
-    @F.pandas_udf("double")
-    def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def score(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         dense = np.zeros(2**BITS)
         dense[sparse[0]] = sparse[1]
         for column in parts:
-            found = [pd.Series([], dtype=float)]
-            for _, texts in blocks([pa.RecordBatch.from_arrays([pa.array(column, pa.string(), from_pandas=True)], ["text"])]):
+            found = [np.zeros(0)]
+            for _, texts in blocks([pa.RecordBatch.from_arrays([column], ["text"])]):
                 doc, keys = features(texts)
                 some = dense[keys] != 0
                 keys = np.unique(doc[some] * 2**BITS + keys[some])
                 total = bias + np.bincount(keys >> BITS, dense[keys % 2**BITS], len(texts))
-                found.append(pd.Series(1 / (1 + np.exp(-total))))
-            yield pd.concat(found[1:] or found, ignore_index=True)
+                found.append(1 / (1 + np.exp(-total)))
+            yield pa.array(np.concatenate(found))
 
-    return docs.withColumn("toxicity", score(F.col(text_col)))
+    return docs.withColumn(out_col, score(F.col(text_col)))
 
 
 def op6_toxicity(spark, sf_dir):
