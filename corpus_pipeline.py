@@ -6,33 +6,40 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from fernhill.llm import decontamination, line_dedup, near_duplicates, packing, toxicity
-from fernhill.llm._shared import documents, shared_dir
+from fernhill.llm._shared import documents, fresh, shared_dir
+
+
+def _without(docs, gone):
+    """The documents but those with an id and text in ``gone`` (doc_id, text_key)."""
+    key = fresh(docs, "text_key")
+    keyed = docs.withColumn(key, F.xxhash64("text"))
+    gone = gone.toDF("id", "code")
+    return keyed.join(gone, keyed["doc_id"].eqNullSafe(gone["id"]) & (keyed[key] == gone["code"]), "left_anti").select(*docs.columns)
 
 
 def reject_toxic(spark, docs, sf_dir):
     """Documents with a toxicity score under 0.5; the model learns from the labels of these documents."""
     weights = toxicity.train(docs, documents(spark, sf_dir, "labels"))
-    return toxicity.score_toxicity(docs, weights).where("toxicity < 0.5").select(*docs.columns)
+    score = fresh(docs, "toxicity")
+    return toxicity.score_toxicity(docs, weights, out_col=score).where(F.col(score) < 0.5).select(*docs.columns)
 
 
 def dedup_lines(spark, docs, sf_dir):
     """All documents, without lines that three or more of them hold but in the last; n_chars follows."""
-    kept = line_dedup.drop_repeated_lines(docs)
+    kept = line_dedup.drop_repeated_lines(docs, counts=(fresh(docs, "lines"), fresh(docs, "dropped")))
     return kept.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
 
 
 def dedup_near(spark, docs, sf_dir):
     """One document, that of the smallest id, of each group linked by Jaccard of 0.8 on five words."""
-    groups = near_duplicates.near_duplicates(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(groups, "doc_id", "left_anti").select(*docs.columns)
+    groups = near_duplicates.near_duplicates(docs).where("doc_id <> component_id").select("doc_id", "text_key").distinct()
+    return _without(docs, groups)
 
 
 def drop_leaks(spark, docs, sf_dir):
     """Documents in which no benchmark item was found."""
     leaks = decontamination.find_leaks(docs, documents(spark, sf_dir, "benchmark")).select("doc_id", "text_key").distinct()
-    keyed = docs.withColumn("__key", F.xxhash64("text"))
-    same = keyed["doc_id"].eqNullSafe(leaks["doc_id"]) & (keyed["__key"] == leaks["text_key"])
-    return keyed.join(leaks, same, "left_anti").select(*docs.columns)
+    return _without(docs, leaks)
 
 
 def pack(spark, docs, sf_dir):
