@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from fernhill.llm import _exchange as ex
 from fernhill.llm._components import components
@@ -15,8 +15,8 @@ from fernhill.llm._words import Block, U, blocks, heads, join, mix, order_of, wi
 SIGNATURE, FAN = 4096, 8
 #: Sets of a block, and bytes of their shingles, about; a task joins one block or two.
 MEMBERS, MEMBER_BYTES = 128, 8_000_000
-#: Bytes of text in a chunk; its keys take some fifty times as much memory.
-CHUNK = 1_500_000
+#: Bytes of text in a chunk; its shingles take some thirty times as much memory.
+CHUNK = 2_500_000
 
 _LOWER = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
 
@@ -61,84 +61,20 @@ def set_prints(docs: DataFrame, size: int) -> DataFrame:
     return docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(run, "doc_id long, text_key long, n_shingles long, p1 long, p2 long")
 
 
-def _flat_keys(place: np.ndarray, owner: np.ndarray, names: np.ndarray, spare: np.ndarray, shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(owner, key) of each segment, and how many keys a set shares with any that it is linked with.
+def rare_prefix(n: np.ndarray, shared: np.ndarray, num: int, den: int) -> np.ndarray:
+    """How many shingles, of those that other sets hold, a set of ``n`` needs as keys to meet all it is linked with.
 
-    Empty segments have keys only for sets with more of them than ``spare``; such a set may share a
-    single key with a set that has none for them.
+    Take any one order of all shingles. Sets with Jaccard of num/den or more have at least
+    ceil(n num / den) in common, so that the least of these is among the first n - ceil(n num / den) + 1
+    of each. In an order that begins with what no other set holds, these first ones may be no keys
+    at all; ``shared`` counts the others.
     """
-    total = _add_up(place, mix(shingles + U(77)), len(owner))
-    full = np.bincount(place, minlength=len(owner)) > 0
-    empty = np.bincount(owner[~full], minlength=len(spare))
-    keep = full | (empty > spare)[owner]
-    return owner[keep], mix(total + names)[keep], np.maximum(1 + spare - empty, 1)
-
-
-def _paired_keys(place: np.ndarray, owner: np.ndarray, names: np.ndarray, spare: np.ndarray, shingles: np.ndarray, least: int = 3) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """As ``_flat_keys``, for each two of a segment's four parts with ``least`` shingles or more.
-
-    Keys with fewer come only for sets where more than ``spare`` segments have such keys.
-    """
-    part = place * 4 + (mix(shingles + U(99)) & U(3)).astype(np.int64)
-    total = _add_up(part, mix(shingles + U(77)), 4 * len(owner)).reshape(-1, 4)
-    count = np.bincount(part, minlength=4 * len(owner)).reshape(-1, 4)
-    pairs = [(i, j) for i in range(4) for j in range(i + 1, 4)]
-    size = np.stack([count[:, i] + count[:, j] for i, j in pairs], 1)
-    poor = np.bincount(owner[(size < least).any(1)], minlength=len(spare))
-    keys = np.stack([mix(total[:, i] + mix(total[:, j] + names + U(7 * i + j))) for i, j in pairs], 1)
-    keep = (size >= least) | (poor > spare)[owner][:, None]
-    return np.repeat(owner, len(pairs))[keep.ravel()], keys[keep], np.maximum(1 + spare - poor, 1)
-
-
-def band_step(num: int, den: int) -> float:
-    return float(1.01 * np.log(den / num))
+    return np.clip(n - -(-n * num // den) + 1 - (n - shared), 0, shared)
 
 
 def bands(n: np.ndarray, num: int, den: int) -> np.ndarray:
     """Size bands so wide that linked sets are in the same or adjacent ones."""
-    return np.floor(np.log(np.maximum(n, 1)) / band_step(num, den)).astype(np.int64)
-
-
-def segment_keys(doc: np.ndarray, shingles: np.ndarray, n: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(doc, key, side) and needs[doc, side]: two sets with Jaccard at least num/den share a key.
-
-    They share as many keys of one side as either needs there, so that a set with fewer keys that
-    occur elsewhere than it needs on either side has no link. A key's side is the parity of its pair
-    of bands, the same for both sets, and is its lowest bit.
-
-    Sizes fall into bands, so that linked sets are in the same or adjacent bands. Each pair of
-    adjacent bands divides the hash space into segments; linked sets differ in at most D shingles,
-    each of which lies in one segment. Small sets have a key per segment: of more than D segments
-    some are equal, more than a set has empty ones (or it shares these too). In larger sets, of more
-    than D / 3 segments some hold two differences at most; their four parts then include two that
-    are equal, and a key for each two parts finds them. There are more such segments than a set has
-    with keys of fewer than three shingles, so that these need no keys (or it has them too).
-    """
-    step, band = band_step(num, den), bands(n, num, den)
-    docs, keys, sides, needs = [], [], [], np.ones((len(n), 2), np.int64)
-    for below in (0, 1):
-        family = band - below
-        side = family & 1
-        largest = np.floor(np.exp((family + 2) * step)).astype(np.int64)
-        differ = (den - num) * 2 * largest // (den + num)
-        salt = mix(family.astype(np.uint64) + U(1 << 32))
-        for paired in (False, True):
-            some = (n > 0) & ((largest >= 64) == paired)
-            spare = 3 + differ // 18 if paired else 2 + differ // 10
-            m = np.where(some, (differ // 3 if paired else differ) + 1 + spare, 0)
-            base = np.concatenate(([0], np.cumsum(m)))
-            own = some[doc]
-            d, s = doc[own], shingles[own]
-            place = base[d] + (mix(s ^ salt[d]) % m[d].astype(np.uint64)).astype(np.int64)
-            owner = np.repeat(np.arange(len(n)), m)
-            names = mix((np.arange(int(base[-1])) - base[owner]).astype(np.uint64) + salt[owner])
-            found = (_paired_keys if paired else _flat_keys)(place, owner, names, spare, s)
-            docs.append(found[0])
-            keys.append(found[1])
-            sides.append(side[found[0]])
-            needs[some, side[some]] = found[2][some]
-    doc, key, side = map(np.concatenate, (docs, keys, sides))
-    return doc, key & ~U(1) | side.astype(np.uint64), side, needs
+    return np.floor(np.log(np.maximum(n, 1)) / (1.01 * np.log(den / num))).astype(np.int64)
 
 
 class _Forest:
@@ -252,9 +188,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5,
 
     Words are split at ASCII white space with A-Z lowered; a text of fewer words than ``size`` is one
     shingle, one without words links with nothing. Documents with the same set are represented by the
-    smallest id. Representatives meet through ``segment_keys``, which lose no link. Linked sets share
-    as many keys as each needs, so that they also share one of each one's rarest: a set keeps all its
-    keys but the ``need - 1`` most frequent. Documents that share such a key form candidate groups.
+    smallest id. An exchange tells each representative which of its shingles any other holds, and
+    ``rare_prefix`` how many of these it needs as keys to meet whatever it is linked with: none, if too
+    much of its text is its own. Documents that share a key form candidate groups.
 
     Each group is joined by ``signature_join`` in blocks of about ``MEMBERS`` sets and ``MEMBER_BYTES``
     bytes; a group of several blocks has blocks of one size band each. It is joined first within blocks
@@ -274,44 +210,29 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5,
     chunks = ex.chunk_table(reps, size_of=CHUNK)
     n_buckets = ex.buckets_for(chunks, CHUNK // 6)
 
-    def keys_of(texts):
-        doc, shingles = shingle_sets(texts, size)
-        n = np.bincount(doc, minlength=len(texts))
-        return doc, shingles, n, *segment_keys(doc, shingles, n, num, den)
-
     def asked(ids, texts):
-        *_, owner, keys, _, _ = keys_of(texts)
-        return keys, owner, None
+        doc, shingles = shingle_sets(texts, size)
+        return shingles, doc, None
 
     def candidates(batches):
         for batch in batches:
             for data, answers in zip(batch.column(0), batch.column(1)):
                 ids, texts = ex.open_chunk(data.as_py())
-                doc, shingles, n, owner, keys, side, needs = keys_of(texts)
-                shared = ex.bits_of(ex.Distinct(keys, n_buckets), answers.as_py())
-                count = np.bincount(owner[shared] * 2 + side[shared], minlength=2 * len(n)).reshape(-1, 2)
-                shared &= (count >= needs)[owner, side]
-                owner, keys = owner[shared], keys[shared]
-                order = np.argsort(owner, kind="stable")
-                owner, keys, cuts = owner[order], keys[order], np.concatenate(([0], np.cumsum(n)))
-                found, at = np.unique(owner, return_index=True)
+                doc, shingles = shingle_sets(texts, size)
+                shared = ex.bits_of(ex.Distinct(shingles, n_buckets), answers.as_py())
+                n = np.bincount(doc, minlength=len(texts))
+                first = rare_prefix(n, np.bincount(doc[shared], minlength=len(texts)), num, den)
+                found, cuts = np.flatnonzero(first), np.concatenate(([0], np.cumsum(n)))
+                own = [slice(cuts[i], cuts[i + 1]) for i in found]
+                keys = [np.sort(shingles[x][shared[x]])[: first[i]].view(np.int64) for i, x in zip(found, own)]
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(ids[found], pa.int64()), pa.array(needs[found].tolist(), pa.list_(pa.int64())), pa.array([k.view(np.int64) for k in np.split(keys, at[1:])] if len(found) else [], pa.list_(pa.int64())),
-                        pa.array(bands(n[found], num, den), pa.int64()), pa.array(8 * n[found], pa.int64()), pa.array([np.sort(shingles[cuts[i] : cuts[i + 1]]).tobytes() for i in found], pa.binary()),
-                    ],
-                    ["doc_id", "needs", "keys", "band", "size", "shingles"],
-                )
+                    [pa.array(ids[found], pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(bands(n[found], num, den), pa.int64()), pa.array(8 * n[found], pa.int64()), pa.array([np.sort(shingles[x]).tobytes() for x in own], pa.binary())],
+                    ["doc_id", "keys", "band", "size", "shingles"],
+                )
 
     answered = ex.answered(chunks, ex.found_elsewhere(ex.send(chunks, asked, n_buckets, False), False))
-    near = materialise(answered.select("data", "answers").mapInArrow(candidates, "doc_id long, needs array<long>, keys array<long>, band long, size long, shingles binary"), "near")
-    exploded = near.select("doc_id", "needs", F.explode(F.array_distinct("keys")).alias("key"))
-    keyed = exploded.select("doc_id", "key", F.pmod("key", F.lit(2)).alias("side"), F.get("needs", F.pmod("key", F.lit(2)).cast("int")).alias("need"))
-    held = keyed.join(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key")
-    own_keys = Window.partitionBy("doc_id", "side")
-    rank, total = F.row_number().over(own_keys.orderBy("n", "key")), F.count("*").over(own_keys)
-    rare = held.withColumns({"rank": rank, "total": total}).where("rank <= total - need + 1")
-    keyed = materialise(rare.select("doc_id", "key"), "keys")
+    near = materialise(answered.select("data", "answers").mapInArrow(candidates, "doc_id long, keys array<long>, band long, size long, shingles binary"), "near")
+    keyed = near.select("doc_id", F.explode("keys").alias("key")).distinct()
     hubs = keyed.groupBy("key").agg(F.min("doc_id").alias("hub"), F.count("*").alias("n")).where("n > 1")
     groups = components(keyed.join(hubs.select("key", "hub"), "key").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).where("a <> b"))
     groups = groups.select(F.col("label").alias("grp"), F.col("node").alias("doc_id"))

@@ -159,17 +159,29 @@ def test_near_odd_rows(docs):
     assert nd.near_duplicates(docs([])).count() == 0
 
 
-def test_segment_keys_lose_no_link():
-    rng = np.random.default_rng(0)
-    for trial in range(600):
+def test_rare_prefixes_meet_all_links():
+    """Any two linked sets have a key in common, whatever else is in the corpus."""
+    r = random.Random(0)
+    for trial in range(400):
         num, den = [(85, 100), (4, 5)][trial % 2]
-        a = rng.integers(0, 2**63, int(np.exp(rng.uniform(0, 6.5))), dtype=np.uint64)
-        edits = rng.integers(0, (den - num) * 2 * len(a) // (den + num) + 1)
-        cut = int(rng.integers(0, edits + 1))
-        b = np.concatenate((a[cut:], rng.integers(0, 2**63, edits - cut, dtype=np.uint64)))
-        if len(b) and den * (len(a) - cut) >= num * (len(a) + edits - cut):
-            doc, keys, _, _ = nd.segment_keys(np.repeat([0, 1], [len(a), len(b)]), np.concatenate((a, b)), np.array([len(a), len(b)]), num, den)
-            assert set(keys[doc == 0].tolist()) & set(keys[doc == 1].tolist())
+        base = list(range(r.randint(1, 60)))
+        sets = []
+        for _ in range(12):  # copies with a few changes, and sets that share a part
+            s = set(base if r.random() < 0.7 else base[: len(base) // 2] + [r.randrange(10**6) for _ in base])
+            for _ in range(r.randint(0, 6)):
+                s.discard(r.choice(base))
+                s.add(r.randrange(100, 140))
+            sets.append(s)
+        held = Counter(x for s in sets for x in s)
+        order = {x: r.random() for x in held}
+        keys = []
+        for s in sets:
+            shared = sorted((x for x in s if held[x] > 1), key=order.get)
+            keys.append(set(shared[: int(nd.rare_prefix(np.array([len(s)]), np.array([len(shared)]), num, den)[0])]))
+        for i in range(12):
+            for j in range(i):
+                if den * len(sets[i] & sets[j]) >= num * len(sets[i] | sets[j]):
+                    assert keys[i] & keys[j]
 
 
 def test_near_across_bands(docs):
@@ -189,13 +201,34 @@ def test_near_across_bands(docs):
         assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
 
 
-def test_linked_sets_share_the_keys_they_need():
-    rng = np.random.default_rng(1)
-    for trial in range(6000):
-        num, den = [(85, 100), (4, 5)][trial % 2]
-        a = rng.integers(0, 2**63, int(np.exp(rng.uniform(0, 5))), dtype=np.uint64)
-        b = a[: len(a) - int(rng.integers(0, len(a) * (den - num) // den + 1))]
-        doc, keys, side, needs = nd.segment_keys(np.repeat([0, 1], [len(a), len(b)]), np.concatenate((a, b)), np.array([len(a), len(b)]), num, den)
-        assert (side == (keys & np.uint64(1)).astype(int)).all()
-        both = [len(set(keys[(doc == 0) & (side == s)].tolist()) & set(keys[(doc == 1) & (side == s)].tolist())) for s in (0, 1)]
-        assert any(both[s] >= needs[:, s].max() for s in (0, 1)), (len(a), len(b), both, needs)
+def morse(n, a="a", b="b"):
+    """The first 2 ** n letters of the sequence whose polynomial hashes to any odd base collide."""
+    x = a
+    for _ in range(n):
+        x += x.translate(str.maketrans(a + b, b + a))
+    return x
+
+
+def test_regular_texts_do_not_collide(docs):
+    one, two = morse(10), morse(10, "b", "a")
+    words = [f"w{k}" for k in range(34)]
+    rows = [(1, " ".join([one, *words])), (2, " ".join([two, *words]))]
+    assert all(r.n_removed == 0 for r in drop_repeated_windows(docs(rows)).collect())
+    assert {r.doc_id: r.component_id for r in nd.near_duplicates(docs([(1, one), (2, two), (3, f"{one} x"), (4, f"{two} x")])).collect()} == {1: 1, 2: 2, 3: 3, 4: 4}
+    long = [morse(11).replace("a", "p ").replace("b", "q "), morse(11).replace("a", "q ").replace("b", "p ")]
+    assert len({tuple(nd.shingle_sets([t.encode()], 2048)[1].tolist()) for t in long}) == 2
+
+
+def test_very_long_texts(docs):
+    r = random.Random(8)
+    body = " ".join(f"w{r.randrange(4000)}" for _ in range(60_000))
+    rows = [(1, body), (2, body[:200_000] + " other"), (3, "x" * 300_000), (4, "y" + "x" * 300_000), (5, "short")]
+    got = {r.doc_id: r.n_removed for r in drop_earlier_strings(docs(rows)).collect()}
+    assert got.pop(2) >= 200_000 and got == {1: 0, 3: 0, 4: 300_000, 5: 0}
+    words = {r.doc_id: (r.n_words, r.n_removed) for r in drop_repeated_windows(docs(rows)).collect()}
+    n = len(body[:200_000].split()) - (not body[200_000].isspace())
+    assert words[1][0] == 60_000 and words[1][1] >= n - 1 and words[3] == (1, 0)
+    near = {r.doc_id: r.component_id for r in nd.near_duplicates(docs([*rows, (6, body.replace("w7 ", "w8 "))])).collect()}
+    assert near == {1: 1, 2: 2, 3: 3, 4: 4, 5: 5, 6: 1}
+    lines = {r.doc_id: r.n_dropped for r in drop_repeated_lines(docs([(i, t + "\n" + t) for i, t in rows] + [(6, body), (7, body)])).collect()}
+    assert lines == {1: 2, 2: 0, 3: 0, 4: 0, 5: 0, 6: 1, 7: 0}
