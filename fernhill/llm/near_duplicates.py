@@ -268,7 +268,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5,
     sides = held.groupBy("key", "label").agg(F.count("*").alias("n"), F.collect_set("own").alias("blocks"))
     keys = sides.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("most"), F.count("*").alias("n"), F.collect_list(F.struct("label", "blocks")).alias("all"))
     places = lambda sets: F.array_distinct(F.flatten(F.transform(sets, lambda x: x["blocks"])))
-    keys = keys.where("n > 1").select("key", "most", places("all").alias("every"), places(F.filter("all", lambda x: x["label"] != F.col("most"))).alias("other_sets"))
+    # written, so that a hot key's rows in the join below can be dealt to several tasks
+    keys = materialise(keys.where("n > 1").select("key", "most", places("all").alias("every"), places(F.filter("all", lambda x: x["label"] != F.col("most"))).alias("other_sets")), "open-keys")
     goes = F.explode(F.when(F.col("label") == F.col("most"), F.col("other_sets")).otherwise(F.col("every")))
     reach = held.join(keys, "key").select("doc_id", "grp", "own", goes.alias("other")).where("own <> other").distinct()
     task = F.concat_ws(":", "grp", F.least("own", "other"), F.greatest("own", "other"))
