@@ -19,10 +19,11 @@ SELECT p_partkey AS product_id, p_name AS product_name, p_brand AS brand,
                    WHEN 'STANDARD' THEN 'task_collab_chair' WHEN 'ECONOMY' THEN 'bench' ELSE '' END AS visual_type
 FROM {part}""",
     "fx_images": """
-SELECT image_seq AS image_id, product_id, position, visual_type, brand, stage_0_result, excluded, confidence_tier,
-       ai_refreshed_at, short_side, image_seq % 500 AS vec_id, tiebreaker_triggered, supplier_id
+SELECT CAST((order_id * 8 + line) * 61 + twin - 1 AS BIGINT) AS image_id, product_id, position, visual_type, brand, stage_0_result, excluded, confidence_tier,
+       ai_refreshed_at, short_side, CAST((order_id * 7 + line + twin * 3) % 500 AS BIGINT) AS vec_id, tiebreaker_triggered, supplier_id
 FROM (
-  SELECT CAST(row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) AS BIGINT) AS image_seq,
+  SELECT CAST(l_orderkey AS BIGINT) AS order_id, CAST(l_linenumber AS BIGINT) AS line,
+         CAST(row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_extendedprice, l_shipdate) AS BIGINT) AS twin,
          CAST(row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber, l_suppkey, l_extendedprice, l_shipdate) AS BIGINT) AS position,
          l_partkey AS product_id, p.visual_type, p.brand,
          CASE WHEN l_returnflag = 'R' THEN 'scene' ELSE 'product' END AS stage_0_result,

@@ -153,10 +153,17 @@ def clamp_measure(c: Column, low: float, high: float) -> Column:
     return F.round(F.least(F.greatest(c.cast("double"), F.lit(low)), F.lit(high)), 2)
 
 
+#: Words of a bullet and what they are folded to.
+BULLET_FORMS = (("legs", "leg"), ("wooden", "wood"), ("armrests", "armrest"), ("backrests", "backrest"), ("sides", "side"), ("panels", "panel"), ("cushions", "cushion"))
+
+
 def norm_bullet(c: Column) -> Column:
-    """Punctuation as spaces, plurals folded, a doubled word once."""
-    t = F.regexp_replace(norm_alnum(c), r"([a-z]{2,}[^s\s])s\b", "$1")
-    return norm_ws(F.regexp_replace(t, r"\b(\w+) \1\b", "$1"))
+    """Lower case, runs of marks as one stop, no marks around, known word forms folded, a doubled word once."""
+    t = F.regexp_replace(F.trim(F.lower(F.coalesce(c, F.lit("")))), r"[;:,.!?]{2,}", ".")
+    t = F.regexp_replace(F.regexp_replace(t, r"\s+", " "), r"^[,.;:!?]+|[,.;:!?]+$", "")
+    for word, form in BULLET_FORMS:
+        t = F.regexp_replace(t, rf"\b{word}\b", form)
+    return F.regexp_replace(t, r"\b(\w+)\s+\1\b", "$1")
 
 
 def first_sentences(c: Column, n: int) -> Column:

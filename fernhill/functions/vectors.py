@@ -42,12 +42,16 @@ def refine(query: Column, target: Column, more: bool = True) -> Column:
 
 
 def hash_embed(docs: DataFrame, tokens: str = "tokens", key: str = "id", dims: int = 192) -> DataFrame:
-    """(key, vector): signed token hashing; each token adds four weighted entries read from its sha1."""
+    """(key, vector): signed token hashing; each token adds four weighted entries read from its sha1.
+
+    Entry i has its place in bytes 2i and 2i + 1, its sign in byte 8 + i and its weight in byte 12 + i.
+    The vector has length 1, or is all zero where there is no token.
+    """
     entries = docs.select(key, F.explode(tokens).alias("token")).withColumn("h", F.sha1("token"))
     byte = lambda k: F.conv(F.substring("h", 2 * k + 1, 2), 16, 10).cast("int")
-    four = F.array(*(F.struct(((byte(3 * k) * 256 + byte(3 * k + 1)) % dims).alias("dim"), (F.when(byte(3 * k + 2) % 2 == 0, 1.0).otherwise(-1.0) * (1 + byte(3 * k + 2) / 255.0)).alias("x")) for k in range(4)))
-    filled = docs.select(key, F.explode(F.sequence(F.lit(0), F.lit(dims - 1))).alias("dim"), F.lit(0.0).alias("x"))
-    summed = entries.select(key, F.explode(four).alias("e")).select(key, "e.dim", "e.x").unionByName(filled).groupBy(key, "dim").agg(F.sum("x").alias("x"))
-    dense = summed.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "x"))), lambda e: e["x"]).alias("v"), F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("size"))
-    scaled = F.when(F.col("size") > 0, F.transform("v", lambda x: F.round(x / F.col("size"), 6))).otherwise(F.array().cast("array<double>"))
-    return dense.select(key, scaled.alias("vector"))
+    sign = lambda k: F.when(byte(8 + k) % 2 == 0, 1.0).otherwise(-1.0)
+    four = F.array(*(F.struct(((byte(2 * k) * 256 + byte(2 * k + 1)) % dims).alias("dim"), (sign(k) * (1 + byte(12 + k) / 255.0)).alias("x")) for k in range(4)))
+    summed = entries.select(key, F.explode(four).alias("e")).groupBy(key, "e.dim").agg(F.sum("e.x").alias("x"))
+    sparse = summed.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("dim", "x"))).alias("at"), F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("size"))
+    value = lambda d: F.coalesce(F.round(F.element_at("at", d) / F.when(F.col("size") > 0, F.col("size")), 6), F.lit(0.0))
+    return docs.select(key).distinct().join(sparse, key, "left").select(key, F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), value).alias("vector"))

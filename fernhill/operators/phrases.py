@@ -96,19 +96,91 @@ def matched_phrases(phrases: DataFrame, wanted: DataFrame, top: int = 3) -> Data
     return rows.select("record_id", "phrase", F.round(score, 6).alias("score")).withColumn("place", F.row_number().over(w).cast("long")).where(F.col("place") <= top)
 
 
-def clean_highlights(bullets: DataFrame, keep: int = 8, alike: float = 0.6) -> DataFrame:
-    """(record_id, highlights): bullets by score, without those whose words overlap one kept before.
+# Words and patterns that decide what a bullet is worth.
+LOW_VALUE = ("chair", "table", "sofa", "stool", "bench", "desk", "furniture", "modern design", "contemporary design", "minimalist design", "four legs", "4 legs")
+OBJECT_NOUNS = ("chair", "table", "sofa", "stool", "bench", "desk", "seat", "furniture")
+COMPONENT_NOUNS = ("leg", "legs", "base", "frame", "back", "backrest", "arm", "arms", "armrest", "armrests", "seat", "shell", "top", "panel", "panels", "cushion", "cushions")
+MATERIAL_WORDS = ("wood", "wooden", "metal", "steel", "aluminum", "aluminium", "chrome", "fabric", "textile", "leather", "mesh", "glass", "stone", "plastic", "upholstered")
+QUALIFIER_WORDS = ("angled", "curved", "rounded", "tapered", "slender", "thick", "thin", "tubular", "integrated", "wraparound", "open", "closed", "compact", "monolithic", "floating")
+ABSTRACT_TERMS = ("design", "aesthetic", "style", "silhouette", "presence", "look", "appearance", "feel")
+STOP_WORDS = ("a", "an", "and", "or", "the", "with", "without", "of", "on", "in", "to", "for")
+SAME_WORDS = (("backrest", "back"), ("armrest", "arm"), ("curved", "curve"), ("rounded", "round"), ("angled", "angle"), ("tall", "high"))
+COUNTED_PARTS = r"\b(one|two|three|four|five|six|seven|eight|nine|ten|[0-9]+)\b.*\b(leg|caster|wheel|arm)\b"
+COMPONENT_GROUPS = (
+    ("leg", "legs"), ("base|plinth|pedestal", "base"), ("frame", "frame"), ("back|backrest", "back"), ("arm|arms|armrest", "arms"), ("seat|cushion", "seat"), ("shell", "shell"),
+    ("top|tabletop", "top"), ("material|wood|metal|fabric|leather|mesh", "material"), ("curved|rounded|boxy|angular|monolithic|floating|compact|tall", "form"),
+)
 
-    The fold runs over one record's few bullets inside an expression.
+
+def _words(bullet: Column) -> Column:
+    return F.filter(F.split(bullet, " "), lambda w: w != "")
+
+
+def _among(words: Column, listed: Sequence[str]) -> Column:
+    """How many of the words are listed, repeated ones as often as they come."""
+    return F.size(F.filter(words, lambda w: w.isin(*listed)))
+
+
+def component_group(bullet: Column) -> Column:
+    """The part that a bullet is about, by its first matching rule, or ``misc``."""
+    out = None
+    for words, group in COMPONENT_GROUPS:
+        hit = bullet.rlike(rf"\b({words})\b")
+        out = F.when(hit, group) if out is None else out.when(hit, group)
+    return out.otherwise("misc")
+
+
+def bullet_score(bullet: Column) -> Column:
+    """3 for each material and component word, 2 for each qualifier, 1 from three words on, 1 more from five."""
+    words = _words(bullet)
+    n = F.size(words)
+    return (3 * _among(words, MATERIAL_WORDS) + 3 * _among(words, COMPONENT_NOUNS) + 2 * _among(words, QUALIFIER_WORDS) + (n >= 3).cast("int") + (n >= 5).cast("int")).cast("int")
+
+
+def low_value_bullet(bullet: Column) -> Column:
+    """Blocked words, counted parts, a bare object noun, or three words or more that are abstract only."""
+    words = _words(bullet)
+    n = F.size(words)
+    abstract = (_among(words, ABSTRACT_TERMS) > 0) & (_among(words, MATERIAL_WORDS) == 0) & (_among(words, COMPONENT_NOUNS) <= 1) & (n >= 3)
+    return (F.coalesce(bullet, F.lit("")) == "") | bullet.isin(*LOW_VALUE) | bullet.rlike(COUNTED_PARTS) | ((n <= 2) & (_among(words, OBJECT_NOUNS) > 0)) | abstract
+
+
+def compare_tokens(bullet: Column) -> Column:
+    """Words for overlap: without stop words, some forms as one."""
+    words = F.split(F.regexp_replace(F.lower(bullet), r"[^a-z0-9\s-]", " "), r"\s+")
+
+    def same(w):
+        out = None
+        for form, word in SAME_WORDS:
+            out = F.when(w == form, word) if out is None else out.when(w == form, word)
+        return out.otherwise(w)
+
+    return F.filter(F.transform(words, same), lambda w: (w != "") & ~w.isin(*STOP_WORDS))
+
+
+def clean_highlights(bullets: DataFrame, keep: int = 8) -> DataFrame:
+    """(record_id, highlights): bullets (record_id, ord, text) in their order, without low-value ones and overlaps.
+
+    Bullets overlap if one holds the other, if they are about the same part and share two words, or if
+    they share 0.7 of the longer one's words. Of two that overlap the higher score stays, at the place
+    of the first. Repeated bullets count once. The fold runs over one record's few bullets inside an
+    expression; records without a bullet left have none.
     """
-    rows = bullets.withColumn("norm", norm_bullet(F.col("text"))).where("norm <> ''")
-    item = F.struct((-F.col("score")).alias("order"), "norm", F.split("norm", " ").alias("words"))
+    rows = bullets.withColumn("norm", norm_bullet(F.col("text"))).where(~low_value_bullet(F.col("norm")))
+    rows = rows.groupBy("record_id", "norm").agg(F.min("ord").alias("ord"))
+    item = F.struct("ord", "norm", component_group(F.col("norm")).alias("part"), compare_tokens(F.col("norm")).alias("tokens"), bullet_score(F.col("norm")).alias("score"))
     lists = rows.groupBy("record_id").agg(F.array_sort(F.collect_list(item)).alias("items"))
-    empty = F.array().cast("array<struct<norm:string,words:array<string>>>")
+    empty = F.slice("items", 1, 0)
+
+    def overlaps(x, k):
+        shared = F.size(F.filter(x["tokens"], lambda t: F.array_contains(k["tokens"], t)))
+        longer = F.greatest(F.size(x["tokens"]), F.size(k["tokens"]), F.lit(1))
+        return F.contains(x["norm"], k["norm"]) | F.contains(k["norm"], x["norm"]) | ((x["part"] == k["part"]) & (x["part"] != "misc") & (shared >= 2)) | (shared / longer >= 0.7)
 
     def add(kept, x):
-        close = F.exists(kept, lambda k: F.size(F.array_intersect(k["words"], x["words"])) / F.size(F.array_union(k["words"], x["words"])) >= alike)
-        return F.when(close, kept).otherwise(F.concat(kept, F.array(F.struct(x["norm"].alias("norm"), x["words"].alias("words")))))
+        at = F.array_position(F.transform(kept, lambda k: overlaps(x, k)), F.lit(True))
+        replaced = F.transform(kept, lambda k, i: F.when((i + 1 == at) & (x["score"] > k["score"]), x).otherwise(k))
+        return F.when(at == 0, F.concat(kept, F.array(x))).otherwise(replaced)
 
     return lists.select("record_id", F.transform(F.slice(F.aggregate("items", empty, add), 1, keep), lambda k: k["norm"]).alias("highlights"))
 

@@ -130,27 +130,44 @@ def rollup_to_product(scored: DataFrame, by: Sequence[str] = ("query_id",), top:
     return products.withColumn("product_rank", F.row_number().over(best).cast("long"))
 
 
-def trait_boost(traits: DataFrame, bullets: DataFrame, groups: DataFrame, mandatory: Sequence[str] = ()) -> DataFrame:
-    """(query_id, image_id, boost): hits and misses of a query's bullets on an image's traits.
+#: A high-priority bullet that names one of these costs more when it is missed.
+NEAR_MANDATORY = ("lumbar", "caster", "casters", "wheel", "wheels", "mesh back", "mesh backrest", "angled metal legs", "thin angled metal legs", "curved armrests", "slim curved armrests", "rounded seat cushion")
 
-    bullets: (query_id, ord, priority, field, value). A hit adds 0.35, 0.10 or 0.05 by priority; a miss
-    takes 0.2 (0.55 for a mandatory field), 0.06 or 0, half of it when expected and stored values share a
-    group (field, value, grp). A later bullet of a field overwrites an earlier one.
+
+def trait_boost(pairs: DataFrame, traits: DataFrame, bullets: DataFrame, groups: DataFrame) -> DataFrame:
+    """``pairs`` (query_id, image_id, exact) with ``boost`` and ``matched``: a query's bullets against an image's traits.
+
+    bullets: (query_id, ord, priority, text, field, value), a few for each query; field and value are null
+    where the text could not be parsed. They are taken from high to low priority; a repeated text
+    counts once, a later bullet of a field overwrites an earlier one. A hit adds 0.35, 0.10 or 0.05 by
+    priority. A miss, which a field that is unknown or absent in the image is too, takes 0.2 (0.55 for
+    near-mandatory words) or 0.06, half of it when expected and stored values share a group (field,
+    value, grp), and nothing at low priority or for the query's exact source image. ``matched`` lists
+    all hits' texts but those that say something is absent.
     """
     level = F.when(F.col("priority") == "high", 0).when(F.col("priority") == "normal", 1).otherwise(2)
-    wanted = bullets.where(~is_absence(F.col("value")) & F.col("field").isNotNull()).withColumn("level", level)
+    rows = bullets.withColumns({"level": level, "norm": norm_alnum(F.col("text")), "value": norm_alnum(F.col("value"))}).where("norm <> ''")
+    once = W.partitionBy("query_id", "norm").orderBy("level", "ord")
+    rows = rows.withColumn("n", F.row_number().over(once)).where("n = 1 AND field IS NOT NULL AND value NOT IN ('', 'unknown')")
     last = W.partitionBy("query_id", "field").orderBy(F.desc("level"), F.desc("ord"))
-    wanted = wanted.withColumn("n", F.row_number().over(last)).where("n = 1").drop("n")
-    stored = traits.where(~norm_alnum(F.col("value")).isin("", "unknown")).select("image_id", "field", F.col("value").alias("stored"))
-    pairs = stored.join(wanted, "field")
-    near = groups.select("field", F.col("value").alias("stored"), F.col("grp").alias("g1")).join(groups.select("field", "value", F.col("grp").alias("g2")), "field").where("g1 = g2").select("field", "stored", "value", F.lit(True).alias("near"))
-    pairs = pairs.join(F.broadcast(near.distinct()), ["field", "stored", "value"], "left")
-    hit = norm_alnum(F.col("stored")) == norm_alnum(F.col("value"))
-    gain = F.element_at(F.array(F.lit(0.35), F.lit(0.10), F.lit(0.05)), F.col("level") + 1)
-    must = F.when(F.col("field").isin(*mandatory), 0.55).otherwise(0.2) if mandatory else F.lit(0.2)
-    loss = F.when(F.col("level") == 0, must).when(F.col("level") == 1, 0.06).otherwise(0.0)
-    part = F.when(hit, gain).otherwise(-loss * F.when(F.col("near"), 0.5).otherwise(1.0))
-    return pairs.groupBy("query_id", "image_id").agg(F.round(F.sum(part), 6).alias("boost"))
+    member = groups.select("field", norm_alnum(F.col("value")).alias("value"), "grp")
+    near = member.join(member.withColumnRenamed("value", "other"), ["field", "grp"]).where("value <> other").groupBy("field", "value").agg(F.collect_set("other").alias("near"))
+    must = functools.reduce(lambda a, b: a | b, (F.contains("norm", F.lit(t)) for t in NEAR_MANDATORY))
+    rows = rows.withColumns({
+        "counts": F.row_number().over(last) == 1,
+        "gain": F.element_at(F.array(F.lit(0.35), F.lit(0.10), F.lit(0.05)), F.col("level") + 1),
+        "loss": F.when(F.col("level") == 0, F.when(must, 0.55).otherwise(0.2)).when(F.col("level") == 1, 0.06).otherwise(0.0),
+        "said": ~is_absence(F.col("text")),
+    }).join(F.broadcast(near), ["field", "value"], "left")
+    asked = rows.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("level", "ord", "text", "field", "value", "near", "counts", "gain", "loss", "said"))).alias("asked"))
+    value = norm_alnum(F.col("value"))
+    stored = traits.where(~value.isin("", "unknown")).groupBy("image_id").agg(F.map_from_entries(F.collect_list(F.struct("field", value.alias("value")))).alias("stored"))
+    has = lambda b: F.try_element_at(F.coalesce("stored", F.create_map().cast("map<string,string>")), b["field"])
+    part = lambda b: F.when(has(b) == b["value"], b["gain"]).when(F.col("exact"), 0.0).otherwise(-b["loss"] * F.when(F.array_contains(b["near"], has(b)), 0.5).otherwise(1.0))
+    total = F.aggregate(F.filter("asked", lambda b: b["counts"]), F.lit(0.0), lambda s, b: s + part(b))
+    matched = F.transform(F.filter("asked", lambda b: b["said"] & (has(b) == b["value"])), lambda b: b["text"])
+    found = pairs.join(asked, "query_id", "left").join(stored, "image_id", "left")
+    return found.select(*pairs.columns, F.coalesce(F.round(total, 6), F.lit(0.0)).alias("boost"), F.coalesce(matched, F.array().cast("array<string>")).alias("matched"))
 
 
 def score_cutoff(ranked: DataFrame, by: str = "query_id", least: int = 3, most: int = 20, gap: float = 0.3, ratio: float = 1.5, floor: float = 0.7, uniform: float = 0.8) -> DataFrame:

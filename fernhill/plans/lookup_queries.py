@@ -159,10 +159,71 @@ def clarify(products):
     return products.select("product_id", T.first_rule(text, [("nut", "stool|bench"), ("small", "stool")], "any").alias("options"))
 
 
-@query("r18_clean_highlights", None, "fx_traits")
-def highlights(traits):
-    bullets = traits.where("value <> 'unknown'").select(F.col("product_id").alias("record_id"), F.concat_ws(" ", F.replace("field", F.lit("_"), F.lit(" ")), "value").alias("text"), F.length("field").alias("score")).distinct()
-    return P.clean_highlights(bullets)
+_PHRASES = [
+    "Tapered wooden legs", "curved wood back", "Four legs", "modern design", "thin metal frame legs", "Rounded armrests!!", "mesh mesh backrest", "the back of mesh", "stool", "open seat", "a quiet design presence",
+    "upholstered seat cushions, thick", "floating top", "metal legs", "chrome base with 5 casters wheel", "tall angular silhouette look", "glass top panel", "slender wood leg tapered", "wraparound shell", " closed side panels. ",
+]
+_SQL_PHRASES = "raw AS (SELECT product_id AS record_id, position AS ord, [" + ", ".join(repr(x) for x in _PHRASES) + f"][CAST((image_id * 7 + position) % {len(_PHRASES)} AS INTEGER) + 1] AS text FROM fx_images)"
+_NORM = "trim(lower(text))"
+for _pattern, _to in ((r"[;:,.!?]{2,}", "."), (r"\s+", " "), (r"^[,.;:!?]+|[,.;:!?]+$", ""), *((rf"\b{a}\b", b) for a, b in T.BULLET_FORMS)):
+    _NORM = f"regexp_replace({_NORM}, '{_pattern}', '{_to}', 'g')"
+_NORM = f"replace({_NORM}, 'mesh mesh', 'mesh')"  # the one doubled word among the phrases; there are no back-references here
+_COUNT = lambda words: f"len(list_filter(ws, lambda w: list_contains({list(words)}, w)))"
+_SQL_BULLETS = f"""{_SQL_PHRASES},
+normed AS (SELECT record_id, ord, {_NORM} AS norm FROM raw),
+words AS (SELECT *, list_filter(string_split(norm, ' '), lambda w: w <> '') AS ws FROM normed),
+judged AS (
+  SELECT record_id, ord, norm,
+    3 * {_COUNT(P.MATERIAL_WORDS)} + 3 * {_COUNT(P.COMPONENT_NOUNS)} + 2 * {_COUNT(P.QUALIFIER_WORDS)} + CASE WHEN len(ws) >= 5 THEN 2 WHEN len(ws) >= 3 THEN 1 ELSE 0 END AS score,
+    norm = '' OR list_contains({list(P.LOW_VALUE)}, norm) OR regexp_matches(norm, '{P.COUNTED_PARTS}') OR (len(ws) <= 2 AND {_COUNT(P.OBJECT_NOUNS)} > 0)
+      OR ({_COUNT(P.ABSTRACT_TERMS)} > 0 AND {_COUNT(P.MATERIAL_WORDS)} = 0 AND {_COUNT(P.COMPONENT_NOUNS)} <= 1 AND len(ws) >= 3) AS low,
+    CASE {" ".join(f"WHEN regexp_matches(norm, '{chr(92)}b({w}){chr(92)}b') THEN '{g}'" for w, g in P.COMPONENT_GROUPS)} ELSE 'misc' END AS part,
+    list_filter(list_transform(regexp_split_to_array(regexp_replace(norm, '[^a-z0-9\\s-]', ' ', 'g'), '\\s+'), lambda w: CASE w {" ".join(f"WHEN '{a}' THEN '{b}'" for a, b in P.SAME_WORDS)} ELSE w END), lambda w: w <> '' AND NOT list_contains({list(P.STOP_WORDS)}, w)) AS tokens
+  FROM words)"""
+
+
+def _bullets(images):
+    n = len(_PHRASES)
+    text = F.element_at(F.array(*map(F.lit, _PHRASES)), ((F.col("image_id") * 7 + F.col("position")) % n).cast("int") + 1)
+    return images.select(F.col("product_id").alias("record_id"), F.col("position").alias("ord"), text.alias("text"))
+
+
+@query("f41_norm_bullet", f"WITH {_SQL_BULLETS} SELECT record_id, ord, norm FROM judged", "fx_images")
+def normed_bullets(images):
+    return _bullets(images).select("record_id", "ord", T.norm_bullet(F.col("text")).alias("norm"))
+
+
+@query("f42_bullet_part", f"WITH {_SQL_BULLETS} SELECT record_id, ord, part FROM judged", "fx_images")
+def bullet_parts(images):
+    return _bullets(images).select("record_id", "ord", P.component_group(T.norm_bullet(F.col("text"))).alias("part"))
+
+
+@query("f43_bullet_score", f"WITH {_SQL_BULLETS} SELECT record_id, ord, CAST(score AS INTEGER) AS score FROM judged", "fx_images")
+def bullet_scores(images):
+    return _bullets(images).select("record_id", "ord", P.bullet_score(T.norm_bullet(F.col("text"))).alias("score"))
+
+
+@query("f44_low_value_bullet", f"WITH {_SQL_BULLETS} SELECT record_id, ord, low FROM judged", "fx_images")
+def low_bullets(images):
+    return _bullets(images).select("record_id", "ord", P.low_value_bullet(T.norm_bullet(F.col("text"))).alias("low"))
+
+
+_OVERLAP = """(contains(x[1].norm, k.norm) OR contains(k.norm, x[1].norm)
+  OR (x[1].part = k.part AND k.part <> 'misc' AND len(list_filter(x[1].tokens, lambda t: list_contains(k.tokens, t))) >= 2)
+  OR len(list_filter(x[1].tokens, lambda t: list_contains(k.tokens, t))) / greatest(len(x[1].tokens), len(k.tokens), 1) >= 0.7)"""
+_AT = f"coalesce(list_position(list_transform(kept, lambda k: {_OVERLAP}), true), 0)"
+
+
+@query("r18_clean_highlights", f"""
+WITH {_SQL_BULLETS},
+firsts AS (SELECT record_id, norm, min(ord) AS ord, any_value(part) AS part, any_value(tokens) AS tokens, any_value(score) AS score FROM judged WHERE NOT low GROUP BY record_id, norm),
+lists AS (SELECT record_id, list([{{'norm': norm, 'part': part, 'tokens': tokens, 'score': score}}] ORDER BY ord, norm) AS items FROM firsts GROUP BY record_id),
+folded AS (
+  SELECT record_id, list_reduce(items, lambda kept, x: CASE WHEN {_AT} = 0 THEN list_concat(kept, x)
+    ELSE list_transform(kept, lambda k, i: CASE WHEN i = {_AT} AND x[1].score > k.score THEN x[1] ELSE k END) END) AS kept FROM lists)
+SELECT record_id, array_to_string(list_transform(kept[1:8], lambda k: k.norm), '|') AS highlights FROM folded""", "fx_images")
+def highlights(images):
+    return P.clean_highlights(_bullets(images)).select("record_id", F.array_join("highlights", "|").alias("highlights"))
 
 
 @query("r19_matched_phrases", """

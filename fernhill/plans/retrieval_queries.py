@@ -12,7 +12,7 @@ _TOPK = """
 near AS (
   SELECT q.vec_id AS query_id, i.vec_id AS image_id, i.label AS product_id,
          round(list_cosine_similarity(q.embedding::DOUBLE[], i.embedding::DOUBLE[]), 6) + 0.0 AS similarity
-  FROM {embeddings} q JOIN {embeddings} i ON q.vec_id % 50 = 0),
+  FROM {embeddings} q JOIN {embeddings} i ON q.vec_id % 20 = 0),
 topk AS (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, image_id) AS rank FROM near
   QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, image_id) <= 50)"""
@@ -20,7 +20,7 @@ topk AS (
 
 def _topk(emb, k=50):
     images = emb.select(F.col("vec_id").alias("image_id"), "embedding")
-    queries = emb.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    queries = emb.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
     return R.vector_topk(images, queries, k).join(emb.select(F.col("vec_id").alias("image_id"), F.col("label").alias("product_id")), "image_id")
 
 
@@ -49,7 +49,7 @@ def vector_topk(emb):
 @query("r2_ann_topk", None, "embeddings")
 def ann_topk(emb):
     images = emb.select(F.col("vec_id").alias("image_id"), "embedding")
-    return R.ann_topk(images, emb.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), 10)
+    return R.ann_topk(images, emb.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), 10)
 
 
 @query("r3_image_score", f"WITH {_SCORED} SELECT query_id, image_id, score FROM scored", "embeddings")
@@ -62,26 +62,40 @@ def search_rollup(emb):
     return R.rollup_to_product(_scored(emb)).drop("confidence")
 
 
-_BULLETS = [(0, 1, "high", "base_type", "value 1"), (0, 2, "normal", "base_finish", "value 2"), (0, 3, "low", "arm_option", "value 3"), (0, 4, "normal", "arm_option", "value 4"), (0, 5, "high", "back_height", "none"), (1, 1, "high", "back_height", "value 5"), (1, 2, "low", "base_type", "value 4")]
-_GROUPS = [("base_type", "value 1", "a"), ("base_type", "value 2", "a"), ("base_finish", "value 2", "b"), ("base_finish", "value 3", "b")]
-_SQL_BULLETS = "bullets(query_id, ord, priority, field, value) AS (VALUES " + ", ".join(map(str, _BULLETS)) + ")"
+_BULLETS = [
+    (0, 1, "high", "Base type: value 1", "base_type", "value 1"), (0, 2, "normal", "Base finish: value 2", "base_finish", "value 2"), (0, 3, "low", "Arm option: value 3", "arm_option", "value 3"),
+    (0, 4, "normal", "Arm option: value 4", "arm_option", "value 4"), (0, 5, "high", "Back height: none", "back_height", "none"), (0, 6, "low", "base type - Value 1", "base_type", "value 1"),
+    (0, 7, "high", "some free words", None, None), (0, 8, "normal", "Seat: unknown", "seat", "unknown"),
+    (1, 1, "high", "Back height, lumbar: value 5", "back_height", "value 5"), (1, 2, "low", "Base type: value 4", "base_type", "value 4"), (1, 3, "high", "Wheel size: value 1", "wheel_size", "value 1"),
+]
+_GROUPS = [("base_type", "value 1", "a"), ("base_type", "value 2", "a"), ("base_finish", "value 2", "b"), ("base_finish", "value 3", "b"), ("back_height", "value 5", "c"), ("back_height", "value 6", "c")]
+_SQL_BULLETS = "bullets(query_id, ord, priority, text, field, value) AS (VALUES " + ", ".join("(" + ", ".join("NULL" if x is None else repr(x) for x in r) + ")" for r in _BULLETS) + ")"
 _SQL_GROUPS = "groups(field, value, grp) AS (VALUES " + ", ".join(map(str, _GROUPS)) + ")"
 
 
 @query("r4_trait_boost", f"""
 WITH {_SQL_BULLETS}, {_SQL_GROUPS},
-lv AS (SELECT *, CASE priority WHEN 'high' THEN 0 WHEN 'normal' THEN 1 ELSE 2 END AS level FROM bullets WHERE value <> 'none'),
-wanted AS (SELECT * FROM lv QUALIFY row_number() OVER (PARTITION BY query_id, field ORDER BY level DESC, ord DESC) = 1),
-pairs AS (
-  SELECT w.query_id, t.image_id, w.level, w.field, w.value, t.value AS stored,
-         EXISTS (SELECT 1 FROM groups a JOIN groups b ON a.field = b.field AND a.grp = b.grp WHERE a.field = w.field AND a.value = t.value AND b.value = w.value) AS near
-  FROM wanted w JOIN fx_traits t ON t.field = w.field AND t.value <> 'unknown')
-SELECT query_id, image_id, round(sum(CASE WHEN stored = value THEN CASE level WHEN 0 THEN 0.35 WHEN 1 THEN 0.10 ELSE 0.05 END
-  ELSE -(CASE level WHEN 0 THEN CASE WHEN field = 'base_type' THEN 0.55 ELSE 0.2 END WHEN 1 THEN 0.06 ELSE 0.0 END) * CASE WHEN near THEN 0.5 ELSE 1.0 END END)::DOUBLE, 6) AS boost
-FROM pairs GROUP BY query_id, image_id""", "fx_traits")
-def trait_boost(traits):
-    bullets = rows(traits, _BULLETS, "query_id long, ord long, priority string, field string, value string")
-    return R.trait_boost(traits, bullets, rows(traits, _GROUPS, "field string, value string, grp string"), ("base_type",)).withColumn("query_id", F.col("query_id").cast("int"))
+lv AS (SELECT *, CASE priority WHEN 'high' THEN 0 WHEN 'normal' THEN 1 ELSE 2 END AS level, trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) AS norm FROM bullets),
+once AS (SELECT * FROM lv QUALIFY row_number() OVER (PARTITION BY query_id, norm ORDER BY level, ord) = 1),
+asked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id, field ORDER BY level DESC, ord DESC) = 1 AS counts, list_contains(['none', 'no', 'without', 'absent', 'hidden', 'concealed', 'unknown'], split_part(norm, ' ', -1)) AS absent
+  FROM once WHERE field IS NOT NULL AND value <> 'unknown'),
+pairs AS (SELECT image_id, q.query_id, image_id % 97 = q.query_id AS exact FROM fx_images, (VALUES (0), (1)) AS q(query_id)),
+stored AS (SELECT image_id, field, value AS held FROM fx_traits WHERE value <> 'unknown'),
+parts AS (
+  SELECT p.query_id, p.image_id, p.exact, a.*, CASE s.held WHEN 'off-list' THEN 'off list' ELSE s.held END AS held,
+         EXISTS (SELECT 1 FROM groups x JOIN groups y ON x.field = y.field AND x.grp = y.grp WHERE x.field = a.field AND x.value = s.held AND y.value = a.value AND s.held <> a.value) AS near
+  FROM pairs p JOIN asked a ON a.query_id = p.query_id LEFT JOIN stored s ON s.image_id = p.image_id AND s.field = a.field)
+SELECT query_id, image_id,
+  round(coalesce(sum(CASE WHEN held = value THEN [0.35, 0.10, 0.05][level + 1] WHEN exact THEN 0.0
+    ELSE -(CASE level WHEN 0 THEN CASE WHEN norm LIKE '%lumbar%' OR norm LIKE '%wheel%' THEN 0.55 ELSE 0.2 END WHEN 1 THEN 0.06 ELSE 0.0 END) * CASE WHEN near THEN 0.5 ELSE 1.0 END END) FILTER (WHERE counts), 0)::DOUBLE, 6) AS boost,
+  coalesce(string_agg(text, '|' ORDER BY level, ord) FILTER (WHERE held = value AND NOT absent), '') AS matched
+FROM parts GROUP BY query_id, image_id""", "fx_images", "fx_traits")
+def trait_boost(images, traits):
+    bullets = rows(traits, _BULLETS, "query_id int, ord int, priority string, text string, field string, value string")
+    pairs = images.select("image_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("query_id")).withColumn("exact", F.col("image_id") % 97 == F.col("query_id"))
+    found = R.trait_boost(pairs, traits, bullets, rows(traits, _GROUPS, "field string, value string, grp string"))
+    return found.select("query_id", "image_id", "boost", F.array_join("matched", "|").alias("matched"))
 
 
 @query("r8_refine_more_less", """
@@ -98,14 +112,14 @@ def refine(emb):
 
 @query("r9_similar_to_product", """
 WITH best AS (
-  SELECT product_id, vec_id FROM fx_images WHERE product_id % 100 = 1
+  SELECT product_id, vec_id FROM fx_images WHERE product_id % 20 = 0
   QUALIFY row_number() OVER (PARTITION BY product_id ORDER BY CASE confidence_tier WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END DESC, ai_refreshed_at DESC NULLS LAST, image_id) = 1),
 n AS (SELECT b.product_id AS query_id, i.vec_id AS image_id, round(list_cosine_similarity(q.embedding::DOUBLE[], i.embedding::DOUBLE[]), 6) + 0.0 AS similarity
       FROM best b JOIN {embeddings} q ON q.vec_id = b.vec_id CROSS JOIN {embeddings} i)
 SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, image_id) AS rank FROM n
 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, image_id) <= 5""", "fx_images", "embeddings")
 def similar_to_product(images, emb):
-    target = R.target_vector(images.where("product_id % 100 = 1")).select(F.col("product_id").alias("query_id"), "vec_id")
+    target = R.target_vector(images.where("product_id % 20 = 0")).select(F.col("product_id").alias("query_id"), "vec_id")
     return R.vector_topk(emb.select(F.col("vec_id").alias("image_id"), "embedding"), target.join(emb, "vec_id").select("query_id", "embedding"), 5)
 
 
@@ -232,11 +246,11 @@ def apply_order(rankings):
 @query("e1_self_retrieval", """
 WITH n AS (
   SELECT q.vec_id AS query_id, q.label, i.label AS product_id, max(round(list_cosine_similarity(q.embedding::DOUBLE[], i.embedding::DOUBLE[]), 6) + 0.0) AS s
-  FROM {embeddings} q JOIN {embeddings} i ON q.vec_id % 50 = 0 AND i.vec_id <> q.vec_id GROUP BY ALL),
+  FROM {embeddings} q JOIN {embeddings} i ON q.vec_id % 20 = 0 AND i.vec_id <> q.vec_id GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, product_id) AS rank FROM n)
 SELECT count(*) AS queries, round(avg((rank = 1)::INT), 6) AS at_1, round(avg((rank <= 3)::INT), 6) AS at_3, round(avg(rank), 6) AS mean_rank FROM r WHERE label = product_id""", "embeddings")
 def self_retrieval(emb):
-    q = emb.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding", "label")
+    q = emb.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding", "label")
     near = R.product_similarity(emb.select(F.col("vec_id").alias("image_id"), F.col("label").alias("product_id"), "embedding"), q)
     ranked = near.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("similarity"), "product_id"))).join(q.select("query_id", "label"), "query_id").where("label = product_id")
     share = lambda c: F.round(F.avg(c.cast("int")), 6)
@@ -257,6 +271,14 @@ def target(images):
     return R.target_vector(images).select("product_id", "image_id", "vec_id")
 
 
-@query("f30_hash_embed", None, "fx_products")
+_BYTE = "CAST('0x' || substr(h, {k} * 2 + 1, 2) AS INTEGER)"
+_ENTRIES = " UNION ALL ".join(f"SELECT product_id AS id, ({_BYTE.format(k=2 * i)} * 256 + {_BYTE.format(k=2 * i + 1)}) % 192 AS dim, (CASE WHEN {_BYTE.format(k=8 + i)} % 2 = 0 THEN 1 ELSE -1 END) * (1 + {_BYTE.format(k=12 + i)} / 255.0::DOUBLE) AS x FROM tokens" for i in range(4))
+
+
+@query("f30_hash_embed", f"""
+WITH tokens AS (SELECT product_id, sha1(token) AS h FROM (SELECT product_id, unnest(string_split(lower(product_name), ' ')) AS token FROM fx_products) WHERE length(token) > 1),
+e AS ({_ENTRIES}), s AS (SELECT id, dim, sum(x) AS x FROM e GROUP BY id, dim)
+SELECT id, dim, round(x / sqrt(sum(x * x) OVER (PARTITION BY id)), 6) AS x FROM s""", "fx_products")
 def hash_embed(products):
-    return V.hash_embed(products.select(F.col("product_id").alias("id"), T.tokenize(F.col("product_name")).alias("tokens")))
+    found = V.hash_embed(products.select(F.col("product_id").alias("id"), T.tokenize(F.col("product_name")).alias("tokens")))
+    return found.select("id", F.posexplode("vector").alias("dim", "x")).where("x <> 0")
