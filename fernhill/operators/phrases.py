@@ -72,6 +72,17 @@ def category_noun(rows: DataFrame, nouns: Sequence[str], within: int = 10) -> Da
     return rows.withColumn("noun", F.get(hits, F.lit(0)))
 
 
+def field_priority(rows: DataFrame, listed: DataFrame, fallback: str) -> DataFrame:
+    """``rows`` (visual_type, field, ...) with ``priority`` by the list (visual_type, field, priority), normal by default.
+
+    A type that the list does not know has the priorities of the ``fallback`` type.
+    """
+    known = listed.select("visual_type").distinct().withColumn("known", F.lit(True))
+    typed = rows.join(F.broadcast(known), "visual_type", "left").withColumn("listed_type", F.when(F.col("known"), F.col("visual_type")).otherwise(fallback))
+    found = typed.join(F.broadcast(listed.withColumnRenamed("visual_type", "listed_type")), ["listed_type", "field"], "left")
+    return found.withColumn("priority", F.coalesce("priority", F.lit("normal"))).drop("known", "listed_type")
+
+
 def contains_any(text: Column, phrases: Sequence[str]) -> Column:
     hit = F.lit(False)
     for p in phrases:

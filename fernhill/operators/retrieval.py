@@ -116,20 +116,55 @@ def image_score(df: DataFrame, similarity: Column, trait: Column, category: Colu
 
 
 def rollup_to_product(scored: DataFrame, by: Sequence[str] = ("query_id",), top: int = 3) -> DataFrame:
-    """Best image, match count, ordered image ids and product rank from scored images."""
+    """Best image, match count, ordered image ids and product rank from scored images.
+
+    Where ``scored`` has them: ``image_url`` gives all urls in order, ``ai_refreshed_at`` the latest one,
+    ``room`` and ``exact`` whether any image is a room scene or the exact source; a product with the
+    exact source comes first.
+    """
     order = (F.desc("score"), F.desc("confidence"), "image_id")
     w = W.partitionBy(*by, "product_id").orderBy(*order)
     ranked = scored.withColumn("pos", F.row_number().over(w))
+    more = {
+        "image_url": F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "image_url"))), lambda x: x["image_url"]), ",").alias("image_urls") if "image_url" in scored.columns else None,
+        "ai_refreshed_at": F.max("ai_refreshed_at").alias("ai_refreshed_at"), "room": F.max("room").alias("is_room_scene"), "exact": F.max("exact").alias("is_exact_source"),
+    }
     products = ranked.groupBy(*by, "product_id").agg(
         F.max(F.when(F.col("pos") == 1, F.col("image_id"))).alias("hero_image_id"),
         F.max("score").alias("score"), F.max(F.when(F.col("pos") == 1, F.col("confidence"))).alias("confidence"),
         F.count("*").alias("match_count"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("pos") <= top, F.struct("pos", "image_id")))), lambda x: x["image_id"].cast("string")), ",").alias("top_images"),
+        *(c for name, c in more.items() if name in scored.columns),
     )
-    best = W.partitionBy(*by).orderBy(F.desc("score"), F.desc("confidence"), "product_id")
+    first = [F.desc("is_exact_source")] if "exact" in scored.columns else []
+    best = W.partitionBy(*by).orderBy(*first, F.desc("score"), F.desc("confidence"), "product_id")
     return products.withColumn("product_rank", F.row_number().over(best).cast("long"))
 
 
+def search(images: DataFrame, queries: DataFrame, traits: DataFrame, bullets: DataFrame, groups: DataFrame, families: Sequence[Sequence[str]], candidates: int = 1000, limit: int = 10) -> DataFrame:
+    """The whole search of a batch of queries: scope, vectors, scores, products, order and limit.
+
+    images: (image_id, product_id, visual_type, category, stage_0_result, excluded, confidence, image_url,
+    ai_refreshed_at, room, embedding); queries: (query_id, visual_type, category, source_image,
+    refreshed_since, embedding). Only product images of a type that is interchangeable with the
+    query's (``families``) are searched; each query keeps ``candidates`` of them by cosine, ties by
+    id, and these are scored with trait boost, category, exact source and room scene. Products come
+    with the exact source first, then by score and confidence; those last refreshed before the
+    query's ``refreshed_since`` (null: none) go before the limit.
+    """
+    open_ = images.where("stage_0_result = 'product' AND NOT excluded AND embedding IS NOT NULL")
+    near = [vector_topk(open_.where(F.col("visual_type").isin(*kinds)), queries.where(F.col("visual_type").isin(*kinds)), candidates) for kinds in families]
+    asked = queries.select("query_id", F.col("category").alias("wanted"), "source_image", "refreshed_since")
+    rows = functools.reduce(DataFrame.unionByName, near).join(images.drop("embedding", "excluded", "stage_0_result"), "image_id").join(asked, "query_id")
+    rows = rows.withColumn("exact", F.coalesce(F.col("image_id") == F.col("source_image"), F.lit(False)))
+    boosted = trait_boost(rows, traits, bullets, groups)
+    scored = image_score(boosted, F.col("similarity"), F.col("boost"), F.coalesce(F.col("category") == F.col("wanted"), F.lit(False)), F.col("exact"), F.col("room"))
+    products = rollup_to_product(scored).join(asked.select("query_id", "refreshed_since"), "query_id")
+    fresh = products.where(F.col("refreshed_since").isNull() | (F.col("ai_refreshed_at") >= F.col("refreshed_since")))
+    best = W.partitionBy("query_id").orderBy("product_rank")
+    return fresh.withColumn("place", F.row_number().over(best).cast("long")).where(F.col("place") <= limit).drop("refreshed_since", "product_rank")
+
+
 #: A high-priority bullet that names one of these costs more when it is missed.
 NEAR_MANDATORY = ("lumbar", "caster", "casters", "wheel", "wheels", "mesh back", "mesh backrest", "angled metal legs", "thin angled metal legs", "curved armrests", "slim curved armrests", "rounded seat cushion")
 

@@ -95,14 +95,15 @@ def merge_traits(traits):
 _TRAJECTORY = """
 images AS (SELECT DISTINCT product_id, visual_type, position FROM fx_traits),
 big AS (SELECT product_id FROM images GROUP BY 1 HAVING count(*) >= 8),
-pairs AS (SELECT DISTINCT product_id, position, field, value FROM fx_traits WHERE lower(value) NOT IN ('', 'unknown', 'n/a', 'na') AND position <= 12),
+pairs AS (SELECT DISTINCT product_id, position, field, value FROM fx_traits WHERE lower(value) NOT IN ('', 'unknown', 'n/a', 'na')),
 np AS (SELECT product_id, position, count(*) AS n FROM (SELECT product_id, min(position) AS position FROM pairs GROUP BY product_id, field, value) GROUP BY ALL),
 nf AS (SELECT product_id, position, count(*) AS n FROM (SELECT product_id, min(position) AS position FROM pairs GROUP BY product_id, field) GROUP BY ALL),
 g AS (SELECT i.product_id, i.visual_type, i.position, coalesce(np.n, 0) AS new_pairs, coalesce(nf.n, 0) AS new_fields
-      FROM images i JOIN big USING (product_id) LEFT JOIN np USING (product_id, position) LEFT JOIN nf USING (product_id, position) WHERE i.position <= 12),
-traj AS (SELECT *, new_pairs - new_fields AS new_values, CAST(sum(new_pairs) OVER r AS BIGINT) AS cumulative,
+      FROM images i JOIN big USING (product_id) LEFT JOIN np USING (product_id, position) LEFT JOIN nf USING (product_id, position)),
+whole AS (SELECT *, new_pairs - new_fields AS new_values, CAST(sum(new_pairs) OVER r AS BIGINT) AS cumulative,
            CASE WHEN sum(new_pairs) OVER p > 0 THEN round(sum(new_pairs) OVER r / sum(new_pairs) OVER p, 6) ELSE 0.0 END AS coverage
-         FROM g WINDOW p AS (PARTITION BY product_id), r AS (PARTITION BY product_id ORDER BY position ROWS UNBOUNDED PRECEDING))"""
+         FROM g WINDOW p AS (PARTITION BY product_id), r AS (PARTITION BY product_id ORDER BY position ROWS UNBOUNDED PRECEDING)),
+traj AS (SELECT * FROM whole WHERE position <= 12)"""
 _CURVE = _TRAJECTORY + """,
 curve AS (SELECT visual_type, position, count(*) AS support, round(avg(new_pairs), 6) AS mean_new, round(quantile_cont(new_pairs::DOUBLE, 0.5), 6) AS median_new,
   round(quantile_cont(new_pairs::DOUBLE, 0.75), 6) AS p75_new, round(quantile_cont(new_pairs::DOUBLE, 0.9), 6) AS p90_new, round(avg(coverage), 6) AS mean_coverage, count(*) < 20 AS low_confidence
@@ -146,7 +147,7 @@ def crossing(traits):
     return K.threshold_crossing(K.coverage_trajectory(traits))
 
 
-@query("k8_cap_scorecard", f"""WITH {_TRAJECTORY}, p AS (SELECT cap, product_id, max(coverage) FILTER (WHERE position <= cap) AS c, count(*) AS n FROM traj CROSS JOIN (SELECT unnest([4, 6, 8, 10, 12])::BIGINT AS cap) GROUP BY ALL)
+@query("k8_cap_scorecard", f"""WITH {_TRAJECTORY}, p AS (SELECT cap, product_id, max(coverage) FILTER (WHERE position <= cap) AS c, count(*) AS n FROM whole CROSS JOIN (SELECT unnest([4, 6, 8, 10, 12])::BIGINT AS cap) GROUP BY ALL)
 SELECT cap, round(avg(c), 6) AS mean_coverage, round(avg((c >= 0.9)::INT), 6) AS share_90, round(avg((c >= 0.95)::INT), 6) AS share_95,
   round((sum(least(n, cap)) * 0.009532::DOUBLE)::DOUBLE, 4) AS cost, round((sum(n - least(n, cap)) * 0.009532::DOUBLE)::DOUBLE, 4) AS savings FROM p GROUP BY 1""", "fx_traits")
 def scorecard(traits):

@@ -106,7 +106,7 @@ ORACLES |= {
         "s1_read_project_csv": """SELECT CAST(product_id AS VARCHAR) AS raw_id, concat(product_name, ', "q"') AS product_name, brand, a_level, 0::BIGINT AS n_c, concat('https://x.test/', product_id, '/1.jpg|https://x.test/2.png') AS urls FROM fx_products WHERE product_id % 10 <> 0""",
         "s2_read_export_dir": "SELECT CAST(product_id AS VARCHAR) AS product_id, product_name, brand, concat('https://x.test/', product_id, '.jpg?v=1') AS urls FROM fx_products",
         "s4_read_id_list": "SELECT CAST(product_id AS VARCHAR) AS product_id FROM fx_products WHERE product_id % 3 <> 2",
-        "s11_stage_index_snapshot": "WITH p AS (SELECT CASE WHEN product_id % 2 = 0 THEN concat('product_dp_', product_id) ELSE concat('product_0123456789ab_', product_id - product_id % 4) END AS product_id, product_name FROM fx_products WHERE product_id <= 200) SELECT * FROM p WHERE product_id LIKE 'product_dp_%' OR regexp_extract(product_id, '(\\d+)$', 1) NOT IN (SELECT regexp_extract(product_id, '(\\d+)$', 1) FROM p WHERE product_id LIKE 'product_dp_%')",
+        "s11_stage_index_snapshot": "WITH p AS (SELECT CASE WHEN product_id % 2 = 0 THEN concat('product_dp_', product_id) ELSE concat('product_0123456789ab_', product_id - product_id % 4) END AS product_id, product_name FROM fx_products) SELECT * FROM p WHERE product_id LIKE 'product_dp_%' OR regexp_extract(product_id, '(\\d+)$', 1) NOT IN (SELECT regexp_extract(product_id, '(\\d+)$', 1) FROM p WHERE product_id LIKE 'product_dp_%')",
         "s15_write_report": "SELECT brand, count(*) AS n FROM fx_products GROUP BY 1",
         "t1_refresh_stream": "WITH e AS (SELECT *, event_id % 3 AS b FROM fx_refreshes), l AS (SELECT product_id, max(b) AS b FROM e GROUP BY 1), m AS (SELECT product_id, b, max(refreshed_at) AS r FROM e GROUP BY ALL) SELECT e.product_id, e.event_id, e.status FROM e JOIN l USING (product_id, b) JOIN m ON m.product_id = e.product_id AND m.b = e.b AND m.r = e.refreshed_at",
         "t2_judgment_stream": "SELECT product_id, arg_max(event_id, (refreshed_at, event_id)) AS judgment_id FROM fx_refreshes GROUP BY 1",

@@ -106,9 +106,9 @@ def base_norm(traits):
     return traits.select("value").distinct().select("value", T.first_rule(F.col("value"), [("value 1", "four leg"), ("value", "other")]).alias("base"))
 
 
-@query("f55_negation_language", "SELECT doc_id, regexp_matches(lower(text), '\\b(not|no|without|ohne|sans|sin)\\b') AS negated FROM {documents} WHERE regexp_matches(text, '^[ -~\\n]*$')", "documents")
+@query("f55_negation_language", "SELECT doc_id, regexp_matches(lower(text), '\\b(not|no|without|ohne|sans|sin)\\b') AS negated FROM {documents}", "documents")
 def negation(docs):
-    return docs.where(F.col("text").rlike(r"^[ -~\n]*$")).select("doc_id", F.lower("text").rlike(r"\b(not|no|without|ohne|sans|sin)\b").alias("negated"))
+    return docs.select("doc_id", F.lower("text").rlike(r"\b(not|no|without|ohne|sans|sin)\b").alias("negated"))
 
 
 @query("f56_finish_fallback", "SELECT product_id, CASE WHEN c_level IN ('brass', 'steel') THEN c_level WHEN regexp_matches(lower(product_name), 'nut') THEN 'metal' WHEN regexp_matches(lower(product_name), 'bolt') THEN 'iron' ELSE 'unknown' END AS finish FROM fx_products", "fx_products")
@@ -324,3 +324,34 @@ def merge_image_fields(images):
     index = images.where("image_id % 5 <> 0 AND image_id % 3 <> 0").select("product_id", "image_id", F.lit("index").alias("preferred"), F.col("visual_type").alias("label"))
     catalog = images.where("image_id % 5 = 0").select("product_id", "image_id", F.lit("catalog").alias("preferred"), F.col("brand").alias("label"))
     return E.upsert_by_key(catalog, index, "image_id")
+
+
+_RAW = "concat('  ', p.product_name, '. Made of ', p.c_level, '! Is it ', lower(p.a_level), '? ', p.brand)"
+
+
+@query("f_catalog_functions", f"""
+WITH r AS (SELECT p.*, {_RAW} AS raw, CAST(product_id % 7 AS VARCHAR) AS d FROM fx_products p)
+SELECT product_id,
+  concat('product_', substring(sha1(concat_ws('::', nullif(brand, ''), nullif(product_name, ''))), 1, 12), '_', substring(regexp_replace(regexp_replace(replace(lower(raw), '&', ' and '), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 80)) AS f5,
+  concat('https://', CASE WHEN product_id % 2 = 0 THEN 'img.test' ELSE 'cdn.test' END, '/', product_id, CASE WHEN product_id % 2 = 0 THEN '' ELSE '_large' END, '.jpg') AS f13,
+  array_to_string(list_filter([a_level], lambda x: x NOT IN ('', '0')), '|') AS f16_a,
+  CASE WHEN product_id % 3 = 0 THEN a_level ELSE b_level END AS f16_b, CASE WHEN product_id % 5 <> 0 THEN c_level WHEN product_id % 3 = 0 THEN a_level ELSE b_level END AS f16_c,
+  CASE product_id % 7 WHEN 3 THEN '' ELSE d || '.5,' END || '-2.0' AS f31,
+  product_id % 4 < 3 AS f38,
+  concat(trim(product_name), '. Made of ', c_level, '!') AS f45,
+  CASE product_id % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'low' ELSE 'normal' END AS f37
+FROM r""", "fx_products")
+def catalog_functions(products):
+    raw = F.concat(F.lit("  "), "product_name", F.lit(". Made of "), "c_level", F.lit("! Is it "), F.lower("a_level"), F.lit("? "), "brand")
+    url = F.concat(F.lit("https://"), F.when(F.col("product_id") % 2 == 0, "img.test").otherwise("cdn.test"), F.lit("/"), "product_id", F.lit("_large.jpg"))
+    bare = lambda c, n: F.when(F.col("product_id") % n == 0, F.array(F.lit("0"), F.lit(""))).otherwise(F.array(c))
+    levels = T.category_levels(F.array("a_level"), bare("b_level", 3), bare("c_level", 5))
+    vector = F.concat(F.lit("[ "), F.when(F.col("product_id") % 7 == 3, "Infinity").otherwise(F.concat((F.col("product_id") % 7).cast("string"), F.lit(".5"))), F.lit(", nan, x, -2]"))
+    said = F.element_at(F.array(*map(F.lit, (" No", "none", "No arms ", "nothing"))), (F.col("product_id") % 4).cast("int") + 1)
+    listed = rows(products, [("stool", "f0", "high"), ("stool", "f1", "low")], "visual_type string, field string, priority string")
+    asked = products.withColumns({"raw": raw, "visual_type": F.when(F.col("product_id") % 2 == 0, "stool").otherwise("other"), "field": F.concat(F.lit("f"), F.col("product_id") % 3)})
+    return P.field_priority(asked, listed, "stool").select(
+        "product_id", T.catalog_product_id(F.col("brand"), F.col("product_name"), raw).alias("f5"), T.strip_large_suffix(url, "img.test").alias("f13"),
+        *(F.array_join(levels[c], "|").alias(f"f16_{c[0]}") for c in levels), F.array_join(V.parse_vector(vector).cast("array<string>"), ",").alias("f31"),
+        T.negative_value(said).alias("f38"), T.first_sentences(raw, 2).alias("f45"), F.col("priority").alias("f37"),
+    )

@@ -505,10 +505,10 @@ SELECT doc_id, md5(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS f1, md5(trim(
   concat('product_', substring(sha1(concat_ws('::', nullif(source, ''), nullif(lang, ''))), 1, 12)) AS f4, substring(sha1(concat(source, '::', lang)), 1, 16) AS f6,
   length(list_filter(string_split(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), ' '), lambda x: length(x) > 1)) AS f15,
   CASE WHEN length(text) > 50 THEN concat(substring(text, 1, 49), '...') ELSE text END AS f46, regexp_matches(lower(text), '\b(none|no|not visible|concealed|unknown|without|absent|hidden)\b') AS f35,
-  CASE WHEN contains(lower(text), 'with the') THEN 'x' WHEN contains(lower(text), 'der') THEN 'y' ELSE '' END AS f24 FROM {documents} WHERE regexp_matches(text, '^[ -~\n]*$')""", "documents")
+  CASE WHEN contains(lower(text), 'with the') THEN 'x' WHEN contains(lower(text), 'der') THEN 'y' ELSE '' END AS f24 FROM {documents}""", "documents")
 def text_functions(docs):
     t = F.col("text")
-    return docs.where(t.rlike(r"^[ -~\n]*$")).select(
+    return docs.select(
         "doc_id", F.md5(T.norm_ws(t)).alias("f1"), F.md5(T.norm_alnum(t)).alias("f2"), T.slugify(t).alias("f3"), T.create_id("product", F.col("source"), F.col("lang")).alias("f4"), T.hash_key(F.col("source"), F.col("lang")).alias("f6"),
         F.size(T.tokenize(t)).cast("long").alias("f15"), T.truncate_text(t, 50).alias("f46"), T.is_absence(t).alias("f35"), T.first_rule(t, [("with the", "x"), ("der", "y")]).alias("f24"),
     )

@@ -98,6 +98,57 @@ def trait_boost(images, traits):
     return found.select("query_id", "image_id", "boost", F.array_join("matched", "|").alias("matched"))
 
 
+_FAMILIES = (("stool", "bench"), ("guest_chair", "lounge_chair"), ("task_collab_chair",))
+_TYPES = [t for kinds in _FAMILIES for t in kinds]
+
+
+@query("r7_search", f"""
+WITH {_SQL_BULLETS.replace("bullets(query_id", "told(kind")}, {_SQL_GROUPS},
+q AS (
+  SELECT vec_id AS query_id, {_TYPES}[(vec_id / 20)::INT % 5 + 1] AS visual_type, ['gear', 'bolt', 'ring'][vec_id::INT % 3 + 1] AS wanted, vec_id * 61 + 488 AS source_image,
+         CASE WHEN vec_id % 40 = 0 THEN TIMESTAMP '1998-05-24 00:00:00' END AS since, CAST(vec_id % 40 = 0 AS INTEGER) AS kind, embedding FROM {{embeddings}} WHERE vec_id % 20 = 0),
+f(visual_type, family) AS (VALUES {", ".join(str((t, k)) for k, kinds in enumerate(_FAMILIES) for t in kinds)}),
+open_images AS (
+  SELECT i.*, f.family, e.embedding, p.b_level AS category, i.image_id % 11 = 0 AS room, CASE confidence_tier WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END AS confidence
+  FROM fx_images i JOIN f USING (visual_type) JOIN {{embeddings}} e USING (vec_id) JOIN fx_products p USING (product_id) WHERE stage_0_result = 'product' AND NOT excluded),
+near AS (
+  SELECT q.query_id, q.kind, q.wanted, q.source_image, q.since, i.image_id, i.product_id, i.category, i.room, i.confidence, i.ai_refreshed_at,
+         round(list_cosine_similarity(q.embedding::DOUBLE[], i.embedding::DOUBLE[]), 6) AS similarity
+  FROM q JOIN f USING (visual_type) JOIN open_images i ON i.family = f.family
+  QUALIFY row_number() OVER (PARTITION BY q.query_id ORDER BY round(list_cosine_similarity(q.embedding::DOUBLE[], i.embedding::DOUBLE[]), 6) DESC, i.image_id) <= 1000),
+lv AS (SELECT *, CASE priority WHEN 'high' THEN 0 WHEN 'normal' THEN 1 ELSE 2 END AS level, trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) AS norm FROM told),
+once AS (SELECT * FROM lv QUALIFY row_number() OVER (PARTITION BY kind, norm ORDER BY level, ord) = 1),
+asked AS (SELECT * FROM once WHERE field IS NOT NULL AND value <> 'unknown' QUALIFY row_number() OVER (PARTITION BY kind, field ORDER BY level DESC, ord DESC) = 1),
+boosts AS (
+  SELECT n.query_id, n.image_id, sum(CASE WHEN s.value = a.value THEN [0.35, 0.10, 0.05][level + 1] WHEN n.image_id = n.source_image THEN 0.0
+    ELSE -(CASE level WHEN 0 THEN CASE WHEN norm LIKE '%lumbar%' OR norm LIKE '%wheel%' THEN 0.55 ELSE 0.2 END WHEN 1 THEN 0.06 ELSE 0.0 END)
+         * CASE WHEN EXISTS (SELECT 1 FROM groups x JOIN groups y ON x.field = y.field AND x.grp = y.grp WHERE x.field = a.field AND x.value = s.value AND y.value = a.value AND s.value <> a.value) THEN 0.5 ELSE 1.0 END END)::DOUBLE AS boost
+  FROM near n JOIN asked a USING (kind) LEFT JOIN fx_traits s ON s.image_id = n.image_id AND s.field = a.field AND s.value <> 'unknown' GROUP BY ALL),
+scored AS (
+  SELECT n.*, n.image_id = n.source_image AS exact, round(similarity + round(boost, 6) + CASE WHEN category = wanted THEN 0.03::DOUBLE ELSE 0 END + CASE WHEN n.image_id = n.source_image THEN 2 ELSE 0 END - CASE WHEN room THEN 0.2::DOUBLE ELSE 0 END, 6) AS score
+  FROM near n JOIN boosts b USING (query_id, image_id)),
+placed AS (SELECT *, row_number() OVER (PARTITION BY query_id, product_id ORDER BY score DESC, confidence DESC, image_id) AS pos FROM scored),
+products AS (
+  SELECT query_id, product_id, max(image_id) FILTER (WHERE pos = 1) AS hero_image_id, max(score) AS score, count(*) AS match_count, string_agg(concat('u/', image_id), ',' ORDER BY pos) AS image_urls,
+         max(ai_refreshed_at) AS refreshed, bool_or(room) AS is_room_scene, bool_or(exact) AS is_exact_source, max(confidence) FILTER (WHERE pos = 1) AS confidence, any_value(since) AS since
+  FROM placed GROUP BY ALL)
+SELECT query_id, product_id, hero_image_id, score, match_count, image_urls, is_room_scene, is_exact_source, row_number() OVER (PARTITION BY query_id ORDER BY is_exact_source DESC, score DESC, confidence DESC, product_id) AS place
+FROM products WHERE since IS NULL OR refreshed >= since
+QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY is_exact_source DESC, score DESC, confidence DESC, product_id) <= 10""", "fx_images", "fx_products", "fx_traits", "embeddings")
+def whole_search(images, products, traits, emb):
+    told = rows(traits, _BULLETS, "kind int, ord int, priority string, text string, field string, value string")
+    queries = emb.where("vec_id % 20 = 0").select(
+        F.col("vec_id").alias("query_id"), F.element_at(F.array(*map(F.lit, _TYPES)), (F.floor(F.col("vec_id") / 20) % 5).cast("int") + 1).alias("visual_type"),
+        F.element_at(F.array(F.lit("gear"), F.lit("bolt"), F.lit("ring")), (F.col("vec_id") % 3).cast("int") + 1).alias("category"), (F.col("vec_id") * 61 + 488).alias("source_image"),
+        F.when(F.col("vec_id") % 40 == 0, F.lit("1998-05-24 00:00:00").cast("timestamp_ntz")).alias("refreshed_since"), (F.col("vec_id") % 40 == 0).cast("int").alias("kind"), "embedding",
+    )
+    pictures = images.join(emb.select("vec_id", "embedding"), "vec_id").join(products.select("product_id", F.col("b_level").alias("category")), "product_id")
+    pictures = pictures.withColumns({"room": F.col("image_id") % 11 == 0, "confidence": T.confidence_rank(F.col("confidence_tier")), "image_url": F.concat(F.lit("u/"), "image_id")})
+    bullets = queries.select("query_id", "kind").join(F.broadcast(told), "kind").drop("kind")
+    found = R.search(pictures, queries, traits, bullets, rows(traits, _GROUPS, "field string, value string, grp string"), _FAMILIES)
+    return found.select("query_id", "product_id", "hero_image_id", "score", "match_count", "image_urls", "is_room_scene", "is_exact_source", "place")
+
+
 @query("r8_refine_more_less", """
 SELECT a.vec_id, round(list_inner_product(m.more, a.embedding::DOUBLE[]) / sqrt(list_inner_product(m.more, m.more)), 6) AS more_dot,
        round(list_inner_product(m.less, a.embedding::DOUBLE[]) / sqrt(list_inner_product(m.less, m.less)), 6) AS less_dot
