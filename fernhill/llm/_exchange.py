@@ -123,8 +123,11 @@ def sent_rows(chunk: int, keys: np.ndarray, owner: np.ndarray | None, mark: np.n
     )
 
 
-def found_elsewhere(sent: DataFrame, wide: bool) -> DataFrame:
-    """(chunk, bits): whether each key has two occurrences or more, of which one is marked."""
+def found_elsewhere(sent: DataFrame, wide: bool, hot: int | None = None) -> DataFrame:
+    """(chunk, bits): whether each key has two occurrences or more, of which one is marked.
+
+    With ``hot``, as many bits follow that tell which keys that many chunks hold.
+    """
 
     def run(table: pa.Table) -> pa.Table:
         kind = "<u8" if wide else "<u4"
@@ -142,10 +145,13 @@ def found_elsewhere(sent: DataFrame, wide: bool) -> DataFrame:
         starts = heads(ordered)
         count = np.diff(np.append(starts, len(keys)))
         hit = ((count > 1) | np.logical_or.reduceat(bits[0][order], starts)) & np.logical_or.reduceat(bits[1][order], starts)
-        out = np.empty(len(keys), bool)
-        out[order] = np.repeat(hit, count)
-        ends = np.cumsum(sizes)
-        return pa.table({"chunk": table.column("chunk"), "bucket": table.column("bucket"), "bits": pa.array([np.packbits(out[e - n : e]).tobytes() for n, e in zip(sizes, ends)], pa.binary())})
+        ends, out = np.cumsum(sizes), []
+        for answer in (hit,) if hot is None else (hit, count >= hot):
+            back = np.empty(len(keys), bool)
+            back[order] = np.repeat(answer, count)
+            out.append(back)
+        bits = [np.packbits(np.concatenate([x[e - n : e] for x in out])).tobytes() for n, e in zip(sizes, ends)]
+        return pa.table({"chunk": table.column("chunk"), "bucket": table.column("bucket"), "bits": pa.array(bits, pa.binary())})
 
     return sent.groupBy("bucket").applyInArrow(run, "chunk long, bucket int, bits binary")
 
@@ -156,10 +162,10 @@ def answered(chunks: DataFrame, answers: DataFrame) -> DataFrame:
     return chunks.join(by_chunk, "chunk", "left")
 
 
-def bits_of(d: Distinct, answers: list[dict] | None) -> np.ndarray:
-    """The answer to each key that was given to ``d``."""
+def bits_of(d: Distinct, answers: list[dict] | None, row: int = 0, rows: int = 1) -> np.ndarray:
+    """The answer to each key that was given to ``d``; answers have ``rows`` bits for each key."""
     out = np.zeros(len(d.keys), bool)
     for x in answers or []:
         a, b = d.cuts[x["bucket"]], d.cuts[x["bucket"] + 1]
-        out[a:b] = np.unpackbits(np.frombuffer(x["bits"], np.uint8), count=b - a)
+        out[a:b] = np.unpackbits(np.frombuffer(x["bits"], np.uint8), count=rows * (b - a))[row * (b - a) : (row + 1) * (b - a)]
     return d.spread(out)

@@ -68,7 +68,10 @@ def common_prefix(text: np.ndarray, a: np.ndarray, b: np.ndarray, depth: int) ->
 
 def _refine(rank: np.ndarray, some: np.ndarray, key: np.ndarray) -> None:
     """Order members of equal rank among ``some`` by key; a rank is the place of its first member."""
-    order = some[np.lexsort((key, rank[some]))]
+    by_key = np.argsort(key)
+    packed = (rank[some][by_key] << 32) | np.arange(len(some))
+    packed.sort()
+    order = some[by_key[packed & (2**32 - 1)]]
     back = np.empty(len(rank), key.dtype)
     back[some] = key
     r, k = rank[order], back[order]

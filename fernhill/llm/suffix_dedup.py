@@ -14,6 +14,8 @@ from fernhill.llm._words import U, join, lanes, mix
 
 #: Bytes of the substrings whose least hash names the shard of a window.
 ANCHOR = 16
+#: Runs of an anchor that so many chunks hold are dealt by a second hash of their windows as well.
+HOT = 512
 
 
 def _sliding_least(x: np.ndarray, width: int) -> np.ndarray:
@@ -55,10 +57,28 @@ class _Runs:
         start = edges[:-1]
         keep = valid[start]
         self.start, self.count = start[keep], np.diff(edges)[keep]
+        self.width = window - ANCHOR + 1
         self.key = mix(least[self.start])  # evenly spread, as least hashes are not
         self.doc = np.searchsorted(self.first, self.start, "right") - 1
 
 
+    def split(self, some: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(start, count, doc, key) of some runs, cut where the least of a window's other anchor hashes changes.
+
+        The keys name both hashes; equal windows still have equal keys.
+        """
+        start, count, doc = self.start[some], self.count[some], self.doc[some]
+        at = np.repeat(start - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+        run = np.repeat(np.arange(len(start)), count)
+        second = np.empty(len(at), np.uint64)
+        for k in range(0, len(at), 1 << 14):
+            near = self.anchors[at[k : k + (1 << 14), None] + np.arange(self.width)]
+            near[near == near.min(1, keepdims=True)] = U(2**64 - 1)
+            second[k : k + (1 << 14)] = near.min(1)
+        cut = np.flatnonzero(np.concatenate(([True], (second[1:] != second[:-1]) | (run[1:] != run[:-1]))))
+        return at[cut], np.diff(np.append(cut, len(at))), doc[run[cut]], join(self.key[some][run[cut]], second[cut])
+
+
 def _pack(*arrays: np.ndarray) -> bytes:
     return zstandard.compress(b"".join(np.array([a.nbytes], np.int64).tobytes() + a.tobytes() for a in arrays), 3)
 
@@ -122,7 +142,8 @@ def drop_earlier_strings(docs: DataFrame, window: int = 50, id_col: str = "doc_i
 
     Windows go to the shard of the least hash of their 16-byte substrings, so that all places of a
     string meet in one shard whatever its documents. A first exchange of those hashes alone leaves out
-    what only one document has; the rest is sent as runs of neighbouring windows, equal runs once per
+    what only one document has, and names the hot ones, whose windows are dealt by their second least
+    hash as well; the rest is sent as runs of neighbouring windows, equal runs once per
     chunk with their smallest id. Each shard is a suffix array with common prefixes, made by induced
     sorting with disk-backed queues (``_induced``), and answers with a bit per window.
 
@@ -139,14 +160,18 @@ def drop_earlier_strings(docs: DataFrame, window: int = 50, id_col: str = "doc_i
         runs = _Runs(texts, window)
         return runs.key, ids[runs.doc], np.ones(len(runs.key), bool)
 
-    shared = ex.answered(chunks, ex.found_elsewhere(ex.send(chunks, asked, n_asked, False), False))
+    shared = ex.answered(chunks, ex.found_elsewhere(ex.send(chunks, asked, n_asked, False), False, HOT))
 
     def cut(texts, ids, answers):
         """Shared runs by shard, and in it by text: shard, start, count, owner, and whether a text is new."""
         runs = _Runs(texts, window)
-        some = ex.bits_of(ex.Distinct(runs.key, n_asked), answers)
-        start, count, owner = runs.start[some], runs.count[some], ids[runs.doc[some]]
-        shard = ((runs.key[some] >> U(20)) % U(shards)).astype(np.int64)
+        asked = ex.Distinct(runs.key, n_asked)
+        some, hot = (ex.bits_of(asked, answers, k, 2) for k in (0, 1))
+        parts = [(runs.start[some & ~hot], runs.count[some & ~hot], runs.doc[some & ~hot], runs.key[some & ~hot])]
+        if (some & hot).any():
+            parts.append(runs.split(some & hot))
+        start, count, doc, key = (np.concatenate(x) for x in zip(*parts))
+        owner, shard = ids[doc], ((key >> U(20)) % U(shards)).astype(np.int64)
         known: dict[bytes, int] = {}
         text = np.array([known.setdefault(runs.data[x : x + n], len(known)) for x, n in zip(start.tolist(), (count + window - 1).tolist())], np.int64)
         order = np.lexsort((owner, text, shard))

@@ -7,7 +7,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from fernhill.llm import near_duplicates as nd
+from fernhill.llm import near_duplicates as nd, suffix_dedup as sd
 from fernhill.llm._induced import suffix_order
 from fernhill.llm.line_dedup import drop_repeated_lines
 from fernhill.llm.substring_dedup import drop_repeated_windows
@@ -81,8 +81,9 @@ def test_words(docs):
     assert drop_repeated_windows(docs([])).count() == 0
 
 
-@pytest.mark.parametrize("seed", [3, 4])
-def test_bytes(docs, seed):
+@pytest.mark.parametrize(("seed", "hot"), [(3, 512), (4, 512), (3, 1)])
+def test_bytes(docs, monkeypatch, seed, hot):
+    monkeypatch.setattr(sd, "HOT", hot)
     rows = corpus(seed) + [(None, "before all others " * 9), (500, "before all others " * 9), (1, (corpus(seed)[0][1] or "") + "y")]
     rank = lambda i: -1 if i is None else i
     least = {}
