@@ -101,7 +101,7 @@ def signature_join(sets: list[np.ndarray], labels: np.ndarray, num: int, den: in
     token bitmaps, their size range and the most bits that a set loses to collisions. Pairs of nodes
     are traversed together from the roots; a pair is pruned when its largest possible overlap is too
     small for its smallest sizes, or when its members are in one component already. What reaches the
-    leaves is counted exactly. left: members of a first block; pairs within a block are skipped.
+    leaves is counted exactly. left: marks of hosts; only pairs of a host and a visitor are looked at.
     """
     n = np.array([len(s) for s in sets])
     order = np.lexsort((np.array([s[0] if len(s) else 0 for s in sets], np.uint64), n))
@@ -194,9 +194,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5,
 
     Each group is joined by ``signature_join`` in blocks of about ``MEMBERS`` sets and ``MEMBER_BYTES``
     bytes; a group of several blocks has blocks of one size band each. It is joined first within blocks
-    and by its components' smallest members, again until these no longer become fewer. After that,
-    keys that still join two components across blocks send documents to the pairs of blocks where they
-    meet; a key's largest component only goes where another is.
+    and by its components' smallest members, again until these no longer become fewer. Of the keys that
+    still join two components, documents outside a key's largest component visit the other blocks that
+    hold it, in parts of about ``MEMBERS`` visitors; its largest component stays where it is.
 
     Rows that repeat an id are one document if their sets are equal (``text_key``, xxhash64 of the text,
     tells them apart); a null id is its own component; an empty table gives none.
@@ -266,15 +266,19 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5,
 
     held = keyed.join(state.select("doc_id", "grp", "label", "own"), "doc_id")
     sides = held.groupBy("key", "label").agg(F.count("*").alias("n"), F.collect_set("own").alias("blocks"))
-    keys = sides.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("most"), F.count("*").alias("n"), F.collect_list(F.struct("label", "blocks")).alias("all"))
-    places = lambda sets: F.array_distinct(F.flatten(F.transform(sets, lambda x: x["blocks"])))
+    keys = sides.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("most"), F.count("*").alias("n"), F.array_distinct(F.flatten(F.collect_list("blocks"))).alias("blocks"))
     # written, so that a hot key's rows in the join below can be dealt to several tasks
-    keys = materialise(keys.where("n > 1").select("key", "most", places("all").alias("every"), places(F.filter("all", lambda x: x["label"] != F.col("most"))).alias("other_sets")), "open-keys")
-    goes = F.explode(F.when(F.col("label") == F.col("most"), F.col("other_sets")).otherwise(F.col("every")))
-    reach = held.join(keys, "key").select("doc_id", "grp", "own", goes.alias("other")).where("own <> other").distinct()
-    task = F.concat_ws(":", "grp", F.least("own", "other"), F.greatest("own", "other"))
-    pairs = reach.select("doc_id", task.alias("task"), (F.col("own") > F.col("other")).cast("int").alias("side")).join(state.select("doc_id", "label", "shingles"), "doc_id")
-    links = materialise(links.union(_join_blocks(pairs, num, den)), "links")
+    keys = materialise(keys.where("n > 1").select("key", "most", "blocks"), "open-keys")
+    opened = held.join(keys, "key")
+    visitors = opened.where("label <> most").select("doc_id", "grp", "own", F.explode("blocks").alias("block")).where("own <> block").select("doc_id", "grp", "block").distinct()
+    visitors = materialise(visitors, "visitors")
+    tables = visitors.groupBy("grp", "block").agg(F.ceil(F.count("*") / MEMBERS).alias("parts"))
+    part = F.pmod(F.xxhash64("doc_id"), F.col("parts"))
+    guests = visitors.join(tables, ["grp", "block"]).select("doc_id", "grp", "block", part.alias("part"), F.lit(1).alias("side"))
+    hosts = opened.select("doc_id", "grp", F.col("own").alias("block")).distinct().join(tables, ["grp", "block"])
+    hosts = hosts.select("doc_id", "grp", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(0).alias("side"))
+    met = hosts.union(guests).select("doc_id", F.concat_ws(":", "grp", "block", "part").alias("task"), "side")
+    links = materialise(links.union(_join_blocks(met.join(state.select("doc_id", "label", "shingles"), "doc_id"), num, den)), "links")
     joined = components(links).select(F.col("node").alias("rep"), "label")
     kinds = kinds.join(joined, "rep", "left").select("p1", "p2", "n_shingles", F.coalesce("label", "rep").alias("component_id"))
     found = prints.join(kinds, ["p1", "p2", "n_shingles"], "left")
