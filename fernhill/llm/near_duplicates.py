@@ -14,7 +14,7 @@ from fernhill.llm._words import Block, U, blocks, heads, join, mix, order_of, wi
 #: Bits of a set's signature, and children of a tree node.
 SIGNATURE, FAN = 4096, 8
 #: Sets of a block, and bytes of their shingles, about; a task joins one block or two.
-MEMBERS, MEMBER_BYTES = 128, 8_000_000
+MEMBERS, MEMBER_BYTES = 192, 8_000_000
 #: Bytes of text in a chunk; its shingles take some thirty times as much memory.
 CHUNK = 2_500_000
 
@@ -72,11 +72,6 @@ def rare_prefix(n: np.ndarray, shared: np.ndarray, num: int, den: int) -> np.nda
     return np.clip(n - -(-n * num // den) + 1 - (n - shared), 0, shared)
 
 
-def bands(n: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Size bands so wide that linked sets are in the same or adjacent ones."""
-    return np.floor(np.log(np.maximum(n, 1)) / (1.01 * np.log(den / num))).astype(np.int64)
-
-
 class _Forest:
     def __init__(self, labels: np.ndarray):
         """Members with equal labels start together."""
@@ -193,7 +188,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5,
     much of its text is its own. Documents that share a key form candidate groups.
 
     Each group is joined by ``signature_join`` in blocks of about ``MEMBERS`` sets and ``MEMBER_BYTES``
-    bytes; a group of several blocks has blocks of one size band each. It is joined first within blocks
+    bytes; in a group of several blocks, members with the same least key share one where they can. It is joined first within blocks
     and by its components' smallest members, again until these no longer become fewer. Of the keys that
     still join two components, documents outside a key's largest component visit the other blocks that
     hold it, in parts of about ``MEMBERS`` visitors; its largest component stays where it is.
@@ -226,28 +221,33 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5,
                 own = [slice(cuts[i], cuts[i + 1]) for i in found]
                 keys = [np.sort(shingles[x][shared[x]])[: first[i]].view(np.int64) for i, x in zip(found, own)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[found], pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(bands(n[found], num, den), pa.int64()), pa.array(8 * n[found], pa.int64()), pa.array([np.sort(shingles[x]).tobytes() for x in own], pa.binary())],
-                    ["doc_id", "keys", "band", "size", "shingles"],
+                    [pa.array(ids[found], pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(8 * n[found], pa.int64()), pa.array([np.sort(shingles[x]).tobytes() for x in own], pa.binary())],
+                    ["doc_id", "keys", "size", "shingles"],
                 )
 
     answered = ex.answered(chunks, ex.found_elsewhere(ex.send(chunks, asked, n_buckets, False), False))
-    near = materialise(answered.select("data", "answers").mapInArrow(candidates, "doc_id long, keys array<long>, band long, size long, shingles binary"), "near")
+    near = materialise(answered.select("data", "answers").mapInArrow(candidates, "doc_id long, keys array<long>, size long, shingles binary"), "near")
     keyed = near.select("doc_id", F.explode("keys").alias("key")).distinct()
     hubs = keyed.groupBy("key").agg(F.min("doc_id").alias("hub"), F.count("*").alias("n")).where("n > 1")
-    groups = components(keyed.join(hubs.select("key", "hub"), "key").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).where("a <> b"))
-    groups = groups.select(F.col("label").alias("grp"), F.col("node").alias("doc_id"))
+    keyed = materialise(keyed.join(hubs.select("key", "hub"), "key"), "held-keys")
+    groups = components(keyed.select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).where("a <> b"))
+    groups = groups.select(F.col("label").alias("grp"), F.col("node").alias("doc_id")).join(keyed.groupBy("doc_id").agg(F.min("key").alias("least")), "doc_id")
 
     def blocked(found: DataFrame) -> DataFrame:
-        """With ``own``: the block of each member of (grp, doc_id, band, size), and whether its group has more."""
-        blocks_in = lambda: F.ceil(F.greatest(F.count("*") / MEMBERS, F.sum("size") / MEMBER_BYTES))
-        whole = found.groupBy("grp").agg((blocks_in() > 1).alias("several"))
-        banded = found.join(whole, "grp").withColumn("part", F.when(F.col("several"), F.col("band")).otherwise(0))
-        counts = banded.groupBy("grp", "part").agg(blocks_in().alias("n_blocks"))
-        own = F.shiftleft("part", 32) + F.pmod(F.xxhash64("doc_id"), F.col("n_blocks"))
-        return banded.join(counts, ["grp", "part"]).select("grp", "doc_id", "several", own.alias("own"))
+        """With ``own``: the block of each member of (grp, doc_id, least, size), and whether its group has more.
+
+        Members with the same least key, which those with most in common have, share a block; where
+        they are too many they have several, and where they are few they share it with others.
+        """
+        blocks_in = lambda n, size: F.ceil(F.greatest(n / MEMBERS, size / MEMBER_BYTES))
+        kin = found.groupBy("grp", "least").agg(F.count("*").alias("n"), F.sum("size").alias("bytes")).withColumn("n_blocks", blocks_in(F.col("n"), F.col("bytes")))
+        few = F.col("n_blocks") == 1
+        whole = kin.groupBy("grp").agg((blocks_in(F.sum("n"), F.sum("bytes")) > 1).alias("several"), blocks_in(F.sum(F.when(few, F.col("n"))), F.sum(F.when(few, F.col("bytes")))).alias("n_mixed"))
+        own = F.when(~F.col("several"), F.lit(0).cast("long")).when(few, F.pmod(F.xxhash64("least"), F.col("n_mixed"))).otherwise(F.xxhash64("least", F.pmod(F.xxhash64("doc_id"), F.col("n_blocks"))))
+        return found.join(kin.select("grp", "least", "n_blocks"), ["grp", "least"]).join(whole, "grp").select("grp", "doc_id", "least", "several", own.alias("own"))
 
-    placed = materialise(blocked(groups.join(near.select("doc_id", "band", "size"), "doc_id")), "blocks")
-    members = near.select("doc_id", "band", "size", "shingles").join(placed, "doc_id")
+    placed = materialise(blocked(groups.join(near.select("doc_id", "size"), "doc_id")), "blocks")
+    members = near.select("doc_id", "size", "shingles").join(placed, "doc_id")
 
     def in_blocks(found: DataFrame) -> DataFrame:
         return _join_blocks(found.select(F.concat_ws(":", "grp", "own").alias("task"), F.lit(0).alias("side"), "doc_id", "label", "shingles"), num, den)
@@ -258,19 +258,21 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5,
     while True:
         labels = components(links).withColumnsRenamed({"node": "doc_id"})
         state = several.join(labels, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
-        least = state.where("doc_id = label").drop("own", "several")
-        before, count = count, least.count()
+        first_of = state.where("doc_id = label").drop("own", "several")
+        before, count = count, first_of.count()
         if 2 * count >= before:
             break
-        links = materialise(links.union(in_blocks(least.join(blocked(least.drop("shingles", "label")), ["grp", "doc_id"]))), "links")
+        links = materialise(links.union(in_blocks(first_of.join(blocked(first_of.drop("shingles", "label")).drop("least"), ["grp", "doc_id"]))), "links")
 
     held = keyed.join(state.select("doc_id", "grp", "label", "own"), "doc_id")
     sides = held.groupBy("key", "label").agg(F.count("*").alias("n"), F.collect_set("own").alias("blocks"))
-    keys = sides.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("most"), F.count("*").alias("n"), F.array_distinct(F.flatten(F.collect_list("blocks"))).alias("blocks"))
+    keys = sides.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("most"), F.count("*").alias("n"), F.array_distinct(F.flatten(F.collect_list("blocks"))).alias("blocks"), F.max_by("blocks", F.struct("n", "label")).alias("most_blocks"))
     # written, so that a hot key's rows in the join below can be dealt to several tasks
-    keys = materialise(keys.where("n > 1").select("key", "most", "blocks"), "open-keys")
+    keys = materialise(keys.where("n > 1").select("key", "most", "blocks", "most_blocks"), "open-keys")
     opened = held.join(keys, "key")
-    visitors = opened.where("label <> most").select("doc_id", "grp", "own", F.explode("blocks").alias("block")).where("own <> block").select("doc_id", "grp", "block").distinct()
+    # of two documents outside the largest component, the one in the lesser block visits the other
+    goes = F.filter("blocks", lambda b: (b > F.col("own")) | (b != F.col("own")) & F.array_contains("most_blocks", b))
+    visitors = opened.where("label <> most").select("doc_id", "grp", F.explode(goes).alias("block")).distinct()
     visitors = materialise(visitors, "visitors")
     tables = visitors.groupBy("grp", "block").agg(F.ceil(F.count("*") / MEMBERS).alias("parts"))
     part = F.pmod(F.xxhash64("doc_id"), F.col("parts"))
