@@ -14,7 +14,7 @@ from fernhill.llm._words import Block, U, blocks, heads, join, mix, order_of, wi
 #: Bits of a set's signature, and children of a tree node.
 SIGNATURE, FAN = 4096, 8
 #: Sets of a block, and bytes of their shingles, about; a task joins one block or two.
-MEMBERS, MEMBER_BYTES = 1024, 8_000_000
+MEMBERS, MEMBER_BYTES = 2048, 16_000_000
 #: Bytes of text in a chunk; its shingles take some thirty times as much memory.
 CHUNK = 2_500_000
 
