@@ -118,8 +118,8 @@ def find_leaks(docs: DataFrame, items: DataFrame, min_words: int = 13, share: fl
     under each mask and joined with the items' hashes; around a hit the item is laid on the text,
     and it counts as a leak if a stretch has ``min_words`` words or more (the whole item, if it is
     shorter) of which at least ``share`` are equal. The masks hit all of these for 13 words or more
-    and a share of 0.8 or more. Items without words are not searched. Rows repeat for repeated documents (``text_key`` is
-    xxhash64 of the text); null texts, null ids of items and empty tables give none.
+    and a share of 0.8 or more. Items without words are not searched. Repeated documents give one row (``text_key``,
+    xxhash64 of the text, tells texts of one id apart); null texts, null ids of items and empty tables give none.
     """
     items = items.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), "text")
     wanted = materialise(benchmark_seeds(items), "seeds")
