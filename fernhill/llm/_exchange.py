@@ -123,10 +123,10 @@ def sent_rows(chunk: int, keys: np.ndarray, owner: np.ndarray | None, mark: np.n
     )
 
 
-def found_elsewhere(sent: DataFrame, wide: bool, hot: int | None = None) -> DataFrame:
+def found_elsewhere(sent: DataFrame, wide: bool, hot: tuple[int, ...] = ()) -> DataFrame:
     """(chunk, bits): whether each key has two occurrences or more, of which one is marked.
 
-    With ``hot``, as many bits follow that tell which keys that many chunks hold.
+    For each number in ``hot``, as many bits follow that tell which keys that many chunks hold.
     """
 
     def run(table: pa.Table) -> pa.Table:
@@ -146,7 +146,7 @@ def found_elsewhere(sent: DataFrame, wide: bool, hot: int | None = None) -> Data
         count = np.diff(np.append(starts, len(keys)))
         hit = ((count > 1) | np.logical_or.reduceat(bits[0][order], starts)) & np.logical_or.reduceat(bits[1][order], starts)
         ends, out = np.cumsum(sizes), []
-        for answer in (hit,) if hot is None else (hit, count >= hot):
+        for answer in (hit, *(count >= h for h in hot)):
             back = np.empty(len(keys), bool)
             back[order] = np.repeat(answer, count)
             out.append(back)

@@ -17,6 +17,8 @@ SIGNATURE, FAN = 4096, 8
 MEMBERS, MEMBER_BYTES = 1024, 8_000_000
 #: Bytes of text in a chunk; its shingles take some thirty times as much memory.
 CHUNK = 2_500_000
+#: Keys are chosen among shingles that fewer chunks than this hold first, then among the next class.
+LEVELS = (4, 32)
 
 _LOWER = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
 
@@ -183,15 +185,17 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5,
 
     Words are split at ASCII white space with A-Z lowered; a text of fewer words than ``size`` is one
     shingle, one without words links with nothing. Documents with the same set are represented by the
-    smallest id. An exchange tells each representative which of its shingles any other holds, and
-    ``rare_prefix`` how many of these it needs as keys to meet whatever it is linked with: none, if too
-    much of its text is its own. Documents that share a key form candidate groups.
+    smallest id. An exchange tells each representative which of its shingles any other holds and in
+    about how many chunks (``LEVELS``), and ``rare_prefix`` how many of these, the rarest first, it needs
+    as keys to meet whatever it is linked with: none, if too much of its text is its own. A key's place
+    in that order bounds the size of a set that it may be the first common shingle with (``reach``).
+    Documents that share a key within these bounds form candidate groups.
 
     Each group is joined by ``signature_join`` in blocks of about ``MEMBERS`` sets and ``MEMBER_BYTES``
     bytes; in a group of several blocks, members with the same least key share one where they can. It is joined first within blocks
     and by its components' smallest members, again until these no longer become fewer. Of the keys that
     still join two components, documents outside a key's largest component visit the other blocks that
-    hold it, in parts of about ``MEMBERS`` visitors; its largest component stays where it is.
+    hold it in sets of a size within the bounds, in parts of about ``MEMBERS`` visitors; its largest component stays where it is.
 
     Rows that repeat an id are one document if their sets are equal (``text_key``, xxhash64 of the text,
     tells them apart); a null id is its own component; an empty table gives none.
@@ -214,22 +218,35 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5,
             for data, answers in zip(batch.column(0), batch.column(1)):
                 ids, texts = ex.open_chunk(data.as_py())
                 doc, shingles = shingle_sets(texts, size)
-                shared = ex.bits_of(ex.Distinct(shingles, n_buckets), answers.as_py())
+                distinct, answer = ex.Distinct(shingles, n_buckets), answers.as_py()
+                shared, *more = (ex.bits_of(distinct, answer, k, 1 + len(LEVELS)) for k in range(1 + len(LEVELS)))
+                level = np.sum(more, axis=0)
                 n = np.bincount(doc, minlength=len(texts))
-                first = rare_prefix(n, np.bincount(doc[shared], minlength=len(texts)), num, den)
+                others = np.bincount(doc[shared], minlength=len(texts))
+                first = rare_prefix(n, others, num, den)
                 found, cuts = np.flatnonzero(first), np.concatenate(([0], np.cumsum(n)))
                 own = [slice(cuts[i], cuts[i + 1]) for i in found]
-                keys = [np.sort(shingles[x][shared[x]])[: first[i]].view(np.int64) for i, x in zip(found, own)]
+                rarest = [np.lexsort((shingles[x], level[x], ~shared[x]))[: first[i]] for i, x in zip(found, own)]
+                keys = [shingles[x][k].view(np.int64) for x, k in zip(own, rarest)]
+                # sets with this key as their first common shingle have at most the shared ones from it on in common
+                reach = [(others[i] - np.arange(first[i])) * (num + den) // num - n[i] for i in found]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[found], pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(8 * n[found], pa.int64()), pa.array([np.sort(shingles[x]).tobytes() for x in own], pa.binary())],
-                    ["doc_id", "keys", "size", "shingles"],
+                    [pa.array(ids[found], pa.int64()), pa.array(n[found], pa.int64()), *(pa.array(x, pa.list_(pa.int64())) for x in (keys, reach)), pa.array(8 * n[found], pa.int64()), pa.array([np.sort(shingles[x]).tobytes() for x in own], pa.binary())],
+                    ["doc_id", "n", "keys", "reach", "size", "shingles"],
                 )
 
-    answered = ex.answered(chunks, ex.found_elsewhere(ex.send(chunks, asked, n_buckets, False), False))
-    near = materialise(answered.select("data", "answers").mapInArrow(candidates, "doc_id long, keys array<long>, size long, shingles binary"), "near")
-    keyed = near.select("doc_id", F.explode("keys").alias("key")).distinct()
-    hubs = keyed.groupBy("key").agg(F.min("doc_id").alias("hub"), F.count("*").alias("n")).where("n > 1")
-    keyed = materialise(keyed.join(hubs.select("key", "hub"), "key"), "held-keys")
+    answered = ex.answered(chunks, ex.found_elsewhere(ex.send(chunks, asked, n_buckets, False), False, LEVELS))
+    near = materialise(answered.select("data", "answers").mapInArrow(candidates, "doc_id long, n long, keys array<long>, reach array<long>, size long, shingles binary"), "near")
+    keyed = near.select("doc_id", "n", F.inline(F.arrays_zip("keys", "reach"))).withColumnRenamed("keys", "key")
+
+    def fits(low, high, reach):
+        """Whether a set may link, by a key, with one of ``low`` to ``high`` shingles and a reach up to ``reach``."""
+        return (F.col("reach") >= low) & (reach >= F.col("n")) & (high * den >= F.col("n") * num) & (low * num <= F.col("n") * den)
+
+    hubs = keyed.groupBy("key").agg(F.min("doc_id").alias("hub"), F.count("*").alias("held"), F.min("n").alias("low"), F.max("n").alias("high"), F.max("reach").alias("farthest"), F.sum("n").alias("all_n"), F.sum("reach").alias("all_reach"))
+    other_n, other_reach = F.col("all_n") - F.col("n"), F.col("all_reach") - F.col("reach")
+    meets = F.when(F.col("held") == 2, fits(other_n, other_n, other_reach)).otherwise(fits(F.col("low"), F.col("high"), F.col("farthest")))
+    keyed = materialise(keyed.join(hubs.where("held > 1"), "key").where(meets).select("key", "doc_id", "n", "reach", "hub"), "held-keys")
     groups = components(keyed.select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).where("a <> b"))
     groups = groups.select(F.col("label").alias("grp"), F.col("node").alias("doc_id")).join(keyed.groupBy("doc_id").agg(F.min("key").alias("least")), "doc_id")
 
@@ -264,15 +281,17 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5,
             break
         links = materialise(links.union(in_blocks(first_of.join(blocked(first_of.drop("shingles", "label")).drop("least"), ["grp", "doc_id"]))), "links")
 
-    held = keyed.join(state.select("doc_id", "grp", "label", "own"), "doc_id")
+    held = keyed.drop("hub").join(state.select("doc_id", "grp", "label", "own"), "doc_id")
     sides = held.groupBy("key", "label").agg(F.count("*").alias("n"), F.collect_set("own").alias("blocks"))
-    keys = sides.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("most"), F.count("*").alias("n"), F.array_distinct(F.flatten(F.collect_list("blocks"))).alias("blocks"), F.max_by("blocks", F.struct("n", "label")).alias("most_blocks"))
+    keys = sides.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("most"), F.count("*").alias("n"), F.max_by("blocks", F.struct("n", "label")).alias("most_blocks")).where("n > 1")
+    sizes = held.groupBy("key", "own").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("reach").alias("farthest"))
+    sizes = sizes.groupBy("key").agg(F.collect_list(F.struct("own", "low", "high", "farthest")).alias("blocks")).where("size(blocks) > 1")
     # written, so that a hot key's rows in the join below can be dealt to several tasks
-    keys = materialise(keys.where("n > 1").select("key", "most", "blocks", "most_blocks"), "open-keys")
+    keys = materialise(keys.join(sizes, "key").select("key", "most", "blocks", "most_blocks"), "open-keys")
     opened = held.join(keys, "key")
     # of two documents outside the largest component, the one in the lesser block visits the other
-    goes = F.filter("blocks", lambda b: (b > F.col("own")) | (b != F.col("own")) & F.array_contains("most_blocks", b))
-    visitors = opened.where("label <> most").select("doc_id", "grp", F.explode(goes).alias("block")).distinct()
+    goes = F.filter("blocks", lambda b: ((b["own"] > F.col("own")) | (b["own"] != F.col("own")) & F.array_contains("most_blocks", b["own"])) & fits(b["low"], b["high"], b["farthest"]))
+    visitors = opened.where("label <> most").select("doc_id", "grp", F.explode(F.transform(goes, lambda b: b["own"])).alias("block")).distinct()
     visitors = materialise(visitors, "visitors")
     tables = visitors.groupBy("grp", "block").agg(F.ceil(F.count("*") / MEMBERS).alias("parts"))
     part = F.pmod(F.xxhash64("doc_id"), F.col("parts"))

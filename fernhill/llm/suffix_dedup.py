@@ -160,7 +160,7 @@ def drop_earlier_strings(docs: DataFrame, window: int = 50, id_col: str = "doc_i
         runs = _Runs(texts, window)
         return runs.key, ids[runs.doc], np.ones(len(runs.key), bool)
 
-    shared = ex.answered(chunks, ex.found_elsewhere(ex.send(chunks, asked, n_asked, False), False, HOT))
+    shared = ex.answered(chunks, ex.found_elsewhere(ex.send(chunks, asked, n_asked, False), False, (HOT,)))
 
     def cut(texts, ids, answers):
         """Shared runs by shard, and in it by text: shard, start, count, owner, and whether a text is new."""
