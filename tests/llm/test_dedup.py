@@ -233,3 +233,17 @@ def test_very_long_texts(docs):
     assert near == {1: 1, 2: 2, 3: 3, 4: 4, 5: 5, 6: 1}
     lines = {r.doc_id: r.n_dropped for r in drop_repeated_lines(docs([(i, t + "\n" + t) for i, t in rows] + [(6, body), (7, body)])).collect()}
     assert lines == {1: 2, 2: 0, 3: 0, 4: 0, 5: 0, 6: 1, 7: 0}
+
+
+def test_near_copies_of_one_text_in_many_blocks(docs, monkeypatch):
+    """Copies with few and many changes and of several sizes: some link, some only look alike."""
+    monkeypatch.setattr(nd, "MEMBERS", 3)
+    r = random.Random(5)
+    rows = []
+    for i in range(60):
+        words = [f"w{k}" for k in range(120 + r.randrange(-9, 10))]
+        for k in r.sample(range(100), r.choice([0, 1, 2, 4, 6])):
+            words[k] = r.choice([f"own{i}x{k}", f"some{k}"])
+        rows.append((i, " ".join(words)))
+    got = nd.near_duplicates(docs(rows), size=4, num=85, den=100).collect()
+    assert {x.doc_id: (x.n_shingles, x.component_id) for x in got} == near_brute(rows, 4, 85, 100)
