@@ -27,6 +27,14 @@ _STOP[[10, 44, 46]] = True
 _FOLD = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
 # Letters of two bytes; one of them has a small form that ends with a mark, which is no letter.
 _LETTER = np.array([unicodedata.category(chr(c))[0] == "L" and c != 0x130 for c in range(0x800)])
+# Normalizers and pre-tokenizers for which ``_cuts`` holds.
+_KNOWN = [
+    (None, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}),
+    (
+        {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+        {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+    ),
+]
 # First two bytes of white space of three bytes and its neighbours.
 _WIDE_SPACE = [0xE19A, 0xE280, 0xE281, 0xE380]
 _encoders: dict[tuple[str, str], Encoder] = {}
@@ -77,7 +85,8 @@ class Encoder:
         if self.tokenizer.get_vocab_size() > np.iinfo(dtype).max + 1:
             raise ValueError(f"{path} has more ids than {dtype} holds")
         about = json.loads(self.tokenizer.to_str())
-        self.folds = bool((about.get("normalizer") or {}).get("type"))  # lowers letters and drops white space
+        self.parts = (about["normalizer"], about["pre_tokenizer"]) in _KNOWN  # else texts are encoded as a whole
+        self.folds = self.parts and bool(about["normalizer"])  # lowers letters and drops white space
         self.marks = [x["content"].lower().encode() for x in about["added_tokens"]]
         # known pieces in the order of their hashes, the bytes of each and its ids
         self.hash, self.row = np.zeros(0, np.uint64), np.zeros(0, np.int64)
@@ -106,7 +115,7 @@ class Encoder:
 
     def _ask(self, pieces: list[str]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
         """Ids of some pieces in parts, and where in the parts' sum each piece begins and how many it has."""
-        plain = [i for i, p in enumerate(pieces) if len(p) < 64 and _PLAIN.fullmatch(p)]
+        plain = [i for i, p in enumerate(pieces) if self.parts and len(p) < 64 and _PLAIN.fullmatch(p)]
         parts, sizes = [], np.zeros(len(pieces), np.int64)
         for k in range(0, len(plain), 4096):
             some = plain[k : k + 4096]
@@ -132,12 +141,12 @@ class Encoder:
             return np.zeros(0, self.dtype), np.zeros(len(column), np.int64)
         data = np.zeros(n_bytes + 8, np.uint8)
         data[:n_bytes] = np.frombuffer(body, np.uint8)[first : first + n_bytes]
-        start = _cuts(data[:n_bytes], offsets)
-        direct = np.zeros(len(start), bool)
+        start = _cuts(data[:n_bytes], offsets) if self.parts else np.unique(offsets[:-1][offsets[1:] > offsets[:-1]])
+        direct = np.full(len(start), not self.parts)
         if len(marked := self._marked(data[:n_bytes], offsets)):
             owner = np.searchsorted(offsets, start, "right") - 1
             keep = ~np.isin(owner, marked) | np.isin(start, offsets)
-            start, direct = start[keep], np.isin(owner, marked)[keep]
+            start, direct = start[keep], (direct | np.isin(owner, marked))[keep]
         stop = np.append(start[1:], n_bytes)
         bounds = np.searchsorted(start, offsets)
         if self.folds:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fernhill.llm import decontamination, language_id, line_dedup, near_duplicates, packing, quality, substring_dedup, suffix_dedup, token_output, toxicity
+from fernhill.llm import bpe, centroids, decontamination, language_id, line_dedup, near_duplicates, packing, quality, substring_dedup, suffix_dedup, token_output, toxicity, vector_codes
 
 
 def queries() -> dict:
@@ -17,6 +17,9 @@ def queries() -> dict:
         "op8_quality_rules": quality.op8_quality_rules,
         "op9_decontamination": decontamination.op9_decontamination,
         "op10_line_dedup": line_dedup.op10_line_dedup,
+        "op11_bpe": bpe.op11_bpe,
+        "op12_centroids": centroids.op12_centroids,
+        "op13_vector_codes": vector_codes.op13_vector_codes,
     }
 
 
@@ -25,4 +28,6 @@ def oracle_sql() -> dict:
         "op5_substring_dedup": substring_dedup.ORACLE_SQL,
         "op7_jaccard_join": near_duplicates.ORACLE_SQL,
         "op10_line_dedup": line_dedup.ORACLE_SQL,
+        "op12_centroids": centroids.ORACLE_SQL,
+        "op13_vector_codes": vector_codes.ORACLE_SQL,
     }
