@@ -77,6 +77,8 @@ def _same(a: np.ndarray, at_a: np.ndarray, n_a: np.ndarray, b: np.ndarray, at_b:
 class Encoder:
     """Ids of many texts at once: pieces are found, told apart and put together in numpy; a tokenizer sees each new piece once."""
 
+    remembered = REMEMBERED
+
     def __init__(self, path: str, dtype: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -182,7 +184,7 @@ class Encoder:
         row[new] = len(self.at) + np.arange(len(new))
         rows[short] = row[kind]
         rows[direct] = len(self.at) + len(new) + np.arange(len(asked) - len(new))
-        if len(new) and len(self.at) + len(new) <= REMEMBERED:
+        if len(new) and len(self.at) + len(new) <= self.remembered:
             self._remember(np.setdiff1d(new, wrong), new, keys, row, rep, data, start, size, ids, ids_at, ids_size)
 
         lengths = ids_size[rows]

@@ -7,6 +7,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType
 
@@ -14,11 +15,12 @@ from fernhill.llm._shared import documents, small_batches
 from fernhill.llm._tokens import Encoder, text_groups
 
 #: Nodes and pairs of tokens that a worker keeps, and the longest word that becomes nodes.
-NODES, PAIRS, LONG_WORD = 1_000_000, 1_000_000, 256
+NODES, PAIRS, LONG_WORD = 300_000, 200_000, 256
 _NEVER = 1 << 40
 _END = 1 << 10
 _ONE_WORD = re.compile(" ?[a-z]+")
 _workers: dict[str, TrieEncoder] = {}
+_tables: dict[str, tuple] = {}
 
 
 class WordTrie:
@@ -119,10 +121,7 @@ class WordTrie:
         at = len(states) + 1
         known = self.final if ends else self.inner
         for n in self.lengths.get((word[at - 1], ends), ()):
-            if n > at:
-                continue
-            token = known.get(word[at - n : at])
-            if token is not None and self._is_own(token) and (n == at or self._apart(states[at - n - 1], token)):
+            if n <= at and (token := known.get(word[at - n : at])) is not None and self._is_own(token) and (n == at or self._apart(states[at - n - 1], token)):
                 return token
         raise ValueError(f"the vocabulary lacks the symbol {word[at - 1]!r}")
 
@@ -162,6 +161,8 @@ class WordTrie:
 class TrieEncoder(Encoder):
     """An ``Encoder`` whose new pieces are parted into words by the tokenizer file's own rules and encoded by a ``WordTrie``."""
 
+    remembered = 200_000
+
     def __init__(self, path: str, dtype: str = "<u2"):
         super().__init__(path, dtype)
         about = json.loads(self.tokenizer.to_str())
@@ -237,29 +238,33 @@ def decode_documents(tokens: DataFrame, tokenizer: str, ids_col: str = "ids", ou
     rows = tokens.select(*kept, F.col(ids_col).cast("array<int>").alias("\0ids"))
 
     def run(batches):
-        table, spell = decoder(tokenizer)
+        if tokenizer not in _tables:
+            _tables[tokenizer] = decoder(tokenizer)
+        table, spell = _tables[tokenizer]
         for batch in batches:
             column = batch.column(batch.num_columns - 1)
-            texts = [spell([table[i] for i in ids if i in table] if ids else []) for ids in _lists(column)]
+            values = pc.fill_null(column.flatten(), -1).to_numpy()
+            ends = np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy())
+            odd = (values < 0) | (values >= len(table))
+            if odd.any():
+                ends, values = np.cumsum(~odd)[ends - 1] * (ends > 0), values[~odd]
+            starts = np.concatenate(([0], ends[:-1])) if len(ends) else ends
+            texts = [spell(map(table.__getitem__, values[a:z].tolist())) for a, z in zip(starts.tolist(), ends.tolist())]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], [*kept, out_col])
 
     return rows.mapInArrow(run, tokens.select(*kept).schema.add(out_col, StringType()))
 
 
-def _lists(column: pa.Array):
-    """The id lists of a column one by one, so that only one is a Python list at a time."""
-    for k in range(len(column)):
-        value = column[k]
-        yield value.values.to_pylist() if value.is_valid else None
-
-
 def decoder(path: str):
-    """Strings by id, and a function that makes the text of some."""
+    """The strings of all ids, in their order, and a function that makes the text of some."""
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
     kind = (json.loads(tokenizer.to_str())["decoder"] or {}).get("type")
-    table = {i: w for w, i in tokenizer.get_vocab(with_added_tokens=True).items()}
+    words = {i: w for w, i in tokenizer.get_vocab(with_added_tokens=True).items()}
+    if sorted(words) != list(range(len(words))):
+        raise ValueError(f"{path} has gaps between its ids")
+    table = [words[i] for i in range(len(words))]
     if kind is None:
         return table, " ".join
     if kind != "ByteLevel":
@@ -267,7 +272,7 @@ def decoder(path: str):
     # bytes that are printable stand for themselves, the others for the characters from 256 on, in order
     plain = [b for b in range(256) if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or b >= 0xAE]
     byte = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in plain)}
-    return {i: bytes(byte[c] for c in w) if all(c in byte for c in w) else w.encode() for i, w in table.items()}, lambda parts: b"".join(parts).decode("utf-8", "replace")
+    return [bytes(byte[c] for c in w) if all(c in byte for c in w) else w.encode() for w in table], lambda parts: b"".join(parts).decode("utf-8", "replace")
 
 
 def op11_bpe(spark, sf_dir):
