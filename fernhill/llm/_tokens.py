@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 
 from fernhill.llm._words import U, _LOW, heads, lanes, order_of, spans
 
-#: Pieces of text whose ids a worker keeps, and the most bytes of one.
+#: Pieces of text after which a worker starts to collect anew, and the most bytes of one.
 REMEMBERED, SHORT = 1_000_000, 256
 
 # A piece that stays as it is between line ends.
@@ -90,9 +90,12 @@ class Encoder:
         self.parts = (about["normalizer"], about["pre_tokenizer"]) in _KNOWN  # else texts are encoded as a whole
         self.folds = self.parts and bool(about["normalizer"])  # lowers letters and drops white space
         self.marks = [x["content"].lower().encode() for x in about["added_tokens"]]
+        self._forget()
+
+    def _forget(self) -> None:
         # known pieces in the order of their hashes, the bytes of each and its ids
         self.hash, self.row = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        self.bytes, self.ids = np.zeros(8, np.uint8), np.zeros(0, dtype)
+        self.bytes, self.ids = np.zeros(8, np.uint8), np.zeros(0, self.dtype)
         self.at, self.size, self.ids_at, self.ids_size = (np.zeros(0, np.int64) for _ in range(4))
 
     def _marked(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -141,6 +144,8 @@ class Encoder:
         n_bytes = int(offsets[-1])
         if not n_bytes:
             return np.zeros(0, self.dtype), np.zeros(len(column), np.int64)
+        if len(self.at) > self.remembered:
+            self._forget()
         data = np.zeros(n_bytes + 8, np.uint8)
         data[:n_bytes] = np.frombuffer(body, np.uint8)[first : first + n_bytes]
         start = _cuts(data[:n_bytes], offsets) if self.parts else np.unique(offsets[:-1][offsets[1:] > offsets[:-1]])
@@ -184,7 +189,7 @@ class Encoder:
         row[new] = len(self.at) + np.arange(len(new))
         rows[short] = row[kind]
         rows[direct] = len(self.at) + len(new) + np.arange(len(asked) - len(new))
-        if len(new) and len(self.at) + len(new) <= self.remembered:
+        if len(new):
             self._remember(np.setdiff1d(new, wrong), new, keys, row, rep, data, start, size, ids, ids_at, ids_size)
 
         lengths = ids_size[rows]

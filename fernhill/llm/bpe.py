@@ -60,17 +60,14 @@ class WordTrie:
             text, ends = symbols[token]
             (self.final if ends else self.inner)[text] = token
         self.size = {token: len(text) for token, (text, _) in symbols.items()}
-        lengths: dict[tuple[str, bool], set[int]] = {}
-        for text, ends in symbols.values():
-            lengths.setdefault((text[-1], ends), set()).add(len(text))
-        self.lengths = {key: sorted(found, reverse=True) for key, found in lengths.items()}
+        self.starts = {text[:n] for text, ends in symbols.values() for n in range(1, len(text) + 1 - ends)}
         self.edges: dict[tuple[int, bool], list[int]] = {}
         self.own: dict[int, bool] = {}
         self.clear()
 
     def clear(self) -> None:
         self.children: dict[int, int] = {}
-        self.last = [-1]
+        self.last, self.reach = [-1], [0]
         self.pairs: dict[tuple[int, int], bool] = {}
 
     def _edge(self, token: int, right: bool) -> list[int]:
@@ -116,30 +113,39 @@ class WordTrie:
             found = self.pairs[key] = self._meet(u, v) is None
         return found
 
-    def _step(self, word: str, states: list[int], ends: bool) -> int:
-        """The last token of the beginning that has one symbol more than ``states``; states[k - 1] is that of k symbols."""
-        at = len(states) + 1
+    def _step(self, word: str, states: list[int], ends: bool, reach: int) -> tuple[int, int]:
+        """The last token of the beginning that has one symbol more than ``states``, and its own reach.
+
+        states[k - 1] is the last token of k symbols; reach is the length of the longest start of a token
+        that the shorter beginning ends with, which bounds the tokens that can end here.
+        """
+        at, n = len(states) + 1, reach + 1
         known = self.final if ends else self.inner
-        for n in self.lengths.get((word[at - 1], ends), ()):
-            if n <= at and (token := known.get(word[at - n : at])) is not None and self._is_own(token) and (n == at or self._apart(states[at - n - 1], token)):
-                return token
+        if not ends:
+            while n > 1 and word[at - n : at] not in self.starts:
+                n -= 1
+        for size in range(n, 0, -1):
+            token = known.get(word[at - size : at])
+            if token is not None and self._is_own(token) and (size == at or self._apart(states[at - size - 1], token)):
+                return token, n
         raise ValueError(f"the vocabulary lacks the symbol {word[at - 1]!r}")
 
     def _ids(self, word: str) -> list[int]:
         states: list[int] = []
-        children, last, node, n = self.children, self.last, 0, len(word)
+        children, last, node, n, reach = self.children, self.last, 0, len(word), 0
         kept = n <= LONG_WORD
         for k in range(n):
             ends = self.marked and k == n - 1
             key = node << 11 | ord(word[k]) | (_END if ends else 0)
             node = children.get(key, -1) if kept else -1
             if node < 0:
-                state = self._step(word, states, ends)
+                state, reach = self._step(word, states, ends, reach)
                 if kept:
                     node = children[key] = len(last)
                     last.append(state)
+                    self.reach.append(reach)
             else:
-                state = last[node]
+                state, reach = last[node], self.reach[node]
             states.append(state)
         ids = []
         while n:
@@ -161,7 +167,7 @@ class WordTrie:
 class TrieEncoder(Encoder):
     """An ``Encoder`` whose new pieces are parted into words by the tokenizer file's own rules and encoded by a ``WordTrie``."""
 
-    remembered = 200_000
+    remembered = 300_000
 
     def __init__(self, path: str, dtype: str = "<u2"):
         super().__init__(path, dtype)

@@ -44,7 +44,7 @@ def test_shared_beginnings_are_computed_once(monkeypatch):
     model = json.loads(Tokenizer.from_file(public_tokenizers.path(FILES[0])).to_str())["model"]
     trie, steps = bpe.WordTrie(model), []
     step = trie._step
-    trie._step = lambda word, states, ends: steps.append(word[: len(states) + 1]) or step(word, states, ends)
+    trie._step = lambda word, states, *more: steps.append(word[: len(states) + 1]) or step(word, states, *more)
     trie.encode({"interest", "interesting", "interested"})
     # seven shared letters of "interest", then its marked end; "t" once within; "ed" and "ing" with marked ends
     assert len(steps) == 7 + 1 + 1 + 2 + 3
