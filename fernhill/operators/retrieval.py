@@ -5,109 +5,10 @@ from __future__ import annotations
 import functools
 from collections.abc import Sequence
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from fernhill.functions.text import confidence_rank, is_absence, norm_alnum
-from fernhill.functions.vectors import cosine
-
-#: Queries whose vectors go to the tasks at once; more are searched in further blocks.
-QUERY_BLOCK = 4096
-
-
-def vector_topk(images: DataFrame, queries: DataFrame, k: int, id_col: str = "image_id", vec_col: str = "embedding") -> DataFrame:
-    """(query_id, image_id, similarity, rank): exact cosine top-k of each query, ties by image id.
-
-    Query vectors are multiplied with each batch of images in the tasks, which keep k per query and
-    batch; only those are shuffled. Similarities are rounded to 6 places before they are ranked.
-    """
-    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    found = [_block_topk(images, queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b), k, id_col, vec_col) for b in range(blocks)]
-    best = W.partitionBy("query_id").orderBy(F.desc("similarity"), id_col)
-    return functools.reduce(DataFrame.unionByName, found).withColumn("rank", F.row_number().over(best).cast("long")).where(F.col("rank") <= k)
-
-
-def product_similarity(images: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, product_id, similarity): the best similarity of a product's other images to each query.
-
-    Query vectors meet each batch of images in blocks, as in ``vector_topk``; a task keeps one number
-    per query and product of its batch.
-    """
-    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    found = [_block_products(images, queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)) for b in range(blocks)]
-    return functools.reduce(DataFrame.unionByName, found).groupBy("query_id", "product_id").agg(F.max("similarity").alias("similarity"))
-
-
-def _unit_rows(rows: list) -> np.ndarray:
-    v = np.array(rows, float).reshape(len(rows), -1)
-    return v / np.where((size := np.linalg.norm(v, axis=1)) > 0, size, 1)[:, None]
-
-
-def _block_products(images: DataFrame, queries: DataFrame) -> DataFrame:
-    rows = queries.select("query_id", F.col("embedding").cast("array<double>").alias("v")).orderBy("query_id").collect()
-    ids, q = np.array([r.query_id for r in rows]), _unit_rows([r.v for r in rows])
-
-    def run(batches):
-        for batch in batches:
-            if not batch.num_rows or not len(ids):
-                continue
-            near = np.round(q @ _unit_rows(batch.column(2).to_pylist()).T, 6) + 0.0
-            near[ids[:, None] == batch.column(0).to_numpy()[None, :]] = -np.inf
-            names, which = np.unique(batch.column(1).to_numpy(zero_copy_only=False), return_inverse=True)
-            best = np.full((len(ids), len(names)), -np.inf)
-            np.maximum.at(best, (slice(None), which), near)
-            i, j = np.nonzero(best > -np.inf)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(names[j]), pa.array(best[i, j])], ["query_id", "product_id", "similarity"])
-
-    kind = lambda df, c: df.schema[c].dataType.simpleString()
-    some = images.where("embedding IS NOT NULL").select("image_id", "product_id", F.col("embedding").cast("array<double>"))
-    return some.mapInArrow(run, f"query_id {kind(queries, 'query_id')}, product_id {kind(images, 'product_id')}, similarity double")
-
-
-def _block_topk(images: DataFrame, queries: DataFrame, k: int, id_col: str, vec_col: str) -> DataFrame:
-    rows = queries.select("query_id", F.col("embedding").cast("array<double>").alias("v")).orderBy("query_id").collect()
-    ids = np.array([r.query_id for r in rows])
-    q = np.array([r.v for r in rows], float).reshape(len(rows), -1)
-    q = q / np.where((size := np.linalg.norm(q, axis=1)) > 0, size, 1)[:, None]
-
-    def run(batches):
-        for batch in batches:
-            if not batch.num_rows or not len(ids):
-                continue
-            v = np.array(batch.column(1).to_pylist(), float)
-            v = v / np.where((n := np.linalg.norm(v, axis=1)) > 0, n, 1)[:, None]
-            near = np.round(q @ v.T, 6)
-            image = batch.column(0).to_numpy()
-            order = np.lexsort((np.broadcast_to(image, near.shape), -near), axis=1)[:, :k]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(ids, order.shape[1])), pa.array(image[order].ravel()), pa.array(np.take_along_axis(near, order, 1).ravel() + 0.0)],
-                ["query_id", id_col, "similarity"],
-            )
-
-    rows = images.where(F.col(vec_col).isNotNull()).select(id_col, F.col(vec_col).cast("array<double>"))
-    return rows.mapInArrow(run, f"query_id {queries.schema['query_id'].dataType.simpleString()}, {id_col} {images.schema[id_col].dataType.simpleString()}, similarity double")
-
-
-def ann_topk(images: DataFrame, queries: DataFrame, k: int, tables: int = 20, bits: int = 4, dims: int = 64, seed: int = 5) -> DataFrame:
-    """Approximate top-k: random-hyperplane buckets give candidates, which are rescored exactly."""
-    rng = np.random.default_rng(seed)
-    planes = rng.normal(size=(tables, bits, dims)).round(6).tolist()
-
-    def keys(vec: Column) -> Column:
-        def bit(p):
-            return (F.aggregate(F.zip_with(vec, F.array(*map(F.lit, p)), lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x) > 0).cast("string")
-
-        return F.array(*(F.concat(F.lit(f"{t}:"), *(bit(p) for p in planes[t])) for t in range(tables)))
-
-    vec = F.col("embedding").cast("array<double>")
-    left = queries.select("query_id", vec.alias("qv"), F.explode(keys(vec)).alias("bucket"))
-    right = images.select("image_id", F.explode(keys(vec)).alias("bucket"))
-    pairs = left.join(right, "bucket").select("query_id", "image_id").distinct()
-    scored = pairs.join(queries.select("query_id", vec.alias("qv")), "query_id").join(images.select("image_id", vec.alias("iv")), "image_id")
-    best = W.partitionBy("query_id").orderBy(F.desc("similarity"), "image_id")
-    return scored.select("query_id", "image_id", F.round(cosine(F.col("qv"), F.col("iv")), 6).alias("similarity")).withColumn("rank", F.row_number().over(best).cast("long")).where(F.col("rank") <= k)
-
+from fernhill.operators.vector_search import vector_topk
 
 def image_score(df: DataFrame, similarity: Column, trait: Column, category: Column, exact: Column, room: Column) -> DataFrame:
     """Similarity, trait boost, 0.03 for the category, 2 for the exact source, -0.2 for a room scene."""
@@ -148,14 +49,16 @@ def search(images: DataFrame, queries: DataFrame, traits: DataFrame, bullets: Da
     ai_refreshed_at, room, embedding); queries: (query_id, visual_type, category, source_image,
     refreshed_since, embedding). Only product images of a type that is interchangeable with the
     query's (``families``) are searched; each query keeps ``candidates`` of them by cosine, ties by
-    id, and these are scored with trait boost, category, exact source and room scene. Products come
+    product and id, and these are scored with trait boost, category, exact source and room scene. Products come
     with the exact source first, then by score and confidence; those last refreshed before the
     query's ``refreshed_since`` (null: none) go before the limit.
     """
     open_ = images.where("stage_0_result = 'product' AND NOT excluded AND embedding IS NOT NULL")
-    near = [vector_topk(open_.where(F.col("visual_type").isin(*kinds)), queries.where(F.col("visual_type").isin(*kinds)), candidates) for kinds in families]
+    kinds = F.create_map(*(F.lit(x) for f, types in enumerate(families) for t in types for x in (t, f)))
+    scoped = lambda rows: rows.withColumn("family", F.try_element_at(kinds, "visual_type")).where("family IS NOT NULL")
+    near = vector_topk(scoped(open_), scoped(queries), candidates, ties=["product_id"], scope="family")
     asked = queries.select("query_id", F.col("category").alias("wanted"), "source_image", "refreshed_since")
-    rows = functools.reduce(DataFrame.unionByName, near).join(images.drop("embedding", "excluded", "stage_0_result"), "image_id").join(asked, "query_id")
+    rows = near.join(images.drop("embedding", "excluded", "stage_0_result"), "image_id").join(asked, "query_id")
     rows = rows.withColumn("exact", F.coalesce(F.col("image_id") == F.col("source_image"), F.lit(False)))
     boosted = trait_boost(rows, traits, bullets, groups)
     scored = image_score(boosted, F.col("similarity"), F.col("boost"), F.coalesce(F.col("category") == F.col("wanted"), F.lit(False)), F.col("exact"), F.col("room"))

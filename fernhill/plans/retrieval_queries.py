@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W, functions as F
 
 from fernhill.functions import text as T, vectors as V
-from fernhill.operators import retrieval as R
+from fernhill.operators import retrieval as R, vector_search as N
 from fernhill.plans._book import query, rows
 
 _TOPK = """
@@ -14,14 +14,14 @@ near AS (
          round(list_cosine_similarity(q.embedding::DOUBLE[], i.embedding::DOUBLE[]), 6) + 0.0 AS similarity
   FROM {embeddings} q JOIN {embeddings} i ON q.vec_id % 20 = 0),
 topk AS (
-  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, image_id) AS rank FROM near
-  QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, image_id) <= 50)"""
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, product_id, image_id) AS rank FROM near
+  QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, product_id, image_id) <= 50)"""
 
 
 def _topk(emb, k=50):
-    images = emb.select(F.col("vec_id").alias("image_id"), "embedding")
+    images = emb.select(F.col("vec_id").alias("image_id"), F.col("label").alias("product_id"), "embedding")
     queries = emb.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
-    return R.vector_topk(images, queries, k).join(emb.select(F.col("vec_id").alias("image_id"), F.col("label").alias("product_id")), "image_id")
+    return N.vector_topk(images, queries, k, ties=["product_id"]).join(images.drop("embedding"), "image_id")
 
 
 def _scored(emb):
@@ -49,7 +49,7 @@ def vector_topk(emb):
 @query("r2_ann_topk", None, "embeddings")
 def ann_topk(emb):
     images = emb.select(F.col("vec_id").alias("image_id"), "embedding")
-    return R.ann_topk(images, emb.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), 10)
+    return N.ann_topk(images, emb.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), 10)
 
 
 @query("r3_image_score", f"WITH {_SCORED} SELECT query_id, image_id, score FROM scored", "embeddings")
@@ -115,7 +115,7 @@ near AS (
   SELECT q.query_id, q.kind, q.wanted, q.source_image, q.since, i.image_id, i.product_id, i.category, i.room, i.confidence, i.ai_refreshed_at,
          round(list_cosine_similarity(q.embedding::DOUBLE[], i.embedding::DOUBLE[]), 6) AS similarity
   FROM q JOIN f USING (visual_type) JOIN open_images i ON i.family = f.family
-  QUALIFY row_number() OVER (PARTITION BY q.query_id ORDER BY round(list_cosine_similarity(q.embedding::DOUBLE[], i.embedding::DOUBLE[]), 6) DESC, i.image_id) <= 1000),
+  QUALIFY row_number() OVER (PARTITION BY q.query_id ORDER BY round(list_cosine_similarity(q.embedding::DOUBLE[], i.embedding::DOUBLE[]), 6) DESC, i.product_id, i.image_id) <= 1000),
 lv AS (SELECT *, CASE priority WHEN 'high' THEN 0 WHEN 'normal' THEN 1 ELSE 2 END AS level, trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) AS norm FROM told),
 once AS (SELECT * FROM lv QUALIFY row_number() OVER (PARTITION BY kind, norm ORDER BY level, ord) = 1),
 asked AS (SELECT * FROM once WHERE field IS NOT NULL AND value <> 'unknown' QUALIFY row_number() OVER (PARTITION BY kind, field ORDER BY level DESC, ord DESC) = 1),
@@ -171,7 +171,7 @@ SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, ima
 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, image_id) <= 5""", "fx_images", "embeddings")
 def similar_to_product(images, emb):
     target = R.target_vector(images.where("product_id % 20 = 0")).select(F.col("product_id").alias("query_id"), "vec_id")
-    return R.vector_topk(emb.select(F.col("vec_id").alias("image_id"), "embedding"), target.join(emb, "vec_id").select("query_id", "embedding"), 5)
+    return N.vector_topk(emb.select(F.col("vec_id").alias("image_id"), "embedding"), target.join(emb, "vec_id").select("query_id", "embedding"), 5)
 
 
 @query("r10_score_cutoff", """
@@ -302,7 +302,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, produc
 SELECT count(*) AS queries, round(avg((rank = 1)::INT), 6) AS at_1, round(avg((rank <= 3)::INT), 6) AS at_3, round(avg(rank), 6) AS mean_rank FROM r WHERE label = product_id""", "embeddings")
 def self_retrieval(emb):
     q = emb.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding", "label")
-    near = R.product_similarity(emb.select(F.col("vec_id").alias("image_id"), F.col("label").alias("product_id"), "embedding"), q)
+    near = N.product_similarity(emb.select(F.col("vec_id").alias("image_id"), F.col("label").alias("product_id"), "embedding"), q)
     ranked = near.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("similarity"), "product_id"))).join(q.select("query_id", "label"), "query_id").where("label = product_id")
     share = lambda c: F.round(F.avg(c.cast("int")), 6)
     return ranked.agg(F.count("*").alias("queries"), share(F.col("rank") == 1).alias("at_1"), share(F.col("rank") <= 3).alias("at_3"), F.round(F.avg("rank"), 6).alias("mean_rank"))

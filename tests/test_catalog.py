@@ -68,24 +68,6 @@ def test_text_functions(spark):
     assert val(V.norm_similarity(F.lit(3.0))) == 1.0
 
 
-def test_top_k_does_not_depend_on_blocks_or_partitions(spark, monkeypatch):
-    emb = spark.read.parquet(f"{SF}/embeddings.parquet")
-    images, queries = emb.select(F.col("vec_id").alias("image_id"), "embedding"), emb.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
-    want = ordered(R.vector_topk(images, queries, 5).collect())
-    monkeypatch.setattr(R, "QUERY_BLOCK", 3)
-    assert ordered(R.vector_topk(images.repartition(7), queries, 5).collect()) == want
-    found = R.ann_topk(images, queries, 10).join(R.vector_topk(images, queries, 10).select("query_id", "image_id"), ["query_id", "image_id"])
-    assert found.count() > 0
-
-
-def test_approximate_top_k_finds_nine_of_ten(spark):
-    for sf in ("sf0.001", "sf0.01"):
-        emb = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet")
-        images, queries = emb.select(F.col("vec_id").alias("image_id"), "embedding"), emb.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
-        want = R.vector_topk(images, queries, 10).select("query_id", "image_id")
-        assert want.join(R.ann_topk(images, queries, 10), ["query_id", "image_id"]).count() >= 0.9 * want.count()
-
-
 def test_snapshot_has_all_products(spark):
     sf = "/root/testdata/sf0.01"
     ids = [r.product_id for r in view(spark, sf, "fx_products").select("product_id").collect()]
