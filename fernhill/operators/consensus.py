@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from fernhill.operators.ordered import with_quantiles
+
 
 def vote(runs: DataFrame) -> DataFrame:
     """(image_id, field, value, votes, total, distinct_values): most frequent value, ties by value."""
@@ -52,7 +54,7 @@ def product_consensus(traits: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def measure_median(runs: DataFrame) -> DataFrame:
     """(record_id, measure, median): the runs' exact median, 2 places."""
-    return runs.groupBy("record_id", "measure").agg(F.round(F.percentile(F.col("value").cast("double"), 0.5), 2).alias("median"))
+    return with_quantiles(runs.select("record_id", "measure").distinct(), runs, ["record_id", "measure"], "value", {"median": 0.5}, 2)
 
 
 def merge_traits(image: DataFrame, spec: DataFrame) -> DataFrame:

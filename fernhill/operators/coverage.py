@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from fernhill.operators.ordered import with_quantiles
+
 MISSING = ("", "unknown", "n/a", "na")
 
 
@@ -39,11 +41,10 @@ def coverage_trajectory(traits: DataFrame, least: int = 8, most: int | None = 12
 
 def marginal_curve(trajectory: DataFrame) -> DataFrame:
     """Per type and position: mean and exact quartiles of new pairs, mean coverage, support."""
-    p = lambda q: F.round(F.percentile(F.col("new_pairs").cast("double"), q), 6)
-    return trajectory.groupBy("visual_type", "position").agg(
-        F.count("*").alias("support"), F.round(F.avg("new_pairs"), 6).alias("mean_new"), p(0.5).alias("median_new"), p(0.75).alias("p75_new"), p(0.9).alias("p90_new"),
-        F.round(F.avg("coverage"), 6).alias("mean_coverage"), (F.count("*") < 20).alias("low_confidence"),
-    )
+    totals = trajectory.groupBy("visual_type", "position").agg(
+        F.count("*").alias("support"), F.round(F.avg("new_pairs"), 6).alias("mean_new"), F.round(F.avg("coverage"), 6).alias("mean_coverage"), (F.count("*") < 20).alias("low_confidence")
+    )
+    return with_quantiles(totals, trajectory, ["visual_type", "position"], "new_pairs", {"median_new": 0.5, "p75_new": 0.75, "p90_new": 0.9}, 6)
 
 
 def saturation_point(curve: DataFrame, least: int = 20, under: float = 0.5) -> DataFrame:
@@ -57,8 +58,8 @@ def late_gain(trajectory: DataFrame, after: Sequence[int] = (5, 8, 10)) -> DataF
 
 def threshold_crossing(trajectory: DataFrame, share: float = 0.9) -> DataFrame:
     at = trajectory.groupBy("visual_type", "product_id").agg(F.min(F.when(F.col("coverage") >= share, F.col("position"))).alias("at"))
-    p = lambda q: F.round(F.percentile(F.col("at").cast("double"), q), 6)
-    return at.groupBy("visual_type").agg(F.count("*").alias("products"), p(0.5).alias("median_at"), p(0.9).alias("p90_at"), F.round(F.avg(F.col("at").isNull().cast("int")), 6).alias("never"))
+    totals = at.groupBy("visual_type").agg(F.count("*").alias("products"), F.round(F.avg(F.col("at").isNull().cast("int")), 6).alias("never"))
+    return with_quantiles(totals, at, ["visual_type"], "at", {"median_at": 0.5, "p90_at": 0.9}, 6).select("visual_type", "products", "median_at", "p90_at", "never")
 
 
 def cap_scorecard(trajectory: DataFrame, caps: Sequence[int] = (4, 6, 8, 10, 12), image_cost: float = 0.009532) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from fernhill.functions.text import token_jaccard
+from fernhill.operators.ordered import running_totals
 
 
 def order_checks(ranks: DataFrame, expected: DataFrame) -> DataFrame:
@@ -53,13 +54,13 @@ def run_stability(texts: DataFrame) -> DataFrame:
 def threshold_search(scores: DataFrame) -> DataFrame:
     """(threshold, accuracy): the single cut over midpoints that separates labels best; ties: smallest.
 
-    scores has (score, label 0 or 1). Counts below each distinct score come from one window over the
-    distinct scores, so that no score is compared with every midpoint.
+    scores has (score, label 0 or 1). Counts below each distinct score are running totals over range
+    partitions, so that neither is a score compared with every midpoint nor are all of them in one task.
     """
     g = scores.groupBy("score").agg(F.count("*").alias("n"), F.sum("label").alias("ones"))
-    w = W.orderBy("score")
     total = g.agg(F.sum("n").alias("all_n"), F.sum("ones").alias("all_ones"))
-    run = g.withColumns({"below": F.sum("n").over(w), "ones_below": F.sum("ones").over(w), "next": F.lead("score").over(w)}).where("next IS NOT NULL").crossJoin(F.broadcast(total))
+    run = running_totals(g, [], ["score"], ["n", "ones"], ["score"]).where("next_score IS NOT NULL").crossJoin(F.broadcast(total))
+    run = run.withColumns({"below": F.col("n_upto"), "ones_below": F.col("ones_upto"), "next": F.col("next_score")})
     right = (F.col("below") - F.col("ones_below")) + (F.col("all_ones") - F.col("ones_below"))
     cuts = run.select(((F.col("score") + F.col("next")) / 2).alias("threshold"), F.round(right / F.col("all_n"), 6).alias("accuracy"))
     return cuts.orderBy(F.desc("accuracy"), "threshold").limit(1)

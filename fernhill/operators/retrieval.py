@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from fernhill.functions.text import confidence_rank, is_absence, norm_alnum
+from fernhill.operators.ordered import at_positions, running_totals
 from fernhill.operators.vector_search import vector_topk
 
 def image_score(df: DataFrame, similarity: Column, trait: Column, category: Column, exact: Column, room: Column) -> DataFrame:
@@ -109,22 +110,27 @@ def trait_boost(pairs: DataFrame, traits: DataFrame, bullets: DataFrame, groups:
 
 
 def score_cutoff(ranked: DataFrame, by: str = "query_id", least: int = 3, most: int = 20, gap: float = 0.3, ratio: float = 1.5, floor: float = 0.7, uniform: float = 0.8) -> DataFrame:
-    """(by, n, cutoff, reason): where a descending score list should end."""
-    w = W.partitionBy(by).orderBy(F.desc("score"), "item")
-    s = ranked.withColumn("i", F.row_number().over(w)).withColumn("gap", F.col("score") - F.lead("score").over(w))
-    g = s.groupBy(by).agg(
-        F.count("*").alias("n"), F.max("score").alias("first"), F.min("score").alias("last"),
-        F.array_sort(F.collect_list("gap")).alias("gaps"),
-        F.array_sort(F.collect_list(F.struct("i", "score", "gap"))).alias("items"),
+    """(by, n, cutoff, reason): where a descending score list should end.
+
+    Places, gaps and the median gap come from running totals over range partitions, so that a list may
+    be of any length.
+    """
+    one = ranked.select(by, "item", "score", (-F.col("score")).alias("fall"), F.lit(1).alias("one"))
+    s = running_totals(one, [by], ["fall", "item"], ["one"], ["score"]).select(by, "score", F.col("one_upto").alias("i"), (F.col("score") - F.col("next_score")).alias("gap"))
+    median = at_positions(s, [by], "gap", {"median": lambda n: F.floor(n / 2)})
+    lists = s.groupBy(by).agg(F.count("*").alias("n"), F.max("score").alias("first"), F.min("score").alias("last"))
+    lists = lists.join(median.withColumnRenamed(by, "of"), F.col(by).eqNullSafe(F.col("of")), "left").drop("of")
+    rows = s.join(lists.withColumnRenamed(by, "of"), F.col(by).eqNullSafe(F.col("of"))).drop("of")
+    good = F.col("i").between(least, most) & (F.col("gap") >= gap) & (F.col("gap") >= F.col("median") * ratio)
+    g = rows.groupBy(by, "n", "first", "last").agg(
+        F.max(F.when(good, F.struct("gap", (-F.col("i")).alias("at")))).alias("widest"),
+        F.min(F.when(F.col("score") < F.col("first") * floor, F.col("i") - 1)).alias("low"),
     )
-    median = F.element_at("gaps", (F.floor(F.size("gaps") / 2) + 1).cast("int"))
-    good = F.filter("items", lambda x: (x["i"] >= least) & (x["i"] <= most) & (x["gap"] >= gap) & (x["gap"] >= median * ratio))
-    widest = F.array_max(F.transform(good, lambda x: F.struct(x["gap"].alias("gap"), (-x["i"]).alias("at"))))
-    low = F.array_min(F.transform(F.filter("items", lambda x: x["score"] < F.col("first") * floor), lambda x: x["i"] - 1))
-    relative = F.least(F.greatest(low, F.lit(least)), F.lit(most), F.col("n"))
+    relative = F.least(F.greatest("low", F.lit(least)), F.lit(most), F.col("n"))
     few, flat = F.col("n") <= least, F.col("last") >= F.col("first") * uniform
-    cut = F.when(few | flat, F.col("n")).when(widest.isNotNull(), -widest["at"]).when(low.isNotNull(), relative).otherwise(F.col("n"))
-    why = F.when(few, "too_few").when(flat, "uniform").when(widest.isNotNull(), "gap").when(low.isNotNull(), "relative").otherwise("none")
+    wide, low = F.col("widest").isNotNull(), F.col("low").isNotNull()
+    cut = F.when(few | flat, F.col("n")).when(wide, -F.col("widest.at")).when(low, relative).otherwise(F.col("n"))
+    why = F.when(few, "too_few").when(flat, "uniform").when(wide, "gap").when(low, "relative").otherwise("none")
     return g.select(by, "n", cut.cast("long").alias("cutoff"), why.alias("reason"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W, functions as F
 
 from fernhill.functions import text as T
-from fernhill.operators import diagnostics as D, evaluation as V
+from fernhill.operators import diagnostics as D, evaluation as V, ordered as O
 from fernhill.plans._book import query, rows
 from fernhill.sources import catalog as S
 
@@ -237,7 +237,8 @@ def dominant(traits):
 
 @query("a15_exact_quantiles", "SELECT visual_type, count(*) AS support, round(avg(short_side), 6) AS mean, " + ", ".join(f"round(quantile_cont(short_side::DOUBLE, {q}), 6) AS p{int(q * 100)}" for q in (0.25, 0.5, 0.75, 0.9)) + " FROM fx_images GROUP BY 1", "fx_images")
 def quantiles(images):
-    return images.groupBy("visual_type").agg(F.count("*").alias("support"), F.round(F.avg("short_side"), 6).alias("mean"), *(F.round(F.percentile(F.col("short_side").cast("double"), q), 6).alias(f"p{int(q * 100)}") for q in (0.25, 0.5, 0.75, 0.9)))
+    totals = images.groupBy("visual_type").agg(F.count("*").alias("support"), F.round(F.avg("short_side"), 6).alias("mean"))
+    return O.with_quantiles(totals, images, ["visual_type"], "short_side", {"p25": 0.25, "p50": 0.5, "p75": 0.75, "p90": 0.9}, 6)
 
 
 @query("a16_high_image_products", "WITH p AS (SELECT product_id, visual_type, count(*) AS n FROM fx_images GROUP BY ALL) SELECT visual_type, count(*) AS products, CAST(sum(n - 30) AS BIGINT) AS excess, max(n) AS most FROM p WHERE n > 30 GROUP BY ROLLUP (visual_type)", "fx_images")
@@ -425,11 +426,15 @@ def old_new(runs):
 
 
 @query("e11_threshold_search", """
-WITH s AS (SELECT p_size AS score, CASE WHEN p_size + p_partkey % 20 > 35 THEN 1 ELSE 0 END AS label FROM {part}),
-u AS (SELECT DISTINCT score FROM s), m AS (SELECT (score + lead(score) OVER (ORDER BY score)) / 2.0 AS t FROM u QUALIFY t IS NOT NULL)
-SELECT t::DOUBLE AS threshold, round(avg(((score > t)::INT = label)::INT), 6) AS accuracy FROM m CROSS JOIN s GROUP BY t ORDER BY accuracy DESC, threshold LIMIT 1""", "part")
-def threshold(part):
-    return V.threshold_search(part.select(F.col("p_size").alias("score"), F.when(F.col("p_size") + F.col("p_partkey") % 20 > 35, 1).otherwise(0).alias("label")))
+WITH s AS (SELECT o_totalprice AS score, CASE WHEN o_totalprice + o_custkey % 100 * 1000 > 200000 THEN 1 ELSE 0 END AS label FROM {orders}),
+g AS (SELECT score, count(*) AS n, sum(label) AS ones FROM s GROUP BY score),
+r AS (SELECT score, lead(score) OVER w AS next, sum(n) OVER w AS below, sum(ones) OVER w AS ones_below FROM g WINDOW w AS (ORDER BY score)),
+t AS (SELECT sum(n) AS all_n, sum(ones) AS all_ones FROM g)
+SELECT (score + next) / 2 AS threshold, round(((below - ones_below) + (all_ones - ones_below))::DOUBLE / all_n, 6) AS accuracy
+FROM r, t WHERE next IS NOT NULL ORDER BY accuracy DESC, threshold LIMIT 1""", "orders")
+def threshold(orders):
+    label = F.when(F.col("o_totalprice") + F.col("o_custkey") % 100 * 1000 > 200000, 1).otherwise(0)
+    return V.threshold_search(orders.select(F.col("o_totalprice").alias("score"), label.alias("label")))
 
 
 @query("e13_correction_log", "SELECT status AS field, count(*) AS corrections, count(DISTINCT product_id) AS products FROM fx_refreshes GROUP BY 1", "fx_refreshes")
