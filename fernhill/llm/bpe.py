@@ -15,7 +15,7 @@ from fernhill.llm._shared import documents, small_batches
 from fernhill.llm._tokens import Encoder, text_groups
 
 #: Nodes and pairs of tokens that a worker keeps, and the longest word that becomes nodes.
-NODES, PAIRS, LONG_WORD = 300_000, 200_000, 256
+NODES, PAIRS, LONG_WORD = 500_000, 200_000, 256
 _NEVER = 1 << 40
 _END = 1 << 10
 _ONE_WORD = re.compile(" ?[a-z]+")
@@ -63,12 +63,15 @@ class WordTrie:
         self.starts = {text[:n] for text, ends in symbols.values() for n in range(1, len(text) + 1 - ends)}
         self.edges: dict[tuple[int, bool], list[int]] = {}
         self.own: dict[int, bool] = {}
+        for known in (self.inner, self.final):  # a token that is never the encoding of its own symbols ends nothing
+            for text in [text for text, token in known.items() if not self._is_own(token)]:
+                del known[text]
         self.clear()
 
     def clear(self) -> None:
         self.children: dict[int, int] = {}
         self.last, self.reach = [-1], [0]
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
 
     def _edge(self, token: int, right: bool) -> list[int]:
         """The tokens that stand at one end of a token while it is built, from its symbol to itself."""
@@ -105,12 +108,9 @@ class WordTrie:
         return self.own[token]
 
     def _apart(self, u: int, v: int) -> bool:
-        key = (u, v)
-        found = self.pairs.get(key)
-        if found is None:
-            if len(self.pairs) >= PAIRS:
-                self.pairs.clear()
-            found = self.pairs[key] = self._meet(u, v) is None
+        if len(self.pairs) >= PAIRS:
+            self.pairs.clear()
+        found = self.pairs[u << 32 | v] = self._meet(u, v) is None
         return found
 
     def _step(self, word: str, states: list[int], ends: bool, reach: int) -> tuple[int, int]:
@@ -119,55 +119,69 @@ class WordTrie:
         states[k - 1] is the last token of k symbols; reach is the length of the longest start of a token
         that the shorter beginning ends with, which bounds the tokens that can end here.
         """
-        at, n = len(states) + 1, reach + 1
+        at, n, pairs = len(states) + 1, reach + 1, self.pairs
         known = self.final if ends else self.inner
         if not ends:
             while n > 1 and word[at - n : at] not in self.starts:
                 n -= 1
-        for size in range(n, 0, -1):
-            token = known.get(word[at - size : at])
-            if token is not None and self._is_own(token) and (size == at or self._apart(states[at - size - 1], token)):
-                return token, n
+        for start in range(at - n, at):
+            token = known.get(word[start:at])
+            if token is not None:
+                if not start:
+                    return token, n
+                apart = pairs.get(states[start - 1] << 32 | token)
+                if apart or (apart is None and self._apart(states[start - 1], token)):
+                    return token, n
         raise ValueError(f"the vocabulary lacks the symbol {word[at - 1]!r}")
 
-    def _ids(self, word: str) -> list[int]:
-        states: list[int] = []
-        children, last, node, n, reach = self.children, self.last, 0, len(word), 0
-        kept = n <= LONG_WORD
-        for k in range(n):
-            ends = self.marked and k == n - 1
-            key = node << 11 | ord(word[k]) | (_END if ends else 0)
-            node = children.get(key, -1) if kept else -1
-            if node < 0:
-                state, reach = self._step(word, states, ends, reach)
-                if kept:
-                    node = children[key] = len(last)
-                    last.append(state)
-                    self.reach.append(reach)
-            else:
-                state, reach = last[node], self.reach[node]
-            states.append(state)
-        ids = []
-        while n:
-            ids.append(states[n - 1])
-            n -= self.size[ids[-1]]
-        return ids[::-1]
-
     def encode(self, words: set[str]) -> dict[str, list[int]]:
-        """The ids of distinct words of byte symbols. Their sorted order is the trie's depth-first order.
+        """The ids of distinct words of byte symbols, in their sorted order, which is the trie's depth-first order.
 
-        Words of more than ``LONG_WORD`` symbols take the same steps without leaving nodes; a trie of
-        ``NODES`` nodes starts anew.
+        The path of the word before is kept as far as both words agree. Words of more than ``LONG_WORD``
+        symbols take the same steps without leaving nodes; a trie of ``NODES`` nodes starts anew.
         """
         if len(self.last) >= NODES:
             self.clear()
-        return {word: self._ids(word) for word in sorted(words)}
+        children, last, reaches, size, marked = self.children, self.last, self.reach, self.size, self.marked
+        out, before = {}, ""
+        states: list[int] = []  # of the path: its last tokens, and its nodes from the root on
+        path = [0]
+        for word in sorted(words):
+            n = len(word)
+            kept = n <= LONG_WORD
+            k, most = 0, min(len(before), n) - marked if kept else 0
+            while k < most and word[k] == before[k]:
+                k += 1
+            del states[k:], path[k + 1 :]
+            node = path[k]
+            reach = reaches[node]
+            for i in range(k, n):
+                ends = marked and i == n - 1
+                key = node << 11 | ord(word[i]) | (_END if ends else 0)
+                node = children.get(key, -1) if kept else -1
+                if node < 0:
+                    state, reach = self._step(word, states, ends, reach)
+                    if kept:
+                        node = children[key] = len(last)
+                        last.append(state)
+                        reaches.append(reach)
+                else:
+                    state, reach = last[node], reaches[node]
+                states.append(state)
+                path.append(node)
+            before = word if kept else ""
+            ids = []
+            while n:
+                ids.append(states[n - 1])
+                n -= size[ids[-1]]
+            out[word] = ids[::-1]
+        return out
 
 
 class TrieEncoder(Encoder):
     """An ``Encoder`` whose new pieces are parted into words by the tokenizer file's own rules and encoded by a ``WordTrie``."""
 
-    remembered = 300_000
+    remembered = 600_000
 
     def __init__(self, path: str, dtype: str = "<u2"):
         super().__init__(path, dtype)
