@@ -168,15 +168,6 @@ def facet_counts(traits: DataFrame, filters: dict[str, str], vocab: DataFrame) -
     return listed.unionByName(counts.join(vocab, ["field", "value"], "left_anti").withColumn("legacy", F.lit(True)))
 
 
-def phrase_match(texts: DataFrame, phrases: DataFrame, id_col: str) -> DataFrame:
-    """(id, phrase, result): the longest phrase that a text holds as words, the leftmost among equals."""
-    padded = F.concat(F.lit(" "), norm_alnum(F.col("text")), F.lit(" "))
-    at = F.instr(F.col("padded"), F.concat(F.lit(" "), F.col("phrase"), F.lit(" ")))
-    hits = texts.withColumn("padded", padded).join(F.broadcast(phrases), F.contains("padded", F.concat(F.lit(" "), F.col("phrase"), F.lit(" "))))
-    w = W.partitionBy(id_col).orderBy(F.desc(F.length("phrase")), at, "phrase")
-    return hits.withColumn("n", F.row_number().over(w)).where("n = 1").select(id_col, "phrase", "result")
-
-
 def merge_bullets(bullets: DataFrame, by: Sequence[str]) -> DataFrame:
     """Bullets united by meaning (key): the highest priority wins, at the first one's place."""
     rank = F.when(F.col("priority") == "high", 3).when(F.col("priority") == "normal", 2).otherwise(1)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W, functions as F
 
 from fernhill.functions import text as T, vectors as V
-from fernhill.operators import retrieval as R, vector_search as N
+from fernhill.operators import dictionary as Dc, retrieval as R, vector_search as N
 from fernhill.plans._book import query, rows
 
 _TOPK = """
@@ -199,7 +199,7 @@ SELECT id, phrase, result FROM t JOIN phrases ON contains(padded, concat(' ', ph
 QUALIFY row_number() OVER (PARTITION BY id ORDER BY length(phrase) DESC, instr(padded, concat(' ', phrase, ' ')), phrase) = 1""", "conversations")
 def phrase_category(conv):
     texts = conv.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
-    return R.phrase_match(texts, rows(conv, _PHRASES, "phrase string, result string"), "id")
+    return Dc.phrase_match(texts, rows(conv, _PHRASES, "phrase string, result string"), "id")
 
 
 @query("r11_annotate_queries", """
@@ -208,13 +208,8 @@ t AS (SELECT p.product_id AS id, concat(' ', lower(concat(p.product_name, ' by '
 SELECT id, brand, trim(replace(padded, concat(' ', lower(brand), ' '), ' ')) AS residual FROM t JOIN b ON contains(padded, concat(' ', lower(brand), ' '))
 QUALIFY row_number() OVER (PARTITION BY id ORDER BY length(brand) DESC, brand) = 1""", "fx_products")
 def annotate_queries(products):
-    brands = products.select("brand").distinct()
-    padded = F.concat(F.lit(" "), F.lower(F.concat_ws(" by ", "product_name", products["brand"])), F.lit(" "))
-    texts = products.select(F.col("product_id").alias("id"), padded.alias("padded"))
-    word = F.concat(F.lit(" "), F.lower("brand"), F.lit(" "))
-    hits = texts.join(F.broadcast(brands), F.contains("padded", word))
-    w = W.partitionBy("id").orderBy(F.desc(F.length("brand")), "brand")
-    return hits.withColumn("n", F.row_number().over(w)).where("n = 1").select("id", "brand", F.trim(F.replace("padded", word, F.lit(" "))).alias("residual"))
+    texts = products.select(F.col("product_id").alias("id"), F.concat_ws(" by ", "product_name", "brand").alias("text"))
+    return Dc.annotate_queries(texts, products.select("brand"))
 
 
 @query("r15_merge_bullets", """
