@@ -2,25 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from fernhill.fixtures import duck_sql, view
 from fernhill.plans._book import ORACLES, QUERIES
 from fernhill.sources import catalog as S
 from fernhill.streaming import refresh as R
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh folder that all executors share; only a local session may do without spark.checkpoint.dir."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="fernhill-")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+from fernhill.tables import scratch
 
 
 def _feed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,8 +71,7 @@ def refresh_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = view(spark, sf_dir, "fx_refreshes").select("product_id", "refreshed_at", "event_id", "status", (F.col("event_id") % 3).cast("int").alias("batch"))
     _batches(spark, e, f"{root}/in")
     schema = e.drop("batch").schema
-    last = R.refresh_stream(spark, f"{root}/in", schema, root)
-    return spark.read.schema(schema).parquet(f"{root}/index/v{last}").select("product_id", "event_id", "status")
+    return R.refresh_stream(spark, f"{root}/in", schema, root).read().select("product_id", "event_id", "status")
 
 
 def judgment_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,8 +79,7 @@ def judgment_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = view(spark, sf_dir, "fx_refreshes").select("product_id", F.col("event_id").alias("judgment_id"), F.col("refreshed_at").cast("timestamp").alias("judged_at"), (F.col("event_id") % 3).cast("int").alias("batch"))
     _batches(spark, e, f"{root}/in")
     schema = e.drop("batch").schema
-    last = R.judgment_stream(spark, f"{root}/in", schema, root, late="10000 days")
-    return spark.read.schema(schema).parquet(f"{root}/index/v{last}").select("product_id", "judgment_id")
+    return R.judgment_stream(spark, f"{root}/in", schema, root, late="10000 days").read().select("product_id", "judgment_id")
 
 
 QUERIES |= {

@@ -5,30 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from fernhill.operators.resolution import latest_wins, upsert_by_key
+from fernhill.streaming.bucket_table import BucketTable
 
 
-def _versioned(spark: SparkSession, root: str, schema: T.StructType, merge):
-    """A foreachBatch function that writes version <batch> from the one before; a repeated batch overwrites its own."""
-
-    def run(batch: DataFrame, batch_id: int) -> None:
-        session = batch.sparkSession
-        old = session.read.schema(schema).parquet(f"{root}/v{batch_id - 1}") if batch_id else session.createDataFrame([], schema)
-        merge(old, batch).select(*schema.names).write.mode("overwrite").parquet(f"{root}/v{batch_id}")
-
-    return run
-
-
-def _drain(stream: DataFrame, each, checkpoint: str) -> int:
-    """Process all files there are; the number of the last batch, or -1."""
-    q = stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def _drain(stream: DataFrame, table: BucketTable, merge, checkpoint: str) -> BucketTable:
+    """Process all files there are; each batch is one commit of the table."""
+    q = stream.writeStream.foreachBatch(lambda batch, number: table.apply(batch, number, merge) and None).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
-    return max((p["batchId"] for p in q.recentProgress if p["numInputRows"]), default=-1)
+    return table
 
 
-def refresh_stream(spark: SparkSession, source: str, schema: T.StructType, root: str, files: int = 1) -> int:
+def refresh_stream(spark: SparkSession, source: str, schema: T.StructType, root: str, files: int = 1, buckets: int = 64) -> BucketTable:
     """Stream refreshed image records (product_id, refreshed_at, ...) into an index table.
 
-    Within a batch only a product's latest refresh counts; it replaces all rows of the product.
+    Within a batch only a product's latest refresh counts; it replaces all rows of the product. The table
+    is in buckets by product; an empty feed leaves it empty.
     """
 
     def merge(old: DataFrame, batch: DataFrame) -> DataFrame:
@@ -36,10 +27,10 @@ def refresh_stream(spark: SparkSession, source: str, schema: T.StructType, root:
         return upsert_by_key(old, batch.join(newest, ["product_id", "refreshed_at"], "left_semi"), "product_id")
 
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(source)
-    return _drain(stream, _versioned(spark, f"{root}/index", schema, merge), f"{root}/checkpoint")
+    return _drain(stream, BucketTable(spark, f"{root}/index", schema, "product_id", buckets), merge, f"{root}/checkpoint")
 
 
-def judgment_stream(spark: SparkSession, source: str, schema: T.StructType, root: str, files: int = 1, late: str = "1 day") -> int:
+def judgment_stream(spark: SparkSession, source: str, schema: T.StructType, root: str, files: int = 1, late: str = "1 day", buckets: int = 64) -> BucketTable:
     """Stream feedback (product_id, judgment_id, judged_at) into one current row per product; retries come once."""
 
     def merge(old: DataFrame, batch: DataFrame) -> DataFrame:
@@ -47,4 +38,4 @@ def judgment_stream(spark: SparkSession, source: str, schema: T.StructType, root
 
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(source)
     once = stream.withWatermark("judged_at", late).dropDuplicatesWithinWatermark(["judgment_id"])
-    return _drain(once, _versioned(spark, f"{root}/index", schema, merge), f"{root}/checkpoint")
+    return _drain(once, BucketTable(spark, f"{root}/index", schema, "product_id", buckets), merge, f"{root}/checkpoint")
