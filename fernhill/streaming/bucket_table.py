@@ -8,9 +8,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-#: Files that a rewritten bucket may be spread over, so that a large one is no single task.
-FILES = 8
-
 
 class BucketTable:
     """Rows of ``schema`` below ``root``, in ``buckets`` by a hash of ``key``.
@@ -18,12 +15,12 @@ class BucketTable:
     ``manifest/<batch>`` is a JSON file that names the folder of each bucket that has rows; the one of the
     highest number is the table. A batch writes new folders for the buckets that its keys fall into and
     then a manifest, by a rename that fails if the number is taken; the other buckets keep their files.
-    So a reader sees all of a batch or nothing, a lost job leaves folders that nothing names, and a batch
+    Rows are rebalanced by bucket, which splits a large bucket over files. So a reader sees all of a batch or nothing, a lost job leaves folders that nothing names, and a batch
     that comes again after its commit changes nothing. Folders that none of the last ``keep`` manifests
     names go after each commit. The driver holds one path for each bucket.
     """
 
-    def __init__(self, spark: SparkSession, root: str, schema: T.StructType, key: str, buckets: int = 64, keep: int = 2):
+    def __init__(self, spark: SparkSession, root: str, schema: T.StructType, key: str, buckets: int = 16, keep: int = 2):
         self.spark, self.root, self.schema, self.key, self.buckets, self.keep = spark, root.rstrip("/"), schema, key, buckets, keep
         jvm = spark._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
@@ -74,8 +71,7 @@ class BucketTable:
             old = self._read([folders[b] for b in touched if b in folders])
             data = f"data/{number}-{uuid.uuid4().hex}"
             rows = merge(old, batch).select(*self.schema.names).withColumn("__bucket", self.bucket())
-            spread = F.pmod(F.xxhash64(*self.schema.names), F.lit(FILES))
-            rows.repartition(F.col("__bucket"), spread).write.partitionBy("__bucket").parquet(f"{self.root}/{data}")
+            rows.hint("rebalance", F.col("__bucket")).write.partitionBy("__bucket").parquet(f"{self.root}/{data}")
             made = {x.getPath().getName() for x in self._fs.listStatus(self._path(f"{self.root}/{data}"))}
             folders = {b: f for b, f in folders.items() if b not in touched} | {b: f"{data}/__bucket={b}" for b in touched if f"__bucket={b}" in made}
         self._commit(number, folders)

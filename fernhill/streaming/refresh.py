@@ -15,7 +15,7 @@ def _drain(stream: DataFrame, table: BucketTable, merge, checkpoint: str) -> Buc
     return table
 
 
-def refresh_stream(spark: SparkSession, source: str, schema: T.StructType, root: str, files: int = 1, buckets: int = 64) -> BucketTable:
+def refresh_stream(spark: SparkSession, source: str, schema: T.StructType, root: str, files: int = 1, buckets: int = 16) -> BucketTable:
     """Stream refreshed image records (product_id, refreshed_at, ...) into an index table.
 
     Within a batch only a product's latest refresh counts; it replaces all rows of the product. The table
@@ -30,7 +30,7 @@ def refresh_stream(spark: SparkSession, source: str, schema: T.StructType, root:
     return _drain(stream, BucketTable(spark, f"{root}/index", schema, "product_id", buckets), merge, f"{root}/checkpoint")
 
 
-def judgment_stream(spark: SparkSession, source: str, schema: T.StructType, root: str, files: int = 1, late: str = "1 day", buckets: int = 64) -> BucketTable:
+def judgment_stream(spark: SparkSession, source: str, schema: T.StructType, root: str, files: int = 1, late: str = "1 day", buckets: int = 16) -> BucketTable:
     """Stream feedback (product_id, judgment_id, judged_at) into one current row per product; retries come once."""
 
     def merge(old: DataFrame, batch: DataFrame) -> DataFrame:
