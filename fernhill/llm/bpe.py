@@ -15,7 +15,7 @@ from fernhill.llm._shared import documents, small_batches
 from fernhill.llm._tokens import Encoder, text_groups
 
 #: Nodes and pairs of tokens that a worker keeps, and the longest word that becomes nodes.
-NODES, PAIRS, LONG_WORD = 500_000, 200_000, 256
+NODES, PAIRS, LONG_WORD = 400_000, 200_000, 256
 _NEVER = 1 << 40
 _END = 1 << 10
 _ONE_WORD = re.compile(" ?[a-z]+")
@@ -181,9 +181,11 @@ class WordTrie:
 class TrieEncoder(Encoder):
     """An ``Encoder`` whose new pieces are parted into words by the tokenizer file's own rules and encoded by a ``WordTrie``."""
 
-    remembered = 600_000
+    remembered = 400_000
 
     def __init__(self, path: str, dtype: str = "<u2"):
+        from tokenizers import Tokenizer, models
+
         super().__init__(path, dtype)
         about = json.loads(self.tokenizer.to_str())
         model = about["model"]
@@ -194,6 +196,11 @@ class TrieEncoder(Encoder):
         self.special = {x["content"]: x["id"] for x in about["added_tokens"]}
         self.split = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.trie = WordTrie(model)
+        rules = Tokenizer(models.BPE())  # the library's model is not needed, and large
+        if self.tokenizer.normalizer:
+            rules.normalizer = self.tokenizer.normalizer
+        rules.pre_tokenizer = self.tokenizer.pre_tokenizer
+        self.tokenizer = rules
 
     def _words(self, piece: str) -> list[str | int]:
         """Words of byte symbols, and ids of the tokenizer's own tokens where a text spells them."""
@@ -223,27 +230,31 @@ def trie_encoder(path: str) -> TrieEncoder:
     return _workers[path]
 
 
-def encode_documents(docs: DataFrame, tokenizer: str, text_col: str = "text", out_col: str = "ids") -> DataFrame:
+def encode_documents(docs: DataFrame, tokenizer: str, text_col: str = "text", out_col: str = "ids", decoded_col: str | None = None) -> DataFrame:
     """The input with its text column replaced by ``out_col``, the array of the whole text's token ids.
 
     ``tokenizer`` is a file of the tokenizers library with a plain BPE model over bytes; ids are those
-    of its call without special tokens, truncation or padding. Each task encodes its own documents: no
-    row moves, and a lost executor's tasks repeat alone. Null or empty text has no ids; other columns,
-    null ids and repeated rows stay as they are; an input column named ``out_col`` is replaced; an empty
-    table gives none. Words of any length are encoded whole.
+    of its call without special tokens, truncation or padding. With ``decoded_col`` the same tasks also
+    decode the ids, as ``decode_documents`` does, to a column of that name. Each task encodes its own
+    documents: no row moves, and a lost executor's tasks repeat alone. Null or empty text has no ids;
+    other columns, null ids and repeated rows stay as they are; an input column of an output's name is
+    replaced; an empty table gives none. Words of any length are encoded whole.
     """
     small_batches(docs.sparkSession)
-    kept = [c for c in docs.columns if c not in (text_col, out_col)]
+    made = [out_col] if decoded_col is None else [out_col, decoded_col]
+    kept = [c for c in docs.columns if c not in (text_col, *made)]
     rows = docs.select(*kept, F.col(text_col).alias("\0text"))
 
     def run(batches):
-        for part, texts in text_groups(batches, "\0text"):
+        for part, texts in text_groups(batches, "\0text", 1_000_000):
             ids, counts = trie_encoder(tokenizer).encode(texts)
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32()), pa.array(ids.astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([*part.columns[:-1], lists], [*kept, out_col])
+            ends = np.cumsum(counts)
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), pa.array(ids.astype(np.int32)))
+            more = [] if decoded_col is None else [_spelled(tokenizer, ids, ends)]
+            yield pa.RecordBatch.from_arrays([*part.columns[:-1], lists, *more], [*kept, *made])
 
     schema = docs.select(*kept).schema.add(out_col, ArrayType(IntegerType()))
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema if decoded_col is None else schema.add(decoded_col, StringType()))
 
 
 def decode_documents(tokens: DataFrame, tokenizer: str, ids_col: str = "ids", out_col: str = "text") -> DataFrame:
@@ -258,23 +269,27 @@ def decode_documents(tokens: DataFrame, tokenizer: str, ids_col: str = "ids", ou
     rows = tokens.select(*kept, F.col(ids_col).cast("array<int>").alias("\0ids"))
 
     def run(batches):
-        if tokenizer not in _tables:
-            _tables[tokenizer] = decoder(tokenizer)
-        table, spell = _tables[tokenizer]
         for batch in batches:
             column = batch.column(batch.num_columns - 1)
-            values = pc.fill_null(column.flatten(), -1).to_numpy()
+            ids = pc.fill_null(column.flatten(), -1).to_numpy()
             ends = np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy())
-            odd = (values < 0) | (values >= len(table))
-            if odd.any():
-                ends, values = np.cumsum(~odd)[ends - 1] * (ends > 0), values[~odd]
-            starts = np.concatenate(([0], ends[:-1])) if len(ends) else ends
-            texts = [spell(map(table.__getitem__, values[a:z].tolist())) for a, z in zip(starts.tolist(), ends.tolist())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], [*kept, out_col])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], _spelled(tokenizer, ids, ends)], [*kept, out_col])
 
     return rows.mapInArrow(run, tokens.select(*kept).schema.add(out_col, StringType()))
 
 
+def _spelled(tokenizer: str, ids: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The texts of neighbouring runs of ids."""
+    if tokenizer not in _tables:
+        _tables[tokenizer] = decoder(tokenizer)
+    table, spell = _tables[tokenizer]
+    odd = (ids < 0) | (ids >= len(table))
+    if odd.any():
+        ends, ids = np.concatenate(([0], np.cumsum(~odd)))[ends], ids[~odd]
+    starts = np.concatenate(([0], ends[:-1])) if len(ends) else ends
+    return pa.array([spell(map(table.__getitem__, ids[a:z].tolist())) for a, z in zip(starts.tolist(), ends.tolist())], pa.string())
+
+
 def decoder(path: str):
     """The strings of all ids, in their order, and a function that makes the text of some."""
     from tokenizers import Tokenizer
@@ -299,6 +314,5 @@ def op11_bpe(spark, sf_dir):
     import public_tokenizers
 
     path = public_tokenizers.path("word_bpe_49k.json")
-    ids = encode_documents(documents(spark, sf_dir).select("doc_id", "text"), path)
-    spelled = ids.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"), "ids")
-    return decode_documents(spelled, path).select("doc_id", "n_tokens", "ids_sha256", F.sha2("text", 256).alias("decoded_sha256"))
+    made = encode_documents(documents(spark, sf_dir).select("doc_id", "text"), path, decoded_col="decoded")
+    return made.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

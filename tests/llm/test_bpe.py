@@ -89,6 +89,9 @@ def test_documents_round_trip(docs, name):
     assert back.columns == ["doc_id", "lang", "text"]
     assert sorted(map(tuple, back.collect()), key=repr) == sorted(((i, lang, library.decode(x, skip_special_tokens=False)) for i, lang, x in want), key=repr)
     assert bpe.encode_documents(docs([]), path).count() == 0
+    both = bpe.encode_documents(table.repartition(3), path, out_col="tokens", decoded_col="lang")
+    assert both.columns == ["doc_id", "ids", "tokens", "lang"]
+    assert sorted(((r.doc_id, list(r.tokens), r.lang) for r in both.collect()), key=repr) == sorted(((i, x, library.decode(x, skip_special_tokens=False)) for i, _, x in want), key=repr)
     odd = docs([(1, None), (2, []), (3, [0, None, -1, 10**8, 1])], "doc_id long, ids array<int>")
     assert [r.text for r in bpe.decode_documents(odd, path).orderBy("doc_id").collect()] == ["", "", library.decode([0, 1], skip_special_tokens=False)]
 
