@@ -105,6 +105,17 @@ def effective_class(*candidates: Column, classes: Sequence[str] = ("product", "s
     return F.coalesce(*(F.when(F.lower(c).isin(*classes), F.lower(c)) for c in candidates))
 
 
+def canonical_category(raw: Column, rules: Sequence[tuple[str, Sequence[str]]]) -> Column:
+    """The name of the first rule (name, phrases) that has a phrase in the category, without case; else the trimmed category itself."""
+    text = F.coalesce(raw, F.lit(""))
+    out = None
+    for name, phrases in rules:
+        for phrase in phrases:
+            hit = F.contains(F.lower(text), F.lit(phrase.lower()))
+            out = F.when(hit, name) if out is None else out.when(hit, name)
+    return F.trim(text) if out is None else out.otherwise(F.trim(text))
+
+
 def first_rule(text: Column, rules: Sequence[tuple[str, str]], otherwise: str = "") -> Column:
     """The result of the first (phrase, result) whose phrase the text contains."""
     out = None

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from fernhill.operators.ordered import with_quantiles
@@ -107,22 +109,33 @@ def resolution_gate(images: DataFrame, least: int = 591, most: int = 5) -> DataF
 def oracle_order(traits: DataFrame, most: int = 12) -> DataFrame:
     """The first ``most`` images in greedy order per product, by most new pairs (ties: earliest) among all images.
 
-    The choice depends on all before it, so that a product is one group of a grouped map. Images
-    without pairs come last.
+    The choice depends on all before it, so that a product is one group of a grouped map. A gain never
+    grows as more is covered, so an image's last known gain bounds it: a heap gives the image with the
+    largest bound, whose gain is counted anew, until one stays on top; few images are counted in a step.
+    Images without pairs come last.
     """
-    import pandas as pd
 
-    def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-        left = {int(p): {x for x in zip(g.field, g.value) if pd.notna(x[1])} for p, g in pdf.groupby("position")}
+    def greedy(table: pa.Table) -> pa.Table:
+        held: dict[int, set] = {}
+        for position, field, value in zip(table["position"].to_pylist(), table["field"].to_pylist(), table["value"].to_pylist()):
+            pairs = held.setdefault(position, set())
+            if value is not None:
+                pairs.add((field, value))
+        heap = [(-len(pairs), position) for position, pairs in held.items()]
+        heapq.heapify(heap)
         seen: set = set()
-        out = []
-        while left and len(out) < most:
-            best = min(left, key=lambda p: (-len(left[p] - seen), p))
-            new = left.pop(best) - seen
+        out: list[tuple] = []
+        while heap and len(out) < most:
+            bound, position = heapq.heappop(heap)
+            new = held[position] - seen
+            if len(new) < -bound:
+                heapq.heappush(heap, (-len(new), position))
+                continue
             seen |= new
-            out.append((int(pdf.product_id.iloc[0]), best, len(out) + 1, len(new), len(seen)))
-        return pd.DataFrame(out, columns=["product_id", "position", "step", "new_pairs", "cumulative"])
+            out.append((table["product_id"][0].as_py(), position, len(out) + 1, len(new), len(seen)))
+        names = ["product_id", "position", "step", "new_pairs", "cumulative"]
+        return pa.table([pa.array(c, pa.int64()) for c in zip(*out)], names=names)
 
     valid = ~F.lower("value").isin(*MISSING)
-    pairs = traits.select("product_id", "position", F.when(valid, F.col("field")).alias("field"), F.when(valid, F.col("value")).alias("value")).distinct()
-    return pairs.groupBy("product_id").applyInPandas(greedy, "product_id long, position long, step long, new_pairs long, cumulative long")
+    pairs = traits.select(F.col("product_id").cast("long"), F.col("position").cast("long"), F.when(valid, F.col("field")).alias("field"), F.when(valid, F.col("value")).alias("value")).distinct()
+    return pairs.groupBy("product_id").applyInArrow(greedy, "product_id long, position long, step long, new_pairs long, cumulative long")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from fernhill.functions.text import token_jaccard
+from fernhill.functions.text import create_id, token_jaccard
 from fernhill.operators.ordered import running_totals
 
 
@@ -82,3 +82,32 @@ def judgment_upsert(judgments: DataFrame) -> DataFrame:
     """The latest judgment of each product; those without a removed, reordered or kept id do not count."""
     w = W.partitionBy("product_id").orderBy(F.desc("judged_at"), F.desc("judgment_id"))
     return judgments.where("has_signal").withColumn("n", F.row_number().over(w)).where("n = 1").drop("n")
+
+
+def correction_records(corrections: DataFrame) -> DataFrame:
+    """Rows of the correction log: trimmed texts, an id from time, image, field and value, and whether the model was right.
+
+    corrections: (corrected_at, image_url, field, model_value, user_value, was_skipped). ``outcome`` is
+    skipped, accepted (the user kept the model's value or gave none) or changed.
+    """
+    text = lambda c: F.trim(F.coalesce(F.col(c).cast("string"), F.lit("")))
+    user = F.trim(F.col("user_value").cast("string"))
+    rows = corrections.select(F.col("corrected_at").cast("timestamp"), text("image_url").alias("image_url"), text("field").alias("field"), text("model_value").alias("model_value"), user.alias("user_value"), F.coalesce("was_skipped", F.lit(False)).alias("was_skipped"))
+    time = F.date_format("corrected_at", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    key = create_id("trait_correction", time, F.col("image_url"), F.col("field"), F.coalesce("user_value", "model_value"))
+    outcome = F.when(F.col("was_skipped"), "skipped").when(F.coalesce("user_value", "model_value") == F.col("model_value"), "accepted").otherwise("changed")
+    return rows.select(key.alias("correction_id"), *rows.columns, outcome.alias("outcome"))
+
+
+def append_corrections(corrections: DataFrame, path: str) -> DataFrame:
+    """Append to the log below ``path`` and return all of it; a record that is sent again, by its id, counts once."""
+    records = correction_records(corrections)
+    records.write.mode("append").parquet(path)
+    log = corrections.sparkSession.read.schema(records.schema).parquet(path)
+    return log.dropDuplicates(["correction_id"])
+
+
+def correction_summary(log: DataFrame) -> DataFrame:
+    """(field, corrections, skipped, accepted, changed, images) of a correction log."""
+    count = lambda x: F.count_if(F.col("outcome") == x).alias(x)
+    return log.groupBy("field").agg(F.count("*").alias("corrections"), *map(count, ("skipped", "accepted", "changed")), F.countDistinct("image_url").alias("images"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import functools
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from fernhill.functions.text import confidence_rank, is_absence, norm_alnum
 from fernhill.operators.ordered import at_positions, running_totals
@@ -134,6 +134,65 @@ def score_cutoff(ranked: DataFrame, by: str = "query_id", least: int = 3, most:
     return g.select(by, "n", cut.cast("long").alias("cutoff"), why.alias("reason"))
 
 
+def result_order(mode: str = "auto") -> list[Column]:
+    """Sort columns of results: auto, refreshed_desc, refreshed_asc or name; any other mode is auto.
+
+    Auto takes the exact source, then score, then confidence; a missing refresh time is the earliest;
+    names go without case first. Ties end at the product id, so that an order is total.
+    """
+    refreshed, last = F.coalesce(F.col("ai_refreshed_at").cast("string"), F.lit("")), F.col("product_id")
+    modes = {
+        "refreshed_desc": [refreshed.desc(), F.desc("score"), last],
+        "refreshed_asc": [refreshed.asc(), F.desc("score"), last],
+        "name": [F.lower("product_name"), F.col("product_name"), F.lower("brand"), F.col("brand"), last],
+    }
+    return modes.get(mode, [F.coalesce("is_exact_source", F.lit(False)).desc(), F.desc("score"), F.coalesce("confidence", F.lit(0)).desc(), last])
+
+
+def sort_results(results: DataFrame, mode: str = "auto", by: str = "query_id", limit: int | None = None) -> DataFrame:
+    """Each query's results with their ``place`` from 1 in an order of ``result_order``, up to ``limit``."""
+    placed = results.withColumn("place", F.row_number().over(W.partitionBy(by).orderBy(*result_order(mode))).cast("long"))
+    return placed if limit is None else placed.where(F.col("place") <= limit)
+
+
+#: What a client gets of a result and of an image, and what more for debugging.
+RESULT_FIELDS = ("query_id", "product_id", "product_name", "brand", "category", "category_tags", "filter_categories", "ai_refreshed_at", "best_image_url", "image_urls", "score", "matched_traits", "match_count", "matching_images", "hero_image", "contributing_images", "is_exact_source", "is_room_scene", "scene_filter", "scene_filter_results", "confidence_tier", "confidence", "place")
+IMAGE_FIELDS = ("image_id", "image_url", "stage_0_result", "effective_class", "visual_type", "score", "confidence_tier", "has_stored_embedding", "matched_traits", "enum_fields")
+DEBUG_FIELDS = ("debug", "embedding", "trait_contributions", "free_text", "score_breakdown", "structured_caption", "visual_summary")
+
+
+def client_projection(results: DataFrame, debug: bool = False, top: int = 3) -> DataFrame:
+    """Results as a client gets them: known columns only, the first ``top`` matching images, known fields of images.
+
+    With ``debug`` all images and the debugging fields stay. An image has has_stored_embedding, whether its
+    vector is there, instead of the vector. What the input lacks is left out.
+    """
+    more = DEBUG_FIELDS if debug else ()
+
+    def image(x: Column, kind: T.StructType) -> Column:
+        have = {f.name for f in kind.fields}
+        fields = [x[c].alias(c) for c in (*IMAGE_FIELDS, *more) if c in have and c != "has_stored_embedding"]
+        stored = (F.coalesce(F.size(x["embedding"]) > 0, F.lit(False)) if "embedding" in have else F.lit(False)) | (F.coalesce(x["has_stored_embedding"], F.lit(False)) if "has_stored_embedding" in have else F.lit(False))
+        return F.when(x.isNotNull(), F.struct(*fields, stored.alias("has_stored_embedding")))
+
+    columns = []
+    for name in (*RESULT_FIELDS, *more):
+        if name not in results.columns:
+            continue
+        kind, value = results.schema[name].dataType, F.col(name)
+        if name == "matching_images":
+            value = F.coalesce(value, F.array().cast(kind))
+            value = _each(value if debug else F.slice(value, 1, top), kind.elementType, image)
+        elif name == "hero_image":
+            value = image(value, kind)
+        columns.append(value.alias(name))
+    return results.select(*columns)
+
+
+def _each(images: Column, kind: T.StructType, image) -> Column:
+    return F.transform(images, lambda x: image(x, kind))
+
+
 def apply_order(ranked: DataFrame, order: DataFrame, depth: int = 10) -> DataFrame:
     """Put the first ``depth`` of each list in an external order (query_id, product_id, place); others follow."""
     joined = ranked.join(order, ["query_id", "product_id"], "left")
@@ -160,10 +219,19 @@ def facet_counts(traits: DataFrame, filters: dict[str, str], vocab: DataFrame) -
     Values of the vocabulary (field, value) come with 0 too; values outside it follow as legacy.
     """
     known = traits.where(~F.col("value").isin("", "unknown"))
-    met = known.groupBy("image_id").agg(*(F.max(F.when((F.col("field") == f) & (F.col("value") == v), 1).otherwise(0)).alias(f"ok_{f}") for f, v in filters.items()))
-    rows = known.join(met, "image_id")
-    allowed = functools.reduce(lambda a, b: a & b, ((F.col(f"ok_{f}") == 1) | (F.col("field") == f) for f in filters), F.lit(True))
-    counts = rows.where(allowed).groupBy("field", "value").agg(F.countDistinct("product_id").alias("products"))
+    # bit k: the image meets the k-th filter
+    mask = functools.reduce(lambda a, b: a.bitwiseOR(b), (F.when((F.col("field") == f) & (F.col("value") == v), 1 << k).otherwise(0).cast("long") for k, (f, v) in enumerate(filters.items())), F.lit(0).cast("long"))
+    met = F.bit_or(mask).over(W.partitionBy("image_id"))
+    whole = (1 << len(filters)) - 1
+    own = functools.reduce(lambda c, x: F.when(F.col("field") == x[1], 1 << x[0]).otherwise(c), enumerate(filters), F.lit(0)).cast("long")
+    rows = known.withColumn("met", met if filters else F.lit(0).cast("long")).where(F.col("met").bitwiseOR(own) == whole)
+    if isinstance(traits.schema["product_id"].dataType, T.IntegralType):
+        # products of a value as bitmaps, one for each 32768 ids, that tasks make and merge
+        of = F.col("product_id").cast("long")
+        parts = rows.groupBy("field", "value", F.bitmap_bucket_number(of).alias("part")).agg(F.bitmap_count(F.bitmap_construct_agg(F.bitmap_bit_position(of))).alias("n"))
+        counts = parts.groupBy("field", "value").agg(F.sum("n").alias("products"))
+    else:
+        counts = rows.groupBy("field", "value").agg(F.countDistinct("product_id").alias("products"))
     listed = vocab.join(counts, ["field", "value"], "left").select("field", "value", F.coalesce("products", F.lit(0)).alias("products"), F.lit(False).alias("legacy"))
     return listed.unionByName(counts.join(vocab, ["field", "value"], "left_anti").withColumn("legacy", F.lit(True)))
 

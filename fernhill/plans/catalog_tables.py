@@ -82,9 +82,10 @@ def median(lineitem):
 
 
 @query("d19_merge_traits", """
-WITH i AS (SELECT image_id AS record_id, field, value AS iv FROM fx_traits WHERE value <> 'unknown'), s AS (SELECT image_id AS record_id, field, value AS sv FROM fx_traits WHERE image_id % 3 = 0)
-SELECT coalesce(i.record_id, s.record_id) AS record_id, coalesce(i.field, s.field) AS field, coalesce(sv, iv) AS value,
-  CASE WHEN sv IS NULL THEN 'image' WHEN iv IS NULL THEN 'spec' WHEN iv = sv THEN 'both' ELSE 'spec_over_image' END AS source FROM i FULL JOIN s ON i.record_id = s.record_id AND i.field = s.field""", "fx_traits")
+WITH m AS (SELECT image_id AS record_id, field, max(value) FILTER (WHERE value <> 'unknown') AS iv, max(value) FILTER (WHERE image_id % 3 = 0) AS sv
+  FROM fx_traits WHERE value <> 'unknown' OR image_id % 3 = 0 GROUP BY ALL)
+SELECT record_id, field, coalesce(sv, iv) AS value,
+  CASE WHEN sv IS NULL THEN 'image' WHEN iv IS NULL THEN 'spec' WHEN iv = sv THEN 'both' ELSE 'spec_over_image' END AS source FROM m""", "fx_traits")
 def merge_traits(traits):
     rows_ = traits.select(F.col("image_id").alias("record_id"), "field", "value")
     return C.merge_traits(rows_.where("value <> 'unknown'"), rows_.where("record_id % 3 = 0"))
@@ -120,7 +121,19 @@ def trajectory(traits):
     return K.coverage_trajectory(traits)
 
 
-@query("k3_oracle_order", None, "fx_traits")
+def _greedy_sql(most: int = 12) -> str:
+    """A table of each step's choice for every product: the image with most pairs that no earlier choice has."""
+    steps = ["""pairs AS MATERIALIZED (SELECT product_id, position, list_distinct(list(concat(field, ':', value)) FILTER (WHERE lower(value) NOT IN ('', 'unknown', 'n/a', 'na'))) AS held FROM fx_traits GROUP BY ALL),
+s0 AS MATERIALIZED (SELECT DISTINCT product_id, []::BIGINT[] AS taken, []::VARCHAR[] AS seen, 0::BIGINT AS position, 0::BIGINT AS new_pairs FROM pairs)"""]
+    for k in range(most):
+        steps.append(f"""s{k + 1} AS MATERIALIZED (
+  SELECT product_id, list_append(taken, position) AS taken, list_concat(seen, fresh) AS seen, position, len(fresh)::BIGINT AS new_pairs FROM (
+    SELECT s.product_id, s.taken, s.seen, p.position, list_filter(coalesce(p.held, []), lambda x: NOT list_contains(s.seen, x)) AS fresh FROM s{k} s JOIN pairs p ON p.product_id = s.product_id WHERE NOT list_contains(s.taken, p.position))
+  QUALIFY row_number() OVER (PARTITION BY product_id ORDER BY len(fresh) DESC, position) = 1)""")
+    return f"WITH {', '.join(steps)} " + " UNION ALL ".join(f"SELECT product_id, position, {k + 1}::BIGINT AS step, new_pairs, len(seen)::BIGINT AS cumulative FROM s{k + 1}" for k in range(most))
+
+
+@query("k3_oracle_order", _greedy_sql(), "fx_traits")
 def oracle_order(traits):
     return K.oracle_order(traits)
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F, types as T
 
 from fernhill.functions.text import canonical_url, catalog_product_id, grouping_key, is_image_url, norm_ws, split_levels
 
@@ -72,9 +73,6 @@ def catalog_summary(products: DataFrame, images: DataFrame) -> DataFrame:
     return products.agg(F.count("*").alias("products"), F.array_join(F.array_sort(F.collect_set("brand")), "|").alias("brands"), F.array_join(F.array_sort(F.collect_set("b_level")), "|").alias("categories")).crossJoin(images.agg(F.count("*").alias("images")))
 
 
-PAYLOAD = T.StructType([T.StructField("title", T.StringType()), T.StructField("heading", T.StringType())])
-
-
 def extract_page_payload(pages: DataFrame) -> DataFrame:
     """(page_id, url, title, heading, n_links, flag_reason): fields of a page; a bad page is flagged, not lost."""
     grab = lambda p: F.nullif(F.trim(F.regexp_extract("html", p, 1)), F.lit(""))
@@ -144,9 +142,64 @@ def write_report(df: DataFrame, path: str, kind: str = "json") -> None:
     writer.csv(path, header=True, quoteAll=True) if kind == "csv" else writer.format(kind).save(path)
 
 
-def audit_run(runs: DataFrame, job: str, rows: int, at) -> DataFrame:
-    """The audit table with one more row."""
-    return runs.unionByName(runs.sparkSession.createDataFrame([(job, rows, at)], "job string, n_rows long, run_at timestamp"))
+AUDIT = "source_system string, record_type string, source_path string, record_count long, notes string, run_at timestamp"
+
+
+def audit_run(spark: SparkSession, path: str, source_system: str, record_type: str, source_path: str, record_count: int, notes: dict | None = None, at=None) -> DataFrame:
+    """Append a run to the audit table below ``path`` and return the table as it is then.
+
+    A row is one file of an append, so that runs that end at once do not disturb each other; the time is
+    the session's, if none is given.
+    """
+    row = spark.createDataFrame([(source_system, record_type, source_path, int(record_count), json.dumps(notes or {}, sort_keys=True), at)], AUDIT)
+    row.withColumn("run_at", F.coalesce("run_at", F.current_timestamp())).coalesce(1).write.mode("append").parquet(path)
+    return spark.read.schema(AUDIT).parquet(path)
+
+
+def _text(c: Column) -> Column:
+    return F.trim(F.coalesce(c.cast("string"), F.lit("")))
+
+
+def _texts(c: Column) -> Column:
+    return F.filter(F.transform(F.coalesce(c, F.array().cast("array<string>")), _text), lambda x: x != "")
+
+
+_CATALOG = (
+    "products array<struct<product_id:string,name:string,brand:string,description:string,raw_category:string,a_level:array<string>,b_level:array<string>,c_level:array<string>,product_image:string,website:string,source_file:string,image_urls:array<string>>>, "
+    "images array<struct<image_id:string,product_id:string,image_url:string,name:string,brand:string,a_level:array<string>,b_level:array<string>,c_level:array<string>,category:string,source_file:string>>"
+)
+
+
+def stage_catalog_snapshot(spark: SparkSession, path: str, source_system: str, lines: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Staging products and images of a normalized catalog: JSON with lists of both, one object a file or, with ``lines``, one a line.
+
+    Texts are trimmed and empty ones leave the lists. Of rows that share an id the last one counts (by
+    file, object and place); images come only with a product of the snapshot, and are primary where their
+    url is the product's. The rows are ready for ``upsert_by_key`` on (source_system, source_product_id)
+    or (source_system, source_image_id).
+    """
+    docs = spark.read.schema(_CATALOG).json(path, multiLine=not lines)
+    docs = docs.select("*", F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("at"))
+
+    def entries(column: str, key: str) -> DataFrame:
+        rows = docs.select("at", F.posexplode(column).alias("pos", "r")).where(F.col("r").isNotNull()).select("r.*", F.struct("at", "pos").alias("at"), F.to_json("r").alias("raw_payload"))
+        w = W.partitionBy(_text(F.col(key))).orderBy(F.desc("at"))
+        return rows.withColumn("\0n", F.row_number().over(w)).where("`\0n` = 1").drop("\0n", "at")
+
+    system = F.lit(source_system).alias("source_system")
+    p = entries("products", "product_id")
+    same = lambda names: [_text(F.col(c)).alias(c) for c in names]
+    lists = lambda names: [_texts(F.col(c)).alias(c) for c in names]
+    products = p.select(
+        system, _text(F.col("product_id")).alias("source_product_id"), _text(F.col("name")).alias("product_name"), *same(["brand", "description", "raw_category"]), *lists(["a_level", "b_level", "c_level"]),
+        _text(F.col("product_image")).alias("product_image_url"), *same(["website", "source_file"]), *lists(["image_urls"]), "raw_payload",
+    )
+    i = entries("images", "image_id").select(
+        system, _text(F.col("image_id")).alias("source_image_id"), _text(F.col("product_id")).alias("source_product_id"), *same(["image_url"]), _text(F.col("name")).alias("product_name"), *same(["brand"]),
+        *lists(["a_level", "b_level", "c_level"]), *same(["category", "source_file"]), "raw_payload",
+    )
+    images = i.join(products.select("source_product_id", "product_image_url"), "source_product_id").withColumn("is_catalog_primary_image", F.col("image_url") == F.col("product_image_url"))
+    return products, images.select(*i.columns, "is_catalog_primary_image")
 
 
 def read_index_snapshot(spark: SparkSession, path: str, lines: bool = False) -> tuple[DataFrame, DataFrame]:
