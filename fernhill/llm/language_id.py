@@ -12,6 +12,8 @@ DIM = 512
 #: Letters below this code point have a vector each; others share the slots above it by a hash.
 OWN, SLOTS = 592, 1024
 N = 3
+#: Characters of a piece of text, and different n-grams whose vectors are there at once.
+CHARS, GRAMS = 1_000_000, 20_000
 
 _tables: dict = {}
 
@@ -53,24 +55,57 @@ def _gram_vectors(grams: np.ndarray) -> np.ndarray:
 
 
 def profiles(texts: list[str]) -> np.ndarray:
-    """The bundled (summed) n-gram vectors of each text; zero where a text has no letter."""
-    joined = "\n".join(t.lower() for t in texts)
-    sizes = np.fromiter((len(t.lower()) for t in texts), np.int64, len(texts))
-    code = np.frombuffer(("\n" + joined + "\n\n").encode("utf-32-le", "surrogatepass"), np.uint32)
+    """The bundled (summed) n-gram vectors of each text; zero where a text has no letter.
+
+    Texts are taken in pieces of ``CHARS`` characters, whose grams add up, and grams in slices of ``GRAMS``,
+    so that neither a long text nor a large alphabet needs much memory.
+    """
+    out = np.zeros((len(texts), DIM), np.float32)
+    pieces: list[tuple[int, str, bool, bool]] = []
+    size = 0
+    for i, text in enumerate(texts):
+        text = text.lower()
+        for a in range(0, len(text), CHARS):
+            # a neighbour on each side, which is no middle letter here
+            pieces.append((i, text[max(0, a - 1) : a + CHARS + 1], a > 0, a + CHARS < len(text)))
+            size += len(pieces[-1][1])
+            if size >= CHARS:
+                _bundle(pieces, out)
+                pieces, size = [], 0
+    if pieces:
+        _bundle(pieces, out)
+    return out
+
+
+def _bundle(pieces: list[tuple[int, str, bool, bool]], out: np.ndarray) -> None:
+    """Add the n-gram vectors of some pieces to their texts' sums."""
+    sizes = np.fromiter((len(t) for _, t, _, _ in pieces), np.int64, len(pieces))
+    starts = 1 + np.cumsum(sizes + 1) - sizes - 1
+    code = np.frombuffer(("\n" + "\n".join(t for _, t, _, _ in pieces) + "\n\n").encode("utf-32-le", "surrogatepass"), np.uint32)
     slot = _slots()[code]
+    own = np.ones(len(slot), bool)
+    own[starts[[before for _, _, before, _ in pieces]]] = False
+    own[(starts + sizes - 1)[[after for _, _, _, after in pieces]]] = False
     keep = np.ones(len(slot), bool)
     keep[1:] = (slot[1:] > 0) | (slot[:-1] > 0)  # one space for any run of other characters
-    doc = np.searchsorted(np.cumsum(sizes + 1), np.flatnonzero(keep) - 1, "right")
-    slot = slot[keep]
+    at = np.flatnonzero(keep)
+    slot, own = slot[at], own[at]
     gram = slot[:-2] * SLOTS**2 + slot[1:-1] * SLOTS + slot[2:]
-    middle, doc = slot[1:-1] > 0, doc[1:-1]  # the middle letter gives the document
-    gram, doc = gram[middle], doc[middle]
-    used, inverse = np.unique(gram, return_inverse=True)
-    counts = np.bincount(doc * len(used) + inverse, minlength=len(texts) * len(used)).reshape(len(texts), -1)
-    return counts.astype(np.float32) @ _gram_vectors(used)
-
-
-def _groups(batches, size: int = 128, max_chars: int = 1_000_000):
+    middle = (slot[1:-1] > 0) & own[1:-1]  # the middle letter gives the text
+    gram, piece = gram[middle], np.searchsorted(starts, at[1:-1][middle], "right") - 1
+    order = np.argsort(gram, kind="stable")
+    gram, piece = gram[order], piece[order]
+    heads = np.flatnonzero(np.diff(gram, prepend=-1))
+    text = np.fromiter((i for i, _, _, _ in pieces), np.int64, len(pieces))
+    for k in range(0, len(heads), GRAMS):
+        some = heads[k : k + GRAMS]
+        a, z = some[0], heads[k + GRAMS] if k + GRAMS < len(heads) else len(gram)
+        column = np.repeat(np.arange(len(some)), np.diff(np.append(some, z)))
+        counts = np.bincount(piece[a:z] * len(some) + column, minlength=len(pieces) * len(some)).reshape(len(pieces), -1)
+        np.add.at(out, text, counts.astype(np.float32) @ _gram_vectors(gram[some]))
+
+
+def _groups(batches, size: int = 128, max_chars: int = CHARS):
     for batch in batches:
         start, chars, texts = 0, 0, []
         for i, t in enumerate(batch.column(batch.schema.get_field_index("text"))):
@@ -86,7 +121,8 @@ def prototypes(docs: DataFrame, max_train_rows: int = 20_000) -> dict[str, np.nd
 
     Learns from at most ``max_train_rows`` documents with a language, those with the smallest id
     hashes. Tasks add up their documents and Spark adds the sums, so that only a vector for each
-    language comes to the driver.
+    language comes to the driver. Rows that repeat count as often as they come; null texts and
+    languages are left out, a text without letters adds nothing; an empty table gives no language.
     """
     some = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     chosen = bounded_sample(some.select("doc_id").distinct(), "doc_id", max_train_rows)
