@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from fernhill.llm._shared import documents, small_batches
 from fernhill.llm._tokens import binaries, encoder, text_groups, with_end
@@ -41,10 +41,10 @@ def first_fit_decreasing(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray,
 _PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("ids", pa.binary())])
 
 
-def tokenise(docs: DataFrame, tokenizer: str, end_id: int, groups: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def tokenise(docs: DataFrame, tokenizer: str, end_id: int, groups: int, id_col: str = "doc_id", text_col: str = "text", salt: Column | None = None) -> DataFrame:
     """(group, doc_id, ids): the ids of each text and ``end_id`` as little-endian 16-bit integers.
 
-    Null text counts as empty; the group is drawn by a hash of id and text.
+    Null text counts as empty; the group is drawn by a hash of id, whole text and ``salt``.
     """
 
     def run(batches):
@@ -52,7 +52,7 @@ def tokenise(docs: DataFrame, tokenizer: str, end_id: int, groups: int, id_col:
             ids, counts = encoder(tokenizer).encode(texts)
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), binaries(with_end(ids, counts, end_id), counts + 1)], ["group", "doc_id", "ids"])
 
-    group = F.pmod(F.xxhash64(F.lit(11), F.col(id_col), F.substring(text_col, 1, 64)), F.lit(groups))
+    group = F.pmod(F.xxhash64(F.lit(11), F.col(id_col), F.col(text_col), *([] if salt is None else [salt])), F.lit(groups))
     return docs.select(group.alias("group"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "group long, doc_id long, ids binary")
 
 
@@ -92,15 +92,21 @@ def pack(tokens: DataFrame, capacity: int = 2048) -> DataFrame:
     return tokens.groupBy("group").applyInArrow(run, "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = 2048, docs_per_group: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``tokenise`` and ``pack``; the number of groups follows the number of rows."""
+def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = 2048, docs_per_group: int = 512, id_col: str = "doc_id", text_col: str = "text", from_files: bool = False) -> DataFrame:
+    """``tokenise`` and ``pack``; the number of groups follows the number of rows.
+
+    ``from_files`` says that ``docs`` is a scan of files, whose rows a repeated task numbers alike: then
+    the row's number is part of what draws its group, so that rows that repeat id and text spread over
+    the groups however many they are. Other tables draw by id and text alone, and rows that repeat both
+    share a group. Columns but id and text are left out; null ids stay; texts of any length are cut.
+    """
     small_batches(docs.sparkSession)
     groups = max(1, docs.count() // docs_per_group)
-    return pack(tokenise(docs, tokenizer, end_id, groups, id_col, text_col), capacity)
+    return pack(tokenise(docs, tokenizer, end_id, groups, id_col, text_col, F.monotonically_increasing_id() if from_files else None), capacity)
 
 
 def op1_packing(spark, sf_dir):
     import public_tokenizers
 
-    pieces = pack_documents(documents(spark, sf_dir).select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
+    pieces = pack_documents(documents(spark, sf_dir).select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"), from_files=True)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")

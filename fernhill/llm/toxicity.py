@@ -125,6 +125,7 @@ def score_toxicity(docs: DataFrame, weights: np.ndarray, text_col: str = "text",
 
 def op6_toxicity(spark, sf_dir):
     docs = documents(spark, sf_dir).select("doc_id", "text")
-    weights = train(docs.where(id_crc() % 5 != 0), documents(spark, sf_dir, "labels"))
+    allowed = id_crc() % 5 != 0  # the bounded sample is drawn from these alone
+    weights = train(docs.where(allowed), documents(spark, sf_dir, "labels").where(allowed))
     scored = score_toxicity(docs, weights)
     return scored.select("doc_id", (id_crc() % 5 == 0).alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.5).cast("int").alias("predicted"))

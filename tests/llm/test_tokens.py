@@ -71,6 +71,15 @@ def test_packing_round_trip(docs):
     assert pack_documents(docs([]), public_tokenizers.path("byte_bpe_50k.json")).count() == 0
 
 
+def test_repeated_rows_spread_over_the_groups(spark, tmp_path):
+    path = f"file://{tmp_path}/same"
+    spark.range(100_000).selectExpr("cast(null as bigint) AS doc_id", "case when id % 2 = 0 then 'same text' end AS text").repartition(4).write.parquet(path)
+    pieces = pack_documents(spark.read.parquet(path), public_tokenizers.path("byte_bpe_50k.json"), from_files=True)
+    found = pieces.selectExpr("sequence_id >> 40 AS g", "length").groupBy("g").agg({"*": "count", "length": "sum"}).collect()
+    assert sum(r["count(1)"] for r in found) == 100_000 and len(found) == 100_000 // 512
+    assert max(r["count(1)"] for r in found) < 700 and sum(r["sum(length)"] for r in found) == 50_000 * 3 + 50_000
+
+
 def test_wavelet_matrix():
     ids = np.random.default_rng(3).integers(0, 37, 3000).astype(np.uint16)
     m = out.WaveletMatrix.from_bytes(out.WaveletMatrix.build(ids, 6).to_bytes())
