@@ -18,33 +18,43 @@ def _without(docs, gone):
 
 
 def reject_toxic(spark, docs, sf_dir):
-    """Documents with a toxicity score under 0.5; the model learns from the labels of these documents."""
+    """Documents with a toxicity score under 0.5; the model learns from the labels of these documents.
+
+    Null and empty texts get the intercept's score; repeated rows and other columns stay as they are.
+    """
     weights = toxicity.train(docs, documents(spark, sf_dir, "labels"))
     score = fresh(docs, "toxicity")
     return toxicity.score_toxicity(docs, weights, out_col=score).where(F.col(score) < 0.5).select(*docs.columns)
 
 
 def dedup_lines(spark, docs, sf_dir):
-    """All documents, without lines that three or more of them hold but in the last; n_chars follows."""
+    """All documents, without lines that three or more of them hold but in the last; n_chars follows.
+
+    Null text becomes empty; ids that repeat hold a line once, a null id is the smallest.
+    """
     kept = line_dedup.drop_repeated_lines(docs, counts=(fresh(docs, "lines"), fresh(docs, "dropped")))
     return kept.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
 
 
 def dedup_near(spark, docs, sf_dir):
-    """One document, that of the smallest id, of each group linked by Jaccard of 0.8 on five words."""
+    """One document, that of the smallest id, of each group linked by Jaccard of 0.8 on five words.
+
+    All rows of that id in the group stay, so that an exact repeat of a kept row does; documents without
+    words (null or empty text) are linked with nothing and stay.
+    """
     groups = near_duplicates.near_duplicates(docs).where("doc_id <> component_id").select("doc_id", "text_key").distinct()
     return _without(docs, groups)
 
 
 def drop_leaks(spark, docs, sf_dir):
-    """Documents in which no benchmark item was found."""
+    """Documents in which no benchmark item was found; null and empty texts hold none, repeated rows go or stay together."""
     leaks = decontamination.find_leaks(docs, documents(spark, sf_dir, "benchmark")).select("doc_id", "text_key").distinct()
     return _without(docs, leaks)
 
 
 def pack(spark, docs, sf_dir):
-    """Sequences of at most 2048 ids: a row per piece, with its ids."""
-    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    """Sequences of at most 2048 ids: a row per piece, with its ids. Null text is a document of the end id alone; repeated rows are packed as often as they come."""
+    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), from_files=True)
 
 
 STAGES = [
@@ -55,7 +65,7 @@ STAGES = [
     ("packing", pack),
 ]
 
-#: The models and the joins by hash have no SQL; tests hold the stages against brute force.
+#: The models and the joins by hash have no SQL; tests/llm/test_brute.py holds each stage against brute force.
 ORACLE_SQL = None
 
 
