@@ -81,7 +81,7 @@ def cap_scorecard(trajectory: DataFrame, caps: Sequence[int] = (4, 6, 8, 10, 12)
 def policy_savings(images: DataFrame, policies: DataFrame, image_cost: float = 0.009532) -> DataFrame:
     """(policy, visual_type, ...) under caps (policy, visual_type, cap): processed, skipped, rate, dollars."""
     n = images.groupBy("product_id", "visual_type").agg(F.count("*").alias("n"))
-    rows = n.join(F.broadcast(policies), "visual_type")
+    rows = n.join(policies, "visual_type")
     kept = F.least(F.col("n"), F.col("cap"))
     return rows.groupBy("policy", "visual_type").agg(
         F.sum(kept).alias("processed"), F.sum(F.col("n") - kept).alias("skipped"), F.round(F.sum(F.col("n") - kept) / F.sum("n"), 6).alias("skip_rate"), F.round(F.sum(F.col("n") - kept) * image_cost, 4).alias("saved"),

@@ -20,17 +20,17 @@ def trait_health(images: DataFrame, traits: DataFrame, vocab: DataFrame, baselin
     vocab has (visual_type, field), baseline (visual_type, field, baseline).
     """
     base = images.where("stage_0_result = 'product' AND visual_type <> ''").select("image_id", "visual_type")
-    asked = base.join(F.broadcast(vocab), "visual_type")
+    asked = base.join(vocab, "visual_type")
     found = asked.join(traits.select("image_id", "field", "value"), ["image_id", "field"], "left")
     health = found.groupBy("visual_type", "field").agg(F.count("*").alias("images"), F.count_if(_present(F.col("value"))).alias("present"))
     cover = F.round(F.col("present") / F.col("images"), 6)
-    rows = health.withColumn("coverage", cover).join(F.broadcast(baseline), ["visual_type", "field"], "left")
+    rows = health.withColumn("coverage", cover).join(baseline, ["visual_type", "field"], "left")
     return rows.withColumns({"below": F.col("coverage") < least, "dropped": F.coalesce(F.round(F.col("baseline") - F.col("coverage"), 6) >= drop, F.lit(False))})
 
 
 def compliance_violations(traits: DataFrame, allowed: DataFrame) -> DataFrame:
     """Present values that the vocabulary (field, value) does not have, counted."""
-    bad = traits.where(_present(F.col("value"))).join(F.broadcast(allowed.select("field", "value")), ["field", "value"], "left_anti")
+    bad = traits.where(_present(F.col("value"))).join(allowed.select("field", "value"), ["field", "value"], "left_anti")
     return bad.groupBy("visual_type", "field", "value").agg(F.count("*").alias("n"), F.min("image_id").alias("first_image"))
 
 
@@ -64,26 +64,26 @@ def mapping_diagnostics(products: DataFrame, images: DataFrame, decisions: DataF
     top = top.where(F.col("n") >= F.col("total") * dominant).select("grouping", F.col("visual_type").alias("extracted"))
     counts = products.groupBy("grouping").agg(F.count("*").alias("products"))
     stage = images.groupBy("grouping").agg(F.count("*").alias("images"), F.count_if(F.col("visual_type") == "").alias("missing"))
-    joined = counts.join(stage, "grouping", "left").join(F.broadcast(decisions), "grouping", "left").join(F.broadcast(table), "grouping", "left").join(top, "grouping", "left")
+    joined = counts.join(stage, "grouping", "left").join(decisions, "grouping", "left").join(table, "grouping", "left").join(top, "grouping", "left")
     source = F.when(F.col("decided").isNotNull(), "decision").when(F.col("tabled").isNotNull(), "table").when(F.col("extracted").isNotNull(), "dominant").otherwise("unmapped")
     return joined.select("grouping", "products", F.coalesce("images", F.lit(0)).alias("images"), F.coalesce("missing", F.lit(0)).alias("missing"), F.coalesce("decided", "tabled", "extracted", F.lit("")).alias("mapped_type"), source.alias("mapping_source"))
 
 
 def mismatch_scan(records: DataFrame, allowed: DataFrame, examples: int = 5) -> DataFrame:
     """(category, visual_type, n, examples): pairs that the rule table (category, visual_type) does not allow."""
-    bad = records.join(F.broadcast(allowed), ["category", "visual_type"], "left_anti")
+    bad = records.join(allowed, ["category", "visual_type"], "left_anti")
     placed = bad.withColumn("k", F.row_number().over(W.partitionBy("category", "visual_type").orderBy("image_id")))
     return placed.groupBy("category", "visual_type").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list(F.when(F.col("k") <= examples, F.col("image_id")))).cast("array<string>"), ",").alias("examples"))
 
 
 def ghost_fields(traits: DataFrame, vocab: DataFrame) -> DataFrame:
     """Counts of trait keys that a type's vocabulary (visual_type, field) lacks."""
-    return traits.join(F.broadcast(vocab), ["visual_type", "field"], "left_anti").groupBy("visual_type", "field").agg(F.count("*").alias("removed"))
+    return traits.join(vocab, ["visual_type", "field"], "left_anti").groupBy("visual_type", "field").agg(F.count("*").alias("removed"))
 
 
 def value_migration(traits: DataFrame, renames: DataFrame) -> DataFrame:
     """Traits with fields and values renamed by (field, value, new_field, new_value), and whether they were."""
-    joined = traits.join(F.broadcast(renames), ["field", "value"], "left")
+    joined = traits.join(renames, ["field", "value"], "left")
     return joined.select("image_id", F.coalesce("new_field", "field").alias("field"), F.coalesce("new_value", "value").alias("value"), F.col("new_field").isNotNull().alias("migrated"))
 
 

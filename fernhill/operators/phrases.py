@@ -20,10 +20,10 @@ def norm_enum(traits: DataFrame, vocab: DataFrame, aliases: DataFrame) -> DataFr
     unknown = vocab.where("lower(value) = 'unknown'").select("field", F.lit(True).alias("has_unknown")).distinct()
     named = aliases.select(F.lower("alias").alias("lower_value"), F.lower("target").alias("target"))
     yes_no = F.coalesce(*(F.when(F.lower("value") == a, b) for a, b in BOOLEANS))
-    rows = traits.withColumns({"lower_value": F.lower(F.trim("value")), "yes_no": yes_no}).join(F.broadcast(allowed), ["field", "lower_value"], "left")
-    rows = rows.join(F.broadcast(named), "lower_value", "left")
+    rows = traits.withColumns({"lower_value": F.lower(F.trim("value")), "yes_no": yes_no}).join(allowed, ["field", "lower_value"], "left")
+    rows = rows.join(named, "lower_value", "left")
     second = allowed.select("field", F.col("lower_value").alias("wanted"), F.col("exact").alias("by_alias"))
-    rows = rows.withColumn("wanted", F.coalesce("target", "yes_no")).join(F.broadcast(second), ["field", "wanted"], "left").join(F.broadcast(unknown), "field", "left")
+    rows = rows.withColumn("wanted", F.coalesce("target", "yes_no")).join(second, ["field", "wanted"], "left").join(unknown, "field", "left")
     out = F.coalesce("exact", "by_alias", F.when(F.col("has_unknown"), "unknown").otherwise(""))
     return rows.select(*traits.columns, out.alias("normalized"))
 
@@ -32,17 +32,17 @@ def parse_bullets(bullets: DataFrame, labels: DataFrame) -> DataFrame:
     """Bullets 'Label: value' with their field by label (label, field), or null where the label is unknown."""
     parts = F.split("text", ":", 2)
     rows = bullets.withColumns({"label": norm_alnum(F.get(parts, F.lit(0))), "value": F.trim(F.get(parts, F.lit(1)))})
-    return rows.join(F.broadcast(labels.select(norm_alnum(F.col("label")).alias("label"), "field")), "label", "left").drop("label")
+    return rows.join(labels.select(norm_alnum(F.col("label")).alias("label"), "field"), "label", "left").drop("label")
 
 
 def pixel_type(products: DataFrame, decisions: DataFrame, table: DataFrame) -> DataFrame:
     """The type of each grouping: a decision first, then the table, else SKIP."""
-    rows = products.join(F.broadcast(decisions.select("grouping", F.col("visual_type").alias("decided"))), "grouping", "left").join(F.broadcast(table.select("grouping", F.col("visual_type").alias("tabled"))), "grouping", "left")
+    rows = products.join(decisions.select("grouping", F.col("visual_type").alias("decided")), "grouping", "left").join(table.select("grouping", F.col("visual_type").alias("tabled")), "grouping", "left")
     return rows.withColumn("pixel_type", F.coalesce("decided", "tabled", F.lit("SKIP"))).drop("decided", "tabled")
 
 
 def image_cap(products: DataFrame, caps: DataFrame, soft: int = 8, hard: int = 15) -> DataFrame:
-    rows = products.join(F.broadcast(caps.select("visual_type", F.col("cap").alias("own_cap"))), "visual_type", "left")
+    rows = products.join(caps.select("visual_type", F.col("cap").alias("own_cap")), "visual_type", "left")
     return rows.withColumn("cap", F.least(F.coalesce("own_cap", F.lit(soft)), F.lit(hard)).cast("long")).drop("own_cap")
 
 
@@ -50,7 +50,7 @@ def compatible_types(rows: DataFrame, families: DataFrame) -> DataFrame:
     """A row per type that is interchangeable with a record's own (families: visual_type, family)."""
     own = families.select("visual_type", F.col("family").alias("f"))
     other = families.select(F.col("visual_type").alias("compatible"), F.col("family").alias("f"))
-    return rows.join(F.broadcast(own.join(other, "f").drop("f")), "visual_type")
+    return rows.join(own.join(other, "f").drop("f"), "visual_type")
 
 
 def trait_flags(queries: DataFrame, dictionary: Sequence[tuple[str, str, str]]) -> DataFrame:
@@ -78,8 +78,8 @@ def field_priority(rows: DataFrame, listed: DataFrame, fallback: str) -> DataFra
     A type that the list does not know has the priorities of the ``fallback`` type.
     """
     known = listed.select("visual_type").distinct().withColumn("known", F.lit(True))
-    typed = rows.join(F.broadcast(known), "visual_type", "left").withColumn("listed_type", F.when(F.col("known"), F.col("visual_type")).otherwise(fallback))
-    found = typed.join(F.broadcast(listed.withColumnRenamed("visual_type", "listed_type")), ["listed_type", "field"], "left")
+    typed = rows.join(known, "visual_type", "left").withColumn("listed_type", F.when(F.col("known"), F.col("visual_type")).otherwise(fallback))
+    found = typed.join(listed.withColumnRenamed("visual_type", "listed_type"), ["listed_type", "field"], "left")
     return found.withColumn("priority", F.coalesce("priority", F.lit("normal"))).drop("known", "listed_type")
 
 
@@ -212,5 +212,5 @@ def finish_fallback(rows: DataFrame, finishes: Sequence[tuple[str, str]]) -> Dat
 def top_examples(pairs: DataFrame, n_pairs: int = 15, n_examples: int = 5) -> DataFrame:
     """The most frequent pairs (a, b) with their first examples."""
     counts = pairs.groupBy("a", "b").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "a", "b").limit(n_pairs)
-    placed = pairs.join(F.broadcast(counts), ["a", "b"]).withColumn("k", F.row_number().over(W.partitionBy("a", "b").orderBy("id"))).where(F.col("k") <= n_examples)
+    placed = pairs.join(counts, ["a", "b"]).withColumn("k", F.row_number().over(W.partitionBy("a", "b").orderBy("id"))).where(F.col("k") <= n_examples)
     return placed.groupBy("a", "b", "n").agg(F.array_join(F.array_sort(F.collect_list("id")).cast("array<string>"), ",").alias("examples"))

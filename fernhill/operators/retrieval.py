@@ -97,7 +97,7 @@ def trait_boost(pairs: DataFrame, traits: DataFrame, bullets: DataFrame, groups:
         "gain": F.element_at(F.array(F.lit(0.35), F.lit(0.10), F.lit(0.05)), F.col("level") + 1),
         "loss": F.when(F.col("level") == 0, F.when(must, 0.55).otherwise(0.2)).when(F.col("level") == 1, 0.06).otherwise(0.0),
         "said": ~is_absence(F.col("text")),
-    }).join(F.broadcast(near), ["field", "value"], "left")
+    }).join(near, ["field", "value"], "left")
     asked = rows.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("level", "ord", "text", "field", "value", "near", "counts", "gain", "loss", "said"))).alias("asked"))
     value = norm_alnum(F.col("value"))
     stored = traits.where(~value.isin("", "unknown")).groupBy("image_id").agg(F.map_from_entries(F.collect_list(F.struct("field", value.alias("value")))).alias("stored"))
@@ -245,10 +245,10 @@ def merge_bullets(bullets: DataFrame, by: Sequence[str]) -> DataFrame:
 
 def translate_bullets(bullets: DataFrame, mapping: DataFrame, anti: DataFrame, allowed: DataFrame) -> DataFrame:
     """Bullets of one family in another's fields and values, or the first reason that drops them."""
-    b = bullets.join(F.broadcast(anti.select("field", "value", F.lit(True).alias("is_anti"))), ["field", "value"], "left")
+    b = bullets.join(anti.select("field", "value", F.lit(True).alias("is_anti")), ["field", "value"], "left")
     known = mapping.select("field").distinct().withColumn("known_field", F.lit(True))
-    b = b.join(F.broadcast(known), "field", "left").join(F.broadcast(mapping.select("field", "value", "to_field", "to_value")), ["field", "value"], "left")
-    b = b.join(F.broadcast(allowed.select(F.col("field").alias("to_field"), F.col("value").alias("to_value"), F.lit(True).alias("is_allowed"))), ["to_field", "to_value"], "left")
+    b = b.join(known, "field", "left").join(mapping.select("field", "value", "to_field", "to_value"), ["field", "value"], "left")
+    b = b.join(allowed.select(F.col("field").alias("to_field"), F.col("value").alias("to_value"), F.lit(True).alias("is_allowed")), ["to_field", "to_value"], "left")
     reason = (
         F.when(F.col("field").isNull() | (F.col("value") == ""), "unparseable").when(F.col("known_field").isNull(), "unknown_field")
         .when(F.col("is_anti"), "anti_mapping").when(F.col("to_field").isNull(), "no_mapping").when(F.col("is_allowed").isNull(), "no_valid_value")

@@ -194,7 +194,7 @@ _FAMILY = [("stool", "seating"), ("guest_chair", "seating"), ("lounge_chair", "l
 @query("a2_family_searchable_counts", "WITH f(visual_type, family) AS (VALUES " + ", ".join(map(str, _FAMILY)) + "), c AS (SELECT visual_type, count(DISTINCT product_id) AS n FROM fx_images WHERE stage_0_result = 'product' AND NOT excluded GROUP BY 1) SELECT family, CAST(sum(n) AS BIGINT) AS products FROM c JOIN f USING (visual_type) GROUP BY 1", "fx_images")
 def families(images):
     per = images.where("stage_0_result = 'product' AND NOT excluded").groupBy("visual_type").agg(F.countDistinct("product_id").alias("n"))
-    return per.join(F.broadcast(rows(images, _FAMILY, "visual_type string, family string")), "visual_type").groupBy("family").agg(F.sum("n").alias("products"))
+    return per.join(rows(images, _FAMILY, "visual_type string, family string"), "visual_type").groupBy("family").agg(F.sum("n").alias("products"))
 
 
 @query("a3_category_counts", "SELECT coalesce(nullif(visual_type, ''), 'unspecified') AS category, count(*) AS images, count(*) FILTER (WHERE tiebreaker_triggered) AS tiebreaks FROM fx_images GROUP BY 1", "fx_images")
@@ -202,9 +202,9 @@ def categories(images):
     return images.groupBy(F.coalesce(F.nullif("visual_type", F.lit("")), F.lit("unspecified")).alias("category")).agg(F.count("*").alias("images"), F.count_if("tiebreaker_triggered").alias("tiebreaks"))
 
 
-@query("a4_distinct_lists", "SELECT string_agg(DISTINCT brand, '|' ORDER BY brand) AS brands, string_agg(DISTINCT b_level, '|' ORDER BY b_level) AS categories FROM fx_products", "fx_products")
+@query("a4_distinct_lists", "SELECT DISTINCT 'brand' AS kind, brand AS value FROM fx_products UNION ALL SELECT DISTINCT 'category', b_level FROM fx_products", "fx_products")
 def lists(products):
-    return products.agg(F.array_join(F.array_sort(F.collect_set("brand")), "|").alias("brands"), F.array_join(F.array_sort(F.collect_set("b_level")), "|").alias("categories"))
+    return S.distinct_values(products, {"brand": "brand", "category": "b_level"})
 
 
 @query("a5_lightweight_products", """
@@ -474,7 +474,7 @@ def intake(products, images):
     return S.intake_classify(products, products.where("product_id % 5 = 0"), images.where("product_id % 7 <> 0"), 1990)
 
 
-@query("s10_catalog_summary", "SELECT count(*) AS products, string_agg(DISTINCT brand, '|' ORDER BY brand) AS brands, string_agg(DISTINCT b_level, '|' ORDER BY b_level) AS categories, (SELECT count(*) FROM fx_images) AS images FROM fx_products", "fx_products", "fx_images")
+@query("s10_catalog_summary", "SELECT 'products' AS kind, NULL AS value, count(*) AS n FROM fx_products UNION ALL SELECT 'images', NULL, count(*) FROM fx_images UNION ALL SELECT 'brand', brand, count(*) FROM fx_products GROUP BY brand UNION ALL SELECT 'category', b_level, count(*) FROM fx_products GROUP BY b_level", "fx_products", "fx_images")
 def catalog_summary(products, images):
     return S.catalog_summary(products, images)
 

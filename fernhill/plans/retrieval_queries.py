@@ -144,7 +144,7 @@ def whole_search(images, products, traits, emb):
     )
     pictures = images.join(emb.select("vec_id", "embedding"), "vec_id").join(products.select("product_id", F.col("b_level").alias("category")), "product_id")
     pictures = pictures.withColumns({"room": F.col("image_id") % 11 == 0, "confidence": T.confidence_rank(F.col("confidence_tier")), "image_url": F.concat(F.lit("u/"), "image_id")})
-    bullets = queries.select("query_id", "kind").join(F.broadcast(told), "kind").drop("kind")
+    bullets = queries.select("query_id", "kind").join(told, "kind").drop("kind")
     found = R.search(pictures, queries, traits, bullets, rows(traits, _GROUPS, "field string, value string, grp string"), _FAMILIES)
     return found.select("query_id", "product_id", "hero_image_id", "score", "match_count", "image_urls", "is_room_scene", "is_exact_source", "place")
 

@@ -68,9 +68,21 @@ def explode_images(products: DataFrame) -> DataFrame:
     return rows.withColumns({"position": (F.col("pos") + 1).cast("long"), "image_id": F.concat(F.col("product_id"), F.lit("_img_"), F.lpad((F.col("pos") + 1).cast("string"), 3, "0"))}).drop("pos")
 
 
+def distinct_values(rows: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """(kind, value): the distinct values of some columns as rows, kinds mapped to columns; nulls are left out.
+
+    All columns go through one exchange, and lists of any length stay spread over the tasks.
+    """
+    pairs = F.array(*(F.struct(F.lit(kind).alias("kind"), F.col(c).cast("string").alias("value")) for kind, c in columns.items()))
+    return rows.select(F.inline(pairs)).where("value IS NOT NULL").distinct()
+
+
 def catalog_summary(products: DataFrame, images: DataFrame) -> DataFrame:
-    """One row: totals, and sorted distinct brands and categories."""
-    return products.agg(F.count("*").alias("products"), F.array_join(F.array_sort(F.collect_set("brand")), "|").alias("brands"), F.array_join(F.array_sort(F.collect_set("b_level")), "|").alias("categories")).crossJoin(images.agg(F.count("*").alias("images")))
+    """(kind, value, n): the numbers of products and images, and of products by brand and category."""
+    total = lambda rows, kind: rows.agg(F.lit(kind).alias("kind"), F.lit(None).cast("string").alias("value"), F.count("*").alias("n"))
+    pairs = F.array(*(F.struct(F.lit(kind).alias("kind"), F.col(c).cast("string").alias("value")) for kind, c in (("brand", "brand"), ("category", "b_level"))))
+    listed = products.select(F.inline(pairs)).where("value IS NOT NULL").groupBy("kind", "value").agg(F.count("*").alias("n"))
+    return total(products, "products").unionByName(total(images, "images")).unionByName(listed)
 
 
 def extract_page_payload(pages: DataFrame) -> DataFrame:
@@ -133,7 +145,7 @@ def catalog_row_filter(products: DataFrame, terms: Sequence[str] = (), brand: st
 def unmapped_split(products: DataFrame, mapping: DataFrame) -> DataFrame:
     """Products with their mapped type, or SKIP; mapping is (grouping, mapped_type)."""
     keyed = products.withColumn("grouping", grouping_key(F.array("a_level", "b_level", "c_level")))
-    return keyed.join(F.broadcast(mapping), "grouping", "left").withColumn("mapped_type", F.coalesce("mapped_type", F.lit("SKIP")))
+    return keyed.join(mapping, "grouping", "left").withColumn("mapped_type", F.coalesce("mapped_type", F.lit("SKIP")))
 
 
 def write_report(df: DataFrame, path: str, kind: str = "json") -> None:
