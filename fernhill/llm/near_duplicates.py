@@ -282,16 +282,17 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5,
         links = materialise(links.union(in_blocks(first_of.join(blocked(first_of.drop("shingles", "label")).drop("least"), ["grp", "doc_id"]))), "links")
 
     held = keyed.drop("hub").join(state.select("doc_id", "grp", "label", "own"), "doc_id")
-    sides = held.groupBy("key", "label").agg(F.count("*").alias("n"), F.collect_set("own").alias("blocks"))
-    keys = sides.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("most"), F.count("*").alias("n"), F.max_by("blocks", F.struct("n", "label")).alias("most_blocks")).where("n > 1")
-    sizes = held.groupBy("key", "own").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("reach").alias("farthest"))
-    sizes = sizes.groupBy("key").agg(F.collect_list(F.struct("own", "low", "high", "farthest")).alias("blocks")).where("size(blocks) > 1")
-    # written, so that a hot key's rows in the join below can be dealt to several tasks
-    keys = materialise(keys.join(sizes, "key").select("key", "most", "blocks", "most_blocks"), "open-keys")
-    opened = held.join(keys, "key")
+    sides = held.groupBy("key", "label").agg(F.count("*").alias("n"))
+    keys = sides.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("most"), F.count("*").alias("n")).where("n > 1").drop("n")
+    # written, so that a hot key's rows in the joins below can be dealt to several tasks
+    keys = materialise(keys.join(held.groupBy("key").agg((F.min("own") < F.max("own")).alias("apart")).where("apart"), "key").drop("apart"), "open-keys")
+    opened = materialise(held.join(keys, "key"), "open-members")
+    # a row for each block of a key
+    boxes = opened.groupBy("key", "own").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("reach").alias("farthest"), F.max(F.col("label") == F.col("most")).alias("has_most"))
+    boxes = materialise(boxes.withColumnRenamed("own", "block"), "open-blocks")
     # of two documents outside the largest component, the one in the lesser block visits the other
-    goes = F.filter("blocks", lambda b: ((b["own"] > F.col("own")) | (b["own"] != F.col("own")) & F.array_contains("most_blocks", b["own"])) & fits(b["low"], b["high"], b["farthest"]))
-    visitors = opened.where("label <> most").select("doc_id", "grp", F.explode(F.transform(goes, lambda b: b["own"])).alias("block")).distinct()
+    goes = ((F.col("block") > F.col("own")) | (F.col("block") != F.col("own")) & F.col("has_most")) & fits(F.col("low"), F.col("high"), F.col("farthest"))
+    visitors = opened.where("label <> most").join(boxes, "key").where(goes).select("doc_id", "grp", "block").distinct()
     visitors = materialise(visitors, "visitors")
     tables = visitors.groupBy("grp", "block").agg(F.ceil(F.count("*") / MEMBERS).alias("parts"))
     part = F.pmod(F.xxhash64("doc_id"), F.col("parts"))
