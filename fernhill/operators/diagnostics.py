@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
@@ -110,3 +111,86 @@ def refresh_outcome(refreshes: DataFrame) -> DataFrame:
     failed = F.col("status").isin("error", "refund")
     g = refreshes.groupBy("product_id").agg(F.count("*").alias("attempts"), F.count_if(failed).alias("failed"), F.round(F.sum("cost_usd"), 4).alias("cost_usd"), F.max("refreshed_at").alias("last_refreshed"))
     return g.withColumn("outcome", F.when(F.col("failed") == F.col("attempts"), "error").when(F.col("failed") > 0, "partial").otherwise("ok"))
+
+
+def wide_traits(traits: DataFrame, fields: Sequence[str]) -> DataFrame:
+    """(image_id, visual_type, one column for each field): an image's values side by side."""
+    return traits.groupBy("image_id", "visual_type").pivot("field", list(fields)).agg(F.max("value"))
+
+
+def supplemental_metrics(traits: DataFrame, field: str, other: str) -> DataFrame:
+    """(visual_type, images, with_field, with_both, share): of the images with a known ``field``, how many have a known ``other``."""
+    wide = wide_traits(traits, [field, other])
+    has = F.coalesce(_present(F.col(field)), F.lit(False))
+    both = has & F.coalesce(_present(F.col(other)), F.lit(False))
+    g = wide.groupBy("visual_type").agg(F.count("*").alias("images"), F.count_if(has).alias("with_field"), F.count_if(both).alias("with_both"))
+    return g.withColumn("share", F.round(F.try_divide("with_both", "with_field"), 6))
+
+
+def applicability(traits: DataFrame, rules: dict[str, tuple[Sequence[str] | None, Sequence[str], str | None]]) -> DataFrame:
+    """(image_id, a flag for each rule): whether something applies to an image.
+
+    A rule (types, not_types, field) holds for images of one of ``types`` (None: of any) that are of none of
+    ``not_types`` and whose ``field``, if one is named, has a known value.
+    """
+    wide = wide_traits(traits, sorted({f for _, _, f in rules.values() if f}))
+    kind, flags = F.col("visual_type"), []
+    for name, (types, barred, field) in rules.items():
+        holds = F.lit(True) if types is None else kind.isin(*types)
+        holds = holds & ~kind.isin(*barred) if barred else holds
+        flags.append((holds & _present(F.col(field)) if field else holds).alias(name))
+    return wide.select("image_id", *flags)
+
+
+def tiebreaker_counts(images: DataFrame) -> DataFrame:
+    """(visual_type, images, all_tiebreaks, product_tiebreaks): how often a tiebreaker decided, over all images and product images."""
+    hit = F.coalesce("tiebreaker_triggered", F.lit(False))
+    return images.groupBy("visual_type").agg(F.count("*").alias("images"), F.count_if(hit).alias("all_tiebreaks"), F.count_if(hit & (F.col("stage_0_result") == "product")).alias("product_tiebreaks"))
+
+
+def stale_types(images: DataFrame, mapping: DataFrame) -> DataFrame:
+    """(image_id, visual_type, mapped_type): images whose type is not the one that their product maps to now; mapping is (product_id, mapped_type)."""
+    known = mapping.where("mapped_type <> ''").select("product_id", "mapped_type")
+    return images.select("image_id", "product_id", "visual_type").join(known, "product_id").where("NOT visual_type <=> mapped_type").select("image_id", "visual_type", "mapped_type")
+
+
+def hero_audit(products: DataFrame, images: DataFrame) -> DataFrame:
+    """(product_id, image_id, skip_reason): why a product's first image cannot be its hero: no_image, excluded or scene."""
+    first = images.where("position = 1").select("product_id", "image_id", "excluded", "stage_0_result")
+    reason = F.when(F.col("image_id").isNull(), "no_image").when(F.col("excluded"), "excluded").when(F.col("stage_0_result") != "product", "scene")
+    return products.select("product_id").join(first, "product_id", "left").select("product_id", "image_id", reason.alias("skip_reason"))
+
+
+def copy_verify(source: DataFrame, copy: DataFrame, by: str) -> DataFrame:
+    """(by, expected, copied, complete): rows of each key before and after a copy."""
+    expected, copied = source.groupBy(by).agg(F.count("*").alias("expected")), copy.groupBy(by).agg(F.count("*").alias("copied"))
+    n = F.coalesce("copied", F.lit(0))
+    return expected.join(copied, by, "left").select(by, "expected", n.alias("copied"), (F.col("expected") == n).alias("complete"))
+
+
+def high_image_products(images: DataFrame, most: int) -> DataFrame:
+    """(visual_type, products, excess, most): products with more than ``most`` images, by type and (null) in all."""
+    p = images.groupBy("product_id", "visual_type").agg(F.count("*").alias("n")).where(F.col("n") > most)
+    return p.rollup("visual_type").agg(F.count("*").alias("products"), F.sum(F.col("n") - most).alias("excess"), F.max("n").alias("most"))
+
+
+def count_buckets(keys: DataFrame, rows: DataFrame, by: str, edges: Sequence[int]) -> DataFrame:
+    """(bucket, keys): how many keys have so many rows. ``edges`` end the buckets: 0, then 1 to the first edge, and so on, then more."""
+    counts = keys.select(by).join(rows.groupBy(by).agg(F.count("*").alias("n")), by, "left").fillna(0, ["n"])
+    bucket, low = F.when(F.col("n") == 0, "0"), 1
+    for edge in edges:
+        bucket, low = bucket.when(F.col("n") <= edge, f"{low}-{edge}" if low < edge else str(edge)), edge + 1
+    return counts.groupBy(bucket.otherwise(f"{low}+").alias("bucket")).agg(F.count("*").alias("keys"))
+
+
+def flip_matrix(images: DataFrame, new_class: Column) -> DataFrame:
+    """(old_class, new_class, n): how a new rule would class the images."""
+    return images.groupBy(F.col("stage_0_result").alias("old_class"), new_class.alias("new_class")).agg(F.count("*").alias("n"))
+
+
+def quota_sample(rows: DataFrame, stratum: Column, quotas: dict[str, int], size: int, order: str) -> DataFrame:
+    """``size`` rows: first those within their stratum's quota, then others, both in the order of a column."""
+    placed = rows.withColumn("stratum", stratum)
+    quota = functools.reduce(lambda c, x: F.when(F.col("stratum") == x[0], x[1]).otherwise(c), quotas.items(), F.lit(0))
+    k = F.row_number().over(W.partitionBy("stratum").orderBy(order))
+    return placed.withColumn("by_quota", k <= quota).orderBy(F.desc("by_quota"), order).limit(size)

@@ -52,17 +52,13 @@ def inconsistent(traits):
 @query("d2_supplemental_metrics", f"""WITH {_WIDE} SELECT visual_type, count(*) AS images, count(*) FILTER (WHERE back_height <> 'unknown') AS with_back, count(*) FILTER (WHERE back_height <> 'unknown' AND arm_option <> 'unknown') AS backs_with_arms,
 round(count(*) FILTER (WHERE back_height <> 'unknown' AND arm_option <> 'unknown') / nullif(count(*) FILTER (WHERE back_height <> 'unknown'), 0), 6) AS arm_share FROM wide GROUP BY 1""", "fx_traits")
 def supplemental(traits):
-    wide = traits.groupBy("image_id", "visual_type").pivot("field", list(_FIELDS)).agg(F.max("value"))
-    backed = F.col("back_height") != "unknown"
-    both = backed & (F.col("arm_option") != "unknown")
-    g = wide.groupBy("visual_type").agg(F.count("*").alias("images"), F.count_if(backed).alias("with_back"), F.count_if(both).alias("backs_with_arms"))
-    return g.withColumn("arm_share", F.round(F.try_divide("backs_with_arms", "with_back"), 6))
+    found = D.supplemental_metrics(traits, "back_height", "arm_option")
+    return found.withColumnsRenamed({"with_field": "with_back", "with_both": "backs_with_arms", "share": "arm_share"})
 
 
 @query("d20_applicability", f"WITH {_WIDE} SELECT image_id, base_type <> 'unknown' AS base_applies, visual_type <> 'stool' AND arm_option <> 'unknown' AS arms_apply, visual_type IN ('bench', 'lounge_chair') AS seat_applies FROM wide", "fx_traits")
 def applicability(traits):
-    wide = traits.groupBy("image_id", "visual_type").pivot("field", list(_FIELDS)).agg(F.max("value"))
-    return wide.select("image_id", (F.col("base_type") != "unknown").alias("base_applies"), ((F.col("visual_type") != "stool") & (F.col("arm_option") != "unknown")).alias("arms_apply"), F.col("visual_type").isin("bench", "lounge_chair").alias("seat_applies"))
+    return D.applicability(traits, {"base_applies": (None, (), "base_type"), "arms_apply": (None, ("stool",), "arm_option"), "seat_applies": (("bench", "lounge_chair"), (), None)})
 
 
 @query("d5_extraction_failures", "SELECT product_id, count(*) AS failures FROM fx_refreshes WHERE status IN ('error', 'refund') GROUP BY 1", "fx_refreshes")
@@ -80,7 +76,7 @@ def stage_cost(images):
 
 @query("d8_tiebreaker_counts", "SELECT visual_type, count(*) AS images, count(*) FILTER (WHERE tiebreaker_triggered) AS all_tiebreaks, count(*) FILTER (WHERE tiebreaker_triggered AND stage_0_result = 'product') AS product_tiebreaks FROM fx_images GROUP BY 1", "fx_images")
 def tiebreakers(images):
-    return images.groupBy("visual_type").agg(F.count("*").alias("images"), F.count_if("tiebreaker_triggered").alias("all_tiebreaks"), F.count_if(F.col("tiebreaker_triggered") & (F.col("stage_0_result") == "product")).alias("product_tiebreaks"))
+    return D.tiebreaker_counts(images)
 
 
 
@@ -120,17 +116,14 @@ def triage(docs):
 
 @query("d12_stale_types", "SELECT i.image_id, i.visual_type, p.visual_type AS mapped_type FROM (SELECT image_id, product_id + 1 AS product_id, visual_type FROM fx_images) i JOIN fx_products p USING (product_id) WHERE i.visual_type <> p.visual_type AND p.visual_type <> ''", "fx_images", "fx_products")
 def stale(images, products):
-    mapped = products.select("product_id", F.col("visual_type").alias("mapped_type"))
-    return images.select("image_id", (F.col("product_id") + 1).alias("product_id"), "visual_type").join(mapped, "product_id").where("visual_type <> mapped_type AND mapped_type <> ''").select("image_id", "visual_type", "mapped_type")
+    return D.stale_types(images.withColumn("product_id", F.col("product_id") + 1), products.select("product_id", F.col("visual_type").alias("mapped_type")))
 
 
 @query("d13_hero_audit", """
 SELECT p.product_id, i.image_id, CASE WHEN i.image_id IS NULL THEN 'no_image' WHEN i.excluded THEN 'excluded' WHEN i.stage_0_result <> 'product' THEN 'scene' END AS skip_reason
 FROM fx_products p LEFT JOIN (SELECT * FROM fx_images WHERE position = 1) i USING (product_id)""", "fx_products", "fx_images")
 def hero_audit(products, images):
-    first = images.where("position = 1").select("product_id", "image_id", "excluded", "stage_0_result")
-    reason = F.when(F.col("image_id").isNull(), "no_image").when(F.col("excluded"), "excluded").when(F.col("stage_0_result") != "product", "scene")
-    return products.select("product_id").join(first, "product_id", "left").select("product_id", "image_id", reason.alias("skip_reason"))
+    return D.hero_audit(products, images)
 
 
 @query("d14_ghost_fields", f"WITH {_VOCAB_SQL} SELECT t.visual_type, t.field, count(*) AS removed FROM fx_traits t LEFT JOIN vocab v USING (visual_type, field) WHERE v.field IS NULL GROUP BY ALL", "fx_traits")
@@ -157,9 +150,7 @@ def env_gap(images):
 
 @query("d18_post_copy_verify", "SELECT product_id, count(*) AS expected, count(*) FILTER (WHERE image_id % 50 <> 0) AS copied, count(*) = count(*) FILTER (WHERE image_id % 50 <> 0) AS complete FROM fx_images GROUP BY 1", "fx_images")
 def verify_copy(images):
-    copied = images.where("image_id % 50 <> 0").groupBy("product_id").agg(F.count("*").alias("copied"))
-    expected = images.groupBy("product_id").agg(F.count("*").alias("expected"))
-    return expected.join(copied, "product_id", "left").select("product_id", "expected", F.coalesce("copied", F.lit(0)).alias("copied"), (F.col("expected") == F.coalesce("copied", F.lit(0))).alias("complete"))
+    return D.copy_verify(images, images.where("image_id % 50 <> 0"), "product_id")
 
 
 @query("d21_snapshot_parity", """
@@ -243,19 +234,17 @@ def quantiles(images):
 
 @query("a16_high_image_products", "WITH p AS (SELECT product_id, visual_type, count(*) AS n FROM fx_images GROUP BY ALL) SELECT visual_type, count(*) AS products, CAST(sum(n - 30) AS BIGINT) AS excess, max(n) AS most FROM p WHERE n > 30 GROUP BY ROLLUP (visual_type)", "fx_images")
 def high_image(images):
-    p = images.groupBy("product_id", "visual_type").agg(F.count("*").alias("n")).where("n > 30")
-    return p.rollup("visual_type").agg(F.count("*").alias("products"), F.sum(F.col("n") - 30).alias("excess"), F.max("n").alias("most"))
+    return D.high_image_products(images, 30)
 
 
 @query("a17_histogram_buckets", "WITH c AS (SELECT p.product_id, count(i.image_id) AS n FROM fx_products p LEFT JOIN (SELECT * FROM fx_images WHERE excluded) i USING (product_id) GROUP BY 1) SELECT CASE WHEN n = 0 THEN '0' WHEN n <= 2 THEN '1-2' WHEN n <= 4 THEN '3-4' ELSE '5+' END AS bucket, count(*) AS products FROM c GROUP BY 1", "fx_products", "fx_images")
 def histogram(products, images):
-    c = products.select("product_id").join(images.where("excluded").groupBy("product_id").agg(F.count("*").alias("n")), "product_id", "left").fillna(0, ["n"])
-    return c.groupBy(F.when(F.col("n") == 0, "0").when(F.col("n") <= 2, "1-2").when(F.col("n") <= 4, "3-4").otherwise("5+").alias("bucket")).agg(F.count("*").alias("products"))
+    return D.count_buckets(products, images.where("excluded"), "product_id", [2, 4]).withColumnRenamed("keys", "products")
 
 
 @query("a18_flip_matrix", "SELECT stage_0_result AS old_class, CASE WHEN short_side > 600 THEN 'product' ELSE 'scene' END AS new_class, count(*) AS n FROM fx_images GROUP BY ALL", "fx_images")
 def flips(images):
-    return images.groupBy(F.col("stage_0_result").alias("old_class"), F.when(F.col("short_side") > 600, "product").otherwise("scene").alias("new_class")).agg(F.count("*").alias("n"))
+    return D.flip_matrix(images, F.when(F.col("short_side") > 600, "product").otherwise("scene"))
 
 
 # ---- predicates and joins --------------------------------------------------------------------
@@ -356,9 +345,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY product_id) AS
 SELECT product_id, stratum, by_quota FROM (SELECT *, row_number() OVER (ORDER BY CASE WHEN by_quota THEN 0 ELSE 1 END, product_id) AS n FROM q) WHERE n <= 20""", "fx_products")
 def quota(products):
     stratum = F.when(F.col("b_level") == "nut", "a").when(F.col("c_level") == "brass", "b").otherwise("rest")
-    r = products.select("product_id", stratum.alias("stratum")).withColumn("k", F.row_number().over(W.partitionBy("stratum").orderBy("product_id")))
-    q = r.withColumn("by_quota", F.col("k") <= F.when(F.col("stratum") == "a", 5).when(F.col("stratum") == "b", 3).otherwise(0))
-    return q.orderBy(F.desc("by_quota"), "product_id").limit(20).select("product_id", "stratum", "by_quota")
+    return D.quota_sample(products, stratum, {"a": 5, "b": 3}, 20, "product_id").select("product_id", "stratum", "by_quota")
 
 
 @query("e2_order_checks", """
