@@ -7,7 +7,7 @@ import datetime
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from fernhill.fixtures import duck_sql, table, view
-from fernhill.functions import text as T
+from fernhill.functions import text as T, vectors as Vec
 from fernhill.operators import evaluation as V, resolution as E, retrieval as R, snapshots as Sn, vector_search as N
 from fernhill.plans._book import ORACLES, QUERIES, query
 from fernhill.plans.retrieval_queries import _TOPK
@@ -139,6 +139,17 @@ def trim_columns(images):
     return got.select("product_id", "brand", "match_count", F.array_join(text, ", ").alias("images"))
 
 
+@query("f28_unit_vector", """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 10 = 0 THEN list_transform(embedding::DOUBLE[], lambda x: x * 0) ELSE embedding::DOUBLE[] END AS e FROM {embeddings}),
+u AS (SELECT vec_id, CASE WHEN list_inner_product(e, e) > 0 THEN list_transform(e, lambda x: x / sqrt(list_inner_product(e, e))) ELSE [] END AS u FROM v)
+SELECT vec_id, len(u) AS n, round(u[1], 6) AS first, round(u[64], 6) AS last, CASE WHEN len(u) > 0 THEN round(list_inner_product(u, u), 6) ELSE 0 END AS norm FROM u""", "embeddings")
+def unit_vectors(emb):
+    e = F.col("embedding").cast("array<double>")
+    u = Vec.unit_vector(F.when(F.col("vec_id") % 10 == 0, F.transform(e, lambda x: x * 0)).otherwise(e))
+    norm = F.aggregate("u", F.lit(0.0), lambda s, x: s + x * x)
+    return emb.select("vec_id", u.alias("u")).select("vec_id", F.size("u").cast("long").alias("n"), F.round(F.try_element_at("u", F.lit(1)), 6).alias("first"), F.round(F.try_element_at("u", F.lit(64)), 6).alias("last"), F.round(norm, 6).alias("norm"))
+
+
 _CATEGORIES = [("Bolts", ["bolt"]), ("Nuts and rings", ["wing nut", "NUT", "ring"])]
 
 

@@ -285,8 +285,7 @@ def levels(products):
 
 @query("s9_catalog_from_selection", "SELECT p.product_id, count(*) AS n_images FROM fx_products p JOIN (SELECT * FROM fx_images WHERE short_side > 1000) i USING (product_id) GROUP BY 1", "fx_products", "fx_images")
 def selection(products, images):
-    chosen = images.where("short_side > 1000").groupBy("product_id").agg(F.collect_list("image_id").alias("image_ids"))
-    return products.select("product_id").join(chosen, "product_id").where(F.size("image_ids") > 0).select("product_id", F.size("image_ids").cast("long").alias("n_images"))
+    return S.catalog_from_selection(products, images.where("short_side > 1000")).select("product_id", "n_images")
 
 
 @query("s16_audit_run", "SELECT 'merge' AS job, count(*) AS n_rows FROM fx_products UNION ALL SELECT 'old', 5", "fx_products")

@@ -102,6 +102,12 @@ def levels_from_list(entries: Column) -> dict[str, Column]:
     return {"a_level": at("a"), "b_level": F.when(F.size(b) > 0, b).otherwise(F.slice(F.transform(entries, lambda e: e["name"]), 1, 1)), "c_level": at("c")}
 
 
+def catalog_from_selection(products: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Products that have chosen images (product_id, image_id), with how many; an image that is chosen twice counts once."""
+    n = chosen.select("product_id", "image_id").distinct().groupBy("product_id").agg(F.count("*").alias("n_images"))
+    return products.join(n, "product_id")
+
+
 def intake_classify(submitted: DataFrame, existing: DataFrame, images: DataFrame, least: int = 591) -> DataFrame:
     """(product_id, state): skipped_existing, flagged without a large enough image, or accepted."""
     have = existing.select("product_id", F.lit(True).alias("known")).distinct()
