@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from fernhill.llm._shared import documents, materialise
-from fernhill.llm._words import Block, U, blocks, mix
+from fernhill.llm._words import Block, U, blocks, mix, order_of, with_doc
 from fernhill.llm.toxicity import _BREAKS, _LOWER
 
 #: Words at 0 are ignored, so that a seed matches across substitutions there. Every stretch
@@ -20,8 +20,8 @@ MASKS = ("111101011", "11001100111", "1100000110111", "110110000111", "110101000
 LONG = 13
 #: Bits of the map that keeps most training windows from being shuffled: 2 MB, whatever the benchmark.
 MAP_BITS = 24
-#: Up to so many documents with hits are broadcast (ids and short lists); beyond, they are joined by shuffle.
-BROADCAST_DOCS = 100_000
+#: Up to so many pairs of a document and an item, and bytes of their items, are broadcast; beyond, they are joined by shuffle.
+BROADCAST_DOCS, BROADCAST_BYTES = 100_000, 64_000_000
 
 
 #: A random odd factor for each place of a mask.
@@ -111,6 +111,31 @@ def best_overlap(doc: np.ndarray, item: np.ndarray, shift: int, share: float, le
     return end - start, int(same[start:end].sum()), a + shift + start
 
 
+def shared_shifts(b: Block, q: Block, lengths: Iterable[int]) -> Iterator[list[int]]:
+    """For each text of ``b`` and the item of the same number in ``q``, the shifts at which they share a seed, ascending.
+
+    A mark for each possible shift holds them, so that a text of one word many times takes no more than its length.
+    """
+    first, keys = seeds(b, lengths)
+    doc = b.doc[first]
+    keys, place = with_doc(keys, doc), first - b.first_word()[doc]
+    order = order_of(keys)
+    keys, place = keys[order], place[order]
+    item_first, item_keys = seeds(q, lengths)
+    of = q.doc[item_first]
+    item_keys, item_place = with_doc(item_keys, of), item_first - q.first_word()[of]
+    low, high = np.searchsorted(keys, item_keys, "left"), np.searchsorted(keys, item_keys, "right")
+    hit = np.flatnonzero(high > low)
+    hit = hit[np.argsort(of[hit], kind="stable")]
+    cuts = np.searchsorted(of[hit], np.arange(b.n + 1))
+    n, n_item = np.diff(b.first_word()), np.diff(q.first_word())
+    for i in range(b.n):
+        mark = np.zeros(int(n[i] + n_item[i]) + 1, bool)
+        for k in hit[cuts[i] : cuts[i + 1]].tolist():
+            mark[place[low[k] : high[k]] - item_place[k] + n_item[i]] = True
+        yield (np.flatnonzero(mark) - n_item[i]).tolist()
+
+
 def find_leaks(docs: DataFrame, items: DataFrame, min_words: int = 13, share: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text_key, item_id, overlap_words, matched_words, first_word) of benchmark text in documents.
 
@@ -133,16 +158,20 @@ def find_leaks(docs: DataFrame, items: DataFrame, min_words: int = 13, share: fl
             first, keys = seeds(b, lengths)
             one, two = _slots(keys)
             some = there[one] & there[two]
-            first, keys, doc = first[some], keys[some], b.doc[first[some]]
-            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(doc)), part.column(1).take(pa.array(doc)), pa.array(keys.view(np.int64)), pa.array(first - b.first_word()[doc])], ["doc_id", "text_key", "key", "doc_at"])
+            keys, doc = keys[some], b.doc[first[some]]
+            order = np.lexsort((keys, doc))  # a key of a text goes once, wherever it is there
+            keys, doc = keys[order], doc[order]
+            once = np.concatenate((np.ones(min(1, len(keys)), bool), (keys[1:] != keys[:-1]) | (doc[1:] != doc[:-1])))
+            keys, doc = keys[once], pa.array(doc[once])
+            yield pa.RecordBatch.from_arrays([part.column(0).take(doc), part.column(1).take(doc), pa.array(keys.view(np.int64))], ["doc_id", "text_key", "key"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text"))
-    hits = rows.mapInArrow(probes, "doc_id long, text_key long, key long, doc_at long").join(wanted, "key")
-    places = hits.groupBy("doc_id", "text_key", "item_id").agg(F.collect_set(F.col("doc_at") - F.col("item_at")).alias("shifts"))
+    hits = rows.mapInArrow(probes, "doc_id long, text_key long, key long").join(wanted.select("key", "item_id").distinct(), "key")
+    places = hits.select("doc_id", "text_key", "item_id").distinct()
     places = materialise(places.join(items.withColumnRenamed("text", "item"), "item_id"), "places")
-    small = places.count() <= BROADCAST_DOCS
-    near = F.broadcast(places) if small else places
-    pairs = rows.join(near.withColumnsRenamed({"doc_id": "id", "text_key": "k"}), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_key") == F.col("k"))).select("doc_id", "text_key", "item_id", "text", "item", "shifts")
+    n_places, size = places.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("item")), F.lit(0))).first()
+    near = F.broadcast(places) if n_places <= BROADCAST_DOCS and size <= BROADCAST_BYTES else places
+    pairs = rows.join(near.withColumnsRenamed({"doc_id": "id", "text_key": "k"}), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_key") == F.col("k"))).select("doc_id", "text_key", "item_id", "text", "item")
 
     def verify(batches):
         for part, texts in blocks(batches):
@@ -150,10 +179,10 @@ def find_leaks(docs: DataFrame, items: DataFrame, min_words: int = 13, share: fl
             q = Block([t.encode() for t in part.column(4).to_pylist()], _LOWER, _BREAKS)
             words, item_words, at, item_at = b.words(), q.words(), b.first_word(), q.first_word()
             out = []
-            for i, shifts in enumerate(part.column(5).to_pylist()):
+            for i, shifts in enumerate(shared_shifts(b, q, lengths)):
                 text, item = words[at[i] : at[i + 1]], item_words[item_at[i] : item_at[i + 1]]
                 least = max(1, min(min_words, len(item)))
-                n, matched, first = max((best_overlap(text, item, s, share, least) for s in sorted(shifts)), key=lambda x: x[:2])
+                n, matched, first = max((best_overlap(text, item, s, share, least) for s in shifts), key=lambda x: x[:2], default=(0, 0, 0))
                 if n:
                     out.append((i, n, matched, first))
             take = pa.array([x[0] for x in out], pa.int64())

@@ -210,6 +210,13 @@ def test_leaks_equal_all_alignments(docs, seed):
     assert got == plain_leaks(rows, items)
 
 
+def test_a_text_of_one_word_many_times(docs):
+    rows = [(1, "same " * 60_000), (2, "same " * 12), (3, "other " * 50)]
+    items = [(1, "same " * 20), (2, "same " * 12), (3, "same same other")]
+    got = {(r.doc_id, r.item_id, r.overlap_words) for r in dc.find_leaks(docs(rows), docs(items, "item_id long, text string")).collect()}
+    assert got == {(1, 1, 20), (1, 2, 12), (2, 2, 12)}
+
+
 # ---- pipeline --------------------------------------------------------------------------------
 
 
