@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from fernhill.functions.text import norm_alnum, norm_bullet
+from fernhill.functions.text import norm_alnum, norm_bullet, whole_words
 
 BOOLEANS = (("true", "yes"), ("false", "no"))
 
@@ -117,6 +117,7 @@ ABSTRACT_TERMS = ("design", "aesthetic", "style", "silhouette", "presence", "loo
 STOP_WORDS = ("a", "an", "and", "or", "the", "with", "without", "of", "on", "in", "to", "for")
 SAME_WORDS = (("backrest", "back"), ("armrest", "arm"), ("curved", "curve"), ("rounded", "round"), ("angled", "angle"), ("tall", "high"))
 COUNTED_PARTS = r"\b(one|two|three|four|five|six|seven|eight|nine|ten|[0-9]+)\b.*\b(leg|caster|wheel|arm)\b"
+_COUNTED = whole_words("one|two|three|four|five|six|seven|eight|nine|ten|[0-9]+") + ".*" + whole_words("leg|caster|wheel|arm")
 COMPONENT_GROUPS = (
     ("leg", "legs"), ("base|plinth|pedestal", "base"), ("frame", "frame"), ("back|backrest", "back"), ("arm|arms|armrest", "arms"), ("seat|cushion", "seat"), ("shell", "shell"),
     ("top|tabletop", "top"), ("material|wood|metal|fabric|leather|mesh", "material"), ("curved|rounded|boxy|angular|monolithic|floating|compact|tall", "form"),
@@ -136,7 +137,7 @@ def component_group(bullet: Column) -> Column:
     """The part that a bullet is about, by its first matching rule, or ``misc``."""
     out = None
     for words, group in COMPONENT_GROUPS:
-        hit = bullet.rlike(rf"\b({words})\b")
+        hit = bullet.rlike(whole_words(words))
         out = F.when(hit, group) if out is None else out.when(hit, group)
     return out.otherwise("misc")
 
@@ -153,7 +154,7 @@ def low_value_bullet(bullet: Column) -> Column:
     words = _words(bullet)
     n = F.size(words)
     abstract = (_among(words, ABSTRACT_TERMS) > 0) & (_among(words, MATERIAL_WORDS) == 0) & (_among(words, COMPONENT_NOUNS) <= 1) & (n >= 3)
-    return (F.coalesce(bullet, F.lit("")) == "") | bullet.isin(*LOW_VALUE) | bullet.rlike(COUNTED_PARTS) | ((n <= 2) & (_among(words, OBJECT_NOUNS) > 0)) | abstract
+    return (F.coalesce(bullet, F.lit("")) == "") | bullet.isin(*LOW_VALUE) | bullet.rlike(_COUNTED) | ((n <= 2) & (_among(words, OBJECT_NOUNS) > 0)) | abstract
 
 
 def compare_tokens(bullet: Column) -> Column:

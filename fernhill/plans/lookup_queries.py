@@ -108,7 +108,7 @@ def base_norm(traits):
 
 @query("f55_negation_language", "SELECT doc_id, regexp_matches(lower(text), '\\b(not|no|without|ohne|sans|sin)\\b') AS negated FROM {documents}", "documents")
 def negation(docs):
-    return docs.select("doc_id", F.lower("text").rlike(r"\b(not|no|without|ohne|sans|sin)\b").alias("negated"))
+    return docs.select("doc_id", F.lower("text").rlike(T.whole_words("not|no|without|ohne|sans|sin")).alias("negated"))
 
 
 @query("f56_finish_fallback", "SELECT product_id, CASE WHEN c_level IN ('brass', 'steel') THEN c_level WHEN regexp_matches(lower(product_name), 'nut') THEN 'metal' WHEN regexp_matches(lower(product_name), 'bolt') THEN 'iron' ELSE 'unknown' END AS finish FROM fx_products", "fx_products")
