@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from fernhill.operators.ordered import with_quantiles
+from fernhill.tables import written
 
 MISSING = ("", "unknown", "n/a", "na")
 
@@ -25,13 +26,16 @@ def coverage_trajectory(traits: DataFrame, least: int = 8, most: int | None = 12
     of the first ``most`` positions, or all.
     """
     images = traits.select("product_id", "visual_type", "position").distinct()
-    big = images.groupBy("product_id").agg(F.count("*").alias("n_images")).where(F.col("n_images") >= least)
-    pairs = trait_pairs(traits)
-    first_pair = pairs.groupBy("product_id", "field", "value").agg(F.min("position").alias("position")).groupBy("product_id", "position").agg(F.count("*").alias("new_pairs"))
-    first_field = pairs.groupBy("product_id", "field").agg(F.min("position").alias("position")).groupBy("product_id", "position").agg(F.count("*").alias("new_fields"))
-    grid = images.join(big.select("product_id"), "product_id")
-    rows = grid.join(first_pair, ["product_id", "position"], "left").join(first_field, ["product_id", "position"], "left").fillna(0, ["new_pairs", "new_fields"])
+    first_pair = traits.where(~F.lower("value").isin(*MISSING) & F.col("position").isNotNull()).groupBy("product_id", "field", "value").agg(F.min("position").alias("position"))
+    # new pairs and fields of the few positions that bring some; everything is dealt by product alone
+    at = first_pair.groupBy("product_id", "field", "position").agg(F.count("*").alias("pairs"))
+    at = at.withColumn("fields", (F.row_number().over(W.partitionBy("product_id", "field").orderBy("position")) == 1).cast("long"))
+    at = at.groupBy("product_id", "position").agg(F.sum("pairs").alias("pairs"), F.sum("fields").alias("fields"))
+    at = at.groupBy("product_id").agg(F.map_from_entries(F.collect_list(F.struct("position", F.struct("pairs", "fields")))).alias("at"))
     w = W.partitionBy("product_id")
+    here = F.try_element_at("at", F.col("position"))
+    rows = images.withColumn("n_images", F.count("*").over(w)).where(F.col("n_images") >= least).join(at, "product_id", "left")
+    rows = rows.select("product_id", "visual_type", "position", F.coalesce(here["pairs"], F.lit(0)).alias("new_pairs"), F.coalesce(here["fields"], F.lit(0)).alias("new_fields"))
     run = w.orderBy("position").rowsBetween(W.unboundedPreceding, 0)
     total = F.sum("new_pairs").over(w)
     path = rows.select(
@@ -42,11 +46,16 @@ def coverage_trajectory(traits: DataFrame, least: int = 8, most: int | None = 12
 
 
 def marginal_curve(trajectory: DataFrame) -> DataFrame:
-    """Per type and position: mean and exact quartiles of new pairs, mean coverage, support."""
-    totals = trajectory.groupBy("visual_type", "position").agg(
-        F.count("*").alias("support"), F.round(F.avg("new_pairs"), 6).alias("mean_new"), F.round(F.avg("coverage"), 6).alias("mean_coverage"), (F.count("*") < 20).alias("low_confidence")
+    """Per type and position: mean and exact quartiles of new pairs, mean coverage, support.
+
+    Rows of equal numbers are counted once and written, so that the trajectory is made once.
+    """
+    counts = written(trajectory.groupBy("visual_type", "position", "new_pairs").agg(F.count("*").alias("n"), F.sum("coverage").alias("covered")), "counts")
+    n = F.sum("n")
+    totals = counts.groupBy("visual_type", "position").agg(
+        n.alias("support"), F.round(F.sum(F.col("new_pairs") * F.col("n")) / n, 6).alias("mean_new"), F.round(F.sum("covered") / n, 6).alias("mean_coverage"), (n < 20).alias("low_confidence")
     )
-    return with_quantiles(totals, trajectory, ["visual_type", "position"], "new_pairs", {"median_new": 0.5, "p75_new": 0.75, "p90_new": 0.9}, 6)
+    return with_quantiles(totals, counts, ["visual_type", "position"], "new_pairs", {"median_new": 0.5, "p75_new": 0.75, "p90_new": 0.9}, 6, F.col("n"))
 
 
 def saturation_point(curve: DataFrame, least: int = 20, under: float = 0.5) -> DataFrame:
@@ -60,8 +69,9 @@ def late_gain(trajectory: DataFrame, after: Sequence[int] = (5, 8, 10)) -> DataF
 
 def threshold_crossing(trajectory: DataFrame, share: float = 0.9) -> DataFrame:
     at = trajectory.groupBy("visual_type", "product_id").agg(F.min(F.when(F.col("coverage") >= share, F.col("position"))).alias("at"))
-    totals = at.groupBy("visual_type").agg(F.count("*").alias("products"), F.round(F.avg(F.col("at").isNull().cast("int")), 6).alias("never"))
-    return with_quantiles(totals, at, ["visual_type"], "at", {"median_at": 0.5, "p90_at": 0.9}, 6).select("visual_type", "products", "median_at", "p90_at", "never")
+    counts = written(at.groupBy("visual_type", "at").agg(F.count("*").alias("n")), "counts")
+    totals = counts.groupBy("visual_type").agg(F.sum("n").alias("products"), F.round(F.sum(F.when(F.col("at").isNull(), F.col("n")).otherwise(0)) / F.sum("n"), 6).alias("never"))
+    return with_quantiles(totals, counts, ["visual_type"], "at", {"median_at": 0.5, "p90_at": 0.9}, 6, F.col("n")).select("visual_type", "products", "median_at", "p90_at", "never")
 
 
 def cap_scorecard(trajectory: DataFrame, caps: Sequence[int] = (4, 6, 8, 10, 12), image_cost: float = 0.009532) -> DataFrame:
@@ -109,33 +119,46 @@ def resolution_gate(images: DataFrame, least: int = 591, most: int = 5) -> DataF
 def oracle_order(traits: DataFrame, most: int = 12) -> DataFrame:
     """The first ``most`` images in greedy order per product, by most new pairs (ties: earliest) among all images.
 
-    The choice depends on all before it, so that a product is one group of a grouped map. A gain never
-    grows as more is covered, so an image's last known gain bounds it: a heap gives the image with the
-    largest bound, whose gain is counted anew, until one stays on top; few images are counted in a step.
-    Images without pairs come last.
+    The choice depends on all before it, so that a product is in one task, where its rows follow each other;
+    a task reads them a batch at a time. A gain never grows as more is covered, so an image's last known
+    gain bounds it: a heap gives the image with the largest bound, whose gain is counted anew, until one
+    stays on top; few images are counted in a step. Images without pairs come last.
     """
 
-    def greedy(table: pa.Table) -> pa.Table:
-        held: dict[int, set] = {}
-        for position, field, value in zip(table["position"].to_pylist(), table["field"].to_pylist(), table["value"].to_pylist()):
-            pairs = held.setdefault(position, set())
-            if value is not None:
-                pairs.add((field, value))
-        heap = [(-len(pairs), position) for position, pairs in held.items()]
+    def greedy(product: int, held: dict[int, int], out: list[list]) -> None:
+        heap = [(-pairs.bit_count(), position) for position, pairs in held.items()]
         heapq.heapify(heap)
-        seen: set = set()
-        out: list[tuple] = []
-        while heap and len(out) < most:
+        seen = step = 0
+        while heap and step < most:
             bound, position = heapq.heappop(heap)
-            new = held[position] - seen
-            if len(new) < -bound:
-                heapq.heappush(heap, (-len(new), position))
+            new = (held[position] & ~seen).bit_count()
+            if new < -bound:
+                heapq.heappush(heap, (-new, position))
                 continue
-            seen |= new
-            out.append((table["product_id"][0].as_py(), position, len(out) + 1, len(new), len(seen)))
-        names = ["product_id", "position", "step", "new_pairs", "cumulative"]
-        return pa.table([pa.array(c, pa.int64()) for c in zip(*out)], names=names)
+            seen |= held[position]
+            step += 1
+            for column, x in zip(out, (product, position, step, new, seen.bit_count())):
+                column.append(x)
+
+    names = ["product_id", "position", "step", "new_pairs", "cumulative"]
+
+    def ordered(batches):
+        product, held, bits = None, {}, {}  # bits: the pairs of this product by number
+        for batch in batches:
+            out: list[list] = [[] for _ in names]
+            for p, position, field, value in zip(*(c.to_pylist() for c in batch.columns)):
+                if p != product:
+                    if held:
+                        greedy(product, held, out)
+                    product, held, bits = p, {}, {}
+                own = held.get(position, 0)
+                held[position] = own if value is None else own | 1 << bits.setdefault((field, value), len(bits))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names)
+        out = [[] for _ in names]
+        if held:
+            greedy(product, held, out)
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names)
 
     valid = ~F.lower("value").isin(*MISSING)
-    pairs = traits.select(F.col("product_id").cast("long"), F.col("position").cast("long"), F.when(valid, F.col("field")).alias("field"), F.when(valid, F.col("value")).alias("value")).distinct()
-    return pairs.groupBy("product_id").applyInArrow(greedy, "product_id long, position long, step long, new_pairs long, cumulative long")
+    pairs = traits.select(F.col("product_id").cast("long"), F.col("position").cast("long"), F.when(valid, F.col("field")).alias("field"), F.when(valid, F.col("value")).alias("value"))
+    return pairs.repartition("product_id").sortWithinPartitions("product_id", "position").mapInArrow(ordered, "product_id long, position long, step long, new_pairs long, cumulative long")

@@ -54,13 +54,14 @@ def _shifted(chunks: DataFrame, group: Sequence[str], before: Sequence[str], aft
     return chunks.sparkSession.createDataFrame([tuple(r[c] for c in chunks.columns) for r in out], chunks.schema)
 
 
-def at_positions(rows: DataFrame, group: Sequence[str], value: str, places: dict[str, Callable[[Column], Column]]) -> DataFrame:
+def at_positions(rows: DataFrame, group: Sequence[str], value: str, places: dict[str, Callable[[Column], Column]], weight: Column | None = None) -> DataFrame:
     """(group, names): the values at places of each group's ascending values, nulls left out.
 
     ``places`` maps a name to a function from the group's number of values to a place from 0; a place
-    between two values gives a point between them. Equal values are counted before they are ordered.
+    between two values gives a point between them. Equal values are counted before they are ordered;
+    a row counts as often as ``weight`` says, or once.
     """
-    counts = rows.where(F.col(value).isNotNull()).groupBy(*group, F.col(value).alias("value")).agg(F.count("*").alias("n"))
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*group, F.col(value).alias("value")).agg((F.count("*") if weight is None else F.sum(weight)).alias("n"))
     ordered = running_totals(counts, group, ["value"], ["n"], ["value"])
     totals = counts.groupBy(*group).agg(F.sum("n").alias("all_n"))
     other = totals.toDF(*[f"\0{c}" for c in group], "all_n")
@@ -75,14 +76,14 @@ def at_positions(rows: DataFrame, group: Sequence[str], value: str, places: dict
     return ordered.join(other, same).groupBy(*group).agg(*(c.alias(name) for name, c in found.items()))
 
 
-def exact_quantiles(rows: DataFrame, group: Sequence[str], value: str, shares: dict[str, float]) -> DataFrame:
+def exact_quantiles(rows: DataFrame, group: Sequence[str], value: str, shares: dict[str, float], weight: Column | None = None) -> DataFrame:
     """(group, names): exact quantiles of each group's values, between two values by their distance."""
-    return at_positions(rows.withColumn(value, F.col(value).cast("double")), group, value, {name: lambda n, q=q: (n - 1) * q for name, q in shares.items()})
+    return at_positions(rows.withColumn(value, F.col(value).cast("double")), group, value, {name: lambda n, q=q: (n - 1) * q for name, q in shares.items()}, weight)
 
 
-def with_quantiles(totals: DataFrame, rows: DataFrame, group: Sequence[str], value: str, shares: dict[str, float], digits: int) -> DataFrame:
+def with_quantiles(totals: DataFrame, rows: DataFrame, group: Sequence[str], value: str, shares: dict[str, float], digits: int, weight: Column | None = None) -> DataFrame:
     """``totals``, which has a row for each group, with the groups' rounded quantiles; null where a group has no values."""
-    found = exact_quantiles(rows, group, value, shares)
+    found = exact_quantiles(rows, group, value, shares, weight)
     found = found.select(*(F.col(c).alias(f"\0{c}") for c in group), *(F.round(name, digits).alias(name) for name in shares))
     same = functools.reduce(lambda a, b: a & b, (totals[c].eqNullSafe(found[f"\0{c}"]) for c in group))
     return totals.join(found, same, "left").select(*totals.columns, *shares)
