@@ -178,8 +178,11 @@ def clean_highlights(bullets: DataFrame, keep: int = 8) -> DataFrame:
     of the first. Repeated bullets count once. The fold runs over one record's few bullets inside an
     expression; records without a bullet left have none.
     """
-    rows = bullets.withColumn("norm", norm_bullet(F.col("text"))).where(~low_value_bullet(F.col("norm")))
-    rows = rows.groupBy("record_id", "norm").agg(F.min("ord").alias("ord"))
+    # all grouping is within a record, whose rows are dealt once; a text is normalized once before it is judged,
+    # and not again for each rule: filters do not move below an explode
+    texts = bullets.repartition("record_id").groupBy("record_id", "text").agg(F.min("ord").alias("ord"))
+    rows = texts.select("record_id", "ord", F.explode(F.array(norm_bullet(F.col("text")))).alias("norm"))
+    rows = rows.groupBy("record_id", "norm").agg(F.min("ord").alias("ord")).where(~low_value_bullet(F.col("norm")))
     item = F.struct("ord", "norm", component_group(F.col("norm")).alias("part"), compare_tokens(F.col("norm")).alias("tokens"), bullet_score(F.col("norm")).alias("score"))
     lists = rows.groupBy("record_id").agg(F.array_sort(F.collect_list(item)).alias("items"))
     empty = F.slice("items", 1, 0)
@@ -190,9 +193,10 @@ def clean_highlights(bullets: DataFrame, keep: int = 8) -> DataFrame:
         return F.contains(x["norm"], k["norm"]) | F.contains(k["norm"], x["norm"]) | ((x["part"] == k["part"]) & (x["part"] != "misc") & (shared >= 2)) | (shared / longer >= 0.7)
 
     def add(kept, x):
-        at = F.array_position(F.transform(kept, lambda k: overlaps(x, k)), F.lit(True))
-        replaced = F.transform(kept, lambda k, i: F.when((i + 1 == at) & (x["score"] > k["score"]), x).otherwise(k))
-        return F.when(at == 0, F.concat(kept, F.array(x))).otherwise(replaced)
+        found = F.array_position(F.transform(kept, lambda k: overlaps(x, k)), F.lit(True))
+        replaced = lambda at: F.transform(kept, lambda k, i: F.when((i + 1 == at) & (x["score"] > k["score"]), x).otherwise(k))
+        # the place is bound to a name, so that it is not sought again for each kept bullet
+        return F.get(F.transform(F.array(found), lambda at: F.when(at == 0, F.concat(kept, F.array(x))).otherwise(replaced(at))), F.lit(0))
 
     return lists.select("record_id", F.transform(F.slice(F.aggregate("items", empty, add), 1, keep), lambda k: k["norm"]).alias("highlights"))
 
