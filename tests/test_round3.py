@@ -6,7 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from fernhill.functions import text as T
-from fernhill.operators import coverage as K, phrases as P, retrieval as R
+from fernhill.operators import coverage as K, phrases as P, retrieval as R, vector_search as N
 from fernhill.plans import lookup_queries as L
 
 
@@ -53,3 +53,13 @@ def test_greedy_order_across_batches(spark):
         assert sorted(map(tuple, K.oracle_order(table).collect())) == want and len(want) == 9 * 12
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_a_query_travels_once_for_a_chunk(spark):
+    r = random.Random(4)
+    images = spark.createDataFrame([(i, [r.gauss(0, 1) for _ in range(8)]) for i in range(600)], "image_id long, embedding array<double>")
+    index = N.build_index(images, lists=40)
+    queries = images.where("image_id < 20").withColumnRenamed("image_id", "query_id")
+    assert index.chunks == 1
+    assert index.candidates(queries, 20, 10).count() == 200
+    assert index.rows.select("chunk").distinct().count() == 1 < index.rows.select("list").distinct().count()
