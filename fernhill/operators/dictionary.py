@@ -16,21 +16,26 @@ def phrase_hits(texts: DataFrame, phrases: DataFrame, id_col: str, words: Column
 
     ``words`` gives a text's word array; a phrase is words with one space between. Windows are made for
     the phrase lengths that occur (a few numbers, which the driver reads), so that a text of n words has n
-    windows for each, and only equal strings meet, whatever the number of phrases. An empty phrase is
-    nowhere; null texts hold nothing.
+    windows for each, and only equal strings meet, whatever the number of phrases. Texts are dealt by id
+    first, since a small file of long texts is one task otherwise; their words are made once, and windows
+    meet the phrases before they are grouped, so that only hits are. An empty phrase is nowhere, equal
+    rows of phrases count once; null texts hold nothing.
     """
     known = phrases.where(F.length(phrase) > 0)
     lengths = [r[0] for r in known.select(F.size(_words(F.col(phrase)))).distinct().collect()]
-    held = F.coalesce(words, F.array().cast("array<string>"))
+    held = F.col("\0words")
 
     def made(n: int) -> Column:
+        if n == 1:
+            return F.transform(held, lambda x, i: F.struct(i.alias("at"), x.alias("window")))
         starts = F.when(F.size(held) >= n, F.sequence(F.lit(0), F.size(held) - n)).otherwise(F.array().cast("array<int>"))
         return F.transform(starts, lambda i: F.struct(i.alias("at"), F.array_join(F.slice(held, i + 1, n), " ").alias("window")))
 
-    windows = texts.select(id_col, F.explode(F.concat(*map(made, sorted(lengths)))).alias("w")) if lengths else texts.select(id_col, F.lit(None).cast("struct<at:int,window:string>").alias("w")).limit(0)
+    split = texts.repartition(id_col).select(id_col, F.coalesce(words, F.array().cast("array<string>")).alias("\0words"))
+    windows = split.select(id_col, F.explode(F.concat(*map(made, sorted(lengths)))).alias("w")) if lengths else split.select(id_col, F.lit(None).cast("struct<at:int,window:string>").alias("w")).limit(0)
+    met = windows.select(id_col, F.col("w.window").alias("\0window"), F.col("w.at").alias("at")).join(known, F.col("\0window") == F.col(phrase))
     # a text's windows of one string count once
-    once = windows.select(id_col, F.col("w.window").alias("\0window"), F.col("w.at").alias("at")).groupBy(id_col, "\0window").agg(F.min("at").alias("at"))
-    return once.join(known, F.col("\0window") == F.col(phrase)).drop("\0window")
+    return met.groupBy(id_col, *known.columns).agg(F.min("at").alias("at"))
 
 
 def phrase_match(texts: DataFrame, phrases: DataFrame, id_col: str) -> DataFrame:
