@@ -45,13 +45,17 @@ def hash_embed(docs: DataFrame, tokens: str = "tokens", key: str = "id", dims: i
     """(key, vector): signed token hashing; each token adds four weighted entries read from its sha1.
 
     Entry i has its place in bytes 2i and 2i + 1, its sign in byte 8 + i and its weight in byte 12 + i.
-    The vector has length 1, or is all zero where there is no token.
+    The vector has length 1, or is all zero where there is no token. Texts are dealt by key before their
+    tokens become entries, so that sums need no further exchange and no task of a small file has those of all;
+    in all shuffle partitions, since entries are many times the bytes by which those would be put together.
     """
-    entries = docs.select(key, F.explode(tokens).alias("token")).withColumn("h", F.sha1("token"))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    entries = docs.repartition(parts, key).select(key, F.explode_outer(tokens).alias("token")).withColumn("h", F.sha1("token"))
     byte = lambda k: F.conv(F.substring("h", 2 * k + 1, 2), 16, 10).cast("int")
     sign = lambda k: F.when(byte(8 + k) % 2 == 0, 1.0).otherwise(-1.0)
     four = F.array(*(F.struct(((byte(2 * k) * 256 + byte(2 * k + 1)) % dims).alias("dim"), (sign(k) * (1 + byte(12 + k) / 255.0)).alias("x")) for k in range(4)))
     summed = entries.select(key, F.explode(four).alias("e")).groupBy(key, "e.dim").agg(F.sum("e.x").alias("x"))
-    sparse = summed.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("dim", "x"))).alias("at"), F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("size"))
+    some = F.when(F.col("dim").isNotNull(), F.struct("dim", "x"))
+    sparse = summed.groupBy(key).agg(F.map_from_entries(F.collect_list(some)).alias("at"), F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("size"))
     value = lambda d: F.coalesce(F.round(F.element_at("at", d) / F.when(F.col("size") > 0, F.col("size")), 6), F.lit(0.0))
-    return docs.select(key).distinct().join(sparse, key, "left").select(key, F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), value).alias("vector"))
+    return sparse.select(key, F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), value).alias("vector"))

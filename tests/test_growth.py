@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from fernhill.functions import vectors as V
 from fernhill.operators import dictionary as D
 from fernhill.plans import retrieval_queries as Q
 
@@ -28,3 +29,12 @@ def test_a_phrase_counts_once_at_its_first_place(spark):
     phrases = spark.createDataFrame([("a b", "x"), ("a b", "x"), ("b", "y"), ("", "z"), (None, "z")], "phrase string, result string")
     got = D.phrase_hits(texts, phrases, "id", F.split("text", " "))
     assert sorted((r.id, r.phrase, r.result, r.at) for r in got.collect()) == [(1, "a b", "x", 0), (1, "b", "y", 1), (2, "b", "y", 0)]
+
+
+def test_token_sums_need_one_exchange_of_texts(spark):
+    rows = [(1, ["ab", "cd"]), (1, ["ab", None]), (2, []), (3, None)]
+    found = V.hash_embed(spark.createDataFrame(rows, "id int, tokens array<string>"))
+    assert len(exchanges(found)) == 1 and "Join" not in optimized(found)
+    got = {r.id: r.vector for r in found.collect()}
+    want = V.hash_embed(spark.createDataFrame([(1, ["ab", "ab", "cd"])], "id int, tokens array<string>")).first().vector
+    assert got == {1: want, 2: [0.0] * 192, 3: [0.0] * 192} and abs(sum(x * x for x in want) - 1) < 1e-4
