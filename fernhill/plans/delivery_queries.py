@@ -65,7 +65,8 @@ SELECT product_id, CASE WHEN fine THEN CASE WHEN product_id % 11 = 0 THEN '' ELS
   CASE WHEN fine THEN concat_ws('|', a_level, b, c_level) END AS levels, CASE WHEN fine THEN CASE WHEN c_level = b THEN b ELSE concat(c_level, ' :: ', b) END END AS raw_category,
   CASE WHEN fine THEN concat('https://x.test/', product_id, '/0.jpg?a=1&b=2 https://x.test/', product_id, '/1.jpg?a=1&b=2') END AS urls, why AS flag_reason FROM q""", "fx_products")
 def page_attributes(products):
-    got = P.read_payloads(_page_json(products))
+    # a few bytes of a product become a page: dealt first, since a small file of products is one task otherwise
+    got = P.read_payloads(_page_json(products.repartition("product_id")))
     levels = F.when(F.col("a_level").isNotNull(), F.concat_ws("|", F.array_join("a_level", "+"), F.array_join("b_level", "+"), F.array_join("c_level", "+")))
     return got.select("product_id", "source_product_id", "product_name", "brand", levels.alias("levels"), "raw_category", F.array_join("image_urls", " ").alias("urls"), "flag_reason")
 

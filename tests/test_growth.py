@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from fernhill.functions import vectors as V
 from fernhill.operators import dictionary as D
-from fernhill.plans import retrieval_queries as Q
+from fernhill.plans import delivery_queries as B, retrieval_queries as Q
 
 
 def optimized(df):
@@ -38,3 +38,10 @@ def test_token_sums_need_one_exchange_of_texts(spark):
     got = {r.id: r.vector for r in found.collect()}
     want = V.hash_embed(spark.createDataFrame([(1, ["ab", "ab", "cd"])], "id int, tokens array<string>")).first().vector
     assert got == {1: want, 2: [0.0] * 192, 3: [0.0] * 192} and abs(sum(x * x for x in want) - 1) < 1e-4
+
+
+def test_pages_of_a_small_file_are_read_in_several_tasks(spark):
+    products = spark.createDataFrame([(k, f"large ring {k}", "b", "SMALL", "ring", "large") for k in range(1, 40)], "product_id long, product_name string, brand string, a_level string, b_level string, c_level string").coalesce(1)
+    found = B.page_attributes(products)
+    assert "RepartitionByExpression" in optimized(found)
+    assert found.count() == 39 and found.where("flag_reason IS NULL").count() > 20
