@@ -43,10 +43,17 @@ def list_vote(items: DataFrame, runs_of: DataFrame, share: float = 0.5) -> DataF
 
 
 def product_consensus(traits: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Per product and field the voted value over its images, and the image that agrees most often."""
+    """Per product and field the voted value over its images, and the image that agrees most often.
+
+    For the images, rows are dealt once, by product: votes, agreements and places are told within its partition.
+    """
     v = vote(traits.select(F.col("product_id").alias("image_id"), "field", "value"))
     agreed = v.select(F.col("image_id").alias("product_id"), "field", F.col("value").alias("consensus"), F.round(F.col("votes") / F.col("total"), 4).alias("confidence"))
-    hits = traits.join(agreed, ["product_id", "field"]).groupBy("product_id", "image_id").agg(F.sum((F.col("value") == F.col("consensus")).cast("long")).alias("agreements"))
+    of = W.partitionBy("product_id", "field")
+    dealt = traits.where("product_id IS NOT NULL AND field IS NOT NULL").select("product_id", "image_id", "field", "value").repartition("product_id")
+    voted = dealt.withColumn("votes", F.count("*").over(W.partitionBy("product_id", "field", "value")))
+    told = voted.withColumn("consensus", F.first("value").over(of.orderBy(F.desc("votes"), "value")))
+    hits = told.groupBy("product_id", "image_id").agg(F.sum((F.col("value") == F.col("consensus")).cast("long")).alias("agreements"))
     w = W.partitionBy("product_id").orderBy(F.desc("agreements"), "image_id")
     best = hits.withColumn("n", F.row_number().over(w)).where("n = 1").select("product_id", "image_id", "agreements")
     return agreed, best

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from fernhill.functions import vectors as V
-from fernhill.operators import dictionary as D
+from fernhill.operators import consensus as C, dictionary as D
 from fernhill.plans import delivery_queries as B, retrieval_queries as Q
 
 
@@ -45,3 +45,15 @@ def test_pages_of_a_small_file_are_read_in_several_tasks(spark):
     found = B.page_attributes(products)
     assert "RepartitionByExpression" in optimized(found)
     assert found.count() == 39 and found.where("flag_reason IS NULL").count() > 20
+
+
+def test_traits_are_dealt_once_for_the_best_image(spark):
+    rows = [(p, i, f, f"v{(p * i + len(f)) % 3}") for p in range(4) for i in range(9) for f in ("a", "bb")] + [(9, 1, "a", None), (9, 2, "a", None), (9, 3, "a", "x"), (None, 1, "a", "x"), (8, 1, None, "x")]
+    traits = spark.createDataFrame(rows, "product_id long, image_id long, field string, value string")
+    agreed, best = C.product_consensus(traits)
+    assert len(exchanges(best)) == 1
+    hits = traits.join(agreed, ["product_id", "field"]).groupBy("product_id", "image_id").agg(F.sum((F.col("value") == F.col("consensus")).cast("long")).alias("n"))
+    want = {}
+    for r in hits.collect():
+        want[r.product_id] = min(want.get(r.product_id, (9, 0, 0)), (r.n is None, -(r.n or 0), r.image_id))
+    assert {r.product_id: (r.agreements is None, -(r.agreements or 0), r.image_id) for r in best.collect()} == want
