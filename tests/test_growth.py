@@ -1,9 +1,12 @@
 """What grows with the tables: work that a plan does once, and rows that its exchanges carry."""
 
+import tracemalloc
+
+import numpy as np
 from pyspark.sql import functions as F
 
 from fernhill.functions import vectors as V
-from fernhill.operators import consensus as C, dictionary as D
+from fernhill.operators import consensus as C, dictionary as D, vector_search as N
 from fernhill.plans import delivery_queries as B, retrieval_queries as Q
 
 
@@ -57,3 +60,16 @@ def test_traits_are_dealt_once_for_the_best_image(spark):
     for r in hits.collect():
         want[r.product_id] = min(want.get(r.product_id, (9, 0, 0)), (r.n is None, -(r.n or 0), r.image_id))
     assert {r.product_id: (r.agreements is None, -(r.agreements or 0), r.image_id) for r in best.collect()} == want
+
+
+def test_a_kernel_holds_few_similarities():
+    r = np.random.default_rng(2)
+    q, v = r.normal(size=(1000, 8)), r.normal(size=(5000, 8))
+    tracemalloc.start()
+    i, j, near = N.top_pairs(q, v, 10)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20e6
+    every = np.round(q @ v.T, 6) + 0.0
+    assert (j.reshape(1000, 10) == np.argsort(-every, 1, kind="stable")[:, :10]).all() and (i == np.repeat(np.arange(1000), 10)).all()
+    assert (near == every[i, j]).all()
